@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from . import audio, bpe, packing, sharding, token_store, url_filter
+from . import audio, bpe, near_dedup, packing, sharding, token_store, url_filter
 from .common import table
 
 #: Shards over which documents are placed.
@@ -98,6 +98,10 @@ def op9_shard_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(docs, ["doc_id"], SHARDS)
 
 
+def op10_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_roundtrip": op1_bpe_roundtrip,
     "op2_url_rules": op2_url_rules,
@@ -105,5 +109,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mpeg_audio": op5_mpeg_audio,
     "op7_packing": op7_packing,
     "op9_shard_lookup": op9_shard_lookup,
+    "op10_bottom_k": op10_bottom_k,
 }
 ORACLE_SQL: dict[str, str] = {"op2_url_rules": OP2_SQL}
