@@ -103,16 +103,14 @@ def text_buffer(column) -> tuple[np.ndarray, np.ndarray]:
 
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    if not pa.types.is_large_binary(column.type):
-        column = column.cast(pa.large_string() if pa.types.is_string(column.type) else column.type)
-    if pa.types.is_large_string(column.type):
-        column = column.cast(pa.large_binary())
+    if not (pa.types.is_large_binary(column.type) or pa.types.is_large_string(column.type)):
+        column = column.cast(pa.large_string() if pa.types.is_string(column.type) else pa.large_binary())
     if column.null_count:
-        column = pc.fill_null(column, b"")
+        column = pc.fill_null(column, "" if pa.types.is_large_string(column.type) else b"")
     n = len(column)
     if not n:
         return np.empty(0, np.uint8), np.zeros(1, np.int64)
-    bounds = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + n + 1]
+    bounds = np.frombuffer(column.buffers()[1], np.int64, n + 1, 8 * column.offset)
     raw = column.buffers()[2]
     data = np.frombuffer(raw, np.uint8)[bounds[0] : bounds[-1]] if raw is not None and raw.size else np.empty(0, np.uint8)
     return data, bounds - bounds[0]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from . import audio, bpe, near_dedup, packing, sharding, token_store, url_filter
+from . import audio, bpe, near_dedup, packing, sharding, substring_dedup, token_store, url_filter
 from .common import table
 
 #: Shards over which documents are placed.
@@ -93,6 +93,22 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op8_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cut = substring_dedup.remove_repeats(docs)
+
+    def digest(batches):
+        import hashlib
+
+        import pyarrow as pa
+
+        for batch in batches:
+            kept = [hashlib.sha256(b" ".join((t or "").encode().split())).hexdigest() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words"), batch.column("n_removed"), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+
+    return cut.mapInArrow(digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+
+
 def op9_shard_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
     return sharding.assign_shards(docs, ["doc_id"], SHARDS)
@@ -108,6 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_store": op4_token_store,
     "op5_mpeg_audio": op5_mpeg_audio,
     "op7_packing": op7_packing,
+    "op8_fm_index": op8_fm_index,
     "op9_shard_lookup": op9_shard_lookup,
     "op10_bottom_k": op10_bottom_k,
 }
