@@ -63,7 +63,7 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/')
 
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_store.write_tokens(table(spark, sf_dir, "documents"), vocabulary())
-    return token_store.with_crc(token_store.read_tokens(spark, path))
+    return token_store.read_tokens(spark, path, lists=False)
 
 
 def op5_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:

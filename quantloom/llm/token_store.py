@@ -30,7 +30,7 @@ BLOCK_BYTES = 1 << 20
 #: Documents on which the dictionary is trained (the only sample here; it has no part in what is read back).
 SAMPLE_DOCUMENTS = 1_000
 DICTIONARY_BYTES = 32 << 10
-LEVEL = 3
+LEVEL = 1
 
 
 def train_dictionary(samples: Sequence[bytes]) -> bytes:
@@ -47,7 +47,12 @@ def train_dictionary(samples: Sequence[bytes]) -> bytes:
 def _codec(kind, dictionary: bytes, **more):
     import zstandard
 
-    return kind(dict_data=zstandard.ZstdCompressionDict(dictionary), **more) if dictionary else kind(**more)
+    if not dictionary:
+        return kind(**more)
+    known = zstandard.ZstdCompressionDict(dictionary)
+    if "level" in more:
+        known.precompute_compress(level=more["level"])  # once, not for each document
+    return kind(dict_data=known, **more)
 
 
 def pack_block(docs: Sequence[tuple[int | None, np.ndarray]], dictionary: bytes, before: int, compressor=None) -> bytes:
@@ -109,7 +114,9 @@ def write_tokens(df: DataFrame, vocabulary: str, path: str | None = None, *, doc
     ship(spark)
     path = path or f"{shared_dir(spark)}/quantloom/tokens-{uuid.uuid4().hex}"
     base = df.select(F.col(doc).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    sample = base.orderBy(F.xxhash64("doc"), "doc").limit(SAMPLE_DOCUMENTS)
+    order = F.pmod(F.xxhash64("doc"), F.lit(1 << 30))
+    share = 4 * SAMPLE_DOCUMENTS / max(1, base.count())  # so that a task sends its part of the sample, not as many as asked for
+    sample = base.where(order <= int(share * (1 << 30))).orderBy(order, "doc").limit(SAMPLE_DOCUMENTS)
     encoder = library_encoder(vocabulary)
     dictionary = train_dictionary([x.tobytes() for x in encoder.encode(r.text for r in sample.select("text").collect())])
     spark.createDataFrame([(xxhash.xxh64_hexdigest(dictionary), bytearray(dictionary))], "hash string, dictionary binary").coalesce(1).write.parquet(f"{path}/dictionary")
@@ -146,49 +153,31 @@ def write_tokens(df: DataFrame, vocabulary: str, path: str | None = None, *, doc
     return path
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens and ids (array of int), read back from the blocks."""
+def read_tokens(spark: SparkSession, path: str, *, lists: bool = True) -> DataFrame:
+    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 (unsigned, of the ids as little-endian unsigned
+    32-bit integers) and, if lists, ids (array of int), read back from the blocks."""
     import pyarrow as pa
 
     ship(spark)
     dictionary = bytes(spark.read.schema("hash string, dictionary binary").parquet(f"{path}/dictionary").first()["dictionary"])
     blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
     sums = sorted((r["part"], r["n"]) for r in blocks.groupBy("part").agg(F.sum("n_ids").alias("n")).collect())  # a row for each part, not for each document
-    first, total = [], 0
+    starts, total = {}, 0
     for part, n in sums:
-        first.append((part, total))
+        starts[part] = total
         total += n
-    starts = dict(first)
-    out = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    fields = [T.StructField(x, T.LongType()) for x in ("doc_id", "start", "n_tokens", "ids_crc32")]
+    out = T.StructType([*fields, T.StructField("ids", T.ArrayType(T.IntegerType()))] if lists else fields)
 
     def run(batches):
         for batch in batches:
             for part, raw in zip(batch.column("part").to_pylist(), batch.column("data"), strict=True):
                 b = Block(raw.as_py(), dictionary)
-                if not b.n:
-                    continue
-                lists = [b.ids(i) for i in range(b.n)]
-                offsets = np.zeros(b.n + 1, np.int32)
-                np.cumsum(b.sizes, out=offsets[1:])
-                flat = np.concatenate(lists).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array([b.name(i) for i in range(b.n)], pa.int64()), pa.array(starts[part] + b.before + offsets[:-1].astype(np.int64)), pa.array(b.sizes.astype(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], out.names)
+                each = [b.ids(i).astype("<u4") for i in range(b.n)]
+                ends = np.cumsum(b.sizes)
+                columns = [pa.array(b.names, pa.int64(), mask=b.known == 0), pa.array(starts[part] + b.before + ends - b.sizes), pa.array(b.sizes.astype(np.int64)), pa.array([zlib.crc32(x) for x in each], pa.int64())]
+                if lists:
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(np.concatenate(each).astype(np.int32))))
+                yield pa.RecordBatch.from_arrays(columns, out.names)
 
     return blocks.select("part", "data").mapInArrow(run, out)
-
-
-def with_crc(df: DataFrame, ids: str = "ids", name: str = "ids_crc32") -> DataFrame:
-    """The unsigned crc32 of each id list as little-endian unsigned 32-bit integers, in place of the list."""
-    import pyarrow as pa
-
-    ship(df.sparkSession)
-    kept = [c for c in df.columns if c not in (ids, name)]
-
-    def run(batches):
-        for batch in batches:
-            column = batch.column(ids)
-            bounds = np.asarray(column.offsets).tolist()
-            flat = np.asarray(column.values).astype("<u4")
-            crc = pa.array([zlib.crc32(flat[a:z]) for a, z in zip(bounds, bounds[1:])], pa.int64())
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], crc], [*kept, name])
-
-    return df.select(*kept, ids).mapInArrow(run, T.StructType([*df.select(*kept).schema.fields, T.StructField(name, T.LongType())]))

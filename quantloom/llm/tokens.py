@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterable
 
 import numpy as np
 
-from .bpe import Stretches
+from .bpe import Stretches, byte_symbols
 
 #: So many stretches of text are remembered in each Python worker, and as many older ones.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 
 
 class LibraryEncoder:
@@ -25,7 +26,10 @@ class LibraryEncoder:
 
         import regex
         from tokenizers import Tokenizer
+        from tokenizers.models import BPE
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are what runs side by side
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
@@ -36,20 +40,25 @@ class LibraryEncoder:
         steps = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
         self.by_word = bool(suffix) and steps == ["NFC", "Replace", "Lowercase"]
         self.stretches = Stretches([t["content"] for t in spec.get("added_tokens", [])])
+        # the same model for words that are split and mapped to their bytes' characters
+        self.words = Tokenizer(BPE(vocab=spec["model"]["vocab"], merges=[(*m,) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]], end_of_word_suffix=suffix, cache_capacity=0)) if self.by_word else None
+        self.code = str.maketrans({chr(b): c for b, c in enumerate(byte_symbols())})
         self.chunks: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         if self.by_word:
+            self.words.pre_tokenizer = WhitespaceSplit()
             self.split = regex.compile(next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"))
             self.ends = np.zeros(size, bool)
             self.ends[[i for s, i in spec["model"]["vocab"].items() if s.endswith(suffix)]] = True
 
     def _learn(self, new: list[str]) -> dict[str, bytes]:
         """Ids of stretches that aren't among the latest: of older ones as remembered, of others from the library."""
-        found = {c: ids for c in new if (ids := self.older.get(c)) is not None}
-        unseen = [c for c in new if c not in found]
-        parts = [self.split.findall(c) for c in unseen]
-        flat = [w for ws in parts for w in ws]
-        ids = np.array(self.library.encode(" ".join(flat), add_special_tokens=False).ids, self.kind)
+        found = {c: ids for c in new if (ids := self.older.get(c)) is not None} if self.older else {}
+        unseen = [c for c in new if c not in found] if found else new
+        parts = [(c,) if c.isalpha() else self.split.findall(c) for c in unseen]
+        flat = [w if w.isascii() else w.encode().decode("latin-1").translate(self.code) for ws in parts for w in ws]
+        lists = [e.ids for e in self.words.encode_batch_fast([" ".join(flat[i : i + 256]) for i in range(0, len(flat), 256)], add_special_tokens=False)]
+        ids = np.concatenate([np.array(x, self.kind) for x in lists]) if lists else np.empty(0, self.kind)
         ends = np.flatnonzero(self.ends[ids]) + 1
         if len(ends) != len(flat):
             raise ValueError("the vocabulary doesn't end each word by its suffix")
@@ -65,18 +74,16 @@ class LibraryEncoder:
         if not self.by_word:
             return [np.array(e.ids, self.kind) for e in self.library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
         splits = [self.stretches(t) if t else () for t in texts]
-        got = [list(map(self.chunks.get, s)) if s else s for s in splits]
-        holes = [i for i, g in enumerate(got) if g and None in g]
-        if holes:
-            found = self._learn([*{c for i in holes for c, g in zip(splits[i], got[i]) if g is None}])
-            for i in holes:
-                got[i] = [found[c] if g is None else g for c, g in zip(splits[i], got[i])]
+        new = set().union(*(s for s in splits if s)).difference(self.chunks)
+        if new:
+            found = self._learn([*new])
             if len(self.chunks) + len(found) > REMEMBERED:
-                self.older, self.chunks = self.chunks, {}
+                used = {c: self.chunks[c] for c in set().union(*(s for s in splits if s)) if c in self.chunks}
+                self.older, self.chunks = self.chunks, used
             self.chunks.update(found)
-        out = []
-        for text, g in zip(texts, got, strict=True):
-            out.append(np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind) if g is None else np.frombuffer(b"".join(g), self.kind))
+        ids_of, out = self.chunks.__getitem__, []
+        for text, s in zip(texts, splits, strict=True):
+            out.append(np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind) if s is None else np.frombuffer(b"".join(map(ids_of, s)), self.kind))
         return out
 
 
