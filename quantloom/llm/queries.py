@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from . import audio, bpe, near_dedup, packing, sharding, substring_dedup, token_store, url_filter
+from . import audio, bpe, near_dedup, packing, quality_rules, sharding, substring_dedup, token_store, url_filter
 from .common import table
 
 #: Shards over which documents are placed.
@@ -89,6 +89,10 @@ def op5_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP5 = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("payload_bytes", T.LongType()), T.StructField("payload_sha256", T.StringType()), T.StructField("tail_crc32", T.LongType()), T.StructField("media_bytes", T.LongType()), T.StructField("media_sha256", T.StringType()), T.StructField("feature", T.StringType())])
 
 
+def op6_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge_quality(table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -123,6 +127,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_rules": op2_url_rules,
     "op4_token_store": op4_token_store,
     "op5_mpeg_audio": op5_mpeg_audio,
+    "op6_divergence": op6_divergence,
     "op7_packing": op7_packing,
     "op8_fm_index": op8_fm_index,
     "op9_shard_lookup": op9_shard_lookup,
