@@ -6,8 +6,9 @@
    (4.6 standard deviations below what is expected at the threshold), so a class enters only the lists of its rarest
    values, so many that two such classes must meet in one; values in one sketch alone, and values that very many share,
    lead nowhere.
-3. In each list, every class is paired with the list's most typical one; after these links are known, only classes of
-   a list that are in different components are paired with each other. A list of n copies of one thing costs n pairs.
+3. In each list, every class is paired with the list's most typical one. After these links are known, only classes of
+   a list that are in different components are left to be compared: short lists within, members of longer ones where
+   prefixes of their full sets, rarest shingles first, say that they may be similar enough. n copies cost n pairs.
 4. The union sketch (the k smallest values of both) estimates the similarity; pairs far below the threshold go.
 5. The full sets of the rest are intersected: links are exact.
 
@@ -31,6 +32,8 @@ PERCENT = 75
 K = 64
 #: Of estimates and of shared values: the least share with which a pair goes on to be verified.
 LEAST = 0.5
+#: Lists of at most so many classes are compared within; members of longer ones meet by prefixes of their full sets.
+SHORT = 16
 
 
 def shingle_sets(column, size: int = SHINGLE) -> list[np.ndarray]:
@@ -103,6 +106,23 @@ def _lists(nodes: DataFrame) -> DataFrame:
     return ranked.where(F.col("rank") <= F.col("m") - F.ceil(F.col("m") * LEAST) + 1 - (F.col("m") - F.col("known"))).select("value", "node", "score")
 
 
+def _by_prefix(members: DataFrame, sources: DataFrame, percent: int, size: int) -> DataFrame:
+    """Pairs (a, b) of members (node, label) with different labels that may be as similar as asked for, by their full sets.
+
+    Shingles in ascending order of how many members have them: two sets can only be that similar if they meet among the
+    first n - ceil(n * percent / 100) + 1, at places behind which enough is left of both. What few members have comes
+    first, so one that differs from all others in more than that meets nobody.
+    """
+    sets = full_sets(sources.join(members, "node", "left_semi"), size).join(members, "node").select("node", "label", F.size("shingles").alias("n"), F.explode("shingles").alias("e"))
+    sets = written(sets, "members")
+    often = sets.groupBy("e").agg(F.count("*").alias("often")).where("often > 1")
+    ranked = sets.join(often, "e").selectExpr("node", "label", "n", "e", "row_number() over (partition by node order by often, e) r", "count(*) over (partition by node) known")
+    ranked = ranked.selectExpr("node", "label", "n", "e", "n - known + r place").where(f"place <= n - ceil(n * {percent} / 100) + 1")
+    enough = f"(1 + least(p.n - p.place, q.n - q.place)) * {100 + percent} >= {percent} * (p.n + q.n)"
+    meet = ranked.alias("p").join(ranked.alias("q"), F.expr(f"p.e = q.e and p.label < q.label and least(p.n, q.n) * 100 >= greatest(p.n, q.n) * {percent} and {enough}"))
+    return meet.select(F.expr("greatest(p.node, q.node)").alias("a"), F.expr("least(p.node, q.node)").alias("b")).distinct()
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, sources: DataFrame, percent: int, k: int, size: int) -> DataFrame:
     """Of pairs (a, b) those as similar as asked for, after the estimate by sets."""
     left = nodes.select(F.col("node").alias("a"), F.col("sketch").alias("sa"), F.col("n").alias("na"))
@@ -135,9 +155,11 @@ def near_duplicates(df: DataFrame, *, doc: str = "doc_id", text: str = "text", p
     labels = written(components(links), "labels")
     # what is left: classes of one list in different components, that haven't been compared
     named = lists.join(labels, "node", "left").select("value", "node", F.coalesce("label", "node").alias("label"))
-    open_lists = named.groupBy("value").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("value")
-    named = written(named.join(open_lists, "value", "left_semi"), "open")
-    rest = named.alias("p").join(named.alias("q"), F.expr("p.value = q.value and p.label < q.label")).select(F.expr("greatest(p.node, q.node)").alias("a"), F.expr("least(p.node, q.node)").alias("b")).distinct()
+    open_lists = named.groupBy("value").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("c")).where("x < y").select("value", (F.col("c") > SHORT).alias("long"))
+    named = written(named.join(open_lists, "value"), "open")
+    short = named.where("not long")
+    rest = short.alias("p").join(short.alias("q"), F.expr("p.value = q.value and p.label < q.label")).select(F.expr("greatest(p.node, q.node)").alias("a"), F.expr("least(p.node, q.node)").alias("b"))
+    rest = rest.union(_by_prefix(named.where("long").select("node", "label").distinct(), sources, percent, size)).distinct()
     more = _verified(rest.join(first, ["a", "b"], "left_anti"), chosen, sources, percent, k, size)
     labels = written(components(links.union(more)), "labels")
     found = classes.join(labels, "node", "left").select("d1", "d2", F.coalesce("label", "node").alias("component"))
