@@ -127,15 +127,17 @@ def slices(batch, column: str = "text", most: int = 4 << 20):
 
 
 class Words:
-    """Words `[^\\x20\\x09-\\x0D]+` of a batch: starts and ends in the batch's bytes, and bounds[i]:bounds[i+1] for each row."""
+    """Words `[^\\x20\\x09-\\x0D]+` of a batch: starts and ends in the batch's bytes, and bounds[i]:bounds[i+1] for each row.
 
-    def __init__(self, column, lower: bool = False):
+    apart: other bytes than white space that separate words, as a mask of 256."""
+
+    def __init__(self, column, lower: bool = False, apart: np.ndarray = _IS_SPACE):
         self.data, self.offsets = text_buffer(column)
         if lower:
             self.data = _LOWER[self.data]
         n = len(self.data)
         word = np.zeros(n + 2, bool)
-        word[1:-1] = ~_IS_SPACE[self.data]
+        word[1:-1] = ~apart[self.data]
         first = word[1:-1] & ~word[:-2]
         last = word[1:-1] & ~word[2:]
         inner = self.offsets[1:-1]
@@ -146,8 +148,8 @@ class Words:
         self.ends = np.flatnonzero(last) + 1
         self.bounds = np.searchsorted(self.starts, self.offsets)
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit value of each word, the same in every batch."""
+    def hashes(self, most: int | None = None) -> np.ndarray:
+        """A 64-bit value of each word (of its first bytes, `most` at the most), the same in every batch."""
         n = len(self.data)
         if not len(self.starts):
             return np.empty(0, np.uint64)
@@ -155,8 +157,9 @@ class Words:
             total = np.zeros(n + 1, np.uint64)
             np.cumsum(_BYTE[self.data] * _power(n, _BASE, "up"), out=total[1:])
             down = _power(n, pow(_BASE, -1, 2**64), "down")
-            value = (total[self.ends] - total[self.starts]) * down[self.starts]
-            return mix(value + (self.ends - self.starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+            ends = self.ends if most is None else np.minimum(self.ends, self.starts + most)
+            value = (total[ends] - total[self.starts]) * down[self.starts]
+            return mix(value + (ends - self.starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
 
 
 def grams(words: np.ndarray, k: int) -> np.ndarray:

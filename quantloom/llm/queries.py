@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from . import audio, bpe, near_dedup, packing, quality_rules, sharding, substring_dedup, token_store, url_filter
+from . import audio, bpe, near_dedup, packing, quality_classifier, quality_rules, sharding, substring_dedup, token_store, url_filter
 from .common import table
 
 #: Shards over which documents are placed.
@@ -61,6 +61,12 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/')
 """
 
 
+def op3_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality_classifier.fit_documents(docs, table(spark, sf_dir, "labels"))
+    return quality_classifier.grade_documents(docs, model)
+
+
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_store.write_tokens(table(spark, sf_dir, "documents"), vocabulary())
     return token_store.read_tokens(spark, path, lists=False)
@@ -125,6 +131,7 @@ def op10_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_roundtrip": op1_bpe_roundtrip,
     "op2_url_rules": op2_url_rules,
+    "op3_ordinal_quality": op3_ordinal_quality,
     "op4_token_store": op4_token_store,
     "op5_mpeg_audio": op5_mpeg_audio,
     "op6_divergence": op6_divergence,
