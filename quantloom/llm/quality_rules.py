@@ -174,7 +174,8 @@ def judge_quality(df: DataFrame, references: dict[str, dict[str, list[float]]] |
 def keep_good(df: DataFrame, *, text: str = "text", lang: str = "lang") -> DataFrame:
     """The rows of df that are kept, with all their columns as they are."""
     whole = df.select(F.struct(*df.columns).alias("__row"), F.col(text).alias("__text"), (F.col(lang) if lang in df.columns else F.lit(None).cast("string")).alias("__lang"))
-    # the running number isn't deterministic: it keeps the filter above the projection, where Spark would otherwise put
-    # copies of all that kept is made of
-    judged = judge_quality(whole, text="__text", lang="__lang", keep=("__row",)).withColumn("__n", F.monotonically_increasing_id())
-    return judged.where("kept").select("__row.*")
+    judged = judge_quality(whole, text="__text", lang="__lang", keep=("__row",))
+    # a column that isn't deterministic, and is asked for (it is never null), keeps the filter above this projection; Spark
+    # would otherwise put copies of all that kept is made of in its place, each of which is worked out anew
+    judged = judged.withColumn("__n", F.monotonically_increasing_id())
+    return judged.where(F.col("kept") & F.col("__n").isNotNull() & (F.col("__n") >= 0)).select("__row.*")

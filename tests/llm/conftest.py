@@ -45,3 +45,8 @@ def folder(spark, docs, tmp_path):
 def nothing(spark, docs, tmp_path):
     docs.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     return str(tmp_path)
+
+
+@pytest.fixture(scope="session")
+def odd():
+    return ODD

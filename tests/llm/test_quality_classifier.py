@@ -4,8 +4,6 @@ import pytest
 
 from quantloom.llm import quality_classifier as qc
 
-from .conftest import ODD
-
 BAD = "shout badword nasty"
 
 
@@ -41,8 +39,8 @@ def plain_features(text, bits):
     return out
 
 
-def test_features_of_a_batch_are_those_of_single_texts():
-    texts = [*ODD, "one two\none two\nONE TWO!!", "x"]
+def test_features_of_a_batch_are_those_of_single_texts(odd):
+    texts = [*odd, "one two\none two\nONE TWO!!", "x"]
     rows, hashed = qc.features(pa.array(texts, pa.string()))
     for i, t in enumerate(texts):
         own = set(hashed[rows == i].tolist())
