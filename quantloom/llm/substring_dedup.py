@@ -12,7 +12,8 @@ its key, and a run of windows of one document with one key travels as one stretc
 4. Runs look up what was reported for their words, and documents cut out what an earlier one has.
 
 A key that very many runs have (a passage in a large share of all documents) would make one shard large: its windows are
-dealt one by one, by a digest of all their words, so that only those which recur travel. At most HOT_KEYS keys, the most
+dealt one by one, by a digest of all their words, so that only those which recur travel, and documents are told about
+whole stretches of them. At most HOT_KEYS keys, the most
 frequent, are told to the tasks.
 """
 
@@ -61,7 +62,7 @@ class _Digests:
 
 
 def runs_of(w: Words, window: int, hot: np.ndarray | None = None) -> dict[str, np.ndarray]:
-    """Runs of windows with one key: row (in the batch), key, content (digest of the words), first (word of the row), n (windows)."""
+    """Runs of windows with one key: row (in the batch), key, content (digest of the words), first (word of the row), n (windows), single (a window of a hot key)."""
     h, span = w.hashes(), window - min(ANCHOR, window) + 1
     m = sliding_min(grams(h, min(ANCHOR, window)), span)
     counts = np.maximum(np.diff(w.bounds) - window + 1, 0)
@@ -86,12 +87,14 @@ def runs_of(w: Words, window: int, hot: np.ndarray | None = None) -> dict[str, n
         singles = np.repeat(starts[split], n[split]) + _arange_each(n[split])
         starts, n, keys = np.concatenate((starts[~split], singles)), np.concatenate((n[~split], np.ones(len(singles), np.int64))), keys[~split]
         content = digests.of(starts, starts + n + window - 1)
+        single = np.arange(len(starts)) >= len(keys)
         keys = np.concatenate((keys, mix(content[len(keys) :] ^ np.uint64(0x5851F42D4C957F2D))))
     else:
         content = digests.of(starts, starts + n + window - 1)
+        single = np.zeros(len(starts), bool)
     row = np.searchsorted(w.bounds, starts, side="right") - 1
     whole = digests.of(w.bounds[:-1], w.bounds[1:])
-    return {"row": row, "key": keys.view(np.int64), "content": content.view(np.int64), "whole": whole[row].view(np.int64) if len(row) else np.empty(0, np.int64), "first": starts - w.bounds[row], "n": n}
+    return {"row": row, "key": keys.view(np.int64), "content": content.view(np.int64), "whole": whole[row].view(np.int64) if len(row) else np.empty(0, np.int64), "first": starts - w.bounds[row], "n": n, "single": single}
 
 
 def _arange_each(n: np.ndarray) -> np.ndarray:
@@ -99,7 +102,7 @@ def _arange_each(n: np.ndarray) -> np.ndarray:
 
 
 def _extract(docs: DataFrame, window: int, hot: np.ndarray | None) -> DataFrame:
-    """Rows (key, content, doc, whole, first, n) of docs (doc, text)."""
+    """Rows (key, content, doc, whole, first, n, single) of docs (doc, text)."""
     import pyarrow as pa
 
     sent = docs.sparkSession.sparkContext.broadcast(hot)
@@ -110,9 +113,9 @@ def _extract(docs: DataFrame, window: int, hot: np.ndarray | None) -> DataFrame:
             for batch in slices(big):
                 r = runs_of(Words(batch.column("text")), window, own)
                 doc = batch.column("doc").take(pa.array(r["row"]))
-                yield pa.RecordBatch.from_arrays([pa.array(r["key"]), pa.array(r["content"]), doc, pa.array(r["whole"]), pa.array(r["first"].astype(np.int32)), pa.array(r["n"].astype(np.int32))], ["key", "content", "doc", "whole", "first", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(r["key"]), pa.array(r["content"]), doc, pa.array(r["whole"]), pa.array(r["first"].astype(np.int32)), pa.array(r["n"].astype(np.int32)), pa.array(r["single"])], ["key", "content", "doc", "whole", "first", "n", "single"])
 
-    return docs.where("doc is not null and text is not null").mapInArrow(run, "key long, content long, doc long, whole long, first int, n int")
+    return docs.where("doc is not null and text is not null").mapInArrow(run, "key long, content long, doc long, whole long, first int, n int, single boolean")
 
 
 def packed(df: DataFrame, text: str, name: str = "__packed") -> DataFrame:
@@ -207,6 +210,22 @@ def _report(stretches: DataFrame, window: int, parts: int) -> DataFrame:
     return stretches.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(run, "key long, content long, least array<long>, times array<int>")
 
 
+def _told_stretches(singles: DataFrame, told: DataFrame) -> DataFrame:
+    """Rows (doc, whole, first, least, times) for windows that were dealt one by one.
+
+    Windows of a document that follow each other are one stretch, and a passage that very many documents have is the same
+    stretch in most of them: what its windows were told is looked up once for each different stretch, and each document
+    has one row for a stretch, not one for a window.
+    """
+    marked = singles.selectExpr("doc", "whole", "first", "key", "content", "first - dense_rank() over (partition by doc, whole order by first) island")
+    stretches = marked.groupBy("doc", "whole", "island").agg(F.min("first").alias("first"), F.sort_array(F.collect_set(F.struct("first", "key", "content"))).alias("w"))
+    stretches = written(stretches.select("doc", "whole", "first", F.md5(F.array_join(F.transform("w", lambda x: x["content"].cast("string")), ",").cast("binary")).alias("digest"), F.transform("w", lambda x: F.struct(x["key"].alias("key"), x["content"].alias("content"))).alias("w")), "stretches")
+    different = stretches.groupBy("digest").agg(F.first("w").alias("w")).select("digest", F.posexplode("w").alias("at", "x")).select("digest", "at", "x.key", "x.content")
+    answers = different.join(told, ["key", "content"]).groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("at", F.get("least", F.lit(0)).alias("least")))).alias("a"))
+    found = stretches.select("doc", "whole", "first", "digest").join(answers, "digest").select("doc", "whole", "first", F.transform("a", lambda x: x["least"]).alias("least"), F.transform("a", lambda x: F.lit(1)).alias("times"))
+    return found.where(F.array_min("least") < F.col("doc"))
+
+
 def repeated_windows(df: DataFrame, *, doc: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """doc, whole (digest of its words) and found (first word, least, times): what each document's runs were told."""
     spark = df.sparkSession
@@ -221,7 +240,9 @@ def repeated_windows(df: DataFrame, *, doc: str = "doc_id", text: str = "text",
     different = runs.groupBy("key", "content").agg(F.min(F.struct("doc", "whole", "first", "n")).alias("r"))
     wanted = different.groupBy(F.col("r.doc").alias("doc"), F.col("r.whole").alias("whole")).agg(F.collect_list(F.struct("key", "content", F.col("r.first").alias("first"), F.col("r.n").alias("n"), F.col("r.doc").alias("low"))).alias("wants"))
     told = _report(_stretches(packed(docs.where("doc is not null and text is not null"), "text"), wanted, window), window, parts)
-    hits = runs.join(told, ["key", "content"]).where(F.array_min("least") < F.col("doc"))
+    told = written(told, "told")
+    hits = runs.where("not single").join(told, ["key", "content"]).where(F.array_min("least") < F.col("doc")).select("doc", "whole", "first", "least", "times")
+    hits = hits.union(_told_stretches(runs.where("single"), told))
     return hits.groupBy("doc", "whole").agg(F.collect_list(F.struct("first", "least", "times")).alias("found"))
 
 
