@@ -21,22 +21,52 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where none is set (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset and Spark runs in one process
+    (tests), a temporary one is made; on a cluster without it, executors couldn't read what others wrote: an error."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
-        named = tempfile.mkdtemp(prefix="quantloom-shared-")
-        sc.setCheckpointDir(named)
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="quantloom-shared-"))
         named = sc.getCheckpointDir()
     return named.rstrip("/")
 
 
+def _path(spark: SparkSession, name: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+class Scratch:
+    """Tables of one run in the shared folder. A written table cuts the lineage and survives lost executors.
+
+    drop() deletes those that nothing reads any more; the rest, which results still read, goes when the application ends.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def written(self, df: DataFrame, what: str) -> DataFrame:
+        """df as a Parquet table, read again."""
+        name = f"{shared_dir(self.spark)}/quantloom/{self.spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
+        path, fs = _path(self.spark, name)
+        fs.deleteOnExit(path)
+        df.write.parquet(name)
+        self.paths[what] = name
+        return self.spark.read.schema(df.schema).parquet(name)
+
+    def drop(self, *what: str) -> None:
+        for name in what:
+            if name in self.paths:
+                path, fs = _path(self.spark, self.paths.pop(name))
+                fs.delete(path, True)
+                fs.cancelDeleteOnExit(path)
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quantloom/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """df as a Parquet table in the shared folder, read again; it is deleted when the application ends."""
+    return Scratch(df.sparkSession).written(df, what)
 
 
 def ship(spark: SparkSession) -> None:
@@ -64,26 +94,8 @@ _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BYTE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15 | 1
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(n: int, base: int, name: str) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, kept for the next call."""
-    have = _powers.get(name)
-    if have is None or len(have) < n:
-        size = max(n, 1 << 16)
-        have = np.empty(size, np.uint64)
-        have[0] = 1
-        with np.errstate(over="ignore"):
-            done = 1
-            while done < size:
-                step = min(done, size - done)
-                have[done : done + step] = have[:step] * np.uint64(pow(base, done, 2**64))
-                done += step
-        _powers[name] = have
-    return have[:n]
+#: Bytes of text that vector steps take at once.
+SLICE = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -116,16 +128,25 @@ def text_buffer(column) -> tuple[np.ndarray, np.ndarray]:
     return data, bounds - bounds[0]
 
 
-def slices(batch, column: str = "text", most: int = 4 << 20):
-    """The batch in runs of rows with at most so many bytes of text, or one row: bounds what the vector steps hold."""
-    bounds = text_buffer(batch.column(column))[1]
+def slices(batch, *columns: str, most: int = SLICE):
+    """The batch in runs of rows with at most so many bytes of text (or binary, or list items times eight) in the columns
+    together, or one row: bounds what the vector steps hold."""
+    total = sum(_bounds(batch.column(c)) for c in columns or ("text",))
     at, n = 0, batch.num_rows
     while at < n:
-        end = max(at + 1, int(np.searchsorted(bounds, bounds[at] + most, side="right")) - 1)
+        end = max(at + 1, int(np.searchsorted(total, total[at] + most, side="right")) - 1)
         yield batch.slice(at, min(end, n) - at)
         at = end
 
 
+def _bounds(column) -> np.ndarray:
+    import pyarrow as pa
+
+    if pa.types.is_list(column.type) or pa.types.is_large_list(column.type):
+        return np.asarray(column.offsets, np.int64) * 8
+    return text_buffer(column)[1]
+
+
 class Words:
     """Words `[^\\x20\\x09-\\x0D]+` of a batch: starts and ends in the batch's bytes, and bounds[i]:bounds[i+1] for each row.
 
@@ -147,28 +168,42 @@ class Words:
         self.starts = np.flatnonzero(first)
         self.ends = np.flatnonzero(last) + 1
         self.bounds = np.searchsorted(self.starts, self.offsets)
+        self.letters = word[1:-1]
+
+    def coded(self) -> tuple[np.ndarray, list[bytes]]:
+        """The number of each word, and the different words by number: equal numbers, equal bytes."""
+        import pyarrow as pa
 
-    def hashes(self, most: int | None = None) -> np.ndarray:
-        """A 64-bit value of each word (of its first bytes, `most` at the most), the same in every batch."""
-        n = len(self.data)
         if not len(self.starts):
-            return np.empty(0, np.uint64)
-        with np.errstate(over="ignore"):
-            total = np.zeros(n + 1, np.uint64)
-            np.cumsum(_BYTE[self.data] * _power(n, _BASE, "up"), out=total[1:])
-            down = _power(n, pow(_BASE, -1, 2**64), "down")
-            ends = self.ends if most is None else np.minimum(self.ends, self.starts + most)
-            value = (total[ends] - total[self.starts]) * down[self.starts]
-            return mix(value + (ends - self.starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+            return np.empty(0, np.int64), []
+        offsets = np.zeros(len(self.starts) + 1, np.int64)
+        np.cumsum(self.ends - self.starts, out=offsets[1:])
+        body = pa.py_buffer(self.data[self.letters])
+        words = pa.Array.from_buffers(pa.large_binary(), len(self.starts), [None, pa.py_buffer(offsets), body]).dictionary_encode()
+        return np.asarray(words.indices).astype(np.int64), words.dictionary.to_pylist()
+
+    def hashes(self) -> np.ndarray:
+        """64 bits of the xxh3 of each word's bytes."""
+        return self.digests()[0]
+
+    def digests(self) -> tuple[np.ndarray, np.ndarray]:
+        """The 128-bit xxh3 of each word's bytes, in two halves."""
+        import xxhash
+
+        codes, words = self.coded()
+        both = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), "<u8").reshape(-1, 2)
+        return both[codes, 0], both[codes, 1]
 
 
 def grams(words: np.ndarray, k: int) -> np.ndarray:
-    """A value for each k consecutive words (k - 1 fewer than words); rows are not looked at."""
+    """A value for each k consecutive words (k - 1 fewer than words); rows are not looked at.
+
+    Each step goes through the finalizer, so that no arithmetic of the words' values carries over to that of their runs."""
     n = len(words) - k + 1
     if n <= 0:
         return np.empty(0, np.uint64)
     with np.errstate(over="ignore"):
-        value = np.zeros(n, np.uint64)
-        for j in range(k):
-            value += words[j : j + n] * np.uint64(pow(0xC2B2AE3D27D4EB4F, j + 1, 2**64) | 1)
-    return mix(value)
+        value = mix(words[:n] + np.uint64(k))
+        for j in range(1, k):
+            value = mix(value * np.uint64(0x9E3779B97F4A7C15) + words[j : j + n])
+    return value

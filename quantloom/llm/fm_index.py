@@ -1,9 +1,14 @@
-"""A compressed FM-index over many short word sequences, searched for all positions of a batch at once.
+"""A compressed FM-index over many short word sequences, searched for all streamed sequences side by side.
 
 The Burrows-Wheeler transform of the sequences' word numbers is a wavelet matrix of packed bits; a backward step (from
-the matches of a sequence to those of the sequence with one more word in front) is two ranks on each level. Matching
-statistics, cut off at a length, come from one backward step for each word: once a match is as long as the limit, its
-last word falls away again by going to the run of suffixes that share the first `limit` words.
+the matches of a sequence to those of the sequence with one more word in front) is two ranks on each level. It holds no
+suffix array and no positions: matches are counted, not located. Suffixes are told apart by `limit` words and no
+further, which is all that searches for up to `limit` words need.
+
+Matching statistics, cut off at `limit`, come from one backward step for each word: once a match is as long as the
+limit, its last word falls away by widening the interval to all suffixes that share the first `limit` words, whose
+borders are one packed bit each. Where no match goes on, the longest one that begins there is found by doubling and
+halving its length.
 """
 
 from __future__ import annotations
@@ -11,6 +16,14 @@ from __future__ import annotations
 import numpy as np
 
 ONE = np.uint64(1)
+ALL = np.uint64(2**64 - 1)
+
+
+def _packed(bit: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(bit) // 64 * 8 + 16, np.uint8)
+    raw = np.packbits(bit, bitorder="little")
+    out[: len(raw)] = raw
+    return out[: len(out) // 8 * 8].view(np.uint64)
 
 
 class WaveletMatrix:
@@ -19,151 +32,158 @@ class WaveletMatrix:
     def __init__(self, values: np.ndarray, bits: int):
         self.n, self.bits = len(values), bits
         self.words, self.before, self.zeros = [], [], []
-        values = values.astype(np.int64)
         for level in range(bits - 1, -1, -1):
             bit = (values >> level & 1).astype(bool)
-            packed = np.zeros(len(values) // 64 * 8 + 16, np.uint8)
-            raw = np.packbits(bit, bitorder="little")
-            packed[: len(raw)] = raw
-            packed = packed[: len(packed) // 8 * 8].view(np.uint64)
+            packed = _packed(bit)
             counts = np.zeros(len(packed) + 1, np.int64)
             np.cumsum(np.bitwise_count(packed), out=counts[1:])
             self.words.append(packed)
-            self.before.append(counts)
+            self.before.append(counts.astype(np.uint32))
             self.zeros.append(int(len(values) - bit.sum()))
             values = np.concatenate((values[~bit], values[bit]))
 
-    def _rank1(self, level: int, at: np.ndarray) -> np.ndarray:
-        word = at >> 6
-        mask = (ONE << (at & 63).astype(np.uint64)) - ONE
-        return self.before[level][word] + np.bitwise_count(self.words[level][word] & mask)
-
     def down(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Where a prefix of the sequence, of so many values, ends on the last level if only `symbol` is followed."""
         for k in range(self.bits):
-            ones = self._rank1(k, at)
+            word = at >> 6
+            mask = (ONE << (at & 63).view(np.uint64)) - ONE
+            ones = self.before[k][word].astype(np.int64) + np.bitwise_count(self.words[k][word] & mask)
             at = np.where(symbol >> (self.bits - 1 - k) & 1 == 1, self.zeros[k] + ones, at - ones)
         return at
 
 
-class FMIndex:
-    """Over sequences of word numbers (1 and up, below 2**40); a separator that nothing equals ends each.
+class Borders:
+    """The set bits of a packed vector: the last one at or before a place, and the first one at or behind it."""
+
+    def __init__(self, bit: np.ndarray):
+        self.words = _packed(bit)
+        n = len(self.words)
+        filled = np.flatnonzero(self.words)
+        at = np.searchsorted(filled, np.arange(n))
+        before, behind = filled[np.maximum(at - 1, 0)], filled[np.minimum(at, len(filled) - 1)]
+        self.left = (before * 64 + _highest(self.words[before])).astype(np.uint32)  # of the words in front of each
+        self.right = (behind * 64 + _lowest(self.words[behind])).astype(np.uint32)  # of each and the words behind it
+
+    def at_or_before(self, at: np.ndarray) -> np.ndarray:
+        word = at >> 6
+        own = self.words[word] & (ALL >> (63 - (at & 63)).view(np.uint64))
+        return np.where(own != 0, word * 64 + _highest(own), self.left[word].astype(np.int64))
+
+    def at_or_behind(self, at: np.ndarray) -> np.ndarray:
+        word = at >> 6
+        own = self.words[word] & (ALL << (at & 63).view(np.uint64))
+        return np.where(own != 0, word * 64 + _lowest(own), self.right[np.minimum(word + 1, len(self.right) - 1)].astype(np.int64))
+
+
+def _highest(x: np.ndarray) -> np.ndarray:
+    for k in (1, 2, 4, 8, 16, 32):
+        x = x | x >> np.uint64(k)
+    return np.bitwise_count(x).astype(np.int64) - 1
+
+
+def _lowest(x: np.ndarray) -> np.ndarray:
+    return np.bitwise_count((x & (~x + ONE)) - ONE).astype(np.int64)
 
-    limit is the length up to which matches are told apart.
-    """
+
+class FMIndex:
+    """Over sequences of word numbers (0 and up); a separator that nothing equals ends each. limit: the longest search."""
 
     def __init__(self, words: np.ndarray, bounds: np.ndarray, limit: int):
         self.limit, count = limit, len(bounds) - 1
         lengths = np.diff(bounds)
-        n = int(bounds[-1]) + count
-        known, dense = np.unique(words, return_inverse=True)
-        self.known = known
-        owner = np.repeat(np.arange(count), lengths)
+        n = int(bounds[-1] - bounds[0]) + count
+        self.known, dense = np.unique(words, return_inverse=True)
         text = np.zeros(n, np.int64)
-        text[np.arange(len(words)) + owner] = dense + count  # separators come first in the order, each its own
-        text[bounds[1:] + np.arange(count)] = np.arange(count)
-        # suffixes in order, by doubling; ranks of the largest power of two up to limit tell who shares limit words
-        rank, size, half = text, 1, None
-        top = 1 << (limit.bit_length() - 1)
-        while True:
-            if size == top:
-                half = rank
+        text[np.arange(len(words)) + np.repeat(np.arange(count), lengths)] = dense + count  # separators come first in the order, each its own
+        text[bounds[1:] - bounds[0] + np.arange(count)] = np.arange(count)
+        # suffixes in order of their first `limit` words, by doubling
+        rank, size, order = text, 1, np.argsort(text, kind="stable")
+        while size < limit:
+            further = min(size, limit - size)  # the last step goes to `limit` words and no further
             second = np.zeros(n, np.int64)
-            second[: n - size] = rank[size:] + 1
-            key = rank * (n + count + len(known) + 2) + second
+            second[: n - further] = rank[further:] + 1
+            key = rank * (n + count + len(self.known) + 2) + second
             order = np.argsort(key)
             ordered = key[order]
-            fresh = np.empty(n, bool)
-            fresh[:1] = True
+            fresh = np.ones(n, bool)
             np.not_equal(ordered[1:], ordered[:-1], out=fresh[1:])
             rank = np.empty(n, np.int64)
             rank[order] = np.cumsum(fresh) - 1
-            size *= 2
-            if fresh.all() and size >= top:
-                break
-        if half is None:
-            half = rank
-        shift = limit - top
-        a, b = order[1:], order[:-1]
-        same = half[a] == half[b]
-        if shift:
-            ta, tb = np.minimum(a + shift, n - 1), np.minimum(b + shift, n - 1)
-            same &= half[ta] == half[tb]
-        edges = np.concatenate(([0], np.flatnonzero(~same) + 1, [n]))
-        self.run_start = edges  # runs of suffixes with the same first limit words
-        self.run_of = np.repeat(np.arange(len(edges) - 1, dtype=np.int32), np.diff(edges))
-        spread = np.zeros(n, np.int64)
-        spread[bounds[1:-1] + np.arange(1, count)] = 1
-        self.sequence_of = np.cumsum(spread)[order].astype(np.int32)  # which sequence each suffix begins in
+            size += further
+        ordered = rank[order]
+        fresh = np.ones(n + 1, bool)
+        np.not_equal(ordered[1:], ordered[:-1], out=fresh[1:n])
+        self.borders = Borders(fresh)  # of the runs of suffixes with the same first limit words
         previous = text[order - 1]
-        bwt = np.where(previous >= count, previous - count + 1, 0)
-        self.n, self.count = n, count
-        self.matrix = WaveletMatrix(bwt, max(1, int(len(known)).bit_length()))
-        self.first = count + np.concatenate(([0], np.cumsum(np.bincount(dense, minlength=len(known)))))  # where suffixes begin with each word
-        self.begin = self.matrix.down(np.arange(len(known) + 1), np.zeros(len(known) + 1, np.int64))
+        self.n = n
+        self.matrix = WaveletMatrix(np.where(previous >= count, previous - count + 1, 0), max(1, int(len(self.known)).bit_length()))
+        first = count + np.concatenate(([0], np.cumsum(np.bincount(dense, minlength=len(self.known)))))  # where suffixes begin with each word
+        self.base = first[: len(self.known)] - self.matrix.down(np.arange(1, len(self.known) + 1), np.zeros(len(self.known), np.int64))
+
+    def numbers(self, words: np.ndarray) -> np.ndarray:
+        """The index's own numbers of words, -1 for those that it doesn't have."""
+        at = np.minimum(np.searchsorted(self.known, words), len(self.known) - 1)
+        return np.where(self.known[at] == words, at, -1)
 
     def step(self, word: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The matches [low, high) with a word (its dense number) in front."""
-        symbol = word + 1
-        base = self.first[word] - self.begin[symbol]
-        return base + self.matrix.down(symbol, low), base + self.matrix.down(symbol, high)
+        """The matches [low, high) with a word (its own number, 0 or more) in front."""
+        k = len(low)
+        both = self.matrix.down(np.tile(word + 1, 2), np.concatenate((low, high)))
+        return self.base[word] + both[:k], self.base[word] + both[k:]
 
-    def statistics(self, words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each word of the streamed sequences: the length, up to limit, of the longest match in the index that
-        begins with it, and the matches [low, high) of that length.
+    def statistics(self, words: np.ndarray, bounds: np.ndarray, least: int = 1) -> np.ndarray:
+        """For each word of the streamed sequences the length, up to limit, of the longest match that begins with it.
 
-        All sequences are streamed side by side, from their ends. Where no match goes on, words fall off its end until
-        one does.
+        All sequences are streamed side by side, from their ends. least: lengths below it may be given as 0; a sequence
+        is left once no match of that length can begin in what is left of it.
         """
-        at = np.searchsorted(self.known, words)
-        at = np.minimum(at, max(len(self.known) - 1, 0))
-        dense = np.where(self.known[at] == words, at, -1) if len(self.known) else np.full(len(words), -1)
-        lengths = np.diff(bounds)
-        order = np.argsort(-lengths, kind="stable")
-        ends = bounds[1:][order]
         out = np.zeros(len(words), np.int32)
-        lows, highs = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
-        low, high = np.zeros(len(order), np.int64), np.full(len(order), self.n, np.int64)
-        depth = np.zeros(len(order), np.int64)
-        active = len(order)
-        sizes = lengths[order]
-        for t in range(int(sizes[0]) if len(sizes) else 0):
-            while active and sizes[active - 1] <= t:
-                active -= 1
-            here = ends[:active] - 1 - t
-            word = dense[here]
-            lo, hi, d = low[:active], high[:active], depth[:active]
-            safe = np.maximum(word, 0)
-            new_lo, new_hi = self.step(safe, lo, hi)
-            bad = (word < 0) | (new_hi <= new_lo)
-            if bad.any():
-                for i in np.flatnonzero(bad):
-                    new_lo[i], new_hi[i], d[i] = self._again(dense, int(here[i]), int(d[i]))
-            d[~bad] += 1
-            full = d > self.limit
-            at_run = self.run_of[new_lo[full]]
-            new_lo[full], new_hi[full] = self.run_start[at_run], self.run_start[at_run + 1]
-            d[full] = self.limit
-            low[:active], high[:active] = new_lo, new_hi
-            out[here], lows[here], highs[here] = d, new_lo, new_hi
-        return out, lows, highs
-
-    def _again(self, dense: np.ndarray, here: int, depth: int) -> tuple[int, int, int]:
-        """The longest match that begins at a word whose match with all `depth` words behind it is none: one word less
-        at a time, each searched from its end."""
-        for size in range(depth, 0, -1):
-            low, high = np.zeros(1, np.int64), np.full(1, self.n, np.int64)
-            for k in range(here + size - 1, here - 1, -1):
-                if dense[k] < 0:
-                    high[:] = low
-                    break
-                low, high = self.step(dense[k : k + 1], low, high)
-                if high[0] <= low[0]:
-                    break
-            if high[0] > low[0]:
-                return int(low[0]), int(high[0]), size
-        return 0, self.n, 0
-
-    def least(self, values: np.ndarray) -> np.ndarray:
-        """For each run of suffixes, the least value of the sequences that they begin in."""
-        return np.minimum.reduceat(values[self.sequence_of], self.run_start[:-1])
+        if not len(words) or not len(self.known):
+            return out
+        numbers, limit = self.numbers(words), self.limit
+        live = np.flatnonzero(np.diff(bounds) >= least)
+        # of each stream: its first word, the next word, the match behind that (depth words, suffixes low..high); while the
+        # longest match that begins at `at` is looked for, lengths `good` (suffixes glow..ghigh) and `bad` are known to do
+        # and not to do, and `aim` is being tried
+        start, p = bounds[:-1][live], bounds[1:][live] - 1
+        z = np.zeros(len(live), np.int64)
+        low, high, depth, at, good, bad, glow, ghigh, aim = z, z + self.n, z, z, z, z, z, z, z
+        probing = np.zeros(len(live), bool)
+        while len(p):
+            word = numbers[p]
+            new_low, new_high = self.step(np.maximum(word, 0), low, high)
+            ok = (word >= 0) & (new_high > new_low)
+            run, hit = ~probing & ok, probing & ok & (p == at)
+            # a match goes on
+            low, high = np.where(ok, new_low, low), np.where(ok, new_high, high)
+            depth = np.where(run, depth + 1, depth)
+            over = np.flatnonzero(depth > limit)
+            if len(over):
+                low[over], high[over] = self.borders.at_or_before(low[over]), self.borders.at_or_behind(low[over] + 1)
+                depth[over] = limit
+            out[p[run]] = depth[run]
+            p = np.where(ok & ~hit, p - 1, p)
+            # it doesn't: no match at all, or a shorter one is looked for
+            none = ~probing & ~ok & ((word < 0) | (depth == 0))
+            if none.any():
+                low, high, depth, p = np.where(none, 0, low), np.where(none, self.n, high), np.where(none, 0, depth), np.where(none, p - 1, p)
+            begin = ~probing & ~ok & ~none
+            if begin.any():
+                at, good, bad, glow, ghigh = np.where(begin, p, at), np.where(begin, 0, good), np.where(begin, depth + 1, bad), np.where(begin, 0, glow), np.where(begin, self.n, ghigh)
+            miss = probing & ~ok
+            settled = begin | hit | miss
+            if settled.any():
+                good, glow, ghigh = np.where(hit, aim, good), np.where(hit, low, glow), np.where(hit, high, ghigh)
+                bad = np.where(miss, aim, bad)
+                done = settled & (good + 1 >= bad)
+                more = settled & ~done
+                aim = np.where(more, np.minimum(np.maximum(2 * good, 1), (good + bad) // 2), aim)
+                out[at[done]] = good[done]
+                low, high = np.where(done, glow, np.where(more, 0, low)), np.where(done, ghigh, np.where(more, self.n, high))
+                depth = np.where(done, good, depth)
+                p = np.where(done, at - 1, np.where(more, at + aim - 1, p))
+                probing = (probing | begin) & ~done
+            left = probing | ((p >= start) & (p + 1 + depth - least >= start))
+            if not left.all():
+                start, p, low, high, depth, at, good, bad, glow, ghigh, aim, probing = (x[left] for x in (start, p, low, high, depth, at, good, bad, glow, ghigh, aim, probing))
+        return out

@@ -1,40 +1,44 @@
-"""Operator 8, substring dedup: passages that stand in an earlier document, by an FM-index for each shard.
+"""Operator 8, substring dedup: passages that stand in an earlier document, by a compressed FM-index for each shard.
 
 A window is `window` consecutive words. It is taken out where its words also start a window in a document of a smaller
 id. Windows are dealt to shards so that equal ones meet: of the hashed `ANCHOR`-word grams in a window the smallest is
 its key, and a run of windows of one document with one key travels as one stretch of text.
 
-1. Keys of every document's runs, with a digest of each run's words; the words stay where they are.
-2. Keys that only one document has lead nowhere; of runs with equal words one is sent for all.
-3. Each shard builds FM-indexes over its stretches, cut between keys at SHARD_WORDS. Streaming the stretches against
-   the index by backward search gives matching statistics up to `window`; a match of full length is reported with the
-   smallest document id in its interval of suffixes.
-4. Runs look up what was reported for their words, and documents cut out what an earlier one has.
-
-A key that very many runs have (a passage in a large share of all documents) would make one shard large: its windows are
-dealt one by one, by a digest of all their words, so that only those which recur travel, and documents are told about
-whole stretches of them. At most HOT_KEYS keys, the most
-frequent, are told to the tasks.
+1. Keys of every document's runs, with a 128-bit digest of each run's text; the words stay where they are.
+2. Keys that only one document has lead nowhere; of runs with equal texts one is sent for all, with the smallest and the
+   largest id that have it.
+3. Each shard streams stretches of later documents against FM-indexes of earlier ones: in a key's group the documents
+   are numbered by id, and for each bit of these numbers those with a 0 there are indexed and those with a 1, which agree
+   in all higher bits, are streamed. So each document meets every earlier one of its group once, each stretch goes into
+   as many indexes as the group's size has bits, and nothing but the length of a match decides: where the matching
+   statistics reach `window`, an earlier document has the window. The words are numbered by their bytes, so matches are exact.
+4. Runs look up what was reported for their texts, and documents cut out what an earlier one has.
+
+A key that more than HOT_RUNS runs have (a passage in a large share of all documents) would make one group large. Its
+windows are dealt one by one, by a 128-bit digest of all their words, so that only those which recur travel. Which keys
+these are is told to the tasks by a bitmap of fixed size (HOT_BITS bits), whatever their number: a key that shares its
+bit is dealt in the same way, with the same results.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import Words, grams, mix, ship, slices, written, _power
+from .common import SLICE, Scratch, Words, grams, ship, slices
 from .fm_index import FMIndex
 
 WINDOW = 50
 ANCHOR = 8
-#: Words in one index, about: some 100 bytes of memory each while it is built.
-SHARD_WORDS = 1 << 19
-#: Runs of one key from which on its windows are dealt one by one, and the most keys for which that is done (8 bytes each).
-HOT_RUNS = 1_000
-HOT_KEYS = 262_144
-_STEP = 0xD1342543DE82EF95
+#: Words in one shard's block, about: it is cut where a key ends.
+SHARD_WORDS = 1 << 18
+#: Runs of one key from which on its windows are dealt one by one, and the bits of the map of such keys (8 MB).
+HOT_RUNS = 300
+HOT_BITS = 1 << 26
+
+RUNS = "key long, c1 long, c2 long, doc long, whole long, first int, n int"
 
 
 def sliding_min(x: np.ndarray, span: int) -> np.ndarray:
@@ -47,75 +51,103 @@ def sliding_min(x: np.ndarray, span: int) -> np.ndarray:
     return np.minimum(x[:n], x[span - size : span - size + n])
 
 
-class _Digests:
-    """Digests of stretches of words, in one lookup each."""
+def _arange_each(n: np.ndarray) -> np.ndarray:
+    return np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
 
-    def __init__(self, h: np.ndarray):
-        with np.errstate(over="ignore"):
-            self.total = np.zeros(len(h) + 1, np.uint64)
-            np.cumsum(h * _power(len(h), _STEP, "words"), out=self.total[1:])
-            self.down = _power(len(h) + 1, pow(_STEP, -1, 2**64), "words down")
 
-    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return mix((self.total[ends] - self.total[starts]) * self.down[starts] + (ends - starts).astype(np.uint64) * np.uint64(_STEP))
+def runs_of(w: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows with one key: first word (in the batch), windows, key."""
+    k = min(ANCHOR, window)
+    m = sliding_min(grams(w.hashes(), k), window - k + 1)
+    counts = np.maximum(np.diff(w.bounds) - window + 1, 0)
+    place = np.repeat(w.bounds[:-1], counts) + _arange_each(counts)  # where windows begin
+    if not len(place):
+        return place, place, place
+    keys = m[place]
+    edge = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (np.diff(place) != 1) | (np.diff(np.repeat(np.arange(len(counts)), counts)) != 0))))
+    return place[edge], np.diff(np.append(edge, len(keys))), keys[edge]
 
 
-def runs_of(w: Words, window: int, hot: np.ndarray | None = None) -> dict[str, np.ndarray]:
-    """Runs of windows with one key: row (in the batch), key, content (digest of the words), first (word of the row), n (windows), single (a window of a hot key)."""
-    h, span = w.hashes(), window - min(ANCHOR, window) + 1
-    m = sliding_min(grams(h, min(ANCHOR, window)), span)
-    counts = np.maximum(np.diff(w.bounds) - window + 1, 0)
-    valid = np.zeros(len(m) + 2, bool)
-    flips = np.zeros(len(h) + 2, np.int64)
-    np.add.at(flips, w.bounds[:-1], counts > 0)
-    np.add.at(flips, w.bounds[:-1] + counts, -(counts > 0).astype(np.int64))
-    valid[1:-1] = np.cumsum(flips)[: len(m)] > 0
-    here = valid[1:-1]
-    new = here.copy()
-    last = here.copy()
-    if len(m):
-        differs = np.concatenate(([True], m[1:] != m[:-1]))
-        new &= ~valid[:-2] | differs
-        last &= ~valid[2:] | np.append(differs[1:], True)
-    starts, ends = np.flatnonzero(new), np.flatnonzero(last)
-    keys, digests = m[starts], _Digests(h)
-    n = ends - starts + 1
-    if hot is not None and len(hot) and len(starts):
-        at = np.minimum(np.searchsorted(hot, keys), len(hot) - 1)
-        split = hot[at] == keys
-        singles = np.repeat(starts[split], n[split]) + _arange_each(n[split])
-        starts, n, keys = np.concatenate((starts[~split], singles)), np.concatenate((n[~split], np.ones(len(singles), np.int64))), keys[~split]
-        content = digests.of(starts, starts + n + window - 1)
-        single = np.arange(len(starts)) >= len(keys)
-        keys = np.concatenate((keys, mix(content[len(keys) :] ^ np.uint64(0x5851F42D4C957F2D))))
-    else:
-        content = digests.of(starts, starts + n + window - 1)
-        single = np.zeros(len(starts), bool)
-    row = np.searchsorted(w.bounds, starts, side="right") - 1
-    whole = digests.of(w.bounds[:-1], w.bounds[1:])
-    return {"row": row, "key": keys.view(np.int64), "content": content.view(np.int64), "whole": whole[row].view(np.int64) if len(row) else np.empty(0, np.int64), "first": starts - w.bounds[row], "n": n, "single": single}
+def _digests(data, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """128-bit digests of stretches of bytes, as pairs of numbers."""
+    import xxhash
 
+    view = memoryview(np.ascontiguousarray(data))
+    return np.frombuffer(b"".join([xxhash.xxh3_128_digest(view[a:z]) for a, z in zip(starts.tolist(), ends.tolist())]), "<i8").reshape(-1, 2)
 
-def _arange_each(n: np.ndarray) -> np.ndarray:
-    return np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+
+def whole_digest(raw: bytes | memoryview) -> int:
+    """Tells apart the texts of rows with one id."""
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(raw) - (1 << 63)
+
+
+def _wholes(w: Words) -> np.ndarray:
+    view, o = memoryview(np.ascontiguousarray(w.data)), w.offsets.tolist()
+    return np.array([whole_digest(view[a:z]) for a, z in zip(o, o[1:])], np.int64)
+
+
+def _extract(docs: DataFrame, window: int) -> DataFrame:
+    """The runs of docs (doc, text)."""
+    import pyarrow as pa
+
+    def run(batches):
+        for big in batches:
+            for batch in slices(big):
+                w = Words(batch.column("text"))
+                first, n, key = runs_of(w, window)
+                content = _digests(w.data, w.starts[first], w.ends[first + n + window - 2])
+                row = np.searchsorted(w.bounds, first, side="right") - 1
+                doc = batch.column("doc").take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(content[:, 0].copy()), pa.array(content[:, 1].copy()), doc, pa.array(_wholes(w)[row]), pa.array((first - w.bounds[row]).astype(np.int32)), pa.array(n.astype(np.int32))], ["key", "c1", "c2", "doc", "whole", "first", "n"])
+
+    return docs.mapInArrow(run, RUNS)
 
 
-def _extract(docs: DataFrame, window: int, hot: np.ndarray | None) -> DataFrame:
-    """Rows (key, content, doc, whole, first, n, single) of docs (doc, text)."""
+def _singles(docs: DataFrame, window: int, bits: np.ndarray) -> DataFrame:
+    """The windows of hot keys one by one, as runs of one window; the digest is of their words with a space between."""
     import pyarrow as pa
 
-    sent = docs.sparkSession.sparkContext.broadcast(hot)
+    sent = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches):
         own = sent.value
         for big in batches:
             for batch in slices(big):
-                r = runs_of(Words(batch.column("text")), window, own)
-                doc = batch.column("doc").take(pa.array(r["row"]))
-                yield pa.RecordBatch.from_arrays([pa.array(r["key"]), pa.array(r["content"]), doc, pa.array(r["whole"]), pa.array(r["first"].astype(np.int32)), pa.array(r["n"].astype(np.int32)), pa.array(r["single"])], ["key", "content", "doc", "whole", "first", "n", "single"])
-
-    return docs.where("doc is not null and text is not null").mapInArrow(run, "key long, content long, doc long, whole long, first int, n int, single boolean")
+                w = Words(batch.column("text"))
+                first, n, key = runs_of(w, window)
+                at = (key & np.uint64(len(own) * 8 - 1)).astype(np.int64)
+                hot = (own[at >> 3] >> (at & 7).astype(np.uint8) & 1) == 1
+                if not hot.any():
+                    continue
+                first = np.repeat(first[hot], n[hot]) + _arange_each(n[hot])
+                sizes = w.ends - w.starts
+                to = np.zeros(len(sizes) + 1, np.int64)
+                np.cumsum(sizes + 1, out=to[1:])
+                line = np.full(int(to[-1]), 32, np.uint8)
+                line[np.repeat(to[:-1], sizes) + _arange_each(sizes)] = w.data[w.letters]
+                content = _digests(line, to[first], to[first + window] - 1)
+                row = np.searchsorted(w.bounds, first, side="right") - 1
+                c1, c2 = pa.array(content[:, 0].copy()), pa.array(content[:, 1].copy())
+                yield pa.RecordBatch.from_arrays([c1, c1, c2, batch.column("doc").take(pa.array(row)), pa.array(_wholes(w)[row]), pa.array((first - w.bounds[row]).astype(np.int32)), pa.array(np.ones(len(first), np.int32))], ["key", "c1", "c2", "doc", "whole", "first", "n"])
+
+    return docs.mapInArrow(run, RUNS)
+
+
+def _hot_map(runs: DataFrame) -> tuple[DataFrame, np.ndarray | None]:
+    """The places of hot keys in the bitmap, as rows, and the bitmap (None: there are none)."""
+    often = runs.groupBy("key").count().where(F.col("count") > HOT_RUNS)
+    places = often.select((F.col("key").bitwiseAND(HOT_BITS - 1) + 1).alias("place"))
+    parts = places.groupBy(F.expr("bitmap_bucket_number(place)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(place))").alias("bits")).collect()
+    if not parts:
+        return places, None
+    bits = np.zeros(HOT_BITS // 8, np.uint8)
+    for p in parts:  # of 4,096 bytes each: HOT_BITS bits at the most
+        raw = np.frombuffer(p["bits"], np.uint8)
+        at = (p["bucket"] - 1) * len(raw)
+        bits[at : at + len(raw)] = raw[: len(bits) - at]
+    return places, bits
 
 
 def packed(df: DataFrame, text: str, name: str = "__packed") -> DataFrame:
@@ -128,122 +160,178 @@ def packed(df: DataFrame, text: str, name: str = "__packed") -> DataFrame:
         import zstandard
 
         c = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            frames = pa.array([None if t is None else c.compress(t.encode()) for t in batch.column(text).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in others], frames], [*[f.name for f in others], name])
+        for big in batches:
+            for batch in slices(big, text):
+                frames = pa.array([None if t is None else c.compress(t.encode()) for t in batch.column(text).to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in others], frames], [*[f.name for f in others], name])
 
     return df.mapInArrow(run, T.StructType([*others, T.StructField(name, T.BinaryType())]))
 
 
+def unpacked(batches, name: str = "__packed", most: int = SLICE) -> Iterator[tuple]:
+    """Runs of rows and their texts as bytes (None for null), with at most so many bytes of text together, or one row."""
+    import zstandard
+
+    d = zstandard.ZstdDecompressor()
+    for big in batches:
+        texts, size, begin = [], 0, 0
+        for i, frame in enumerate(big.column(name)):
+            frame = frame.as_py()
+            more = 0 if frame is None else zstandard.get_frame_parameters(frame).content_size
+            if texts and size + more > most:
+                yield big.slice(begin, len(texts)), texts
+                texts, size, begin = [], 0, i
+            texts.append(None if frame is None else d.decompress(frame))
+            size += more
+        if texts:
+            yield big.slice(begin, len(texts)), texts
+
+
+STRETCHES = "key long, c1 long, c2 long, low long, high long, words binary"
+
+
 def _stretches(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
-    """The text of each wanted run: rows (key, content, low, words)."""
+    """The text of each wanted run: rows (key, c1, c2, low, high, words)."""
     import pyarrow as pa
 
+    kinds = (pa.int64(),) * 5 + (pa.binary(),)
+
     def run(batches):
-        import zstandard
+        for batch, texts in unpacked(batches):
+            w = Words(pa.array(texts, pa.large_binary()))
+            out: list[tuple] = []
+            for i, (mine, low, wants) in enumerate(zip(batch.column("whole").to_pylist(), batch.column("doc").to_pylist(), batch.column("wants").to_pylist(), strict=True)):
+                if whole_digest(texts[i]) != mine:
+                    continue  # another row of the same id
+                s, e, base, first = w.starts, w.ends, int(w.offsets[i]), int(w.bounds[i])
+                for x in wants:
+                    a, z = first + x["first"], first + x["first"] + x["n"] + window - 2
+                    out.append((x["key"], x["c1"], x["c2"], low, x["high"], texts[i][int(s[a]) - base : int(e[z]) - base]))
+            columns = list(zip(*out, strict=True)) or [()] * len(kinds)
+            whole = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["key", "c1", "c2", "low", "high", "words"])
+            yield from slices(whole, "words")
+
+    return docs.join(wanted, "doc").select("__packed", "doc", "whole", "wants").mapInArrow(run, STRETCHES)
+
+
+def search(keys: np.ndarray, low: np.ndarray, high: np.ndarray, symbols: np.ndarray, bounds: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each word of the stretches (of keys in order, found in documents low and, where high > low, in a later one too)
+    whether a window that begins there stands in an earlier document of its key's group: than low, and than high."""
+    n = len(keys)
+    group = np.cumsum(np.concatenate(([False], keys[1:] != keys[:-1])))
+    later = np.flatnonzero(high > low)
+    # each document's number in its group, by id
+    who, of = np.concatenate((group, group[later])), np.concatenate((low, high[later]))
+    order = np.lexsort((of, who))
+    same = np.concatenate(([False], (who[order][1:] == who[order][:-1])))
+    step = np.concatenate(([0], (of[order][1:] != of[order][:-1]).astype(np.int64)))
+    number = np.cumsum(np.where(same, step, 0))
+    number -= np.maximum.accumulate(np.where(same, 0, number))
+    place = np.empty(len(who), np.int64)
+    place[order] = number
+    most = np.zeros(int(group[-1]) + 1, np.int64)
+    np.maximum.at(most, who, place)
+    own, second, top = place[:n], place[n:], most[group]
+    before = np.zeros(len(symbols), bool)
+    copied = np.zeros(len(symbols), bool)
+    lengths, width = np.diff(bounds), int(symbols.max()) + 1 if len(symbols) else 1
+
+    def gather(which: np.ndarray, tag: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        sizes = lengths[which]
+        words = np.repeat(bounds[:-1][which], sizes) + _arange_each(sizes)
+        return symbols[words] + np.repeat(tag, sizes) * width, np.concatenate(([0], np.cumsum(sizes))), words
+
+    for bit in range(int(most.max()).bit_length()):
+        indexed = np.flatnonzero((own >> bit & 1 == 0) & (((own >> bit) + 1 << bit) <= top))
+        if not len(indexed):
+            continue
+        # words of documents that differ in a higher bit are different words here
+        index = FMIndex(*gather(indexed, own[indexed] >> bit + 1)[:2], window)
+        for found, which, number in ((before, np.arange(n), own), (copied, later, second)):
+            streamed = number >> bit & 1 == 1
+            if number is second:  # once: where the document that is indexed for this text has a 0 and this one a 1
+                streamed &= (own[later] ^ second) >> bit == 1
+            which, number = which[streamed], number[streamed]
+            if len(which):
+                asked, ends, words = gather(which, number >> bit + 1)
+                found[words] |= index.statistics(asked, ends, window) >= window
+    return before, copied
+
+
+def _ranges(found: np.ndarray, bounds: np.ndarray):
+    """Of each stretch the runs of found windows, as a list of first word, windows, first word, windows .."""
+    import pyarrow as pa
 
-        d = zstandard.ZstdDecompressor()
-        for big in batches:
-            for at in range(0, max(big.num_rows, 1), 64):
-                batch = big.slice(at, 64)
-                texts = [d.decompress(x) for x in batch.column("__packed").to_pylist()]
-                w = Words(pa.array(texts, pa.large_binary()))
-                whole = _Digests(w.hashes()).of(w.bounds[:-1], w.bounds[1:]).view(np.int64).tolist()
-                out: list[tuple] = []
-                for i, (mine, wants) in enumerate(zip(batch.column("whole").to_pylist(), batch.column("wants").to_pylist(), strict=True)):
-                    if whole[i] != mine:
-                        continue  # another row of the same id
-                    s, e, base = w.starts, w.ends, int(w.offsets[i])
-                    first = int(w.bounds[i])
-                    for x in wants:
-                        a, z = first + x["first"], first + x["first"] + x["n"] + window - 2
-                        out.append((x["key"], x["content"], x["low"], texts[i][int(s[a]) - base : int(e[z]) - base]))
-                columns = list(zip(*out, strict=True)) or [()] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["key", "content", "low", "words"])
-
-    return docs.join(wanted, "doc").select("__packed", "whole", "wants").mapInArrow(run, "key long, content long, low long, words binary")
+    owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    head = found.copy()
+    head[1:] &= ~found[:-1] | (owner[1:] != owner[:-1])
+    tail = found.copy()
+    tail[:-1] &= ~found[1:] | (owner[1:] != owner[:-1])
+    first, last = np.flatnonzero(head), np.flatnonzero(tail)
+    flat = np.stack((first - bounds[owner[first]], last - first + 1), axis=1).ravel().astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array((2 * np.searchsorted(owner[first], np.arange(len(bounds)))).astype(np.int32)), pa.array(flat))
 
 
 def _report(stretches: DataFrame, window: int, parts: int) -> DataFrame:
-    """For each run (key, content) the smallest document id of each of its windows, as values and how often in a row."""
+    """For each run (key, c1, c2) found in a document low: the ranges of windows that a document before low has, and those
+    that one before any later document of the same text has."""
     import pyarrow as pa
 
-    def shard(rows):
-        w = Words(pa.concat_arrays([b.cast(pa.large_binary()) for _, _, _, b in rows]))
-        index = FMIndex(h := w.hashes(), w.bounds, window)
-        low = np.concatenate([np.asarray(x) for _, _, x, _ in rows])
-        least = index.least(low)
-        depth, at, _ = index.statistics(h, w.bounds)
-        found = np.where(depth >= window, least[index.run_of[at]], np.iinfo(np.int64).max)
-        lengths = np.diff(w.bounds) - window + 1
-        place = np.repeat(w.bounds[:-1], lengths) + _arange_each(lengths)
-        found, owner = found[place], np.repeat(np.arange(len(lengths)), lengths)
-        edge = np.flatnonzero(np.concatenate(([True], (found[1:] != found[:-1]) | (owner[1:] != owner[:-1])))) if len(found) else np.empty(0, np.int64)
-        counts = np.diff(np.append(edge, len(found)))
-        offsets = np.searchsorted(owner[edge], np.arange(len(lengths) + 1)).astype(np.int32)
-        return pa.RecordBatch.from_arrays([
-            pa.array(np.concatenate([np.asarray(k) for k, _, _, _ in rows])), pa.array(np.concatenate([np.asarray(c) for _, c, _, _ in rows])),
-            pa.ListArray.from_arrays(pa.array(offsets), pa.array(found[edge])), pa.ListArray.from_arrays(pa.array(offsets), pa.array(counts.astype(np.int32))),
-        ], ["key", "content", "least", "times"])
+    def shard(held):
+        block = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        w = Words(block.column("words"))
+        keys, low = np.asarray(block.column("key")), np.asarray(block.column("low"))
+        before, copied = search(keys, low, np.asarray(block.column("high")), w.coded()[0], w.bounds, window)
+        return pa.RecordBatch.from_arrays([*[block.column(c) for c in ("key", "c1", "c2", "low")], _ranges(before, w.bounds), _ranges(copied, w.bounds)], ["key", "c1", "c2", "low", "before", "copied"])
 
     def run(batches):
         held, size = [], 0
         for big in batches:
-            for batch in slices(big, "words", 1 << 20):
+            for batch in slices(big, "words"):
                 keys = np.asarray(batch.column("key"))
-                if size >= SHARD_WORDS and held:  # cut where a key ends
-                    same = int(np.searchsorted(keys != held[-1][0][-1], True)) if keys[0] == held[-1][0][-1] else 0
+                if size >= SHARD_WORDS:  # cut where a key ends
+                    last = held[-1].column("key")[-1].as_py()
+                    same = int(np.searchsorted(keys != last, True))
                     if same:
-                        head = batch.slice(0, same)
-                        held.append((np.asarray(head.column("key")), head.column("content"), head.column("low"), head.column("words")))
+                        held.append(batch.slice(0, same))
                         batch = batch.slice(same)
-                        keys = keys[same:]
                     if batch.num_rows:
                         yield shard(held)
                         held, size = [], 0
                 if batch.num_rows:
-                    held.append((keys, batch.column("content"), batch.column("low"), batch.column("words")))
+                    held.append(batch)
                     size += batch.column("words").nbytes // 6
         if held:
             yield shard(held)
 
-    return stretches.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(run, "key long, content long, least array<long>, times array<int>")
-
+    return stretches.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(run, "key long, c1 long, c2 long, low long, before array<int>, copied array<int>")
 
-def _told_stretches(singles: DataFrame, told: DataFrame) -> DataFrame:
-    """Rows (doc, whole, first, least, times) for windows that were dealt one by one.
-
-    Windows of a document that follow each other are one stretch, and a passage that very many documents have is the same
-    stretch in most of them: what its windows were told is looked up once for each different stretch, and each document
-    has one row for a stretch, not one for a window.
-    """
-    marked = singles.selectExpr("doc", "whole", "first", "key", "content", "first - dense_rank() over (partition by doc, whole order by first) island")
-    stretches = marked.groupBy("doc", "whole", "island").agg(F.min("first").alias("first"), F.sort_array(F.collect_set(F.struct("first", "key", "content"))).alias("w"))
-    stretches = written(stretches.select("doc", "whole", "first", F.md5(F.array_join(F.transform("w", lambda x: x["content"].cast("string")), ",").cast("binary")).alias("digest"), F.transform("w", lambda x: F.struct(x["key"].alias("key"), x["content"].alias("content"))).alias("w")), "stretches")
-    different = stretches.groupBy("digest").agg(F.first("w").alias("w")).select("digest", F.posexplode("w").alias("at", "x")).select("digest", "at", "x.key", "x.content")
-    answers = different.join(told, ["key", "content"]).groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("at", F.get("least", F.lit(0)).alias("least")))).alias("a"))
-    found = stretches.select("doc", "whole", "first", "digest").join(answers, "digest").select("doc", "whole", "first", F.transform("a", lambda x: x["least"]).alias("least"), F.transform("a", lambda x: F.lit(1)).alias("times"))
-    return found.where(F.array_min("least") < F.col("doc"))
 
-
-def repeated_windows(df: DataFrame, *, doc: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
-    """doc, whole (digest of its words) and found (first word, least, times): what each document's runs were told."""
+def repeated_windows(df: DataFrame, scratch: Scratch, *, doc: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
+    """doc, whole (digest of its text) and found (first word, ranges): what each document's runs were told."""
     spark = df.sparkSession
     ship(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = df.select(F.col(doc).cast("long").alias("doc"), F.col(text).alias("text"))
-    often = _extract(docs, window, None).groupBy("key").count().where(F.col("count") > HOT_RUNS).orderBy(F.desc("count"), "key").limit(HOT_KEYS)
-    hot = np.sort(np.array([r["key"] for r in often.select("key").collect()], np.int64).view(np.uint64))
-    runs = written(_extract(docs, window, hot), "runs")
-    met = runs.groupBy("key").agg(F.min("doc").alias("x"), F.max("doc").alias("y")).where("x < y").select("key")
-    runs = written(runs.join(met, "key", "left_semi"), "met")
-    different = runs.groupBy("key", "content").agg(F.min(F.struct("doc", "whole", "first", "n")).alias("r"))
-    wanted = different.groupBy(F.col("r.doc").alias("doc"), F.col("r.whole").alias("whole")).agg(F.collect_list(F.struct("key", "content", F.col("r.first").alias("first"), F.col("r.n").alias("n"), F.col("r.doc").alias("low"))).alias("wants"))
-    told = _report(_stretches(packed(docs.where("doc is not null and text is not null"), "text"), wanted, window), window, parts)
-    told = written(told, "told")
-    hits = runs.where("not single").join(told, ["key", "content"]).where(F.array_min("least") < F.col("doc")).select("doc", "whole", "first", "least", "times")
-    hits = hits.union(_told_stretches(runs.where("single"), told))
-    return hits.groupBy("doc", "whole").agg(F.collect_list(F.struct("first", "least", "times")).alias("found"))
+    docs = df.select(F.col(doc).cast("long").alias("doc"), F.col(text).alias("text")).where("doc is not null and text is not null")
+    runs = scratch.written(_extract(docs, window), "runs")
+    places, bits = _hot_map(runs)
+    place = F.col("key").bitwiseAND(HOT_BITS - 1) + 1
+    light = runs if bits is None else runs.withColumn("place", place).join(places.distinct(), "place", "left_anti").drop("place")
+    source = F.min(F.struct("doc", "whole", "first", "n")).alias("r")
+    # one shuffle by key: of each text the documents that have it, then of each key whether several have it
+    different = light.repartition("key").groupBy("key", "c1", "c2").agg(source, F.max("doc").alias("high"))
+    different = different.selectExpr("*", "min(r.doc) over (partition by key) x", "max(high) over (partition by key) y").where("x < y").drop("x", "y")
+    if bits is not None:
+        singles = scratch.written(_singles(docs, window, bits), "singles")
+        different = different.unionByName(singles.groupBy("key", "c1", "c2").agg(source, F.max("doc").alias("high")).where("r.doc < high"))
+    wanted = different.groupBy(F.col("r.doc").alias("doc"), F.col("r.whole").alias("whole")).agg(F.collect_list(F.struct("key", "c1", "c2", F.col("r.first").alias("first"), F.col("r.n").alias("n"), "high")).alias("wants"))
+    told = scratch.written(_report(_stretches(packed(docs, "text"), wanted, window), window, parts), "told").where(F.size("before") + F.size("copied") > 0)
+    told = told.select("key", "c1", "c2", "low", "before", "copied")
+    ranges = F.when(F.col("doc") == F.col("low"), F.col("before")).otherwise(F.col("copied"))
+    hits = light.join(told, ["key", "c1", "c2"]).select("doc", "whole", "first", ranges.alias("ranges"))
+    if bits is not None:
+        hits = hits.union(singles.join(told, ["key", "c1", "c2"]).select("doc", "whole", "first", ranges.alias("ranges")))
+    return hits.where(F.size("ranges") > 0).groupBy("doc", "whole").agg(F.collect_list(F.struct("first", "ranges")).alias("found"))
 
 
 def remove_repeats(df: DataFrame, *, doc: str = "doc_id", text: str = "text", window: int = WINDOW, counts: Sequence[str] | None = ("n_words", "n_removed")) -> DataFrame:
@@ -252,55 +340,45 @@ def remove_repeats(df: DataFrame, *, doc: str = "doc_id", text: str = "text", wi
     counts names two columns for a text's words and the words that went (they replace columns of these names; None: no
     such columns). A null text is left null, with no words; rows of a null id neither lose words nor make others lose
     any. Of rows with equal ids each is cut by its own text, and they don't count as earlier than each other. All other
-    columns stay; an empty df gives no rows.
+    columns stay; an empty df gives no rows. Texts of any length are taken whole: vector steps hold SLICE bytes of text,
+    or one text where that is longer.
     """
     import pyarrow as pa
 
     ship(df.sparkSession)
+    scratch = Scratch(df.sparkSession)
     base = df.drop(*(counts or ()))
-    found = repeated_windows(df, doc=doc, text=text, window=window).select(F.col("doc").alias("__doc"), F.col("whole").alias("__whole"), F.col("found").alias("__found"))
+    found = repeated_windows(df, scratch, doc=doc, text=text, window=window).select(F.col("doc").alias("__doc"), F.col("whole").alias("__whole"), F.col("found").alias("__found"))
     # one row for each id: rows of one id may differ in text
-    found = found.groupBy("__doc").agg(F.collect_list(F.struct("__whole", "__found")).alias("__all"))
+    found = scratch.written(found.groupBy("__doc").agg(F.collect_list(F.struct("__whole", "__found")).alias("__all")), "found")
+    scratch.drop("runs", "singles", "told")
     joined = packed(base, text).join(found, F.col(doc).cast("long") == F.col("__doc"), "left")
     names = [f.name for f in base.schema.fields]
     schema = T.StructType([*base.schema.fields, *[T.StructField(c, T.LongType()) for c in counts or ()]])
 
     def run(batches):
-        import zstandard
-
-        d = zstandard.ZstdDecompressor()
-        for big in batches:
-            for at in range(0, max(big.num_rows, 1), 64):
-                batch = big.slice(at, 64)
-                texts = [None if x is None else d.decompress(x) for x in batch.column("__packed").to_pylist()]
-                w = Words(pa.array([t or b"" for t in texts], pa.large_binary()))
-                whole = None
-                total, gone = np.diff(w.bounds), np.zeros(batch.num_rows, np.int64)
-                for i, hits in enumerate(batch.column("__all").to_pylist()):
-                    if not hits or texts[i] is None:
-                        continue
-                    if whole is None:
-                        whole = _Digests(w.hashes()).of(w.bounds[:-1], w.bounds[1:]).view(np.int64).tolist()
-                    mask = np.zeros(int(total[i]) + 1, np.int64)
-                    me = batch.column("__doc")[i].as_py()
-                    for hit in hits:
-                        if hit["__whole"] != whole[i]:
-                            continue
-                        for f in hit["__found"]:
-                            a = f["first"]
-                            for low, times in zip(f["least"], f["times"], strict=True):
-                                if low < me:
-                                    mask[a] += 1
-                                    mask[a + times - 1 + window] -= 1
-                                a += times
-                    covered = np.cumsum(mask[:-1]) > 0
-                    gone[i] = covered.sum()
-                    if gone[i]:
-                        texts[i] = _cut(texts[i], w.starts[w.bounds[i] : w.bounds[i + 1]] - w.offsets[i], covered)
-                columns = {text: pa.array([None if t is None else t.decode() for t in texts], pa.string())}
-                if counts:
-                    columns |= {counts[0]: pa.array(total.astype(np.int64)), counts[1]: pa.array(gone)}
-                yield pa.RecordBatch.from_arrays([columns[n] if n in columns else batch.column(n) for n in schema.names], schema.names)
+        for batch, texts in unpacked(batches):
+            w = Words(pa.array([t or b"" for t in texts], pa.large_binary()))
+            total, gone = np.diff(w.bounds), np.zeros(batch.num_rows, np.int64)
+            for i, hits in enumerate(batch.column("__all").to_pylist()):
+                if not hits or texts[i] is None:
+                    continue
+                mask = np.zeros(int(total[i]) + 1, np.int64)
+                mine = whole_digest(texts[i])
+                for hit in hits:
+                    if hit["__whole"] == mine:
+                        first = np.concatenate([np.array(f["ranges"][::2], np.int64) + f["first"] for f in hit["__found"]])
+                        times = np.concatenate([np.array(f["ranges"][1::2], np.int64) for f in hit["__found"]])
+                        np.add.at(mask, first, 1)
+                        np.add.at(mask, first + times - 1 + window, -1)
+                covered = np.cumsum(mask[:-1]) > 0
+                gone[i] = covered.sum()
+                if gone[i]:
+                    texts[i] = _cut(texts[i], w.starts[w.bounds[i] : w.bounds[i + 1]] - w.offsets[i], covered)
+            columns = {text: pa.array([None if t is None else t.decode() for t in texts], pa.string())}
+            if counts:
+                columns |= {counts[0]: pa.array(total.astype(np.int64)), counts[1]: pa.array(gone)}
+            yield pa.RecordBatch.from_arrays([columns[n] if n in columns else batch.column(n) for n in schema.names], schema.names)
 
     return joined.select(*[c for c in names if c != text], "__packed", "__doc", "__all").mapInArrow(run, schema)
 

@@ -69,18 +69,51 @@ def test_short_window_and_same_ids(spark):
 
 def test_statistics_of_foreign_texts():
     rng = random.Random(1)
-    pack = lambda S: (np.array([x for s in S for x in s], np.uint64), np.cumsum([0] + [len(s) for s in S]))
-    for trial in range(60):
+    pack = lambda S: (np.array([x for s in S for x in s], np.int64), np.cumsum([0] + [len(s) for s in S]))
+    for trial in range(100):
         limit, v = rng.randint(1, 9), rng.randint(1, 6)
         seqs = [[rng.randint(1, v) * 7 for _ in range(rng.randint(1, 30))] for _ in range(rng.randint(1, 12))]
         asked = seqs if trial % 2 else [[rng.randint(1, v + 1) * 7 for _ in range(rng.randint(1, 30))] for _ in range(4)]
         index, (w, b) = FMIndex(*pack(seqs), limit), pack(asked)
-        depth, low, high = index.statistics(w, b)
+        depth, full = index.statistics(w, b), index.statistics(w, b, limit)
         for q, s in zip(asked, b):
             for i in range(len(q)):
-                occurs = lambda m: sum(t[j : j + m] == q[i : i + m] for t in seqs for j in range(len(t) - m + 1))  # noqa: B023, E731
+                occurs = lambda m: any(t[j : j + m] == q[i : i + m] for t in seqs for j in range(len(t) - m + 1))  # noqa: B023, E731
                 m = max(m for m in range(min(limit, len(q) - i) + 1) if m == 0 or occurs(m))
-                assert depth[s + i] == m and (not m or high[s + i] - low[s + i] == occurs(m))
+                assert depth[s + i] == m and (full[s + i] >= limit) == (m >= limit)
+
+
+def test_search_in_groups():
+    """Windows of later documents that earlier ones of the key's group have; documents with several stretches, copies."""
+    rng = random.Random(2)
+    for _ in range(60):
+        window, rows = rng.randint(2, 4), []
+        for key in range(rng.randint(1, 4)):
+            for _ in range(rng.randint(1, 9)):
+                low = rng.randint(0, 6)
+                rows.append((key, low, low + rng.choice((0, 0, 2)), [10 * key + rng.randint(0, 2) for _ in range(rng.randint(window, 9))]))  # equal windows have equal keys
+        symbols, bounds = np.array([x for r in rows for x in r[3]], np.int64), np.cumsum([0] + [len(r[3]) for r in rows])
+        before, copied = substring_dedup.search(*(np.array([r[k] for r in rows]) for k in range(3)), symbols, bounds, window)
+        windows = lambda r: [tuple(r[3][i : i + window]) for i in range(len(r[3]) - window + 1)]  # noqa: B023, E731
+        for r, at in zip(rows, bounds):
+            earlier = lambda d: {x for o in rows if o[0] == r[0] and o[1] < d for x in windows(o)}  # noqa: B023, E731
+            for i, x in enumerate(windows(r)):
+                assert before[at + i] == (x in earlier(r[1]))
+                assert r[2] == r[1] or copied[at + i]
+
+
+def mirrored(size, a="a", b="b"):
+    """Two sequences of so many signs that a polynomial hash modulo a power of two can't tell apart."""
+    bits = [bin(i).count("1") % 2 for i in range(size)]
+    return [b if x else a for x in bits], [a if x else b for x in bits]
+
+
+def test_sequences_that_weak_hashes_confuse(spark):
+    p, q = ("".join(x) for x in mirrored(1024))
+    other = [f"w{i}" for i in range(49)]
+    rows = [(1, " ".join([p, *other])), (2, " ".join([q, *other]))]
+    rows += [(3 + i, " ".join(x)) for i, x in enumerate(mirrored(1024, "x", "y"))]
+    check(spark, rows)
 
 
 def test_query(spark, folder, docs):
