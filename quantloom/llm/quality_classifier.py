@@ -19,9 +19,8 @@ from .common import Words, mix, ship, slices, text_buffer
 
 #: Hashed features: 2**BITS weights.
 BITS = 18
-#: The most rated rows that the fit sees, and the most features of one of them (the smallest hashed ones).
+#: The most rated rows that the fit sees, each with all its features.
 FIT_ROWS = 8_000
-FIT_FEATURES = 4_096
 LASSO = 0.8
 #: Rows of the sample that a feature must be in to get a weight.
 FIT_LEAST = 5
@@ -60,6 +59,12 @@ def _doubled(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(r[again], minlength=n)
 
 
+def _numbers(words: list[bytes]) -> np.ndarray:
+    import xxhash
+
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
 def features(column, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """Row numbers and hashed features of a batch of texts, each feature of a row once, ordered by both.
 
@@ -69,7 +74,8 @@ def features(column, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     data, offsets = text_buffer(column)
     n = len(offsets) - 1
     w = Words(column, lower=True, apart=~_LETTER)
-    hashes, counts = w.hashes(), np.diff(w.bounds)
+    codes, words = w.coded()
+    hashes, counts = _numbers(words)[codes], np.diff(w.bounds)
     row = np.repeat(np.arange(n), counts)
     size = np.maximum(np.diff(offsets), 1)
 
@@ -91,7 +97,7 @@ def features(column, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     heads = []
     for k in PREFIXES:
         longer = w.ends - w.starts > k
-        heads.append((row[longer], mix(w.hashes(k)[longer] + np.uint64(k))))
+        heads.append((row[longer], mix(_numbers([x[:k] for x in words])[codes[longer]] + np.uint64(k))))
     rows = np.concatenate((row, *(r for r, _ in heads), np.tile(np.arange(n), len(shares)))).astype(np.uint64)
     keys = np.unique(rows << np.uint64(bits) | np.concatenate((hashes, *(h for _, h in heads), marks)) >> np.uint64(64 - bits))
     return (keys >> np.uint64(bits)).astype(np.int64), (keys & np.uint64((1 << bits) - 1)).astype(np.int64)
@@ -176,7 +182,8 @@ def rated_sample(labels: DataFrame, *, doc: str = "doc_id", good: str = "quality
 
 def fit_documents(df: DataFrame, labels: DataFrame, *, doc: str = "doc_id", text: str = "text", good: str = "quality", bad: str = "toxic", rows: int = FIT_ROWS, bits: int = BITS) -> CumulativeLink:
     """A model of the rated documents of df. The sample's ids (at most `rows`, 16 bytes each) are broadcast; its features
-    (at most FIT_FEATURES numbers a row) come to the driver. A null text has no features but those of an empty one."""
+    come to the driver, one row for each id, all numbers below 2**bits. A null text has no features but those of an empty
+    one; of several rows with one id one is taken, the same each time."""
     import pyarrow as pa
 
     spark = df.sparkSession
@@ -189,11 +196,11 @@ def fit_documents(df: DataFrame, labels: DataFrame, *, doc: str = "doc_id", text
             for batch in slices(big):
                 row, hashed = features(batch.column("text"), bits)
                 bounds = np.searchsorted(row, np.arange(batch.num_rows + 1))
-                lists = [hashed[a:z][:FIT_FEATURES].astype(np.int32) for a, z in zip(bounds, bounds[1:])]
+                lists = [hashed[a:z].astype(np.int32) for a, z in zip(bounds, bounds[1:])]
                 yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("grade"), pa.array(lists, pa.list_(pa.int32()))], ["doc", "grade", "features"])
 
-    found = own.mapInArrow(run, "doc long, grade int, features array<int>").toArrow()
-    order = np.argsort(np.asarray(found["doc"]), kind="stable")[:rows]  # the same order whatever task was first
+    found = own.mapInArrow(run, "doc long, grade int, features array<int>").groupBy("doc").agg(F.min("grade").alias("grade"), F.min("features").alias("features")).toArrow()
+    order = np.argsort(np.asarray(found["doc"]), kind="stable")  # the same order whatever task was first
     lists = found["features"].combine_chunks().take(pa.array(order))
     grades = np.asarray(found["grade"])[order].astype(np.int64)
     counts = np.diff(np.asarray(lists.offsets)) if len(lists) else np.empty(0, np.int64)

@@ -1,8 +1,12 @@
+import math
+import re
+
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 
-from quantloom.llm import quality_classifier as qc
+from quantloom.llm import quality_classifier as qc, queries
 
 BAD = "shout badword nasty"
 
@@ -25,18 +29,23 @@ def rated(spark, words):
 
 
 def plain_features(text, bits):
-    """Words and their heads, one at a time."""
-    import re
-
+    """All features of one text, one at a time."""
     raw = (text or "").encode()
-    out = set()
-    for m in re.finditer(rb"[A-Za-z\x80-\xff]+", raw):
-        w = qc.Words(pa.array([m[0].decode("latin-1").encode("latin-1")], pa.large_binary()), lower=True)
-        out.add(int(w.hashes()[0] >> np.uint64(64 - bits)))
-        for k in qc.PREFIXES:
-            if len(m[0]) > k:
-                out.add(int(qc.mix(w.hashes(k) + np.uint64(k))[0] >> np.uint64(64 - bits)))
-    return out
+    number = lambda x: int(xxhash.xxh3_64_intdigest(x))
+    mixed = lambda x: int(qc.mix(np.array([x % 2**64], np.uint64))[0])
+    found = [m[0].lower() for m in re.finditer(rb"[A-Za-z\x80-\xff]+", raw)]
+    out = {number(w) for w in found}
+    out |= {mixed(number(w[:k]) + k) for w in found for k in qc.PREFIXES if len(w) > k}
+    size = max(len(raw), 1)
+    sets = [rb"[A-Z]", rb"[0-9]", rb"[!?]", rb"[^A-Za-z\x80-\xff0-9\t-\r .,;:'\"\-()!?]"]
+    shares = [len(re.findall(x, raw)) / size for x in sets]
+    shares.append(sum(x == y for x, y in zip(found, found[1:])) / max(len(found), 1))
+    lines = re.findall(rb"[^\n]+", raw)
+    shares.append((len(lines) - len(set(lines))) / max(len(lines), 1))
+    for i, share in enumerate(shares):
+        step = min(max(24 + math.floor(4 * math.log(share)), 1), 24) if share > 0 else 0
+        out.add(mixed(step + 1 + 1000 * i))
+    return {x >> (64 - bits) for x in out}
 
 
 def test_features_of_a_batch_are_those_of_single_texts(odd):
@@ -45,7 +54,7 @@ def test_features_of_a_batch_are_those_of_single_texts(odd):
     for i, t in enumerate(texts):
         own = set(hashed[rows == i].tolist())
         alone = set(qc.features(pa.array([t], pa.string()))[1].tolist())
-        assert own == alone and plain_features(t, qc.BITS) <= own
+        assert own == alone == plain_features(t, qc.BITS)
 
 
 def test_held_out_accuracy_and_order(spark, rated):
@@ -89,3 +98,33 @@ def test_odd_rows_and_tables(spark, docs, rated):
     empty = qc.fit_documents(docs.limit(0), rated)
     assert not empty.weights.any() and qc.grade_documents(docs, empty).where("not kept").count() == 0
     assert not qc.fit_documents(rated, rated.limit(0)).weights.any()
+
+
+def plain_grades(model, text):
+    s = sum(float(model.weights[h]) for h in plain_features(text, qc.BITS))
+    return [1 / (1 + math.exp(min(max(t - s, -500), 500))) for t in model.thresholds]
+
+
+def test_query_against_plain_scores(spark, rated, docs, tmp_path):
+    """Scores, tail probabilities and choices of the query, worked out document by document; a row twice, an id twice."""
+    both = rated.select("doc_id", "text").union(docs.select("doc_id", "text")).union(rated.limit(3).select("doc_id", "text")).withColumn("kept", qc.F.lit(7))
+    both.write.parquet(f"{tmp_path}/documents.parquet")
+    rated.select("doc_id", "quality", "toxic").withColumn("text", qc.F.lit("x")).write.parquet(f"{tmp_path}/labels.parquet")
+    model = qc.fit_documents(spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    got = sorted(queries.op3_ordinal_quality(spark, str(tmp_path)).collect(), key=repr)
+    want = []
+    for r in both.collect():
+        p = plain_grades(model, r.text)
+        want.append((r.doc_id, sum(p), *p, p[-1] >= qc.LEAST))
+    key = lambda x: (x[0] is None, x[0] or 0, round(x[1], 6))
+    assert len(got) == len(want)
+    for g, w in zip(sorted(map(tuple, got), key=key), sorted(want, key=key), strict=True):
+        assert g[0] == w[0] and np.allclose(g[1:4], w[1:4], atol=1e-9) and (g[4] == w[4] or abs(w[3] - qc.LEAST) < 1e-9)
+
+
+def test_ties(spark):
+    """A probability that equals the threshold is enough."""
+    model = qc.CumulativeLink(np.zeros(1 << 8, np.float32), np.zeros(2))
+    df = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
+    assert [r.kept for r in qc.grade_documents(df, model).collect()] == [True, True]
+    assert qc.keep_top(df, model).count() == 2 and qc.keep_top(df, model, least=0.5 + 1e-9).count() == 0
