@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import written
+from .common import Scratch
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -19,8 +19,9 @@ def components(edges: DataFrame) -> DataFrame:
     until nothing changes; the number of turns grows with the logarithm of a component's size. Neighbours are never
     gathered in a list: the smallest is an aggregate with map-side combining, and the rest are rows of a join.
     """
-    edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = None
+    scratch = Scratch(edges.sparkSession)
+    edges = scratch.written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges0")
+    before, turn = None, 0
     while (now := _state(edges)) != before:
         before = now
         both = edges.union(edges.select("b", "a"))
@@ -28,6 +29,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
-        edges = written(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+        turn += 1
+        edges = scratch.written(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"edges{turn}")
+        scratch.drop(f"edges{turn - 1}")
     labels = edges.groupBy("a").agg(F.min("b").alias("label"))
     return labels.select(F.col("a").alias("node"), "label").union(labels.select(F.col("label").alias("node"), "label").distinct())
