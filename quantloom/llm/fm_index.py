@@ -3,12 +3,12 @@
 The Burrows-Wheeler transform of the sequences' word numbers is a wavelet matrix of packed bits; a backward step (from
 the matches of a sequence to those of the sequence with one more word in front) is two ranks on each level. It holds no
 suffix array and no positions: matches are counted, not located. Suffixes are told apart by `limit` words and no
-further, which is all that searches for up to `limit` words need.
+further, which is all that searches for up to `limit` words need; for each smaller length one bit a suffix says where
+those begin that share so many words.
 
-Matching statistics, cut off at `limit`, come from one backward step for each word: once a match is as long as the
-limit, its last word falls away by widening the interval to all suffixes that share the first `limit` words, whose
-borders are one packed bit each. Where no match goes on, the longest one that begins there is found by doubling and
-halving its length.
+Matching statistics, cut off at `limit`, come from one backward step for each word. Once a match is as long as the limit,
+its last word falls away by widening the interval to all suffixes that share the first `limit` words. Where no match goes
+on, the interval is widened to fewer words, whose number is halved in on.
 """
 
 from __future__ import annotations
@@ -53,26 +53,34 @@ class WaveletMatrix:
 
 
 class Borders:
-    """The set bits of a packed vector: the last one at or before a place, and the first one at or behind it."""
-
-    def __init__(self, bit: np.ndarray):
-        self.words = _packed(bit)
-        n = len(self.words)
-        filled = np.flatnonzero(self.words)
-        at = np.searchsorted(filled, np.arange(n))
-        before, behind = filled[np.maximum(at - 1, 0)], filled[np.minimum(at, len(filled) - 1)]
-        self.left = (before * 64 + _highest(self.words[before])).astype(np.uint32)  # of the words in front of each
-        self.right = (behind * 64 + _lowest(self.words[behind])).astype(np.uint32)  # of each and the words behind it
-
-    def at_or_before(self, at: np.ndarray) -> np.ndarray:
-        word = at >> 6
-        own = self.words[word] & (ALL >> (63 - (at & 63)).view(np.uint64))
-        return np.where(own != 0, word * 64 + _highest(own), self.left[word].astype(np.int64))
-
-    def at_or_behind(self, at: np.ndarray) -> np.ndarray:
-        word = at >> 6
-        own = self.words[word] & (ALL << (at & 63).view(np.uint64))
-        return np.where(own != 0, word * 64 + _lowest(own), self.right[np.minimum(word + 1, len(self.right) - 1)].astype(np.int64))
+    """For each length up to a limit, where runs of suffixes begin that share so many words: rows of packed bits, and for
+    each 64 of them the last border in front and the first one from there on."""
+
+    def __init__(self, shared: np.ndarray, limit: int):
+        """shared: words that each suffix has in common with the one before it."""
+        n = len(shared)
+        self.words, self.left, self.right = [], [], []
+        for length in range(limit + 1):
+            bit = np.ones(n + 1, bool)
+            np.less(shared[1:], length, out=bit[1:n])
+            words = _packed(bit)
+            filled = np.flatnonzero(words)
+            at = np.searchsorted(filled, np.arange(len(words)))
+            before, behind = filled[np.maximum(at - 1, 0)], filled[np.minimum(at, len(filled) - 1)]
+            self.words.append(words)
+            self.left.append((before * 64 + _highest(words[before])).astype(np.uint32))
+            self.right.append((behind * 64 + _lowest(words[behind])).astype(np.uint32))
+        self.words, self.left, self.right = np.stack(self.words), np.stack(self.left), np.stack(self.right)
+
+    def around(self, at: np.ndarray, length: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+        """The suffixes that share so many words with the one at a place, as [first, end)."""
+        word, nth = at >> 6, (at & 63).view(np.uint64)
+        bits = self.words[length, word]
+        own = bits & (ALL >> (np.uint64(63) - nth))
+        first = np.where(own != 0, word * 64 + _highest(own), self.left[length, word].astype(np.int64))
+        own = bits & (ALL << nth << ONE)
+        end = np.where(own != 0, word * 64 + _lowest(own), self.right[length, word + 1].astype(np.int64))
+        return first, end
 
 
 def _highest(x: np.ndarray) -> np.ndarray:
@@ -110,10 +118,13 @@ class FMIndex:
             rank = np.empty(n, np.int64)
             rank[order] = np.cumsum(fresh) - 1
             size += further
-        ordered = rank[order]
-        fresh = np.ones(n + 1, bool)
-        np.not_equal(ordered[1:], ordered[:-1], out=fresh[1:n])
-        self.borders = Borders(fresh)  # of the runs of suffixes with the same first limit words
+        shared = np.zeros(n, np.uint8)
+        pairs = np.arange(1, n)
+        for k in range(limit):
+            x, y = order[pairs] + k, order[pairs - 1] + k  # a separator, which ends each sequence, stops them
+            pairs = pairs[text[x] == text[y]]
+            shared[pairs] += 1
+        self.borders = Borders(shared, limit)
         previous = text[order - 1]
         self.n = n
         self.matrix = WaveletMatrix(np.where(previous >= count, previous - count + 1, 0), max(1, int(len(self.known)).bit_length()))
@@ -142,48 +153,41 @@ class FMIndex:
             return out
         numbers, limit = self.numbers(words), self.limit
         live = np.flatnonzero(np.diff(bounds) >= least)
-        # of each stream: its first word, the next word, the match behind that (depth words, suffixes low..high); while the
-        # longest match that begins at `at` is looked for, lengths `good` (suffixes glow..ghigh) and `bad` are known to do
-        # and not to do, and `aim` is being tried
+        # of each stream: its first word, the next word p, and the match behind that: depth words, suffixes low..high. Where
+        # it doesn't go on, `good` and `bad` of its words are known to do and not to do, the first giving suffixes glow..ghigh
         start, p = bounds[:-1][live], bounds[1:][live] - 1
         z = np.zeros(len(live), np.int64)
-        low, high, depth, at, good, bad, glow, ghigh, aim = z, z + self.n, z, z, z, z, z, z, z
+        low, high, depth, good, bad, glow, ghigh = z, z + self.n, z.copy(), z, z, z, z
         probing = np.zeros(len(live), bool)
         while len(p):
             word = numbers[p]
-            new_low, new_high = self.step(np.maximum(word, 0), low, high)
+            if probing.any():
+                aim = (good + bad) // 2
+                from_low, from_high = self.borders.around(low, np.where(probing, aim, limit))
+                from_low, from_high = np.where(probing, from_low, low), np.where(probing, from_high, high)
+            else:
+                aim, from_low, from_high = good, low, high
+            new_low, new_high = self.step(np.maximum(word, 0), from_low, from_high)
             ok = (word >= 0) & (new_high > new_low)
-            run, hit = ~probing & ok, probing & ok & (p == at)
-            # a match goes on
-            low, high = np.where(ok, new_low, low), np.where(ok, new_high, high)
-            depth = np.where(run, depth + 1, depth)
-            over = np.flatnonzero(depth > limit)
+            on = ok & ~probing  # the match goes on
+            over = np.flatnonzero(on & (depth == limit))
             if len(over):
-                low[over], high[over] = self.borders.at_or_before(low[over]), self.borders.at_or_behind(low[over] + 1)
-                depth[over] = limit
-            out[p[run]] = depth[run]
-            p = np.where(ok & ~hit, p - 1, p)
-            # it doesn't: no match at all, or a shorter one is looked for
-            none = ~probing & ~ok & ((word < 0) | (depth == 0))
-            if none.any():
-                low, high, depth, p = np.where(none, 0, low), np.where(none, self.n, high), np.where(none, 0, depth), np.where(none, p - 1, p)
-            begin = ~probing & ~ok & ~none
-            if begin.any():
-                at, good, bad, glow, ghigh = np.where(begin, p, at), np.where(begin, 0, good), np.where(begin, depth + 1, bad), np.where(begin, 0, glow), np.where(begin, self.n, ghigh)
-            miss = probing & ~ok
-            settled = begin | hit | miss
-            if settled.any():
-                good, glow, ghigh = np.where(hit, aim, good), np.where(hit, low, glow), np.where(hit, high, ghigh)
-                bad = np.where(miss, aim, bad)
-                done = settled & (good + 1 >= bad)
-                more = settled & ~done
-                aim = np.where(more, np.minimum(np.maximum(2 * good, 1), (good + bad) // 2), aim)
-                out[at[done]] = good[done]
-                low, high = np.where(done, glow, np.where(more, 0, low)), np.where(done, ghigh, np.where(more, self.n, high))
-                depth = np.where(done, good, depth)
-                p = np.where(done, at - 1, np.where(more, at + aim - 1, p))
+                new_low[over], new_high[over] = self.borders.around(new_low[over], limit)
+            low, high, depth = np.where(on, new_low, low), np.where(on, new_high, high), np.where(on, np.minimum(depth + 1, limit), depth)
+            if not on.all():
+                none = ~probing & (word < 0)  # a word that the index doesn't have
+                begin = ~probing & ~ok & ~none
+                good, bad = np.where(begin, -1, np.where(probing & ok, aim, good)), np.where(begin, depth, np.where(probing & ~ok, aim, bad))
+                glow, ghigh = np.where(probing & ok, new_low, glow), np.where(probing & ok, new_high, ghigh)
+                done = probing & (good + 1 >= bad)
+                low, high = np.where(done, glow, np.where(none, 0, low)), np.where(done, ghigh, np.where(none, self.n, high))
+                depth = np.where(done, good + 1, np.where(none, 0, depth))
                 probing = (probing | begin) & ~done
-            left = probing | ((p >= start) & (p + 1 + depth - least >= start))
+                on |= done | none
+            out[p[on]] = depth[on]
+            p = np.where(on, p - 1, p)
+            # the longest match that may still begin at the next word, or at this one: good + 1 or more, bad or less
+            left = (p >= start) & (np.where(probing, p + bad, p + 1 + depth) - least >= start)
             if not left.all():
-                start, p, low, high, depth, at, good, bad, glow, ghigh, aim, probing = (x[left] for x in (start, p, low, high, depth, at, good, bad, glow, ghigh, aim, probing))
+                start, p, low, high, depth, good, bad, glow, ghigh, probing = (x[left] for x in (start, p, low, high, depth, good, bad, glow, ghigh, probing))
         return out

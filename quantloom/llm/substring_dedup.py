@@ -34,6 +34,8 @@ WINDOW = 50
 ANCHOR = 8
 #: Words in one shard's block, about: it is cut where a key ends.
 SHARD_WORDS = 1 << 18
+#: Windows in one stretch at the most: longer runs (of periodic texts) are several.
+PIECE = 64
 #: Runs of one key from which on its windows are dealt one by one, and the bits of the map of such keys (8 MB).
 HOT_RUNS = 300
 HOT_BITS = 1 << 26
@@ -56,7 +58,7 @@ def _arange_each(n: np.ndarray) -> np.ndarray:
 
 
 def runs_of(w: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows with one key: first word (in the batch), windows, key."""
+    """Runs of at most PIECE windows with one key: first word (in the batch), windows, key."""
     k = min(ANCHOR, window)
     m = sliding_min(grams(w.hashes(), k), window - k + 1)
     counts = np.maximum(np.diff(w.bounds) - window + 1, 0)
@@ -64,8 +66,13 @@ def runs_of(w: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if not len(place):
         return place, place, place
     keys = m[place]
-    edge = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (np.diff(place) != 1) | (np.diff(np.repeat(np.arange(len(counts)), counts)) != 0))))
-    return place[edge], np.diff(np.append(edge, len(keys))), keys[edge]
+    row = np.repeat(np.arange(len(counts)), counts)
+    edge = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (row[1:] != row[:-1]))))
+    n = np.diff(np.append(edge, len(keys)))
+    pieces = -(-n // PIECE)
+    behind = _arange_each(pieces) * PIECE
+    edge, n = np.repeat(edge, pieces) + behind, np.minimum(np.repeat(n, pieces) - behind, PIECE)
+    return place[edge], n, keys[edge]
 
 
 def _digests(data, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
