@@ -17,6 +17,7 @@ import numpy as np
 
 ONE = np.uint64(1)
 ALL = np.uint64(2**64 - 1)
+BELOW = np.array([(1 << k) - 1 for k in range(64)], np.uint64)
 
 
 def _packed(bit: np.ndarray) -> np.ndarray:
@@ -38,7 +39,7 @@ class WaveletMatrix:
             counts = np.zeros(len(packed) + 1, np.int64)
             np.cumsum(np.bitwise_count(packed), out=counts[1:])
             self.words.append(packed)
-            self.before.append(counts.astype(np.uint32))
+            self.before.append(counts.astype(np.int32))
             self.zeros.append(int(len(values) - bit.sum()))
             values = np.concatenate((values[~bit], values[bit]))
 
@@ -46,9 +47,8 @@ class WaveletMatrix:
         """Where a prefix of the sequence, of so many values, ends on the last level if only `symbol` is followed."""
         for k in range(self.bits):
             word = at >> 6
-            mask = (ONE << (at & 63).view(np.uint64)) - ONE
-            ones = self.before[k][word].astype(np.int64) + np.bitwise_count(self.words[k][word] & mask)
-            at = np.where(symbol >> (self.bits - 1 - k) & 1 == 1, self.zeros[k] + ones, at - ones)
+            ones = self.before[k][word] + np.bitwise_count(self.words[k][word] & BELOW[at & 63])
+            at = np.where(symbol & (1 << (self.bits - 1 - k)), self.zeros[k] + ones, at - ones)
         return at
 
 

@@ -14,10 +14,11 @@ its key, and a run of windows of one document with one key travels as one stretc
    statistics reach `window`, an earlier document has the window. The words are numbered by their bytes, so matches are exact.
 4. Runs look up what was reported for their texts, and documents cut out what an earlier one has.
 
-A key that more than HOT_RUNS runs have (a passage in a large share of all documents) would make one group large. Its
-windows are dealt one by one, by a 128-bit digest of all their words, so that only those which recur travel. Which keys
-these are is told to the tasks by a bitmap of fixed size (HOT_BITS bits), whatever their number: a key that shares its
-bit is dealt in the same way, with the same results.
+A key that more than HOT_TEXTS different texts have (around a passage in a large share of all documents) would make one
+group large. Its windows are dealt one by one, by a 128-bit digest of all their words, so that only those which recur
+travel. Which keys these are is told to the tasks by a bitmap of fixed size (MARK_BITS bits), whatever their number: a
+key that shares its bit is dealt in the same way, with the same results. Bitmaps also say which documents a join is
+about, so that the others' texts stay where they are; a document that shares its bit goes along and changes nothing.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .common import SLICE, Scratch, Words, grams, ship, slices
 from .fm_index import FMIndex
@@ -36,9 +37,10 @@ ANCHOR = 8
 SHARD_WORDS = 1 << 18
 #: Windows in one stretch at the most: longer runs (of periodic texts) are several.
 PIECE = 64
-#: Runs of one key from which on its windows are dealt one by one, and the bits of the map of such keys (8 MB).
-HOT_RUNS = 300
-HOT_BITS = 1 << 26
+#: Different texts of one key from which on its windows are dealt one by one.
+HOT_TEXTS = 300
+#: Bits of the maps of keys and documents that are broadcast (4 MB each).
+MARK_BITS = 1 << 25
 
 RUNS = "key long, c1 long, c2 long, doc long, whole long, first int, n int"
 
@@ -124,8 +126,7 @@ def _singles(docs: DataFrame, window: int, bits: np.ndarray) -> DataFrame:
             for batch in slices(big):
                 w = Words(batch.column("text"))
                 first, n, key = runs_of(w, window)
-                at = (key & np.uint64(len(own) * 8 - 1)).astype(np.int64)
-                hot = (own[at >> 3] >> (at & 7).astype(np.uint8) & 1) == 1
+                hot = marked(own, key.view(np.int64))
                 if not hot.any():
                     continue
                 first = np.repeat(first[hot], n[hot]) + _arange_each(n[hot])
@@ -142,39 +143,56 @@ def _singles(docs: DataFrame, window: int, bits: np.ndarray) -> DataFrame:
     return docs.mapInArrow(run, RUNS)
 
 
-def _hot_map(runs: DataFrame) -> tuple[DataFrame, np.ndarray | None]:
-    """The places of hot keys in the bitmap, as rows, and the bitmap (None: there are none)."""
-    often = runs.groupBy("key").count().where(F.col("count") > HOT_RUNS)
-    places = often.select((F.col("key").bitwiseAND(HOT_BITS - 1) + 1).alias("place"))
+def _place(column) -> Column:
+    return F.col(column).bitwiseAND(MARK_BITS - 1) + 1
+
+
+def marks(df: DataFrame, column: str) -> np.ndarray | None:
+    """A bitmap of the values of a column of longs, by their last bits; None if there are none."""
+    places = df.select(_place(column).alias("place"))
     parts = places.groupBy(F.expr("bitmap_bucket_number(place)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(place))").alias("bits")).collect()
-    if not parts:
-        return places, None
-    bits = np.zeros(HOT_BITS // 8, np.uint8)
-    for p in parts:  # of 4,096 bytes each: HOT_BITS bits at the most
+    bits = np.zeros(MARK_BITS // 8, np.uint8)
+    for p in parts:  # of 4,096 bytes each, at most so many as make up the bitmap
         raw = np.frombuffer(p["bits"], np.uint8)
         at = (p["bucket"] - 1) * len(raw)
         bits[at : at + len(raw)] = raw[: len(bits) - at]
-    return places, bits
+    return bits if parts else None
+
 
+def marked(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    at = values & (len(bits) * 8 - 1)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1) == 1
 
-def packed(df: DataFrame, text: str, name: str = "__packed") -> DataFrame:
-    """df with its text as a zstandard frame in a column `name`, for the way through a shuffle; null stays null."""
+
+def packed(df: DataFrame, text: str, doc: str, bits: np.ndarray | None, name: str = "__packed") -> DataFrame:
+    """The rows of df whose id is marked, with their text as a zstandard frame in a column `name`, for the way through a shuffle."""
     import pyarrow as pa
 
     others = [f for f in df.schema.fields if f.name != text]
+    sent = df.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches):
         import zstandard
 
-        c = zstandard.ZstdCompressor(level=1)
+        c, own = zstandard.ZstdCompressor(level=1), sent.value
         for big in batches:
-            for batch in slices(big, text):
+            for batch in slices(_chosen(big, doc, own), text):
                 frames = pa.array([None if t is None else c.compress(t.encode()) for t in batch.column(text).to_pylist()], pa.binary())
                 yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in others], frames], [*[f.name for f in others], name])
 
     return df.mapInArrow(run, T.StructType([*others, T.StructField(name, T.BinaryType())]))
 
 
+def _chosen(batch, doc: str, bits: np.ndarray | None, other: bool = False):
+    """The rows whose id is marked, or all others."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    ids = batch.column(doc)
+    hit = np.zeros(batch.num_rows, bool) if bits is None else marked(bits, np.asarray(pc.fill_null(ids.cast(pa.int64()), 0))) & np.asarray(ids.is_valid())
+    return batch.filter(pa.array(hit != other))
+
+
 def unpacked(batches, name: str = "__packed", most: int = SLICE) -> Iterator[tuple]:
     """Runs of rows and their texts as bytes (None for null), with at most so many bytes of text together, or one row."""
     import zstandard
@@ -239,29 +257,33 @@ def search(keys: np.ndarray, low: np.ndarray, high: np.ndarray, symbols: np.ndar
     most = np.zeros(int(group[-1]) + 1, np.int64)
     np.maximum.at(most, who, place)
     own, second, top = place[:n], place[n:], most[group]
-    before = np.zeros(len(symbols), bool)
-    copied = np.zeros(len(symbols), bool)
-    lengths, width = np.diff(bounds), int(symbols.max()) + 1 if len(symbols) else 1
-
-    def gather(which: np.ndarray, tag: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    indexed, streamed, again = [], [], []  # stretches and tags: words of documents that differ in a higher bit are different words
+    for bit in range(int(most.max()).bit_length()):
+        tag = lambda x: (x >> bit + 1) * 64 + bit  # noqa: B023, E731
+        which = np.flatnonzero((own >> bit & 1 == 0) & (((own >> bit) + 1 << bit) <= top))
+        indexed.append((which, tag(own[which])))
+        which = np.flatnonzero(own >> bit & 1)
+        streamed.append((which, tag(own[which])))
+        # a copy once: where the document that is indexed for this text has a 0 and this one a 1
+        which = np.flatnonzero((own[later] ^ second) >> bit == 1)
+        again.append((later[which], tag(second[which])))
+    before, copied = np.zeros(len(symbols), bool), np.zeros(len(symbols), bool)
+    if not indexed:
+        return before, copied
+    lengths, width = np.diff(bounds), int(symbols.max()) + 1
+
+    def gather(parts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        which, tags = (np.concatenate(x) for x in zip(*parts, strict=True))
         sizes = lengths[which]
         words = np.repeat(bounds[:-1][which], sizes) + _arange_each(sizes)
-        return symbols[words] + np.repeat(tag, sizes) * width, np.concatenate(([0], np.cumsum(sizes))), words
-
-    for bit in range(int(most.max()).bit_length()):
-        indexed = np.flatnonzero((own >> bit & 1 == 0) & (((own >> bit) + 1 << bit) <= top))
-        if not len(indexed):
-            continue
-        # words of documents that differ in a higher bit are different words here
-        index = FMIndex(*gather(indexed, own[indexed] >> bit + 1)[:2], window)
-        for found, which, number in ((before, np.arange(n), own), (copied, later, second)):
-            streamed = number >> bit & 1 == 1
-            if number is second:  # once: where the document that is indexed for this text has a 0 and this one a 1
-                streamed &= (own[later] ^ second) >> bit == 1
-            which, number = which[streamed], number[streamed]
-            if len(which):
-                asked, ends, words = gather(which, number >> bit + 1)
-                found[words] |= index.statistics(asked, ends, window) >= window
+        return symbols[words] + np.repeat(tags, sizes) * width, np.concatenate(([0], np.cumsum(sizes))), words
+
+    index = FMIndex(*gather(indexed)[:2], window)
+    asked, ends, words = gather(streamed + again)
+    found = index.statistics(asked, ends, window) >= window
+    cut = int(sum(lengths[which].sum() for which, _ in streamed))
+    np.logical_or.at(before, words[:cut], found[:cut])
+    np.logical_or.at(copied, words[cut:], found[cut:])
     return before, copied
 
 
@@ -321,23 +343,23 @@ def repeated_windows(df: DataFrame, scratch: Scratch, *, doc: str = "doc_id", te
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = df.select(F.col(doc).cast("long").alias("doc"), F.col(text).alias("text")).where("doc is not null and text is not null")
     runs = scratch.written(_extract(docs, window), "runs")
-    places, bits = _hot_map(runs)
-    place = F.col("key").bitwiseAND(HOT_BITS - 1) + 1
-    light = runs if bits is None else runs.withColumn("place", place).join(places.distinct(), "place", "left_anti").drop("place")
     source = F.min(F.struct("doc", "whole", "first", "n")).alias("r")
-    # one shuffle by key: of each text the documents that have it, then of each key whether several have it
-    different = light.repartition("key").groupBy("key", "c1", "c2").agg(source, F.max("doc").alias("high"))
-    different = different.selectExpr("*", "min(r.doc) over (partition by key) x", "max(high) over (partition by key) y").where("x < y").drop("x", "y")
+    texts = scratch.written(runs.groupBy("key", "c1", "c2").agg(source, F.max("doc").alias("high")), "texts")
+    hot = scratch.written(texts.groupBy("key").count().where(F.col("count") > HOT_TEXTS).select("key"), "hot")
+    bits = marks(hot, "key")
+    light = texts if bits is None else texts.withColumn("place", _place("key")).join(hot.select(_place("key").alias("place")).distinct(), "place", "left_anti").drop("place")
+    different = light.selectExpr("*", "min(r.doc) over (partition by key) x", "max(high) over (partition by key) y").where("x < y").drop("x", "y")
     if bits is not None:
         singles = scratch.written(_singles(docs, window, bits), "singles")
         different = different.unionByName(singles.groupBy("key", "c1", "c2").agg(source, F.max("doc").alias("high")).where("r.doc < high"))
+        runs = runs.unionByName(singles)
     wanted = different.groupBy(F.col("r.doc").alias("doc"), F.col("r.whole").alias("whole")).agg(F.collect_list(F.struct("key", "c1", "c2", F.col("r.first").alias("first"), F.col("r.n").alias("n"), "high")).alias("wants"))
-    told = scratch.written(_report(_stretches(packed(docs, "text"), wanted, window), window, parts), "told").where(F.size("before") + F.size("copied") > 0)
-    told = told.select("key", "c1", "c2", "low", "before", "copied")
+    wanted = scratch.written(wanted, "wanted")
+    scratch.drop("texts", "hot")
+    told = _report(_stretches(packed(docs, "text", "doc", marks(wanted, "doc")), wanted, window), window, parts)
+    told = scratch.written(told, "told").where(F.size("before") + F.size("copied") > 0)
     ranges = F.when(F.col("doc") == F.col("low"), F.col("before")).otherwise(F.col("copied"))
-    hits = light.join(told, ["key", "c1", "c2"]).select("doc", "whole", "first", ranges.alias("ranges"))
-    if bits is not None:
-        hits = hits.union(singles.join(told, ["key", "c1", "c2"]).select("doc", "whole", "first", ranges.alias("ranges")))
+    hits = runs.join(told, ["key", "c1", "c2"]).select("doc", "whole", "first", ranges.alias("ranges"))
     return hits.where(F.size("ranges") > 0).groupBy("doc", "whole").agg(F.collect_list(F.struct("first", "ranges")).alias("found"))
 
 
@@ -358,12 +380,25 @@ def remove_repeats(df: DataFrame, *, doc: str = "doc_id", text: str = "text", wi
     found = repeated_windows(df, scratch, doc=doc, text=text, window=window).select(F.col("doc").alias("__doc"), F.col("whole").alias("__whole"), F.col("found").alias("__found"))
     # one row for each id: rows of one id may differ in text
     found = scratch.written(found.groupBy("__doc").agg(F.collect_list(F.struct("__whole", "__found")).alias("__all")), "found")
-    scratch.drop("runs", "singles", "told")
-    joined = packed(base, text).join(found, F.col(doc).cast("long") == F.col("__doc"), "left")
+    scratch.drop("runs", "singles", "wanted", "told")
+    bits = marks(found, "__doc")
     names = [f.name for f in base.schema.fields]
     schema = T.StructType([*base.schema.fields, *[T.StructField(c, T.LongType()) for c in counts or ()]])
+    sent = df.sparkSession.sparkContext.broadcast(bits)
 
-    def run(batches):
+    def result(batch, column, total: np.ndarray, gone: np.ndarray):
+        columns = {text: column}
+        if counts:
+            columns |= {counts[0]: pa.array(total.astype(np.int64)), counts[1]: pa.array(gone)}
+        return pa.RecordBatch.from_arrays([columns[n] if n in columns else batch.column(n) for n in schema.names], schema.names)
+
+    def whole(batches):
+        for big in batches:
+            for batch in slices(_chosen(big, doc, sent.value, other=True), text):
+                total = np.diff(Words(batch.column(text)).bounds) if counts else np.zeros(batch.num_rows)
+                yield result(batch, batch.column(text), total, np.zeros(batch.num_rows, np.int64))
+
+    def cut(batches):
         for batch, texts in unpacked(batches):
             w = Words(pa.array([t or b"" for t in texts], pa.large_binary()))
             total, gone = np.diff(w.bounds), np.zeros(batch.num_rows, np.int64)
@@ -382,12 +417,10 @@ def remove_repeats(df: DataFrame, *, doc: str = "doc_id", text: str = "text", wi
                 gone[i] = covered.sum()
                 if gone[i]:
                     texts[i] = _cut(texts[i], w.starts[w.bounds[i] : w.bounds[i + 1]] - w.offsets[i], covered)
-            columns = {text: pa.array([None if t is None else t.decode() for t in texts], pa.string())}
-            if counts:
-                columns |= {counts[0]: pa.array(total.astype(np.int64)), counts[1]: pa.array(gone)}
-            yield pa.RecordBatch.from_arrays([columns[n] if n in columns else batch.column(n) for n in schema.names], schema.names)
+            yield result(batch, pa.array([None if t is None else t.decode() for t in texts], pa.string()), total, gone)
 
-    return joined.select(*[c for c in names if c != text], "__packed", "__doc", "__all").mapInArrow(run, schema)
+    joined = packed(base, text, doc, bits).join(found, F.col(doc).cast("long") == F.col("__doc"), "left")
+    return base.mapInArrow(whole, schema).union(joined.select(*[c for c in names if c != text], "__packed", "__doc", "__all").mapInArrow(cut, schema))
 
 
 def _cut(raw: bytes, starts: np.ndarray, covered: np.ndarray) -> bytes:

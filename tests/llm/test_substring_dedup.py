@@ -47,7 +47,8 @@ def test_odd_texts_and_copies(spark, docs):
 @pytest.mark.parametrize("shard", [40, 1 << 19])
 def test_passages(spark, words, monkeypatch, hot, shard):
     """A passage that most documents share, others that few do, overlaps and periodic texts."""
-    monkeypatch.setattr(substring_dedup, "HOT_RUNS", hot)
+    monkeypatch.setattr(substring_dedup, "HOT_TEXTS", hot)
+    monkeypatch.setattr(substring_dedup, "MARK_BITS", 1 << 18 if hot == 1 else 1 << 25)
     monkeypatch.setattr(substring_dedup, "SHARD_WORDS", shard)
     rng, rows = random.Random(hot), []
     some = lambda n: [rng.choice(words) for _ in range(n)]
