@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from . import audio, bpe, near_dedup, packing, quality_classifier, quality_rules, sharding, substring_dedup, token_store, url_filter
-from .common import table
+from .common import SPACE, table
 
 #: Shards over which documents are placed.
 SHARDS = tuple(f"shard-{i:03d}" for i in range(64))
@@ -105,18 +105,8 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    cut = substring_dedup.remove_repeats(docs)
-
-    def digest(batches):
-        import hashlib
-
-        import pyarrow as pa
-
-        for batch in batches:
-            kept = [hashlib.sha256(b" ".join((t or "").encode().split())).hexdigest() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words"), batch.column("n_removed"), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
-
-    return cut.mapInArrow(digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    kept = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), f"[{SPACE}]+", " "))
+    return substring_dedup.remove_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2(kept, 256).alias("kept_sha256"))
 
 
 def op9_shard_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:

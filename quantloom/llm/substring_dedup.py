@@ -114,16 +114,17 @@ def _extract(docs: DataFrame, window: int) -> DataFrame:
     return docs.mapInArrow(run, RUNS)
 
 
-def _singles(docs: DataFrame, window: int, bits: np.ndarray) -> DataFrame:
-    """The windows of hot keys one by one, as runs of one window; the digest is of their words with a space between."""
+def _singles(docs: DataFrame, window: int, bits: np.ndarray, concerned: np.ndarray | None) -> DataFrame:
+    """The windows of hot keys one by one, as runs of one window, of the documents that have some; the digest is of their
+    words with a space between."""
     import pyarrow as pa
 
-    sent = docs.sparkSession.sparkContext.broadcast(bits)
+    sent = docs.sparkSession.sparkContext.broadcast((bits, concerned))
 
     def run(batches):
-        own = sent.value
+        own, whose = sent.value
         for big in batches:
-            for batch in slices(big):
+            for batch in slices(_chosen(big, "doc", whose)):
                 w = Words(batch.column("text"))
                 first, n, key = runs_of(w, window)
                 hot = marked(own, key.view(np.int64))
@@ -347,10 +348,12 @@ def repeated_windows(df: DataFrame, scratch: Scratch, *, doc: str = "doc_id", te
     texts = scratch.written(runs.groupBy("key", "c1", "c2").agg(source, F.max("doc").alias("high")), "texts")
     hot = scratch.written(texts.groupBy("key").count().where(F.col("count") > HOT_TEXTS).select("key"), "hot")
     bits = marks(hot, "key")
-    light = texts if bits is None else texts.withColumn("place", _place("key")).join(hot.select(_place("key").alias("place")).distinct(), "place", "left_anti").drop("place")
+    places = hot.select(_place("key").alias("place")).distinct()
+    light = texts if bits is None else texts.withColumn("place", _place("key")).join(places, "place", "left_anti").drop("place")
     different = light.selectExpr("*", "min(r.doc) over (partition by key) x", "max(high) over (partition by key) y").where("x < y").drop("x", "y")
     if bits is not None:
-        singles = scratch.written(_singles(docs, window, bits), "singles")
+        concerned = marks(runs.withColumn("place", _place("key")).join(places, "place", "left_semi"), "doc")
+        singles = scratch.written(_singles(docs, window, bits, concerned), "singles")
         different = different.unionByName(singles.groupBy("key", "c1", "c2").agg(source, F.max("doc").alias("high")).where("r.doc < high"))
         runs = runs.unionByName(singles)
     wanted = different.groupBy(F.col("r.doc").alias("doc"), F.col("r.whole").alias("whole")).agg(F.collect_list(F.struct("key", "c1", "c2", F.col("r.first").alias("first"), F.col("r.n").alias("n"), "high")).alias("wants"))
