@@ -16,7 +16,8 @@ its key, and a run of windows of one document with one key travels as one stretc
 
 A key that more than HOT_TEXTS different texts have (around a passage in a large share of all documents) would make one
 group large. Its windows are dealt one by one, by a 128-bit digest of all their words, so that only those which recur
-travel. Which keys these are is told to the tasks by a bitmap of fixed size (MARK_BITS bits), whatever their number: a
+travel. A document holds them as chains of windows, cut where a window's digest says so, which many documents have in
+common: windows are looked up once for each different chain. Which keys these are is told to the tasks by a bitmap of fixed size (MARK_BITS bits), whatever their number: a
 key that shares its bit is dealt in the same way, with the same results. Bitmaps also say which documents a join is
 about, so that the others' texts stay where they are; a document that shares its bit goes along and changes nothing.
 """
@@ -114,9 +115,12 @@ def _extract(docs: DataFrame, window: int) -> DataFrame:
     return docs.mapInArrow(run, RUNS)
 
 
-def _singles(docs: DataFrame, window: int, bits: np.ndarray, concerned: np.ndarray | None) -> DataFrame:
-    """The windows of hot keys one by one, as runs of one window, of the documents that have some; the digest is of their
-    words with a space between."""
+CHAINS = "d1 long, d2 long, doc long, whole long, first int, windows array<struct<c1: long, c2: long>>"
+
+
+def _chains(docs: DataFrame, window: int, bits: np.ndarray, concerned: np.ndarray | None) -> DataFrame:
+    """The windows of hot keys, of the documents that have some, as chains of at most PIECE windows that follow each other;
+    a window's digest is of its words with a space between, a chain's of its windows' digests."""
     import pyarrow as pa
 
     sent = docs.sparkSession.sparkContext.broadcast((bits, concerned))
@@ -138,10 +142,20 @@ def _singles(docs: DataFrame, window: int, bits: np.ndarray, concerned: np.ndarr
                 line[np.repeat(to[:-1], sizes) + _arange_each(sizes)] = w.data[w.letters]
                 content = _digests(line, to[first], to[first + window] - 1)
                 row = np.searchsorted(w.bounds, first, side="right") - 1
-                c1, c2 = pa.array(content[:, 0].copy()), pa.array(content[:, 1].copy())
-                yield pa.RecordBatch.from_arrays([c1, c1, c2, batch.column("doc").take(pa.array(row)), pa.array(_wholes(w)[row]), pa.array((first - w.bounds[row]).astype(np.int32)), pa.array(np.ones(len(first), np.int32))], ["key", "c1", "c2", "doc", "whole", "first", "n"])
-
-    return docs.mapInArrow(run, RUNS)
+                edge = np.flatnonzero(np.concatenate(([True], (np.diff(first) != 1) | (np.diff(row) != 0) | (content[1:, 0] & 15 == 0))))
+                n = np.diff(np.append(edge, len(first)))
+                pieces = -(-n // PIECE)
+                edge = np.repeat(edge, pieces) + _arange_each(pieces) * PIECE
+                ends = np.append(edge[1:], len(first))
+                chain = _digests(content.view(np.uint8).ravel(), edge * 16, ends * 16)
+                windows = pa.StructArray.from_arrays([pa.array(content[:, 0].copy()), pa.array(content[:, 1].copy())], ["c1", "c2"])
+                at = row[edge]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(chain[:, 0].copy()), pa.array(chain[:, 1].copy()), batch.column("doc").take(pa.array(at)), pa.array(_wholes(w)[at]), pa.array((first[edge] - w.bounds[at]).astype(np.int32)),
+                    pa.ListArray.from_arrays(pa.array(np.append(edge, len(first)).astype(np.int32)), windows),
+                ], ["d1", "d2", "doc", "whole", "first", "windows"])
+
+    return docs.mapInArrow(run, CHAINS)
 
 
 def _place(column) -> Column:
@@ -353,9 +367,11 @@ def repeated_windows(df: DataFrame, scratch: Scratch, *, doc: str = "doc_id", te
     different = light.selectExpr("*", "min(r.doc) over (partition by key) x", "max(high) over (partition by key) y").where("x < y").drop("x", "y")
     if bits is not None:
         concerned = marks(runs.withColumn("place", _place("key")).join(places, "place", "left_semi"), "doc")
-        singles = scratch.written(_singles(docs, window, bits, concerned), "singles")
-        different = different.unionByName(singles.groupBy("key", "c1", "c2").agg(source, F.max("doc").alias("high")).where("r.doc < high"))
-        runs = runs.unionByName(singles)
+        chains = scratch.written(_chains(docs, window, bits, concerned), "chains")
+        once = chains.groupBy("d1", "d2").agg(F.min(F.struct("doc", "whole", "first", "windows")).alias("r"), F.max("doc").alias("high"))
+        once = scratch.written(once.select("d1", "d2", "high", "r.*"), "once").select("*", F.posexplode("windows").alias("at", "w")).select("d1", "d2", "doc", "whole", "first", "high", "at", "w.c1", "w.c2")
+        singles = once.groupBy(F.col("c1").alias("key"), "c1", "c2").agg(F.min(F.struct("doc", "whole", (F.col("first") + F.col("at")).alias("first"), F.lit(1).alias("n"))).alias("r"), F.max("high").alias("high"))
+        different = different.unionByName(singles.where("r.doc < high"))
     wanted = different.groupBy(F.col("r.doc").alias("doc"), F.col("r.whole").alias("whole")).agg(F.collect_list(F.struct("key", "c1", "c2", F.col("r.first").alias("first"), F.col("r.n").alias("n"), "high")).alias("wants"))
     wanted = scratch.written(wanted, "wanted")
     scratch.drop("texts", "hot")
@@ -363,6 +379,11 @@ def repeated_windows(df: DataFrame, scratch: Scratch, *, doc: str = "doc_id", te
     told = scratch.written(told, "told").where(F.size("before") + F.size("copied") > 0)
     ranges = F.when(F.col("doc") == F.col("low"), F.col("before")).otherwise(F.col("copied"))
     hits = runs.join(told, ["key", "c1", "c2"]).select("doc", "whole", "first", ranges.alias("ranges"))
+    if bits is not None:
+        answers = once.select("d1", "d2", "at", "c1", "c2").join(told.where("key = c1").select("c1", "c2", "low"), ["c1", "c2"])
+        answers = answers.groupBy("d1", "d2").agg(F.sort_array(F.collect_list(F.struct("at", "low"))).alias("answers"))
+        later = F.filter("answers", lambda x: x["low"] < F.col("doc"))
+        hits = hits.union(chains.drop("windows").join(answers, ["d1", "d2"]).select("doc", "whole", "first", F.flatten(F.transform(later, lambda x: F.array(x["at"], F.lit(1)))).alias("ranges")))
     return hits.where(F.size("ranges") > 0).groupBy("doc", "whole").agg(F.collect_list(F.struct("first", "ranges")).alias("found"))
 
 
@@ -383,7 +404,7 @@ def remove_repeats(df: DataFrame, *, doc: str = "doc_id", text: str = "text", wi
     found = repeated_windows(df, scratch, doc=doc, text=text, window=window).select(F.col("doc").alias("__doc"), F.col("whole").alias("__whole"), F.col("found").alias("__found"))
     # one row for each id: rows of one id may differ in text
     found = scratch.written(found.groupBy("__doc").agg(F.collect_list(F.struct("__whole", "__found")).alias("__all")), "found")
-    scratch.drop("runs", "singles", "wanted", "told")
+    scratch.drop("runs", "chains", "once", "wanted", "told")
     bits = marks(found, "__doc")
     names = [f.name for f in base.schema.fields]
     schema = T.StructType([*base.schema.fields, *[T.StructField(c, T.LongType()) for c in counts or ()]])
