@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import audio, bpe, near_dedup, packing, quality_classifier, quality_rules, sharding, substring_dedup, token_store, url_filter
+from .audio import UNIT
 from .common import SPACE, table
 
 #: Shards over which documents are placed.
@@ -73,32 +74,57 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = audio.parse_media(audio.store_texts(table(spark, sf_dir, "documents")))
-
-    def digest(batches):
-        import zlib
-
-        import pyarrow as pa
-
-        for batch in batches:
-            for at in range(0, max(batch.num_rows, 1), 256):
-                b = batch.slice(at, 256)
-                payload, media = b.column("payload").to_pylist(), b.column("media").to_pylist()
-                yield pa.RecordBatch.from_arrays([
-                    b.column("doc_id"), b.column("n_bytes"), pa.array([len(p) for p in payload], pa.int64()), pa.array([audio.sha256(p) for p in payload], pa.string()), pa.array([zlib.crc32(p[-64:]) for p in payload], pa.int64()),
-                    pa.array([len(m) for m in media], pa.int64()), pa.array([audio.sha256(m) for m in media], pa.string()), b.column("feature"),
-                ], OP5.names)
-
-    return parsed.select("doc_id", "n_bytes", "media", "payload", "feature").mapInArrow(digest, OP5)
-
-
-OP5 = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("payload_bytes", T.LongType()), T.StructField("payload_sha256", T.StringType()), T.StructField("tail_crc32", T.LongType()), T.StructField("media_bytes", T.LongType()), T.StructField("media_sha256", T.StringType()), T.StructField("feature", T.StringType())])
+    p = audio.parse_media(audio.store_texts(table(spark, sf_dir, "documents")))
+    return p.select(
+        "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(F.substring("payload", -UNIT, UNIT)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature", "samples", "seconds", "bad_checksums", "skipped_bytes", "seek_offsets",
+    )
 
 
 def op6_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge_quality(table(spark, sf_dir, "documents"))
 
 
+_TERM = "(CASE WHEN {p} > 0 THEN {p} * log2(2 * {p} / ({p} + {q})) ELSE 0 END + CASE WHEN {q} > 0 THEN {q} * log2(2 * {q} / ({p} + {q})) ELSE 0 END) / 2"
+_CLASS = (r"\p{Ll}", r"\p{Lu}", r"\p{Nd}", ".,;:!?''\"()-")
+
+
+def _only(x: str) -> str:
+    return ", ".join(f"length(regexp_replace({x}, '[^{c}]', '', 'g')) k{i}" for i, c in enumerate(_CLASS))
+
+
+OP6_SQL = f"""
+WITH d AS (SELECT row_number() OVER () rid, doc_id, coalesce(text, '') t, CASE WHEN lang IN ('de', 'en', 'es', 'fr') THEN lang ELSE '*' END lang FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) lines FROM d),
+n AS (SELECT *, len(ws) n_words, length(array_to_string(ws, '')) word_chars, length(t) n_chars FROM w),
+u AS (SELECT rid, lang, n_words, n_chars, unnest(ws) word, generate_subscripts(ws, 1) i FROM n),
+g AS (SELECT rid, i, word || ' ' || lead(word) OVER o || ' ' || lead(word, 2) OVER o gram FROM u WINDOW o AS (PARTITION BY rid ORDER BY i)),
+c AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, gram) k FROM g WHERE gram IS NOT NULL),
+covered AS (SELECT rid, count(DISTINCT i + o) n FROM c, range(3) r(o) WHERE k > 1 GROUP BY rid),
+counted AS (SELECT lang, word, sum(1e0 / n_words) s, sum(1e0 / n_chars) c FROM u WHERE n_words >= 100 GROUP BY ALL),
+whites AS (SELECT lang, sum((n_chars - word_chars) / n_chars) white FROM n WHERE n_words >= 100 GROUP BY lang),
+shares AS (SELECT * FROM counted WHERE lang <> '*' UNION ALL SELECT '*', word, sum(s), sum(c) FROM counted GROUP BY word),
+split AS (SELECT lang, s, c, length(word) k, {_only("word")} FROM shares),
+sums AS (SELECT lang, sum(s) n, sum(c * k0) a0, sum(c * k1) a1, sum(c * k2) a2, sum(c * k3) a3, sum(c * (k - k0 - k1 - k2 - k3)) a4 FROM split GROUP BY lang),
+ref AS (SELECT lang, n, a0 / n q0, a1 / n q1, a2 / n q2, a3 / n q3, a4 / n q4, (SELECT sum(white) FROM whites x WHERE x.lang = sums.lang OR sums.lang = '*') / n q5 FROM sums),
+top AS (SELECT lang, word, s / n q FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY round(s, 9) DESC, word) r FROM shares) JOIN ref USING (lang) WHERE r <= 256),
+chosen AS (SELECT n.*, coalesce(ref.lang, '*') own FROM n LEFT JOIN ref USING (lang)),
+bins AS (SELECT u.rid, top.q, count(*) / any_value(u.n_words) p FROM u JOIN chosen USING (rid) JOIN top ON top.lang = own AND top.word = u.word WHERE u.n_words >= 100 GROUP BY u.rid, top.word, top.q),
+found AS (SELECT rid, sum({_TERM.format(p="p", q="q")}) d, sum(p) p, sum(q) q FROM bins GROUP BY rid),
+whole AS (SELECT lang own, sum(q) all_q FROM top GROUP BY lang),
+words AS (SELECT rid, n_words, coalesce(d, 0) + (all_q - coalesce(q, 0)) / 2 d, 1 - coalesce(p, 0) po, greatest(1 - all_q, 0) qo FROM chosen JOIN whole USING (own) LEFT JOIN found USING (rid) WHERE n_words >= 100),
+word AS (SELECT rid, round(sqrt(greatest(d + {_TERM.format(p="po", q="qo")} - 20e0 / n_words, 0)), 6) word_distance FROM words),
+part AS (SELECT rid, own, n_chars, word_chars, {_only("t")} FROM chosen WHERE n_chars >= 200),
+class AS (SELECT rid, unnest([k0 / n_chars, k1 / n_chars, k2 / n_chars, k3 / n_chars, (word_chars - k0 - k1 - k2 - k3) / n_chars, (n_chars - word_chars) / n_chars]) p, unnest([q0, q1, q2, q3, q4, q5]) q FROM part JOIN ref ON ref.lang = own),
+kind AS (SELECT rid, round(sqrt(greatest(sum({_TERM.format(p="p", q="q")}), 0)), 6) class_distance FROM class GROUP BY rid),
+every AS (SELECT doc_id, n_words, word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) n_symbols, len(lines) - len(list_distinct(lines)) n_dup_lines, coalesce(covered.n, 0) n_repeat_words, class_distance, word_distance
+          FROM n LEFT JOIN covered USING (rid) LEFT JOIN kind USING (rid) LEFT JOIN word USING (rid))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words base_failed, class_distance, word_distance,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND coalesce(class_distance, 0) <= {quality_rules.MOST_CLASS_DISTANCE} AND coalesce(word_distance, 0) <= {quality_rules.MOST_WORD_DISTANCE} kept
+FROM every
+"""
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -130,4 +156,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_shard_lookup": op9_shard_lookup,
     "op10_bottom_k": op10_bottom_k,
 }
-ORACLE_SQL: dict[str, str] = {"op2_url_rules": OP2_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_url_rules": OP2_SQL, "op6_divergence": OP6_SQL}
