@@ -1,31 +1,35 @@
 """Operator 6, quality rules: distribution divergence. DataFrame functions only.
 
 Each document has two histograms: of its characters by class, and of its words by its language's common words (all
-others are one bin). The references of a language are the mean histograms of all its documents that are long enough; a
-document is rejected where the Jensen-Shannon distance to a reference exceeds a threshold. Documents too short for a
-histogram to say much are not judged by it. Base rules on length and repeated three-word windows come first.
+others are one bin). A language's common words and both of its references are worked out from its documents in one
+aggregate: each document's words weigh as shares of it, so that a long one counts no more than others. A document is
+rejected where the Jensen-Shannon distance to a reference exceeds a threshold. Documents too short for a histogram to say
+much are not judged by it, and of longer ones the part of the divergence that their length alone explains is taken off.
+Base rules on length and repeated three-word windows come first.
+
+References may be those of another, cleaner set of documents: judge_quality takes them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import SPACE
+from .common import SPACE, Scratch
 
-#: Common words of the languages judged, the most frequent function words of each; a parameter.
-COMMON_WORDS = {
-    "de": ("der", "die", "und", "in", "den", "von", "zu", "das", "mit", "sich", "des", "auf", "nicht", "ein", "ist"),
-    "en": ("the", "of", "and", "to", "a", "in", "is", "that", "for", "it", "was", "on", "are", "as", "with"),
-    "es": ("de", "la", "que", "el", "en", "y", "a", "los", "se", "del", "las", "un", "por", "con", "no"),
-    "fr": ("de", "la", "le", "et", "les", "des", "en", "un", "du", "une", "que", "est", "pour", "qui", "dans"),
-}
+#: Languages that have references of their own; a parameter.
+LANGUAGES = ("de", "en", "es", "fr")
+#: The most frequent words of a language that have a bin each; a parameter.
+COMMON = 256
 #: Characters by class; what is in none of these and no white space is the last class but one, white space the last.
 CLASSES = (r"\p{Ll}", r"\p{Lu}", r"\p{Nd}", r".,;:!?'\"()\-")
 #: Jensen-Shannon distances (square roots of divergences to base 2, 0 to 1) above which a document is rejected.
 MOST_CLASS_DISTANCE = 0.28
-MOST_WORD_DISTANCE = 0.27
+MOST_WORD_DISTANCE = 0.36
+#: Of a document of n words, so much over n is taken off the divergence of its words.
+WORD_NOISE = 20.0
 #: Characters and words that a document must have to be judged by the one and the other.
 LEAST_CHARACTERS = 200
 LEAST_WORDS = 100
@@ -37,6 +41,14 @@ SYMBOLS = "#*$%&|<>"
 ANY = "*"
 
 
+@dataclass(frozen=True)
+class Reference:
+    """classes: mean shares of the character classes; words: mean shares of the common words."""
+
+    classes: tuple[float, ...] = ()
+    words: dict[str, float] = field(default_factory=dict)
+
+
 def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, f"[{SPACE}]+"), "")
 
@@ -47,9 +59,9 @@ def let(value: Column, body) -> Column:
 
 
 def repeated_words(words: Column) -> Column:
-    """Words in three-word windows that are found twice or more, each word once."""
-    n = F.size(words)
-    windows = F.when(n >= 3, F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.concat_ws(" ", F.element_at(words, i), F.element_at(words, i + 1), F.element_at(words, i + 2)))).otherwise(F.array().cast("array<string>"))
+    """Words in three-word windows that are found twice or more, each word once. Windows are told apart by 64-bit hashes."""
+    window = lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
+    windows = F.when(F.size(words) >= 3, F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - 3, F.lit(0))), window)).otherwise(F.array().cast("array<bigint>"))
 
     def covered(w: Column) -> Column:
         placed = F.sort_array(F.transform(w, lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
@@ -75,21 +87,10 @@ def _only(text: Column, kept: str) -> Column:
     return F.char_length(F.regexp_replace(text, f"[^{kept}]+", ""))
 
 
-def class_counts(text: Column, word_chars: Column) -> Column:
-    total = F.char_length(text)
-    own = [_only(text, c) for c in CLASSES]
-    return let(F.array(*own, word_chars, total), lambda a: F.array(*[F.get(a, F.lit(i)).cast("double") for i in range(len(own))], (F.get(a, F.lit(len(own))) - sum(F.get(a, F.lit(i)) for i in range(len(own)))).cast("double"), (F.get(a, F.lit(len(own) + 1)) - F.get(a, F.lit(len(own)))).cast("double")))
-
-
-def word_counts(words: Column, common: Column) -> Column:
-    """How often each common word comes up, then the number of all other words."""
-    # two spaces between words: each word has its own on both sides, so equal neighbours are both found
-    line = F.concat(F.lit(" "), F.lower(F.array_join(words, "  ")), F.lit(" "))
-
-    def counted(s: Column) -> Column:
-        return F.transform(common, lambda c: ((F.octet_length(s) - F.octet_length(F.replace(s, F.concat(F.lit(" "), c, F.lit(" ")), F.lit("")))) / (F.octet_length(c) + 2)).cast("double"))
-
-    return let(let(line, counted), lambda a: F.concat(a, F.array((F.size(words) - F.aggregate(a, F.lit(0.0), lambda x, y: x + y)).cast("double"))))
+def class_counts(solid: Column, white: Column) -> Column:
+    """Characters of each class in a text without its white space, others, and white space."""
+    own = F.array(*[_only(solid, c).cast("double") for c in CLASSES])
+    return let(own, lambda a: F.concat(a, F.array((F.char_length(solid) - F.aggregate(a, F.lit(0.0), lambda x, y: x + y)).cast("double"), white.cast("double"))))
 
 
 def shares(counts: Column) -> Column:
@@ -98,15 +99,78 @@ def shares(counts: Column) -> Column:
     return let(counts, lambda c: let(total(c), lambda t: F.when(t > 0, F.transform(c, lambda x: x / t))))
 
 
-def distance(p: Column, q: Column) -> Column:
-    """The Jensen-Shannon distance of two arrays of shares; null if one is null."""
+def _term(p: Column, q: Column) -> Column:
+    """What a bin with shares p and q adds to the divergence."""
     part = lambda x, m: F.when(x > 0, x * F.log2(x / m)).otherwise(0.0)
-    terms = F.zip_with(p, q, lambda x, y: part(x, (x + y) / 2) / 2 + part(y, (x + y) / 2) / 2)
-    return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda a, b: a + b), F.lit(0.0)))
+    return (part(p, (p + q) / 2) + part(q, (p + q) / 2)) / 2
+
+
+def divergence(p: Column, q: Column) -> Column:
+    """The Jensen-Shannon divergence of two arrays of shares; null if one is null."""
+    return F.aggregate(F.zip_with(p, q, _term), F.lit(0.0), lambda a, b: a + b)
+
+
+# ---- words and their bins: a table in which the hash of a word says at which two places it may be ---------------------
+
+
+def _places(hashed: int, size: int) -> tuple[int, int]:
+    return hashed & (size - 1), hashed >> 32 & (size - 1)
+
+
+def bins(reference: dict[str, float], hashes: dict[str, int]) -> tuple[list[int], list[float]]:
+    """Hashes of the common words, each at one of its two places, and the shares at these places."""
+    size = 16
+    while size < 4 * len(reference):
+        size *= 2
+    while True:
+        table: dict[int, str] = {}
+        for word in sorted(reference):
+            at = _places(hashes[word], size)[0]
+            for _ in range(64):  # each word that is in the way moves on to its other place
+                table[at], word = word, table.get(at)
+                if word is None:
+                    break
+                at = sum(_places(hashes[word], size)) - at
+            else:
+                break
+        else:
+            held = [table.get(i) for i in range(size)]
+            return [0 if w is None else hashes[w] for w in held], [0.0 if w is None else reference[w] for w in held]
+        size *= 2
+
+
+def word_divergence(words: Column, table: Column, share: Column) -> Column:
+    """The divergence of a document's words from the shares of common words, all others being one bin.
+
+    The bins of its common words are sorted and counted in one go; common words that it doesn't have add half their share."""
+    n = F.size(words).cast("double")
+
+    def place(w: Column) -> Column:
+        def of(h: Column) -> Column:
+            last = F.size(table).cast("long") - 1
+            a, b = h.bitwiseAND(last).cast("int"), F.shiftright(h, 32).bitwiseAND(last).cast("int")
+            return F.when(F.get(table, a) == h, a).when(F.get(table, b) == h, b)
+
+        return let(F.xxhash64(w), of)
+
+    def walk(sorted_bins: Column) -> Column:
+        q = lambda at: F.get(share, at)
+        state = lambda at, run, total, seen: F.struct(at.alias("at"), run.alias("run"), total.alias("total"), seen.alias("seen"))
+        start = state(F.lit(-1), F.lit(0.0), F.lit(0.0), F.lit(0.0))
+        closed = lambda a: F.when(a["at"] < 0, F.lit(0.0)).otherwise(_term(a["run"] / n, q(a["at"])))
+        step = lambda a, x: F.when(a["at"] == x, state(a["at"], a["run"] + 1.0, a["total"], a["seen"])).otherwise(state(x, F.lit(1.0), a["total"] + closed(a), a["seen"] + q(x)))
+        whole = F.aggregate(share, F.lit(0.0), lambda x, y: x + y)
+        others = _term((n - F.size(sorted_bins)) / n, F.greatest(1.0 - whole, F.lit(0.0)))
+        return F.aggregate(sorted_bins, start, step, lambda a: a["total"] + closed(a) + (whole - a["seen"]) / 2) + others
+
+    return let(F.sort_array(F.filter(F.transform(words, place), lambda x: x.isNotNull())), walk)
+
+
+# ---- references and judgements ---------------------------------------------------------------------------------------
 
 
 def _language(lang: str, present: bool) -> Column:
-    return F.when(F.col(lang).isin(*COMMON_WORDS), F.col(lang)).otherwise(ANY) if present else F.lit(ANY)
+    return F.when(F.col(lang).isin(*LANGUAGES), F.col(lang)).otherwise(ANY) if present else F.lit(ANY)
 
 
 def _by_language(language: Column, values: dict[str, Column]) -> Column:
@@ -116,65 +180,88 @@ def _by_language(language: Column, values: dict[str, Column]) -> Column:
     return out
 
 
-def _numbers(values: Sequence[float] | None) -> Column:
-    return F.array(*[F.lit(float(v)) for v in values]) if values else F.lit(None).cast("array<double>")
-
-
-def language_references(df: DataFrame, *, text: str = "text", lang: str = "lang") -> dict[str, dict[str, list[float]]]:
-    """For each listed language, and for all documents: mean shares of character classes and of common words over the
-    documents that are long enough to be judged. At most a row for each listed language comes to the driver."""
+def language_references(df: DataFrame, *, text: str = "text", lang: str = "lang", common: int = COMMON) -> dict[str, Reference]:
+    """A reference for each listed language that has documents, and one of all documents (ANY), from those of LEAST_WORDS
+    words or more. At most `common` words of each, and a row of class sums, come to the driver."""
     body = F.coalesce(F.col(text), F.lit(""))
-    own = df.select(body.alias("t"), _language(lang, lang in df.columns).alias("language")).where(F.char_length("t") >= LEAST_CHARACTERS)
-    own = own.select("language", "t", words_of(F.col("t")).alias("w"))
-    common = _by_language(F.col("language"), {k: F.array(*map(F.lit, v)) for k, v in COMMON_WORDS.items()})
-    own = own.select("language", shares(class_counts(F.col("t"), F.char_length(F.array_join("w", "")))).alias("c"), F.when(F.size("w") >= LEAST_WORDS, shares(word_counts(F.col("w"), common))).alias("v"))
-    n_classes, n_words = len(CLASSES) + 2, max(map(len, COMMON_WORDS.values())) + 1
-    sums = own.groupBy("language").agg(F.count("c").alias("n"), F.count("v").alias("m"), *[F.sum(F.get("c", F.lit(i))).alias(f"c{i}") for i in range(n_classes)], *[F.sum(F.get("v", F.lit(i))).alias(f"v{i}") for i in range(n_words)])
-    rows = {r["language"]: r.asDict() for r in sums.collect()}
+    own = df.select(body.alias("t"), _language(lang, lang in df.columns).alias("g")).select("g", "t", words_of(F.col("t")).alias("w"))
+    # white space travels as a word of its own, so one pass and one aggregate do for words and characters; the outer form of
+    # explode, as for the other one Spark would split each text again to leave out those without words
+    held = F.when(F.size("w") >= LEAST_WORDS, F.array_append("w", F.lit(" ")))
+    own = own.select("g", (1.0 / F.greatest(F.size("w"), F.lit(1))).alias("s"), F.char_length("t").alias("n"), held.alias("w"), F.char_length(F.regexp_replace("t", f"[^{SPACE}]+", "")).alias("white"))
+    own = own.select("g", "s", "n", "white", F.explode_outer("w").alias("word")).where("word is not null")
+    counted = own.groupBy("g", "word").agg(F.sum(F.when(F.col("word") != " ", F.col("s")).otherwise(0.0)).alias("s"), F.sum(F.when(F.col("word") != " ", 1.0).otherwise(F.col("white")) / F.col("n")).alias("c"))
+    # each count goes to its language and to all; kept, as sums and common words are both read from it
+    scratch = Scratch(df.sparkSession)
+    both = counted.select(F.explode(F.array_distinct(F.array("g", F.lit(ANY)))).alias("g"), "word", "s", "c").groupBy("g", "word").agg(F.sum("s").alias("s"), F.sum("c").alias("c"))
+    both = scratch.written(both, "words")
+    white = F.col("word") == " "
+    solid = [F.when(white, 0).otherwise(_only(F.col("word"), c)) for c in CLASSES]
+    others = F.when(white, 0).otherwise(F.char_length("word")) - sum(solid, F.lit(0))
+    sums = both.groupBy("g").agg(F.sum("s").alias("n"), *[F.sum(x * F.col("c")).alias(f"c{i}") for i, x in enumerate([*solid, others, F.when(white, 1).otherwise(0)])])
+    first = Window.partitionBy("g").orderBy(F.desc(F.round("s", 9)), "word")
+    top = both.where(~white).withColumn("r", F.row_number().over(first)).where(F.col("r") <= common).groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("word", "s"))).alias("words"))
     out = {}
-    for name, r in rows.items():
-        if name == ANY:
-            continue
-        out[name] = {"classes": [r[f"c{i}"] / r["n"] for i in range(n_classes)] if r["n"] else [], "words": [r[f"v{i}"] / r["m"] for i in range(len(COMMON_WORDS[name]) + 1)] if r["m"] else []}
-    n = sum(r["n"] for r in rows.values())
-    out[ANY] = {"classes": [sum(r[f"c{i}"] or 0 for r in rows.values()) / n for i in range(n_classes)] if n else [], "words": []}
+    for r in sums.join(top, "g", "left").collect():
+        n = r["n"] or 1.0
+        out[r["g"]] = Reference(tuple((r[f"c{i}"] or 0.0) / n for i in range(len(CLASSES) + 2)), {k: v / n for k, v in (r["words"] or {}).items()})
+    scratch.drop("words")
     return out
 
 
-def judge_quality(df: DataFrame, references: dict[str, dict[str, list[float]]] | None = None, *, text: str = "text", lang: str = "lang", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", "kept")
+
+
+def judge_quality(df: DataFrame, references: dict[str, Reference] | None = None, *, text: str = "text", lang: str = "lang", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     """keep columns and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), base_failed, class_distance,
-    word_distance (double; null where not judged) and kept.
+    word_distance (double, to six digits; null where not judged) and kept.
 
-    A null text has no words and fails the base rules. A null or unlisted language is compared with the characters of
-    all documents, its words with nothing. Repeated rows are judged alike. Columns not in keep are left out; a keep
-    column named like a result gives way to it. Without references those of df itself are worked out first.
+    A null text has no words and fails the base rules. A null or unlisted language, and one without a reference, is
+    compared with that of all documents. Repeated rows are judged alike; texts of any length are taken whole. Columns not
+    in keep are left out; a keep column named like a result gives way to it. Without references those of df itself are
+    worked out first.
     """
     references = language_references(df, text=text, lang=lang) if references is None else references
-    results = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", "kept")
-    kept = [c for c in keep if c not in results]
+    kept = [c for c in keep if c not in RESULTS]
     base = df.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(kept)], F.coalesce(F.col(text), F.lit("")).alias("__t"), _language(lang, lang in df.columns).alias("__language"))
     own = [f"__k{i}" for i in range(len(kept))]
-    base = base.select(*own, "__t", "__language", words_of(F.col("__t")).alias("__w"))
-    base = base.select(*own, "__t", "__language", "__w", F.char_length(F.array_join("__w", "")).cast("long").alias("word_chars"), repeated_words(F.col("__w")).alias("n_repeat_words"))
+    base = base.select(*own, "__t", "__language", words_of(F.col("__t")).alias("__w"), F.regexp_replace("__t", f"[{SPACE}]+", "").alias("__solid"))
+    base = base.select(*own, "__t", "__language", "__w", "__solid", repeated_words(F.col("__w")).alias("n_repeat_words"))
+    chosen = {k: references.get(k) or references.get(ANY) or Reference() for k in (*LANGUAGES, ANY)}
     language = F.col("__language")
-    classes = _by_language(language, {k: _numbers(references.get(k, references[ANY])["classes"] or references[ANY]["classes"]) for k in (*COMMON_WORDS, ANY)})
-    common = _by_language(language, {k: F.array(*map(F.lit, v)) for k, v in COMMON_WORDS.items()})
-    wanted = _by_language(language, {k: _numbers(references.get(k, {}).get("words")) for k in COMMON_WORDS}) if any(references.get(k, {}).get("words") for k in COMMON_WORDS) else F.lit(None).cast("array<double>")
+    hashed = _hashes(df, sorted({w for r in chosen.values() for w in r.words}))
+    held = {k: bins(r.words, hashed) for k, r in chosen.items()}
+    # as one text that Spark folds into a constant: an expression for each number would take long to plan
+    array = lambda values, kind: F.lit(None).cast(f"array<{kind}>") if not values else F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")
+    classes = _by_language(language, {k: array(r.classes, "double") for k, r in chosen.items()})
+    table = _by_language(language, {k: array(h if chosen[k].words else None, "bigint") for k, (h, _) in held.items()})
+    share = _by_language(language, {k: array(s if chosen[k].words else None, "double") for k, (_, s) in held.items()})
     n = F.size("__w").cast("long")
+    chars, white = F.char_length("__solid"), F.char_length("__t") - F.char_length("__solid")
+    off = lambda d, less: F.round(F.sqrt(F.greatest(d - less, F.lit(0.0))), 6)
+    by_words = let(table, lambda t: let(share, lambda s: F.when(t.isNotNull(), word_divergence(F.col("__w"), t, s))))
     base = base.select(
-        *own, n.alias("n_words"), "word_chars", _only(F.col("__t"), SYMBOLS).cast("long").alias("n_symbols"), repeated_lines(F.col("__t")).alias("n_dup_lines"), "n_repeat_words",
-        F.when(F.char_length("__t") >= LEAST_CHARACTERS, distance(shares(class_counts(F.col("__t"), F.col("word_chars"))), classes)).alias("class_distance"),
-        F.when(n >= LEAST_WORDS, distance(shares(word_counts(F.col("__w"), common)), wanted)).alias("word_distance"),
+        *own, n.alias("n_words"), chars.cast("long").alias("word_chars"), _only(F.col("__solid"), SYMBOLS).cast("long").alias("n_symbols"), repeated_lines(F.col("__t")).alias("n_dup_lines"), "n_repeat_words",
+        F.when(F.char_length("__t") >= LEAST_CHARACTERS, off(divergence(shares(class_counts(F.col("__solid"), white)), classes), F.lit(0.0))).alias("class_distance"),
+        F.when(n >= LEAST_WORDS, off(by_words, WORD_NOISE / n)).alias("word_distance"),
     )
     failed = (F.col("n_words") < BASE_WORDS) | (100 * F.col("n_repeat_words") > BASE_REPEATED_PERCENT * F.col("n_words"))
     far = (F.coalesce("class_distance", F.lit(0.0)) > MOST_CLASS_DISTANCE) | (F.coalesce("word_distance", F.lit(0.0)) > MOST_WORD_DISTANCE)
-    return base.select(*[F.col(o).alias(c) for o, c in zip(own, kept, strict=True)], "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "class_distance", "word_distance", (~failed & ~far).alias("kept"))
+    return base.select(*[F.col(o).alias(c) for o, c in zip(own, kept, strict=True)], *RESULTS[:5], failed.alias("base_failed"), "class_distance", "word_distance", (~failed & ~far).alias("kept"))
+
+
+def _hashes(df: DataFrame, words: list[str]) -> dict[str, int]:
+    """Spark's own hashes of the common words (at most COMMON of each language)."""
+    if not words:
+        return {}
+    held = F.transform(F.split(F.lit(" ".join(words)), " "), lambda w: F.xxhash64(w))
+    return dict(zip(words, df.sparkSession.range(1).select(held.alias("h")).first()["h"], strict=True))
 
 
-def keep_good(df: DataFrame, *, text: str = "text", lang: str = "lang") -> DataFrame:
+def keep_good(df: DataFrame, references: dict[str, Reference] | None = None, *, text: str = "text", lang: str = "lang") -> DataFrame:
     """The rows of df that are kept, with all their columns as they are."""
     whole = df.select(F.struct(*df.columns).alias("__row"), F.col(text).alias("__text"), (F.col(lang) if lang in df.columns else F.lit(None).cast("string")).alias("__lang"))
-    judged = judge_quality(whole, text="__text", lang="__lang", keep=("__row",))
+    judged = judge_quality(whole, references, text="__text", lang="__lang", keep=("__row",))
     # a column that isn't deterministic, and is asked for (it is never null), keeps the filter above this projection; Spark
     # would otherwise put copies of all that kept is made of in its place, each of which is worked out anew
     judged = judged.withColumn("__n", F.monotonically_increasing_id())

@@ -33,10 +33,39 @@ def classes(t):
     return [*own, w - sum(own), len(t) - w]
 
 
-def distance(p, q):
-    p, q = [x / sum(p) for x in p], [x / sum(q) for x in q]
+def divergence(p, q):
     part = lambda a, b: sum(x * math.log2(x / ((x + y) / 2)) / 2 for x, y in zip(a, b) if x > 0)
-    return math.sqrt(max(part(p, q) + part(q, p), 0))
+    return max(part(p, q) + part(q, p), 0)
+
+
+def plain_references(rows):
+    """language -> (mean class shares, common words and their mean shares), and of all documents."""
+    out = {}
+    for lang in (*rules.LANGUAGES, rules.ANY):
+        own = [(r.text or "") for r in rows if len(WORD.findall(r.text or "")) >= rules.LEAST_WORDS and lang in (r.lang, rules.ANY)]
+        if not own:
+            continue
+        total = Counter()
+        for t in own:
+            w = WORD.findall(t)
+            for x, n in Counter(w).items():
+                total[x] += n / len(w)
+        top = sorted(total, key=lambda x: (-round(total[x], 9), x.encode()))[: rules.COMMON]
+        out[lang] = [sum(c) / len(own) for c in zip(*([x / len(t) for x in classes(t)] for t in own))], {x: total[x] / len(own) for x in top}
+    return out
+
+
+def plain_distances(r, refs):
+    t = r.text or ""
+    c, common = refs.get(r.lang) or refs[rules.ANY]
+    w, by_class, by_word = WORD.findall(t), None, None
+    if len(t) >= rules.LEAST_CHARACTERS:
+        by_class = math.sqrt(divergence([x / len(t) for x in classes(t)], c))
+    if len(w) >= rules.LEAST_WORDS:
+        n = Counter(w)
+        p = [n[x] / len(w) for x in common]
+        by_word = math.sqrt(max(divergence([*p, max(1 - sum(p), 0)], [*common.values(), max(1 - sum(common.values()), 0)]) - rules.WORD_NOISE / len(w), 0))
+    return by_class, by_word
 
 
 def test_base_counts(docs):
@@ -63,35 +92,41 @@ def small(spark):
 
 def test_distances(small):
     rows = small.collect()
-    long = [r for r in rows if len(r.text or "") >= rules.LEAST_CHARACTERS]
-    mean = {}
-    for lang in rules.COMMON_WORDS:
-        own = [[x / len(r.text) for x in classes(r.text)] for r in long if r.lang == lang]
-        if own:
-            mean[lang] = [sum(c) / len(own) for c in zip(*own)]
-    refs = rules.language_references(small)
-    for lang, m in mean.items():
-        assert refs[lang]["classes"] == pytest.approx(m)
-
-    def words(r):
-        w, common = [x.lower() for x in WORD.findall(r.text)], rules.COMMON_WORDS[r.lang]
-        c = Counter(w)
-        own = [c[x] for x in common]
-        return [*own, len(w) - sum(own)]
-
+    want, refs = plain_references(rows), rules.language_references(small)
+    assert set(want) == set(refs)
+    for lang, (c, w) in want.items():
+        assert refs[lang].classes == pytest.approx(c) and set(refs[lang].words) == set(w)
+        assert all(refs[lang].words[x] == pytest.approx(v) for x, v in w.items())
+    plain = {lang: (list(r.classes), r.words) for lang, r in refs.items()}
     for r in rules.judge_quality(small, refs, keep=("doc_id", "text", "lang")).collect():
-        if len(r.text) >= rules.LEAST_CHARACTERS:
-            assert r.class_distance == pytest.approx(distance(classes(r.text), refs[r.lang]["classes"]), abs=1e-9)
-        else:
-            assert r.class_distance is None
-        if r.n_words >= rules.LEAST_WORDS:
-            assert r.word_distance == pytest.approx(distance(words(r), refs[r.lang]["words"]), abs=1e-9)
-        else:
-            assert r.word_distance is None
+        for got, d in zip((r.class_distance, r.word_distance), plain_distances(r, plain), strict=True):
+            assert got is None and d is None or got == pytest.approx(d, abs=1e-6)
         far = (r.class_distance or 0) > rules.MOST_CLASS_DISTANCE or (r.word_distance or 0) > rules.MOST_WORD_DISTANCE
         assert r.kept == (not r.base_failed and not far)
 
 
+def test_references_of_a_clean_set(spark, small):
+    """References of other documents judge these; a language without one is compared with all."""
+    clean = small.where("lang = 'en'")
+    refs = rules.language_references(clean)
+    assert set(refs) == {"en", rules.ANY} and refs["en"].classes == pytest.approx(refs[rules.ANY].classes) and refs["en"].words == pytest.approx(refs[rules.ANY].words)
+    got = {r.doc_id: r for r in rules.judge_quality(small, refs, keep=("doc_id", "lang")).collect()}
+    far = [r.word_distance for r in got.values() if r.lang == "de" and r.word_distance is not None]
+    assert far and min(far) > rules.MOST_WORD_DISTANCE
+    none = rules.judge_quality(small, {}).collect()
+    assert all(r.class_distance is None and r.word_distance is None and r.kept == (not r.base_failed) for r in none)
+
+
+def test_bins_hold_every_word():
+    for n in (0, 1, 5, 256, 900):
+        share = {f"w{i}": 1 / (i + 2) for i in range(n)}
+        hashes = {w: hash((w, 1)) | 1 for w in share}
+        table, held = rules.bins(share, hashes)
+        at = {h: i for i, h in enumerate(table) if h}
+        assert len(table) & (len(table) - 1) == 0 and len(at) == n
+        assert all(at[hashes[w]] in rules._places(hashes[w], len(table)) and held[at[hashes[w]]] == x for w, x in share.items())
+
+
 def test_labelled_good_documents_stay(spark):
     path = "/root/testdata/sf0.01"
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{path}/labels.parquet").collect()}
