@@ -369,7 +369,8 @@ def repeated_windows(df: DataFrame, scratch: Scratch, *, doc: str = "doc_id", te
         concerned = marks(runs.withColumn("place", _place("key")).join(places, "place", "left_semi"), "doc")
         chains = scratch.written(_chains(docs, window, bits, concerned), "chains")
         once = chains.groupBy("d1", "d2").agg(F.min(F.struct("doc", "whole", "first", "windows")).alias("r"), F.max("doc").alias("high"))
-        once = scratch.written(once.select("d1", "d2", "high", "r.*"), "once").select("*", F.posexplode("windows").alias("at", "w")).select("d1", "d2", "doc", "whole", "first", "high", "at", "w.c1", "w.c2")
+        once = once.select("d1", "d2", "high", "r.*").select("*", F.posexplode("windows").alias("at", "w"))
+        once = scratch.written(once.select("d1", "d2", "doc", "whole", "first", "high", "at", "w.c1", "w.c2"), "once")
         singles = once.groupBy(F.col("c1").alias("key"), "c1", "c2").agg(F.min(F.struct("doc", "whole", (F.col("first") + F.col("at")).alias("first"), F.lit(1).alias("n"))).alias("r"), F.max("high").alias("high"))
         different = different.unionByName(singles.where("r.doc < high"))
     wanted = different.groupBy(F.col("r.doc").alias("doc"), F.col("r.whole").alias("whole")).agg(F.collect_list(F.struct("key", "c1", "c2", F.col("r.first").alias("first"), F.col("r.n").alias("n"), "high")).alias("wants"))
