@@ -295,11 +295,21 @@ def tokenizer(path: str) -> WordBPE:
     return _loaded[path]
 
 
+def encoded_lists(bpe: WordBPE, column):
+    """The id lists of an Arrow column of texts; empty for null."""
+    import pyarrow as pa
+
+    lists = bpe.encode(column.to_pylist())
+    offsets = np.zeros(len(lists) + 1, np.int32)
+    np.cumsum([len(x) for x in lists], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists).astype(np.int32) if lists else np.empty(0, np.int32)))
+
+
 def encode_documents(df: DataFrame, vocabulary: str, *, text: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     """keep columns and `ids`, the token ids of each whole text (array of int; empty for a null or empty text).
 
-    No shuffle: each batch of rows is encoded where it was read. Repeated rows are encoded alike; a keep column named
-    like the text or `ids` is left out, as are all others.
+    No shuffle: each batch of rows is encoded where it was read, texts of any length whole. Repeated rows are encoded
+    alike, an empty df gives no rows; a keep column named like the text or `ids` is left out, as are all others.
     """
     ship(df.sparkSession)
     kept = [c for c in keep if c not in ("ids", "__text")]
@@ -311,17 +321,28 @@ def encode_documents(df: DataFrame, vocabulary: str, *, text: str = "text", keep
         bpe = tokenizer(vocabulary)
         for big in batches:
             for batch in slices(big, "__text"):
-                lists = bpe.encode(batch.column("__text").to_pylist())
-                offsets = np.zeros(len(lists) + 1, np.int32)
-                np.cumsum([len(x) for x in lists], out=offsets[1:])
-                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists).astype(np.int32) if lists else np.empty(0, np.int32)))
-                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], ids], [*kept, "ids"])
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], encoded_lists(bpe, batch.column("__text"))], [*kept, "ids"])
 
     return base.mapInArrow(run, T.StructType([*df.select(*kept).schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
 
+def decoded_lists(bpe: WordBPE, column):
+    """The texts of an Arrow column of id lists; null for null."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    bounds = np.asarray(column.offsets, np.int64)
+    block, offsets = bpe.decode(np.asarray(column.values)[bounds[0] : bounds[-1]], bounds - bounds[0])
+    texts = pa.Array.from_buffers(pa.large_string(), len(column), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(block)])
+    return (pc.if_else(column.is_valid(), texts, None) if column.null_count else texts).cast(pa.string())
+
+
 def decode_documents(df: DataFrame, vocabulary: str, *, ids: str = "ids") -> DataFrame:
-    """df with `decoded`, the text of each id list; null for null. A column of that name is replaced."""
+    """df with `decoded`, the text of each id list; null for null, empty for an empty one. A column of that name is replaced.
+
+    Lists of any length are decoded whole, a bounded number of ids at a time or one list; repeated rows are decoded
+    alike, and an empty df gives no rows.
+    """
     ship(df.sparkSession)
     base = df.drop("decoded")
 
@@ -330,17 +351,26 @@ def decode_documents(df: DataFrame, vocabulary: str, *, ids: str = "ids") -> Dat
 
         bpe = tokenizer(vocabulary)
         for big in batches:
-            for at in range(0, max(big.num_rows, 1), 256):
-                batch = big.slice(at, 256)
-                column = batch.column(ids)
-                bounds = np.asarray(column.offsets, np.int64)
-                flat = np.asarray(column.values)[bounds[0] : bounds[-1]]
-                block, offsets = bpe.decode(flat, bounds - bounds[0])
-                decoded = pa.Array.from_buffers(pa.large_string(), batch.num_rows, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(block)])
-                if column.null_count:
-                    import pyarrow.compute as pc
-
-                    decoded = pc.if_else(column.is_valid(), decoded, None)
-                yield pa.RecordBatch.from_arrays([*batch.columns, decoded.cast(pa.string())], [*batch.schema.names, "decoded"])
+            for batch in slices(big, ids):
+                yield pa.RecordBatch.from_arrays([*batch.columns, decoded_lists(bpe, batch.column(ids))], [*batch.schema.names, "decoded"])
 
     return base.mapInArrow(run, T.StructType([*base.schema.fields, T.StructField("decoded", T.StringType())]))
+
+
+def round_trip(df: DataFrame, vocabulary: str, *, text: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """keep columns, `ids` and `decoded` of each whole text: encode_documents and decode_documents in one pass, so that the
+    ids go through Arrow once. Nulls, odd rows and clashing columns are as there."""
+    ship(df.sparkSession)
+    kept = [c for c in keep if c not in ("ids", "decoded", "__text")]
+    base = df.select(*kept, F.col(text).alias("__text"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        bpe = tokenizer(vocabulary)
+        for big in batches:
+            for batch in slices(big, "__text"):
+                ids = encoded_lists(bpe, batch.column("__text"))
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], ids, decoded_lists(bpe, ids)], [*kept, "ids", "decoded"])
+
+    return base.mapInArrow(run, T.StructType([*df.select(*kept).schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]))

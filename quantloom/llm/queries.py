@@ -22,25 +22,8 @@ def vocabulary() -> str:
 
 
 def op1_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = bpe.encode_documents(table(spark, sf_dir, "documents"), vocabulary())
-    decoded = bpe.decode_documents(encoded, vocabulary())
-
-    def digest(batches):
-        import hashlib
-
-        import numpy as np
-        import pyarrow as pa
-
-        decimal = np.array([str(i).encode() for i in range(1 << 16)], object)
-        for batch in batches:
-            column = batch.column("ids")
-            bounds = np.asarray(column.offsets).tolist()
-            words = decimal[np.asarray(column.values)].tolist()
-            ids = [hashlib.sha256(b" ".join(words[a:z])).hexdigest() for a, z in zip(bounds, bounds[1:])]
-            texts = [hashlib.sha256(x.encode()).hexdigest() for x in batch.column("decoded").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([z - a for a, z in zip(bounds, bounds[1:])], pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return decoded.mapInArrow(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    both = bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary())
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
