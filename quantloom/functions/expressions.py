@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window, WindowSpec, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 KEYS = ("Date", "Ticker")
 
 
 def null_nan(c: Column) -> Column:
-    """NaN as NULL; at every ingress of doubles."""
+    """NaN as NULL."""
     return F.when(~F.isnan(c), c)
 
 
+def without_nan(df: DataFrame) -> DataFrame:
+    """df with NULL for each NaN: every source and every operator that takes a user's doubles begins with this."""
+    names = [c for c, t in df.dtypes if t in ("double", "float")]
+    return df.select(*[null_nan(F.col(f"`{c}`")).alias(c) if c in names else F.col(f"`{c}`") for c in df.columns]) if names else df
+
+
 def safe_div(a: Column, b: Column) -> Column:
     """a / b, NULL where b is 0 or missing."""
     return F.try_divide(a, b)
@@ -34,12 +40,6 @@ def paired_corr(x: Column, y: Column) -> Column:
     return F.when(varied, F.try_divide(F.covar_pop(px, py), F.stddev_pop(px) * F.stddev_pop(py)))
 
 
-def average_rank(value: str, *groups: str) -> Column:
-    """1-based rank within groups, ties sharing their mean rank; the value must not be missing."""
-    own = Window.partitionBy(*groups)
-    return F.rank().over(own.orderBy(value)) + (F.count("*").over(Window.partitionBy(*groups, value)) - 1) / F.lit(2.0)
-
-
 def quantile_bucket(rank: Column, n: Column, q: int) -> Column:
     """0-based bucket of a 1-based rank among n: intervals (edge, edge] between interpolated quantiles of 1..n.
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.expressions import KEYS, by_ticker, full_window, positive, safe_div
+from ..functions.expressions import KEYS, by_ticker, full_window, positive, safe_div, without_nan
 
 
 @dataclass(frozen=True)
@@ -115,5 +115,6 @@ def check_factors(factors: Sequence[Factor], columns: Sequence[str]) -> None:
 def compute_raw_exposures(panel: DataFrame, factors: Sequence[Factor]) -> DataFrame:
     """Date, Ticker and one column for each factor. All windows share one partitioning and sort order."""
     check_factors(factors, panel.columns)
+    panel = without_nan(panel)
     helpers = {k: c for f in factors for k, c in f.helpers().items()}
     return (panel.withColumns(helpers) if helpers else panel).select(*KEYS, *[f.expr().alias(f.name) for f in factors])

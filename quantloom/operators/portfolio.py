@@ -105,3 +105,19 @@ def busy_dates(df: DataFrame, least: int = 50, subset: Sequence[str] | None = No
     """Complete rows of the dates that have at least `least` of them."""
     full = df.dropna("any", subset=list(subset) if subset else None)
     return full.join(full.groupBy("Date").agg(F.count("*").alias("__n")).where(F.col("__n") >= least).select("Date"), "Date", "left_semi")
+
+
+def held_weights(weights: DataFrame, least: float) -> DataFrame:
+    """The positions above `least`."""
+    return weights.where(F.col("weight") > least)
+
+
+def renormalized(weights: DataFrame, tickers: DataFrame) -> DataFrame:
+    """Ticker, weight of the positions among tickers, made to sum to 1; NULL where they sum to 0."""
+    kept = weights.join(tickers.select("Ticker").distinct(), "Ticker", "left_semi")
+    return kept.select("Ticker", "weight").join(F.broadcast(kept.agg(F.sum("weight").alias("total")))).select("Ticker", safe_div(F.col("weight"), F.col("total")).alias("weight"))
+
+
+def reported(df: DataFrame, value: str, rows: int = 60) -> DataFrame:
+    """df with `value` as it was so many of the ticker's rows before: a stand-in for the time that reports take to appear."""
+    return df.withColumn(value, F.lag(value, rows).over(by_ticker()))

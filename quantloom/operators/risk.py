@@ -11,12 +11,13 @@ from collections.abc import Mapping, Sequence
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from ..functions.expressions import KEYS, by_ticker, full_window, safe_div
+from ..functions.expressions import KEYS, by_ticker, full_window, null_nan, safe_div
 
 
 def simple_returns(prices: DataFrame, price: str = "px_last") -> DataFrame:
     """Date, Ticker, r: the change against the ticker's previous row; nothing is filled."""
-    return prices.select(*KEYS, (safe_div(F.col(price), F.lag(price).over(by_ticker())) - 1).alias("r"))
+    p = prices.select(*KEYS, null_nan(F.col(price)).alias("p"))
+    return p.select(*KEYS, (safe_div(F.col("p"), F.lag("p").over(by_ticker())) - 1).alias("r"))
 
 
 def aligned_panel(x: DataFrame, r: DataFrame, factors: Sequence[str]) -> DataFrame:
@@ -69,12 +70,15 @@ def factor_covariance(returns: DataFrame, *, shrinkage: str = "ledoit-wolf") ->
         raise ValueError("shrinkage must be 'ledoit-wolf' or 'sample'")
     names = [c for c in returns.columns if c != "Date"]
     full = returns.dropna("any", subset=names)
+    full = full.persist()
     means = full.agg(*[F.avg(c).alias(c) for c in names]).first()
     if any(means[c] is None for c in names):
+        full.unpersist()
         raise ValueError("there are no complete factor returns")
     x = {c: F.col(c) - F.lit(means[c]) for c in names}
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
     row = full.agg(F.count("*").alias("n"), *[s for i, (a, b) in enumerate(pairs) for s in (F.sum(x[a] * x[b]).alias(f"s{i}"), F.sum(x[a] * x[a] * x[b] * x[b]).alias(f"t{i}"))]).first()
+    full.unpersist()
     n, p = row["n"], len(names)
     s, t = np.zeros((p, p)), np.zeros((p, p))
     for i, (a, b) in enumerate(pairs):
@@ -98,7 +102,8 @@ def specific_variance(eps: DataFrame, *, shrinkage: str = "none") -> DataFrame:
     if shrinkage not in ("none", "diagonal"):
         raise ValueError("shrinkage must be 'none' or 'diagonal'")
     own = eps.groupBy("Ticker").agg(F.var_samp("eps").alias("v"))
-    mean = F.lit(own.agg(F.avg("v")).first()[0]).cast("double")
+    own = own.join(F.broadcast(own.agg(F.avg("v").alias("mean"))))  # one row
+    mean = F.col("mean")
     v = F.coalesce("v", mean)
     return own.select("Ticker", (v if shrinkage == "none" else 0.8 * v + 0.2 * mean).alias("specific_var"))
 
@@ -125,8 +130,11 @@ def latest_cross_section(x: DataFrame, as_of) -> DataFrame:
     return x.where(F.col("Date") == F.lit(day))
 
 
-def asset_covariance(x_t: DataFrame, f: np.ndarray, d: DataFrame, factors: Sequence[str]) -> DataFrame:
-    """t1, t2, cov of every pair of one cross-section: only where the whole matrix is asked for (its size is N x N)."""
+def asset_covariance(x_t: DataFrame, f: np.ndarray, d: DataFrame, factors: Sequence[str], *, most: int) -> DataFrame:
+    """t1, t2, cov of every pair of one cross-section: only where the whole matrix is asked for. It has a row for each pair,
+    so the caller says for how many assets that is meant (`most`); ValueError where there are more."""
+    if (n := x_t.count()) > most:
+        raise ValueError(f"a covariance of {n} assets has {n * n} rows; at most {most} assets were asked for")
     own = x_t.select("Ticker", *factors).join(d, "Ticker", "left")
     a = own.select(F.col("Ticker").alias("t1"), *[F.col(c).alias(f"a{i}") for i, c in enumerate(factors)], F.coalesce("specific_var", F.lit(0.0)).alias("v"))
     b = own.select(F.col("Ticker").alias("t2"), *[F.col(c).alias(f"b{i}") for i, c in enumerate(factors)])

@@ -10,19 +10,25 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions.expressions import KEYS, clip, safe_div
+from ..functions.expressions import KEYS, clip, safe_div, without_nan
+from .joins import duplicate_keys
 
 
-def factor_columns(x: DataFrame) -> list[str]:
-    """The numeric exposures beside the keys; ValueError where the contract is broken."""
+def factor_columns(x: DataFrame, unique: bool = False) -> list[str]:
+    """The numeric exposures beside the keys; ValueError where the contract is broken. unique: also look, in a job of its
+    own, for keys that come up twice."""
     if not set(KEYS) <= set(x.columns):
         raise ValueError("exposures need the key columns Date and Ticker")
+    if not isinstance(x.schema["Date"].dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        raise ValueError("the column Date must hold dates")
     names = [c for c in x.columns if c not in KEYS]
     if not names:
         raise ValueError("exposures need at least one factor column")
     wrong = [c for c in names if not isinstance(x.schema[c].dataType, T.NumericType)]
     if wrong:
         raise ValueError(f"exposures must be numeric: {wrong}")
+    if unique and not duplicate_keys(x).isEmpty():
+        raise ValueError("exposures hold a (Date, Ticker) twice")
     return names
 
 
@@ -43,6 +49,7 @@ def winsorize(x: DataFrame, *, lower_quantile: float = 0.01, upper_quantile: flo
     if not 0 <= low < high <= 1:
         raise ValueError("quantiles must satisfy 0 <= lower < upper <= 1")
     names = factor_columns(x)
+    x = without_nan(x)
     q = F.array(F.lit(low), F.lit(high))
     held = with_statistics(x, ["Date"], [F.percentile(c, q).alias(f"__q_{c}") for c in names])
     return held.select(*KEYS, *[clip(F.col(c), F.col(f"__q_{c}")[0], F.col(f"__q_{c}")[1]).alias(c) for c in names])
@@ -55,6 +62,7 @@ def winsorize_pooled(df: DataFrame, quantile: float) -> DataFrame:
     names = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
     if not names:
         return df
+    df = without_nan(df)
     bounds = df.agg(*[F.percentile(c, F.array(F.lit(float(quantile)), F.lit(1.0 - quantile))).alias(c) for c in names]).first()
     return df.withColumns({c: clip(F.col(c), F.lit(bounds[c][0]), F.lit(bounds[c][1])) for c in names if bounds[c]})
 
@@ -66,6 +74,7 @@ def zscore(x: DataFrame, *, ddof: int = 0, least: int = 1) -> DataFrame:
     if ddof < 0:
         raise ValueError("ddof must not be negative")
     names = factor_columns(x)
+    x = without_nan(x)
     wanted = [s for c in names for s in (F.avg(c).alias(f"__m_{c}"), F.var_pop(c).alias(f"__v_{c}"), F.count(c).alias(f"__n_{c}"), (F.min(c) < F.max(c)).alias(f"__d_{c}"))]
     held = with_statistics(x, ["Date"], wanted)
 
@@ -89,6 +98,7 @@ def neutralize(x: DataFrame, panel: DataFrame, *, industry_column: str = "gics_s
     needed = [industry_column] * neutralize_industry + [market_cap_column] * neutralize_size
     if missing := [c for c in needed if c not in panel.columns]:
         raise ValueError(f"panel is missing neutralization columns: {missing}")
+    x, panel = without_nan(x), without_nan(panel)
     group = F.col(industry_column) if neutralize_industry else F.lit("all")
     cap = F.ln(F.when(F.col(market_cap_column) > 0, F.col(market_cap_column))) if neutralize_size else F.lit(0.0)
     held = x.join(panel.select(*KEYS, group.alias("__g"), cap.alias("__l")), list(KEYS), "left")
@@ -121,7 +131,7 @@ def orthogonalize(x: DataFrame, *, correlation_threshold: float = 0.70) -> DataF
     if not 0 <= threshold <= 1:
         raise ValueError("correlation_threshold must be between 0 and 1")
     names = factor_columns(x)
-    x = x.select(*KEYS, *[F.col(c).cast("double").alias(c) for c in names])
+    x = without_nan(x.select(*KEYS, *[F.col(c).cast("double").alias(c) for c in names]))
 
     def one_date(pdf):
         import numpy as np

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from ..functions.expressions import KEYS, average_rank, by_ticker, paired_corr, quantile_bucket, safe_div
+from ..functions.expressions import KEYS, by_ticker, null_nan, paired_corr, quantile_bucket, safe_div, without_nan
 from .transforms import factor_columns
 
 
@@ -25,38 +26,61 @@ class ValidationConfig:
     candidate_coverage: float = 0.50
 
     def __post_init__(self):
-        for name in ("horizon", "quantiles", "newey_west_lags", "min_cross_section", "min_dates", "annualization"):
+        whole = {"horizon": 1, "quantiles": 2, "newey_west_lags": 0, "min_cross_section": 2, "min_dates": 1, "annualization": 1}
+        for name, least in whole.items():
             v = getattr(self, name)
-            if isinstance(v, bool) or not isinstance(v, int):
+            if type(v) is not int:
                 raise TypeError(f"{name} must be an integer")
-            if v < (0 if name == "newey_west_lags" else 2 if name in ("quantiles", "min_cross_section") else 1):
-                raise ValueError(f"{name} is too small")
-        for name in ("accepted_coverage", "candidate_coverage"):
-            if not 0 <= getattr(self, name) <= 1:
-                raise ValueError(f"{name} must be between 0 and 1")
+            if v < least:
+                raise ValueError(f"{name} must be {least} or more")
+        most = {"accepted_ic": math.inf, "accepted_t": math.inf, "candidate_ic": math.inf, "accepted_coverage": 1, "candidate_coverage": 1}
+        for name, top in most.items():
+            v = getattr(self, name)
+            if isinstance(v, bool) or not isinstance(v, (int, float)) or not math.isfinite(v) or not 0 <= v <= top:
+                raise ValueError(f"{name} must be a number, 0 or more" + (" and 1 or less" if top == 1 else ""))
+
+
+def check_alignment(x: DataFrame, label: DataFrame, value: str = "forward_return") -> None:
+    """ValueError unless x has rows and factors, and label has numbers for exactly its keys, each key once on both sides:
+    labels that fit other rows would only show as a lower coverage."""
+    factor_columns(x)
+    if not isinstance(label.schema[value].dataType, T.NumericType):
+        raise ValueError("labels must be numbers")
+    if x.isEmpty():
+        raise ValueError("there are no exposures")
+    sides = x.select(*KEYS, F.lit(1).alias("x"), F.lit(0).alias("y")).unionByName(label.select(*KEYS, F.lit(0).alias("x"), F.lit(1).alias("y")))
+    odd = sides.groupBy(*KEYS).agg(F.sum("x").alias("x"), F.sum("y").alias("y")).where("x <> 1 or y <> 1").first()
+    if odd is not None:
+        raise ValueError(f"exposures and labels must have the same keys, each once; not so for {odd['Date']}, {odd['Ticker']}")
 
 
 def forward_return(panel: DataFrame, horizon: int = 21, price: str = "px_last") -> DataFrame:
     """Date, Ticker, forward_return = p(t + horizon) / p(t) - 1 by position."""
     if horizon < 1:
         raise ValueError("horizon must be at least 1")
-    return panel.select(*KEYS, (safe_div(F.lead(price, horizon).over(by_ticker()), F.col(price)) - 1).alias("forward_return"))
+    p = panel.select(*KEYS, null_nan(F.col(price)).alias("p"))
+    return p.select(*KEYS, (safe_div(F.lead("p", horizon).over(by_ticker()), F.col("p")) - 1).alias("forward_return"))
 
 
 def labelled(x: DataFrame, label: DataFrame) -> DataFrame:
     """Rows (Date, Ticker, factor, x, y) of every exposure with its label."""
     names = factor_columns(x)
-    held = x.join(label.select(*KEYS, F.col("forward_return").alias("y")), list(KEYS), "left")
+    held = without_nan(x).join(label.select(*KEYS, null_nan(F.col("forward_return")).alias("y")), list(KEYS), "left")
     return held.unpivot([*KEYS, "y"], names, "factor", "x")
 
 
 def daily_ic(long: DataFrame, min_cross_section: int = 20) -> DataFrame:
     """Date, factor, ic, rank_ic; NULL on dates with too few pairs or no dispersion."""
-    dates = long.select("Date", "factor").distinct()
-    both = long.where("x is not null and y is not null").select("Date", "factor", "x", "y", average_rank("x", "Date", "factor").alias("rx"), average_rank("y", "Date", "factor").alias("ry"))
-    daily = both.groupBy("Date", "factor").agg(F.count("*").alias("n"), paired_corr(F.col("x"), F.col("y")).alias("ic"), paired_corr(F.col("rx"), F.col("ry")).alias("rank_ic"))
+    own = Window.partitionBy("Date", "factor")
+    paired = F.col("x").isNotNull() & F.col("y").isNotNull()
+    px, py = F.when(paired, F.col("x")), F.when(paired, F.col("y"))
+    # all ranks by one partitioning: a tie's average rank is the mean of its first and its last one
+    ranked = long.select("Date", "factor", px.alias("x"), py.alias("y"), F.count(F.when(paired, 1)).over(own).alias("n"))
+    average = lambda c: F.when(F.col(c).isNotNull(), (F.rank().over(own.orderBy(F.col(c).asc_nulls_last())) + F.col("n") + 1 - F.rank().over(own.orderBy(F.col(c).desc_nulls_last()))) / 2)
+    ranked = ranked.select("Date", "factor", "x", "y", average("x").alias("rx"), average("y").alias("ry"))
+    daily = ranked.groupBy("Date", "factor").agg(F.count("x").alias("n"), paired_corr(F.col("x"), F.col("y")).alias("ic"), paired_corr(F.col("rx"), F.col("ry")).alias("rank_ic"))
     enough = F.col("n") >= min_cross_section
-    return dates.join(daily, ["Date", "factor"], "left").select("Date", "factor", F.when(enough, F.col("ic")).alias("ic"), F.when(enough, F.col("rank_ic")).alias("rank_ic"))
+    return daily.select("Date", "factor", F.when(enough, F.col("ic")).alias("ic"), F.when(enough, F.col("rank_ic")).alias("rank_ic"))
 
 
 def newey_west(series: DataFrame, value: str, lags: int, by: str = "factor", order: str = "Date") -> DataFrame:
@@ -98,16 +122,21 @@ def factor_correlations(x: DataFrame) -> DataFrame:
 
 
 def admission(c: ValidationConfig) -> Column:
-    """accepted, candidate or rejected; what is missing meets no threshold."""
-    accepted = (F.abs("mean_rank_ic") >= c.accepted_ic) & (F.abs("nw_t") >= c.accepted_t) & (F.col("coverage") >= c.accepted_coverage) & (F.col("n_dates") >= c.min_dates)
-    candidate = (F.abs("mean_rank_ic") >= c.candidate_ic) & (F.col("coverage") >= c.candidate_coverage)
+    """accepted, candidate or rejected; what is missing, or NaN, meets no threshold."""
+    ic, t, coverage = F.abs(null_nan(F.col("mean_rank_ic"))), F.abs(null_nan(F.col("nw_t"))), null_nan(F.col("coverage"))
+    accepted = (ic >= c.accepted_ic) & (t >= c.accepted_t) & (coverage >= c.accepted_coverage) & (F.col("n_dates") >= c.min_dates)
+    candidate = (ic >= c.candidate_ic) & (coverage >= c.candidate_coverage)
     return F.when(accepted, "accepted").when(candidate, "candidate").otherwise("rejected")
 
 
 def validate_factors(x: DataFrame, label: DataFrame, config: ValidationConfig = ValidationConfig()) -> dict[str, DataFrame]:
-    """daily (ICs), summary (one row a factor with its admission), quantiles and correlations."""
-    long = labelled(x, label)
-    daily = daily_ic(long, config.min_cross_section)
+    """daily (ICs), summary (one row a factor with its admission), quantiles and correlations.
+
+    The labelled rows and the daily values are read several times and kept (in memory, else on disk) until the caller
+    clears the cache. check_alignment says beforehand whether labels fit."""
+    x = without_nan(x)
+    long = labelled(x, label).persist()
+    daily = daily_ic(long, config.min_cross_section).persist()
     coverage = long.groupBy("factor").agg(F.coalesce(safe_div(F.count_if(F.col("x").isNotNull() & F.col("y").isNotNull()).cast("double"), F.count("y").cast("double")), F.lit(0.0)).alias("coverage"))
     stats = daily.groupBy("factor").agg(F.count("rank_ic").alias("n_dates"), F.avg("ic").alias("mean_ic"), F.stddev_samp("ic").alias("sd_ic"), F.avg("rank_ic").alias("mean_rank_ic"), F.stddev_samp("rank_ic").alias("sd_rank_ic"))
     ratio = lambda m, s: F.when(F.col(s) > 0, safe_div(F.col(m), F.col(s)) * config.annualization**0.5)

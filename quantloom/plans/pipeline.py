@@ -3,10 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-import json
-import os
-import tempfile
-import uuid
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass
 from pathlib import Path
@@ -16,6 +12,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from ..functions.expressions import KEYS
 from ..operators.factors import Factor, check_factors, compute_raw_exposures
 from ..operators.transforms import factor_columns, neutralize, orthogonalize, winsorize, zscore
+from ..sources.files import exists, joined, write_json, write_whole
 
 
 @dataclass(frozen=True)
@@ -135,34 +132,14 @@ def build_metadata(x: DataFrame, factors: Sequence[Factor], config: PipelineConf
     return {"rows": facts["rows"], "tickers": facts["tickers"], "dates": facts["dates"], "first_date": facts["first"] and facts["first"].isoformat(), "last_date": facts["last"] and facts["last"].isoformat(), "factors": [{"name": f.name, "required_columns": list(f.required_columns)} | per[f.name] for f in factors], "config": settings}
 
 
-def write_json(path: Path, content: dict) -> None:
-    """Whole or not at all: a temporary file takes the name at the end."""
-    handle, name = tempfile.mkstemp(dir=path.parent, prefix=f".{path.name}.")
-    with os.fdopen(handle, "w") as f:
-        json.dump(content, f, allow_nan=False, sort_keys=True, indent=1)
-    os.replace(name, path)
-
-
-def write_parquet_whole(df: DataFrame, path: Path, compression: str, overwrite: bool) -> None:
-    """Written beside the target, then renamed: readers never see a part."""
-    if path.exists() and not overwrite:
-        raise FileExistsError(f"target exists: {path}")
-    part = path.with_name(f".{path.name}.{uuid.uuid4().hex}")
-    df.write.option("compression", compression).parquet(str(part))
-    if path.exists():
-        path.replace(path.with_name(f".{path.name}.old-{uuid.uuid4().hex}"))
-    part.replace(path)
-
-
 def write_artifacts(x: DataFrame, metadata: dict, config: PipelineConfig) -> tuple[str, str]:
-    out = Path(config.output_dir or ".")
-    targets = out / config.exposures_name, out / config.metadata_name
-    if not config.overwrite and (there := [str(t) for t in targets if t.exists()]):
+    spark, out = x.sparkSession, config.output_dir or "."
+    targets = joined(out, config.exposures_name), joined(out, config.metadata_name)
+    if not config.overwrite and (there := [t for t in targets if exists(spark, t)]):
         raise FileExistsError(f"targets exist: {there}")
-    out.mkdir(parents=True, exist_ok=True)
-    write_parquet_whole(x, targets[0], config.compression, config.overwrite)
-    write_json(targets[1], metadata)
-    return str(targets[0]), str(targets[1])
+    write_whole(x, targets[0], overwrite=config.overwrite, compression=config.compression)
+    write_json(spark, targets[1], metadata, overwrite=config.overwrite)
+    return targets
 
 
 def run_pipeline(panel: DataFrame, factors: Sequence[Factor], config: PipelineConfig) -> PipelineResult:
@@ -180,12 +157,12 @@ def run_pipeline(panel: DataFrame, factors: Sequence[Factor], config: PipelineCo
 
 def write_validation_report(result: dict[str, DataFrame], output_dir, *, overwrite: bool = False, compression: str = "snappy") -> list[str]:
     """A Parquet table for each part of validate_factors, and the summary as strict JSON."""
-    out = Path(output_dir)
-    targets = {k: out / f"{k}.parquet" for k in result}
-    if not overwrite and (there := [str(t) for t in (*targets.values(), out / "summary.json") if t.exists()]):
+    spark = result["summary"].sparkSession
+    targets = {k: joined(output_dir, f"{k}.parquet") for k in result}
+    summary = joined(output_dir, "summary.json")
+    if not overwrite and (there := [t for t in (*targets.values(), summary) if exists(spark, t)]):
         raise FileExistsError(f"targets exist: {there}")
-    out.mkdir(parents=True, exist_ok=True)
     for k, t in targets.items():
-        write_parquet_whole(result[k], t, compression, overwrite)
-    write_json(out / "summary.json", {r["factor"]: r.asDict() for r in result["summary"].collect()})
-    return [*map(str, targets.values()), str(out / "summary.json")]
+        write_whole(result[k], t, overwrite=overwrite, compression=compression)
+    write_json(spark, summary, {r["factor"]: r.asDict() for r in result["summary"].collect()}, overwrite=overwrite)
+    return [*targets.values(), summary]

@@ -397,7 +397,7 @@ def _(spark, sf_dir):
 @register("asset_cov_latest", "SELECT a.Ticker AS t1, b.Ticker AS t2, round(a.f1 * b.f1 * c11 + (a.f1 * b.f2 + a.f2 * b.f1) * c12 + a.f2 * b.f2 * c22 + CASE WHEN a.Ticker = b.Ticker THEN COALESCE(specific_var, 0) ELSE 0 END, 8) AS cov FROM xt a CROSS JOIN xt b CROSS JOIN f LEFT JOIN d ON a.Ticker = d.Ticker", "xt", "f", "d")
 def _(spark, sf_dir):
     x, _r, f, d = estimated(spark, sf_dir)
-    return rounded(risk.asset_covariance(risk.latest_cross_section(x, AS_OF), f, d, X2), 8)
+    return rounded(risk.asset_covariance(risk.latest_cross_section(x, AS_OF), f, d, X2, most=2_000), 8)
 
 
 @register("asset_vol", f"SELECT Date, Ticker, {r6('vol')} FROM model", "model")

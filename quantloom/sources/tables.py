@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import logging
+import re
 from collections.abc import Mapping, Sequence
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from ..functions.expressions import KEYS
+from ..functions.expressions import KEYS, without_nan
 from ..operators.joins import duplicate_keys
 from ..operators.transforms import winsorize_pooled
+from .files import exists
 
 log = logging.getLogger(__name__)
 
@@ -19,28 +21,37 @@ CONTRACT = {n: "double" for n in ("px_last", "market_cap", "pb", "earn_yld", "be
 
 
 def csv_path(path) -> Path:
-    """The path with ~ expanded; FileNotFoundError or ValueError if it isn't a .csv file."""
+    """The path with ~ expanded; an error if it isn't a .csv file. Paths of other file systems (scheme://) are left to Spark."""
     p = Path(path).expanduser()
-    if not p.exists():
-        raise FileNotFoundError(f"CSV file does not exist: {p}")
+    if p.is_dir() or p.suffix.lower() != ".csv":
+        raise ValueError(f"a CSV source is a file that ends in .csv: {p}")
     if not p.is_file():
-        raise ValueError(f"CSV path is not a file: {p}")
-    if p.suffix.lower() != ".csv":
-        raise ValueError(f"file must have the suffix .csv: {p}")
+        raise FileNotFoundError(f"there is no CSV file at {p}")
     return p
 
 
-def load_raw_csv(spark: SparkSession, path, *, encoding: str = "utf-8", **options) -> DataFrame:
-    return spark.read.options(header=True, inferSchema=True, encoding=encoding, **options).csv(str(csv_path(path)))
+def load_raw_csv(spark: SparkSession, path, *, encoding: str = "utf-8", infer: bool = True, **options) -> DataFrame:
+    """All columns, typed by a scan of their own; infer=False: as text, read once."""
+    source = str(path) if "://" in str(path) else str(csv_path(path))
+    return without_nan(spark.read.options(header=True, inferSchema=infer, encoding=encoding, **options).csv(source))
 
 
 def inspect_csv(spark: SparkSession, path, *, nrows: int = 10, encoding: str = "utf-8", **options) -> DataFrame:
-    """The first nrows rows."""
+    """The first nrows rows, typed by themselves (leading zeros make a text): no more of the file is read than their lines."""
     if isinstance(nrows, bool) or not isinstance(nrows, int):
         raise TypeError("nrows must be an integer")
     if nrows <= 0:
         raise ValueError("nrows must be positive")
-    return load_raw_csv(spark, path, encoding=encoding, **options).limit(nrows)
+    text = load_raw_csv(spark, path, encoding=encoding, infer=False, **options).limit(nrows)
+    rows = text.collect()
+    kinds = {}
+    for c in text.columns:
+        held = [r[c] for r in rows if r[c] is not None]
+        whole = held and all(re.fullmatch(r"[+-]?(0|[1-9]\d{0,17})", v) for v in held)
+        number = held and all(re.fullmatch(r"[+-]?((0|[1-9]\d*)\.?\d*|\.\d+)([eE][+-]?\d+)?", v) for v in held)
+        day = held and all(re.fullmatch(r"\d{4}-\d{2}-\d{2}", v) for v in held)
+        kinds[c] = "long" if whole else "double" if number else "date" if day else "string"
+    return spark.createDataFrame(rows, text.schema).select(*[F.col(f"`{c}`").cast(k).alias(c) for c, k in kinds.items()])
 
 
 def describe_columns(df: DataFrame) -> DataFrame:
@@ -65,25 +76,20 @@ def save_parquet(df: DataFrame, path, *, compression: str = "snappy", overwrite:
     return str(path)
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    """Whether there is something at a path of any of Spark's file systems."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
 def load_parquet(spark: SparkSession, path, *, columns: Sequence[str] | None = None, filters=None) -> DataFrame:
-    """Columns and a filter (a Column or SQL text) reach the scan."""
+    """Columns and a filter (a Column or SQL text) reach the scan; NaN becomes NULL, for which the filter counts again."""
     df = spark.read.parquet(str(path))
-    df = df.where(filters) if filters is not None else df
+    df = without_nan(df.where(filters)).where(filters) if filters is not None else without_nan(df)
     return df.select(*columns) if columns else df
 
 
 def csv_to_parquet(spark: SparkSession, csv, parquet, *, parse_dates: Sequence[str] = (), numeric_cols: Sequence[str] = (), winsorize_quantile: float | None = None, keep_cols: Sequence[str] | None = None, compression: str = "snappy", overwrite: bool = False) -> str:
-    """Read once as text with declared casts: numbers that aren't numbers raise, as do dates."""
-    df = load_raw_csv(spark, csv)
+    """Read once as text, with the casts that are declared and no others: 00700 stays a ticker. Numbers that aren't
+    numbers raise, as do dates."""
+    df = load_raw_csv(spark, csv, infer=False)
     if missing := [c for c in (*parse_dates, *numeric_cols, *(keep_cols or ())) if c not in df.columns]:
         raise ValueError(f"columns are missing: {missing}")
-    df = df.withColumns({c: F.col(c).cast("double") for c in numeric_cols} | {c: F.to_date(F.col(c)) for c in parse_dates})
+    df = without_nan(df.withColumns({c: F.col(c).cast("double") for c in numeric_cols} | {c: F.to_date(F.col(c)) for c in parse_dates}))
     df = df.select(*keep_cols) if keep_cols else df
     df = winsorize_pooled(df, winsorize_quantile) if winsorize_quantile is not None else df
     return save_parquet(df, parquet, compression=compression, overwrite=overwrite)
@@ -121,7 +127,7 @@ def standardize_long_panel(raw: DataFrame, *, date_column: str, ticker_column: s
         raise ValueError("missing dates or blank tickers")
     if not duplicate_keys(df).isEmpty():
         raise ValueError("duplicate (Date, Ticker) keys")
-    return df.orderBy(*KEYS)
+    return without_nan(df).orderBy(*KEYS)
 
 
 def number_of(text):
@@ -130,10 +136,17 @@ def number_of(text):
     return F.when(~F.isnan(v), v)
 
 
+#: Serial numbers up to 9999-12-31; a longer run of digits is a date without signs between.
+LAST_SERIAL = 2_958_465
+
+
 def excel_date(text, epoch: str = "1899-12-30"):
-    """Serial numbers as days after the epoch, ISO text as it says; error strings are missing."""
-    days = text.try_cast("double").cast("int")
-    return F.coalesce(F.date_add(F.lit(epoch).cast("date"), days), text.try_cast("date"))
+    """Serial numbers as days after the epoch, eight digits as year, month and day, ISO text as it says; error strings and
+    what is none of these are missing."""
+    days = text.try_cast("double")
+    serial = F.when((days >= 0) & (days <= LAST_SERIAL), F.date_add(F.lit(epoch).cast("date"), F.floor(days).cast("int")))
+    plain = F.when(text.rlike(r"^\d{8}$"), F.concat_ws("-", F.substring(text, 1, 4), F.substring(text, 5, 2), F.substring(text, 7, 2)).try_cast("date"))
+    return F.coalesce(serial, plain, text.try_cast("date"))
 
 
 def pivot_descriptors(long: DataFrame, fields: Mapping[str, str], *, date: str = "date", ticker: str = "ticker", field: str = "field", value: str = "value") -> DataFrame:
