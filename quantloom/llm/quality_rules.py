@@ -12,17 +12,20 @@ References may be those of another, cleaner set of documents: judge_quality take
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import SPACE, Scratch
+from .common import SPACE
 
 #: Languages that have references of their own; a parameter.
 LANGUAGES = ("de", "en", "es", "fr")
 #: The most frequent words of a language that have a bin each; a parameter.
 COMMON = 256
+#: Buckets of hashed words whose sums say which words may be common.
+BUCKETS = 1 << 16
 #: Characters by class; what is in none of these and no white space is the last class but one, white space the last.
 CLASSES = (r"\p{Ll}", r"\p{Lu}", r"\p{Nd}", r".,;:!?'\"()\-")
 #: Jensen-Shannon distances (square roots of divergences to base 2, 0 to 1) above which a document is rejected.
@@ -139,31 +142,25 @@ def bins(reference: dict[str, float], hashes: dict[str, int]) -> tuple[list[int]
         size *= 2
 
 
-def word_divergence(words: Column, table: Column, share: Column) -> Column:
-    """The divergence of a document's words from the shares of common words, all others being one bin.
+def word_divergence(words: Column, table: Column, share: Column, whole: Column) -> Column:
+    """The divergence of a document's words from the shares of common words (whole: their sum), all others being one bin.
 
-    The bins of its common words are sorted and counted in one go; common words that it doesn't have add half their share."""
-    n = F.size(words).cast("double")
+    The hashes of its common words are sorted and counted in one go; common words that it doesn't have add half their share."""
+    n, last = F.size(words).cast("double"), F.size(table).cast("long") - 1
+    first = lambda h: h.bitwiseAND(last).cast("int")
+    other = lambda h: F.shiftright(h, 32).bitwiseAND(last).cast("int")
+    share_of = lambda h: F.when(F.get(table, first(h)) == h, F.get(share, first(h))).otherwise(F.get(share, other(h)))
 
-    def place(w: Column) -> Column:
-        def of(h: Column) -> Column:
-            last = F.size(table).cast("long") - 1
-            a, b = h.bitwiseAND(last).cast("int"), F.shiftright(h, 32).bitwiseAND(last).cast("int")
-            return F.when(F.get(table, a) == h, a).when(F.get(table, b) == h, b)
+    def walk(hashes: Column) -> Column:
+        state = lambda at, q, run, total, seen: F.struct(at.alias("at"), q.alias("q"), run.alias("run"), total.alias("total"), seen.alias("seen"))
+        start = state(F.lit(0).cast("long"), F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(0.0))
+        closed = lambda a: F.when(a["run"] == 0.0, F.lit(0.0)).otherwise(_term(a["run"] / n, a["q"]))
+        step = lambda a, h: F.when(a["at"] == h, state(a["at"], a["q"], a["run"] + 1.0, a["total"], a["seen"])).otherwise(state(h, share_of(h), F.lit(1.0), a["total"] + closed(a), a["seen"] + a["q"]))
+        others = _term((n - F.size(hashes)) / n, F.greatest(1.0 - whole, F.lit(0.0)))
+        return F.aggregate(hashes, start, step, lambda a: a["total"] + closed(a) + (whole - a["seen"] - a["q"]) / 2) + others
 
-        return let(F.xxhash64(w), of)
-
-    def walk(sorted_bins: Column) -> Column:
-        q = lambda at: F.get(share, at)
-        state = lambda at, run, total, seen: F.struct(at.alias("at"), run.alias("run"), total.alias("total"), seen.alias("seen"))
-        start = state(F.lit(-1), F.lit(0.0), F.lit(0.0), F.lit(0.0))
-        closed = lambda a: F.when(a["at"] < 0, F.lit(0.0)).otherwise(_term(a["run"] / n, q(a["at"])))
-        step = lambda a, x: F.when(a["at"] == x, state(a["at"], a["run"] + 1.0, a["total"], a["seen"])).otherwise(state(x, F.lit(1.0), a["total"] + closed(a), a["seen"] + q(x)))
-        whole = F.aggregate(share, F.lit(0.0), lambda x, y: x + y)
-        others = _term((n - F.size(sorted_bins)) / n, F.greatest(1.0 - whole, F.lit(0.0)))
-        return F.aggregate(sorted_bins, start, step, lambda a: a["total"] + closed(a) + (whole - a["seen"]) / 2) + others
-
-    return let(F.sort_array(F.filter(F.transform(words, place), lambda x: x.isNotNull())), walk)
+    known = lambda h: (F.get(table, first(h)) == h) | (F.get(table, other(h)) == h)
+    return let(F.sort_array(F.filter(F.transform(words, lambda w: F.xxhash64(w)), known)), walk)
 
 
 # ---- references and judgements ---------------------------------------------------------------------------------------
@@ -184,31 +181,54 @@ def language_references(df: DataFrame, *, text: str = "text", lang: str = "lang"
     """A reference for each listed language that has documents, and one of all documents (ANY), from those of LEAST_WORDS
     words or more. At most `common` words of each, and a row of class sums, come to the driver."""
     body = F.coalesce(F.col(text), F.lit(""))
-    own = df.select(body.alias("t"), _language(lang, lang in df.columns).alias("g")).select("g", "t", words_of(F.col("t")).alias("w"))
-    # white space travels as a word of its own, so one pass and one aggregate do for words and characters; the outer form of
-    # explode, as for the other one Spark would split each text again to leave out those without words
-    held = F.when(F.size("w") >= LEAST_WORDS, F.array_append("w", F.lit(" ")))
-    own = own.select("g", (1.0 / F.greatest(F.size("w"), F.lit(1))).alias("s"), F.char_length("t").alias("n"), held.alias("w"), F.char_length(F.regexp_replace("t", f"[^{SPACE}]+", "")).alias("white"))
-    own = own.select("g", "s", "n", "white", F.explode_outer("w").alias("word")).where("word is not null")
-    counted = own.groupBy("g", "word").agg(F.sum(F.when(F.col("word") != " ", F.col("s")).otherwise(0.0)).alias("s"), F.sum(F.when(F.col("word") != " ", 1.0).otherwise(F.col("white")) / F.col("n")).alias("c"))
-    # each count goes to its language and to all; kept, as sums and common words are both read from it
-    scratch = Scratch(df.sparkSession)
-    both = counted.select(F.explode(F.array_distinct(F.array("g", F.lit(ANY)))).alias("g"), "word", "s", "c").groupBy("g", "word").agg(F.sum("s").alias("s"), F.sum("c").alias("c"))
-    both = scratch.written(both, "words")
-    white = F.col("word") == " "
-    solid = [F.when(white, 0).otherwise(_only(F.col("word"), c)) for c in CLASSES]
-    others = F.when(white, 0).otherwise(F.char_length("word")) - sum(solid, F.lit(0))
-    sums = both.groupBy("g").agg(F.sum("s").alias("n"), *[F.sum(x * F.col("c")).alias(f"c{i}") for i, x in enumerate([*solid, others, F.when(white, 1).otherwise(0)])])
-    first = Window.partitionBy("g").orderBy(F.desc(F.round("s", 9)), "word")
-    top = both.where(~white).withColumn("r", F.row_number().over(first)).where(F.col("r") <= common).groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("word", "s"))).alias("words"))
+    texts = df.select(body.alias("t"), _language(lang, lang in df.columns).alias("g")).select("g", "t", words_of(F.col("t")).alias("w"))
+    long = F.size("w") >= LEAST_WORDS
+    counts = texts.select("g", long.alias("long"), "t", F.regexp_replace("t", f"[{SPACE}]+", "").alias("solid"))
+    counts = counts.select("g", F.when(F.col("long"), shares(class_counts(F.col("solid"), F.char_length("t") - F.char_length("solid")))).alias("c"))
+    sums = {r["g"]: r for r in counts.groupBy("g").agg(F.count("c").alias("n"), *[F.sum(F.get("c", F.lit(i))).alias(f"c{i}") for i in range(len(CLASSES) + 2)]).collect()}
+    # the outer form of explode: for the other one Spark would split each text again, to leave out those without words
+    words = texts.select("g", (1.0 / F.greatest(F.size("w"), F.lit(1))).alias("s"), F.when(long, F.col("w")).alias("w")).select("g", "s", F.explode_outer("w").alias("word")).where("word is not null")
+    top = _common_words(words, common)
     out = {}
-    for r in sums.join(top, "g", "left").collect():
-        n = r["n"] or 1.0
-        out[r["g"]] = Reference(tuple((r[f"c{i}"] or 0.0) / n for i in range(len(CLASSES) + 2)), {k: v / n for k, v in (r["words"] or {}).items()})
-    scratch.drop("words")
+    for g in (*LANGUAGES, ANY):
+        own = [r for k, r in sums.items() if r["n"] and g in (k, ANY)]
+        if own:
+            n = sum(r["n"] for r in own)
+            out[g] = Reference(tuple(sum(r[f"c{i}"] for r in own) / n for i in range(len(CLASSES) + 2)), {w: s / n for w, s in top.get(g, {}).items()})
     return out
 
 
+def _common_words(words: DataFrame, common: int) -> dict[str, dict[str, float]]:
+    """Of rows (g, s, word) the `common` words of each g, and of all (ANY), with the largest sums of s.
+
+    Most words are rare, and need not be counted one by one: sums of hashed buckets come first (BUCKETS numbers of each g
+    to the driver), then only words in the fullest buckets are counted. No word of another bucket can be among the common
+    ones if the last of these has more than the whole of any such bucket; else more buckets are taken."""
+    bucket = F.xxhash64("word").bitwiseAND(BUCKETS - 1).cast("int")
+    held: defaultdict[str, list[float]] = defaultdict(lambda: [0.0] * BUCKETS)
+    for r in words.groupBy("g", bucket.alias("b")).agg(F.sum("s").alias("s")).collect():
+        for g in {r["g"], ANY}:
+            held[g][r["b"]] += r["s"]
+    wanted = 8 * common
+    while True:
+        order = {g: sorted(range(BUCKETS), key=lambda i: -v[i]) for g, v in held.items()}  # noqa: B023
+        rest = {g: held[g][o[wanted]] if wanted < BUCKETS else 0.0 for g, o in order.items()}
+        chosen = sorted({(g, b) for g in held for o in (order[g], order[ANY]) for b in o[:wanted]})
+        if not chosen:
+            return {}
+        some = F.broadcast(words.sparkSession.createDataFrame(chosen, "g string, b int"))
+        counted = words.withColumn("b", bucket).join(some, ["g", "b"]).groupBy("g", "word").agg(F.sum("s").alias("s"))
+        both = counted.select(F.explode(F.array_distinct(F.array("g", F.lit(ANY)))).alias("g"), "word", "s").groupBy("g", "word").agg(F.sum("s").alias("s"))
+        first = Window.partitionBy("g").orderBy(F.desc(F.round("s", 9)), "word")
+        rows = both.withColumn("r", F.row_number().over(first)).where(F.col("r") <= common).collect()
+        out: dict[str, dict[str, float]] = {}
+        for r in rows:
+            out.setdefault(r["g"], {})[r["word"]] = r["s"]
+        if wanted >= BUCKETS or all((min(w.values()) if len(w) == common else 0.0) > rest[g] + 1e-9 or rest[g] == 0.0 for g, w in out.items()):
+            return out
+        wanted *= 4
+
+
 RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", "kept")
 
 
@@ -239,7 +259,8 @@ def judge_quality(df: DataFrame, references: dict[str, Reference] | None = None,
     n = F.size("__w").cast("long")
     chars, white = F.char_length("__solid"), F.char_length("__t") - F.char_length("__solid")
     off = lambda d, less: F.round(F.sqrt(F.greatest(d - less, F.lit(0.0))), 6)
-    by_words = let(table, lambda t: let(share, lambda s: F.when(t.isNotNull(), word_divergence(F.col("__w"), t, s))))
+    whole = _by_language(language, {k: F.lit(float(sum(r.words.values()))) for k, r in chosen.items()})
+    by_words = let(table, lambda t: let(share, lambda s: F.when(t.isNotNull(), word_divergence(F.col("__w"), t, s, whole))))
     base = base.select(
         *own, n.alias("n_words"), chars.cast("long").alias("word_chars"), _only(F.col("__solid"), SYMBOLS).cast("long").alias("n_symbols"), repeated_lines(F.col("__t")).alias("n_dup_lines"), "n_repeat_words",
         F.when(F.char_length("__t") >= LEAST_CHARACTERS, off(divergence(shares(class_counts(F.col("__solid"), white)), classes), F.lit(0.0))).alias("class_distance"),

@@ -118,6 +118,18 @@ def op8_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2(kept, 256).alias("kept_sha256"))
 
 
+OP8_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') ws FROM documents),
+g AS (SELECT doc_id, i, array_to_string(ws[i:i + 49], ' ') g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) i FROM w WHERE len(ws) >= 50) s),
+first AS (SELECT g, min(doc_id) d FROM g GROUP BY g),
+gone AS (SELECT DISTINCT doc_id, i + o i FROM g JOIN first USING (g), range(50) r(o) WHERE d < doc_id),
+words AS (SELECT doc_id, unnest(ws) word, generate_subscripts(ws, 1) i FROM w),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) t FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) n FROM gone GROUP BY doc_id)
+SELECT doc_id, len(ws) n_words, coalesce(n, 0) n_removed, sha256(coalesce(t, '')) kept_sha256 FROM w LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
+
 def op9_shard_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
     return sharding.assign_shards(docs, ["doc_id"], SHARDS)
@@ -127,6 +139,18 @@ def op10_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+OP10_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) i FROM w WHERE len(ws) > 0) x),
+n AS (SELECT doc_id, count(*) n FROM s GROUP BY doc_id),
+pairs AS (SELECT a.doc_id a, b.doc_id b, count(*) c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id, doc_id r FROM w UNION SELECT reach.doc_id, b FROM reach JOIN ways ON a = r)
+SELECT doc_id, coalesce(any_value(n), 0) n_shingles, min(r) component_id, min(r) = doc_id kept FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_roundtrip": op1_bpe_roundtrip,
     "op2_url_rules": op2_url_rules,
@@ -139,4 +163,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_shard_lookup": op9_shard_lookup,
     "op10_bottom_k": op10_bottom_k,
 }
-ORACLE_SQL: dict[str, str] = {"op2_url_rules": OP2_SQL, "op6_divergence": OP6_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_url_rules": OP2_SQL, "op6_divergence": OP6_SQL, "op8_fm_index": OP8_SQL, "op10_bottom_k": OP10_SQL}
