@@ -13,7 +13,7 @@ from ..sources import workbook
 from ..sources.tables import keyed_mean
 from . import assembly
 from .panel import monthly, panel, quarterly, table
-from .queries import AS_OF, FACTORS, MONTHS, NAMES, ORACLE_SQL, X2, X3, aligned, estimated, r6, register, rounded, x2
+from .queries import AS_OF, FACTORS, MONTHS, NAMES, ORACLE_SQL, X2, X3, aligned, estimated, r6, register, rounded, sql, x2
 from .risk_run import RiskRunConfig, report_summary, run_risk
 
 PANEL = f"SELECT Date, Ticker, round(px_last, 6) AS px_last, round(market_cap, 2) AS market_cap, {r6('pb', 'earn_yld', 'beta')}, round(volume, 2) AS volume, {r6('growth_sales', 'growth_eps', 'leverage')}, gics_sector, gics_industry_group, gics_sub_industry FROM "
@@ -227,6 +227,10 @@ def _(spark, sf_dir):
     return rounded(risk.factor_returns(aligned(spark, sf_dir).join(caps, list(KEYS)), X2, weights="market_cap").dropna("all", subset=X2))
 
 
+# the same model with a row for each date, NULL where it can't be solved
+ORACLE_SQL["factor_returns_intercept"] = sql("SELECT Date, " + ", ".join(f"CASE WHEN n >= 5 THEN round({v}, 6) END AS {n}" for n, v in [("const", "mr - beta1 * m1 - beta2 * m2 - beta3 * m3"), *[(x, f"beta{i + 1}") for i, x in enumerate(X3)]]) + f" FROM ({_solve3('SELECT Date, COUNT(*) AS n, AVG(r) AS mr, ' + _MEANS + ', ' + _sums('1', ['d1', 'd2', 'd3'], 'r') + f' FROM ({_CENTRED}) a GROUP BY Date')}) s", "wz", "panel")
+
+
 def risk_run(spark: SparkSession, sf_dir: str):
     """The whole risk model with all ten factors that a month has enough rows for."""
     p = panel(spark, sf_dir).persist()
