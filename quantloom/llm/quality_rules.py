@@ -258,7 +258,7 @@ def judge_quality(df: DataFrame, references: dict[str, Reference] | None = None,
     share = _by_language(language, {k: array(s if chosen[k].words else None, "double") for k, (_, s) in held.items()})
     n = F.size("__w").cast("long")
     chars, white = F.char_length("__solid"), F.char_length("__t") - F.char_length("__solid")
-    off = lambda d, less: F.round(F.sqrt(F.greatest(d - less, F.lit(0.0))), 6)
+    off = lambda d, less: let(d - less, lambda x: F.when(x.isNotNull(), F.round(F.sqrt(F.greatest(x, F.lit(0.0))), 6)))
     whole = _by_language(language, {k: F.lit(float(sum(r.words.values()))) for k, r in chosen.items()})
     by_words = let(table, lambda t: let(share, lambda s: F.when(t.isNotNull(), word_divergence(F.col("__w"), t, s, whole))))
     base = base.select(

@@ -10,7 +10,9 @@ from quantloom.llm import quality_classifier, quality_rules
 @pytest.fixture(scope="module")
 def corpus(spark, words, tmp_path_factory):
     rng = random.Random(23)
-    draw = lambda n: [rng.choice(words) for _ in range(n)]
+    # as in languages, some words are frequent and most are not: the quality rules judge just that
+    often = [1 / (k + 1) for k in range(len(words))]
+    draw = lambda n: rng.choices(words, often, k=n)
     shared, near = draw(70), draw(150)
     texts = [None, "", "too short"]
     texts += [" ".join(near)] * 2 + [" ".join(near[:149] + ["other"])]
