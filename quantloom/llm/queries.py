@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import audio, bpe, near_dedup, packing, quality_classifier, quality_rules, sharding, substring_dedup, token_store, url_filter
+from . import audio, bpe, clustering, infilling, near_dedup, packing, prefix_hash, quality_classifier, quality_rules, sharding, substring_dedup, token_store, url_filter
 from .audio import UNIT
 from .common import SPACE, table
 
@@ -151,6 +151,71 @@ SELECT doc_id, coalesce(any_value(n), 0) n_shingles, min(r) component_id, min(r)
 """
 
 
+def op11_block_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    assigned = clustering.with_inertia(clustering.cluster_vectors(table(spark, sf_dir, "embeddings")))
+    digest = F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256)
+    return assigned.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", digest.alias("centroid_sha256"))
+
+
+def _op11_sql(clusters: int = clustering.CLUSTERS, rounds: int = clustering.ROUNDS) -> str:
+    near = """a{r} AS (SELECT rid, k, d FROM (SELECT rid, k, d, row_number() OVER (PARTITION BY rid ORDER BY d, k) p FROM (SELECT rid, k, sum((x - c) * (x - c)) d FROM v JOIN c{r} USING (i) GROUP BY rid, k) s) t WHERE p = 1)"""
+    move = """c{n} AS (SELECT c.k, c.i, CASE WHEN s IS NULL THEN c ELSE CAST((s - ((s % m) + m) % m) // m AS BIGINT) END c FROM c{r} c LEFT JOIN (SELECT k, i, sum(x) s, count(*) m FROM a{r} JOIN v USING (rid) GROUP BY k, i) s USING (k, i))"""
+    parts = [f"""WITH kept AS (SELECT row_number() OVER () rid, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) e FROM embeddings
+        WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64),
+    v AS (SELECT rid, unnest(e) x, generate_subscripts(e, 1) i FROM kept),
+    c0 AS (SELECT k, unnest(e) c, generate_subscripts(e, 1) i FROM (SELECT e, row_number() OVER (ORDER BY sha256('3:' || CAST(vec_id AS VARCHAR))) - 1 k FROM kept) s WHERE k < {clusters})"""]
+    for r in range(rounds):
+        parts += [near.format(r=r), move.format(n=r + 1, r=r)]
+    parts += [near.format(r=rounds), f"names AS (SELECT k, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY i)) g FROM c{rounds} GROUP BY k)"]
+    return ", ".join(parts).replace(" AS (", " AS MATERIALIZED (") + f""" SELECT vec_id, CAST(k AS INTEGER) "cluster", CAST(d AS BIGINT) distance, CAST(sum(d) OVER (PARTITION BY k) AS BIGINT) cluster_inertia, CAST(sum(d) OVER () AS BIGINT) inertia, g centroid_sha256
+        FROM kept JOIN a{rounds} USING (rid) JOIN names USING (k)"""
+
+
+OP11_SQL = _op11_sql()
+
+
+def op12_prefix_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = prefix_hash.fingerprint_neighbours(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", F.round("near_edited", 9).alias("near_edited"), F.round("near_next", 9).alias("near_next"))
+
+
+def _prefix_sql(a: str, b: str) -> str:
+    """The number of equal items at the beginning of two lists."""
+    least = f"least(len({a}), len({b}))"
+    return f"coalesce(list_position(list_transform(generate_series(1, {least}), lambda i: {a}[i] <> {b}[i]), true) - 1, {least})"
+
+
+_POLYNOMIAL = ", ".join(f"list_reduce(list_prepend(0::BIGINT, list_reverse(list_transform({{c}}, lambda x: ord(x)::BIGINT + 1))), lambda h, x: (h * {b} + x) % {p}) {{h}}{m}" for m, (b, p) in enumerate(zip(prefix_hash.BASES, prefix_hash.PRIMES)))
+_PRINT = "printf('%x-%08x%08x', len({c}), {h}0, {h}1)"
+_LIKE = "CASE WHEN greatest(len({a}), len({b})) = 0 THEN 1e0 ELSE round(({p} + least({s}, least(len({a}), len({b})) - {p})) / greatest(len({a}), len({b})), 9) END"
+OP12_SQL = f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') t FROM documents),
+n AS (SELECT doc_id, t, regexp_extract_all(t, '(?s).') c, coalesce(lead(t) OVER o, first_value(t) OVER o) u FROM t WINDOW o AS (ORDER BY doc_id DESC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+e AS (SELECT *, regexp_extract_all(u, '(?s).') d, list_concat(c[:len(c) - len(c) // 2], regexp_extract_all(u, '(?s).')[:len(c) // 2]) e FROM n),
+r AS (SELECT *, list_reverse(c) rc, list_reverse(d) rd, list_reverse(e) re FROM e),
+l AS (SELECT *, {_prefix_sql("c", "e")} pe, {_prefix_sql("rc", "re")} se, {_prefix_sql("c", "d")} pn, {_prefix_sql("rc", "rd")} sn, {_POLYNOMIAL.format(c="c", h="f")}, {_POLYNOMIAL.format(c="e", h="g")} FROM r)
+SELECT doc_id, len(c) n_chars, sha256(array_to_string(e, '')) edited_sha256, {_PRINT.format(c="c", h="f")} fingerprint, {_PRINT.format(c="e", h="g")} edited_fingerprint,
+       {_LIKE.format(a="c", b="e", p="pe", s="se")} near_edited, {_LIKE.format(a="c", b="d", p="pn", s="sn")} near_next FROM l
+"""
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = infilling.fill_in_middle(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(infilling.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+_DRAW = "CAST('0x' || substr(h, {k}, 8) AS BIGINT)"
+OP13_SQL = f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) h FROM documents),
+w AS (SELECT doc_id, t, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') ws, {", ".join(f"{_DRAW.format(k=8 * k + 1)} h{k + 1}" for k in range(4))} FROM t),
+c AS (SELECT *, least(h1 % (len(ws) + 1), h2 % (len(ws) + 1)) a, greatest(h1 % (len(ws) + 1), h2 % (len(ws) + 1)) b,
+      CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END form FROM w),
+s AS (SELECT doc_id, t, len(ws) n, form, array_to_string(ws[:a], '') p, array_to_string(ws[a + 1:b], '') m, array_to_string(ws[b + 1:], '') s FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) output_sha256, sha256(t) restored_sha256 FROM s
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_roundtrip": op1_bpe_roundtrip,
     "op2_url_rules": op2_url_rules,
@@ -162,5 +227,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fm_index": op8_fm_index,
     "op9_shard_lookup": op9_shard_lookup,
     "op10_bottom_k": op10_bottom_k,
+    "op11_block_norms": op11_block_norms,
+    "op12_prefix_hashes": op12_prefix_hashes,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
-ORACLE_SQL: dict[str, str] = {"op2_url_rules": OP2_SQL, "op6_divergence": OP6_SQL, "op8_fm_index": OP8_SQL, "op10_bottom_k": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_url_rules": OP2_SQL, "op6_divergence": OP6_SQL, "op8_fm_index": OP8_SQL, "op10_bottom_k": OP10_SQL, "op11_block_norms": OP11_SQL, "op12_prefix_hashes": OP12_SQL, "op13_fill_in_middle": OP13_SQL}
