@@ -83,17 +83,27 @@ def turnover_cost(before: DataFrame, after: DataFrame, rate: float = 0.0023, per
 
 
 def compounded(returns: DataFrame, value: str, order: str = "Date", by: Sequence[str] = ()) -> DataFrame:
-    """returns with `wealth`, the running product of 1 + value (all above -1); missing values count as no change."""
+    """returns with `wealth`, the running product of 1 + value; missing values count as no change.
+
+    Size, sign and zeros of the product run apart, so that a total loss (-1) leaves 0 for good, and a value below -1 turns
+    the sign."""
     w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return returns.withColumn("wealth", F.exp(F.coalesce(F.sum(F.ln(1 + F.col(value))).over(w), F.lit(0.0))))
+    growth = 1 + F.col(value)
+    size = F.exp(F.coalesce(F.sum(F.ln(F.when(growth != 0, F.abs(growth)))).over(w), F.lit(0.0)))
+    turns, losses = F.count_if(growth < 0).over(w), F.count_if(growth == 0).over(w)
+    return returns.withColumn("wealth", F.when(losses > 0, 0.0).when(turns % 2 == 1, -size).otherwise(size))
+
+
+def drawdowns(returns: DataFrame, value: str, order: str = "Date", by: Sequence[str] = ()) -> DataFrame:
+    """compounded returns with `drawdown`, the wealth over its highest so far, less 1."""
+    wealth = compounded(returns, value, order, by)
+    peak = F.max("wealth").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return wealth.withColumn("drawdown", safe_div(F.col("wealth"), peak) - 1)
 
 
 def tear_sheet(returns: DataFrame, value: str = "ret", *, periods: int = 252, cost: float = 0.0, costs_a_year: int = 12) -> DataFrame:
     """One row: annualized return, volatility, Sharpe ratio, largest drawdown, return net of costs. returns is one short series."""
-    wealth = compounded(returns, value)
-    peak = F.max("wealth").over(Window.orderBy("Date").rowsBetween(Window.unboundedPreceding, 0))
-    rows = wealth.withColumn("drawdown", F.col("wealth") / peak - 1)
-    s = rows.agg((F.avg(value) * periods).alias("annual_return"), (F.stddev_samp(value) * periods**0.5).alias("annual_volatility"), F.min("drawdown").alias("max_drawdown"))
+    s = drawdowns(returns, value).agg((F.avg(value) * periods).alias("annual_return"), (F.stddev_samp(value) * periods**0.5).alias("annual_volatility"), F.min("drawdown").alias("max_drawdown"))
     return s.select("annual_return", "annual_volatility", safe_div(F.col("annual_return"), F.col("annual_volatility")).alias("sharpe"), "max_drawdown", (F.col("annual_return") - cost * costs_a_year).alias("net_return"))
 
 

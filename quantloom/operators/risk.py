@@ -12,6 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.expressions import KEYS, by_ticker, full_window, null_nan, safe_div
+from ..functions.shipping import ship
 
 
 def simple_returns(prices: DataFrame, price: str = "px_last") -> DataFrame:
@@ -25,14 +26,38 @@ def aligned_panel(x: DataFrame, r: DataFrame, factors: Sequence[str]) -> DataFra
     return x.join(r, list(KEYS), "left").dropna("any", subset=[*factors, "r"])
 
 
+#: Of a date's Gram matrix with a unit diagonal: eigenvalues up to this share of the largest count as 0.
+RANK_TOLERANCE = 1e-13
+
+
+def least_norm(gram: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each (T x K x K, T x K) the least-norm solution of the normal equations.
+
+    Columns are first scaled to a unit diagonal, so that their units have no part in what counts as dependent. Where some
+    are dependent, what lies in the null space of the unscaled columns is taken off: the solution is the one of least
+    norm in the units given."""
+    root = np.sqrt(np.einsum("tii->ti", gram))
+    scale = np.where(root > 0, root, 1.0)
+    unit = gram / (scale[:, :, None] * scale[:, None, :])
+    values, vectors = np.linalg.eigh(unit)
+    kept = values > RANK_TOLERANCE * np.maximum(values[:, -1:], 1e-300)
+    inverse = np.where(kept, 1 / np.where(kept, values, 1.0), 0.0)
+    beta = np.einsum("tik,tk,tjk,tj->ti", vectors, inverse, vectors, b / scale) / scale
+    for t in np.flatnonzero(~kept.all(axis=1)):
+        null, _ = np.linalg.qr(vectors[t][:, ~kept[t]] / scale[t][:, None])
+        beta[t] -= null @ (null.T @ beta[t])
+    return beta
+
+
 def factor_returns(aligned: DataFrame, factors: Sequence[str], *, weights: str | None = None, intercept: bool = False) -> DataFrame:
     """Date and a column for each factor (and `const`): each date's regression of r, NULL where rows are fewer than K + 1.
 
-    One aggregate of sums of products for each date, then the least-norm solution from it; weights multiply the squares.
+    One aggregate of sums of products for each date, then the least-norm solution from it; weights multiply the squares,
+    negative ones count as 0.
     """
     names = ["const"] * intercept + list(factors)
     column = {n: F.lit(1.0) if n == "const" else F.col(n) for n in names}
-    w = F.col(weights) if weights else F.lit(1.0)
+    w = F.greatest(F.col(weights), F.lit(0.0)) if weights else F.lit(1.0)
     k = len(names)
     cells = [(i, j) for i in range(k) for j in range(i, k)]
     sums = aligned.groupBy("Date").agg(F.count("*").alias("n"), F.array(*[F.sum(w * column[names[i]] * column[names[j]]) for i, j in cells]).alias("g"), F.array(*[F.sum(w * column[c] * F.col("r")) for c in names]).alias("b"))
@@ -45,12 +70,12 @@ def factor_returns(aligned: DataFrame, factors: Sequence[str], *, weights: str |
             rows = np.array(pdf["g"].tolist(), float).reshape(len(pdf), len(cells))
             for c, (i, j) in enumerate(cells):
                 gram[:, i, j] = gram[:, j, i] = rows[:, c]
-            beta = np.einsum("tij,tj->ti", np.linalg.pinv(gram, rcond=1e-12, hermitian=True), np.array(pdf["b"].tolist(), float).reshape(len(pdf), k))
-            out = pd.DataFrame(beta, columns=names)
+            out = pd.DataFrame(least_norm(gram, np.array(pdf["b"].tolist(), float).reshape(len(pdf), k)), columns=names)
             out[(pdf["n"] < k + 1).to_numpy()] = np.nan
             out.insert(0, "Date", pdf["Date"].to_numpy())
             yield out
 
+    ship(aligned.sparkSession)
     schema = T.StructType([aligned.schema["Date"], *[T.StructField(n, T.DoubleType()) for n in names]])
     solved = sums.mapInPandas(solve, schema)
     return solved.select("Date", *[F.when(~F.isnan(n), F.col(n)).alias(n) for n in names])

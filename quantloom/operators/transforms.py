@@ -1,7 +1,9 @@
 """Cross-sectional transforms: each date on its own.
 
-Statistics of a date are aggregates with map-side combining that are joined back, so the panel itself is not shuffled
-where Spark can send the few rows of statistics instead.
+Statistics of a date are aggregates with map-side combining: they are worked out at once, stored, counted, and sent to
+the panel's rows where they are few, so that the panel itself is shuffled by date only if its groups are nearly as many
+as its rows. A step reads its input once for each kind of statistics and once for its result: callers with a costly
+input store it first.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.expressions import KEYS, clip, safe_div, without_nan
+from ..sources.scratch import join_measured, stored
 from .joins import duplicate_keys
 
 
@@ -40,7 +43,7 @@ def _number(value, name: str) -> float:
 
 def with_statistics(x: DataFrame, by: Sequence[str], statistics: Sequence[Column]) -> DataFrame:
     """x with aggregates of its groups; groups whose key is missing get none."""
-    return x.join(x.groupBy(*by).agg(*statistics), list(by), "left")
+    return join_measured(x, x.groupBy(*by).agg(*statistics), by)
 
 
 def winsorize(x: DataFrame, *, lower_quantile: float = 0.01, upper_quantile: float = 0.99) -> DataFrame:
@@ -105,14 +108,14 @@ def neutralize(x: DataFrame, panel: DataFrame, *, industry_column: str = "gics_s
     valid = {c: F.col("__g").isNotNull() & F.col("__l").isNotNull() & F.col(c).isNotNull() for c in names}
     y = {c: F.when(valid[c], F.col(c)) for c in names}
     size = {c: F.when(valid[c], F.col("__l")) for c in names}
-    held = with_statistics(held, ["Date", "__g"], [s for c in names for s in (F.avg(y[c]).alias(f"__y_{c}"), F.avg(size[c]).alias(f"__s_{c}"))])
+    groups = stored(held.groupBy("Date", "__g").agg(*[s for c in names for s in (F.avg(y[c]).alias(f"__y_{c}"), F.avg(size[c]).alias(f"__s_{c}"))]), "groups")
+    held = join_measured(held, groups, ["Date", "__g"])
     yd = {c: y[c] - F.col(f"__y_{c}") for c in names}
     sd = {c: size[c] - F.col(f"__s_{c}") for c in names}
-    statistics = []
-    for c in names:
-        groups = F.count_distinct(F.when(valid[c], F.col("__g"))) if neutralize_industry else F.lit(1)
-        statistics += [F.sum(yd[c] * sd[c]).alias(f"__ys_{c}"), F.sum(sd[c] * sd[c]).alias(f"__ss_{c}"), F.sum(size[c] * size[c]).alias(f"__ll_{c}"), F.count(y[c]).alias(f"__n_{c}"), groups.alias(f"__k_{c}")]
-    held = with_statistics(held, ["Date"], statistics)
+    # the number of groups with valid rows comes from the table of groups: one that has none has no mean
+    counted = groups.groupBy("Date").agg(*[F.count(f"__y_{c}").alias(f"__k_{c}") for c in names])
+    sums = held.groupBy("Date").agg(*[s for c in names for s in (F.sum(yd[c] * sd[c]).alias(f"__ys_{c}"), F.sum(sd[c] * sd[c]).alias(f"__ss_{c}"), F.sum(size[c] * size[c]).alias(f"__ll_{c}"), F.count(y[c]).alias(f"__n_{c}"))])
+    held = join_measured(held, sums.join(counted, "Date", "left"), ["Date"])
 
     def residual(c: str) -> Column:
         sloped = F.col(f"__ss_{c}") > 1e-12 * F.col(f"__ll_{c}")

@@ -5,9 +5,12 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.expressions import KEYS, by_ticker, null_nan, paired_corr, quantile_bucket, safe_div, without_nan
+from ..functions.shipping import ship
+from ..sources.scratch import stored
 from .transforms import factor_columns
 
 
@@ -129,19 +132,85 @@ def admission(c: ValidationConfig) -> Column:
     return F.when(accepted, "accepted").when(candidate, "candidate").otherwise("rejected")
 
 
+def average_ranks(v: np.ndarray) -> np.ndarray:
+    """Ranks from 1; equal values have the mean of theirs."""
+    order = np.argsort(v, kind="stable")
+    first = np.flatnonzero(np.concatenate(([True], v[order][1:] != v[order][:-1])))
+    size = np.diff(np.append(first, len(v)))
+    out = np.empty(len(v))
+    out[order] = np.repeat(first + (size + 1) / 2, size)
+    return out
+
+
+def _correlation(x: np.ndarray, y: np.ndarray) -> float:
+    if not len(x) or x.min() == x.max() or y.min() == y.max():
+        return np.nan
+    u, v = x - x.mean(), y - y.mean()
+    size = np.sqrt((u @ u) * (v @ v))
+    return u @ v / size if size > 0 else np.nan
+
+
+def cross_section(a: np.ndarray, y: np.ndarray, ticker: np.ndarray, quantiles: int, min_cross_section: int) -> list[tuple]:
+    """For each column of a (rows are one date's instruments): pairs with a label, labels, IC, rank IC, mean labels of
+    quantile buckets (or None), and correlations with all columns. Missing is NaN."""
+    out, labels, k = [], int(np.isfinite(y).sum()), a.shape[1]
+    finite, related = np.isfinite(a), np.full((k, k), np.nan)
+    for i in range(k):
+        for j in range(i, k):
+            both = finite[:, i] & finite[:, j]
+            related[i, j] = related[j, i] = _correlation(a[both, i], a[both, j])
+    by_name = np.argsort(ticker, kind="stable")
+    for i in range(k):
+        paired = by_name[(finite[:, i] & np.isfinite(y))[by_name]]
+        x, z, n = a[paired, i], y[paired], len(paired)
+        ic = rank_ic = np.nan
+        if n >= min_cross_section:
+            ic, rank_ic = _correlation(x, z), _correlation(average_ranks(x), average_ranks(z))
+        means = None
+        if n >= max(min_cross_section, quantiles) and x.min() < x.max():
+            r = np.empty(n, np.int64)
+            r[np.argsort(x, kind="stable")] = np.arange(1, n + 1)  # ties by ticker
+            bucket = np.maximum(((r - 1) * quantiles + n - 2) // max(n - 1, 1), 1) - 1
+            means = [float(z[bucket == b].mean()) if (bucket == b).any() else None for b in range(quantiles)]
+        out.append((n, labels, ic, rank_ic, means, related[i].tolist()))
+    return out
+
+
+def daily_statistics(x: DataFrame, label: DataFrame, quantiles: int = 5, min_cross_section: int = 20) -> DataFrame:
+    """Date, factor, paired, labels, ic, rank_ic, means (of quantile buckets; NULL where a guard fails) and related
+    (correlations with all factors in order): all that validation needs of a date, from one shuffle of the wide rows and
+    one look at each cross-section (a group is a date: a row for each instrument)."""
+    import pandas as pd
+
+    names = factor_columns(x)
+    ship(x.sparkSession)
+    wide = without_nan(x).select(*KEYS, *[F.col(c).cast("double").alias(c) for c in names])
+    held = wide.join(label.select(*KEYS, null_nan(F.col("forward_return")).cast("double").alias("__y")), list(KEYS), "left")
+
+    def one_date(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = cross_section(pdf[names].to_numpy(float), pdf["__y"].to_numpy(float), pdf["Ticker"].to_numpy(str), quantiles, min_cross_section)
+        return pd.DataFrame([(pdf["Date"].iloc[0], n, *r) for n, r in zip(names, rows, strict=True)], columns=["Date", "factor", "paired", "labels", "ic", "rank_ic", "means", "related"])
+
+    schema = T.StructType([x.schema["Date"], *[T.StructField(n, t) for n, t in (("factor", T.StringType()), ("paired", T.LongType()), ("labels", T.LongType()), ("ic", T.DoubleType()), ("rank_ic", T.DoubleType()), ("means", T.ArrayType(T.DoubleType())), ("related", T.ArrayType(T.DoubleType())))]])
+    out = held.groupBy("Date").applyInPandas(one_date, schema)
+    return out.withColumns({"ic": null_nan(F.col("ic")), "rank_ic": null_nan(F.col("rank_ic")), "related": F.transform("related", null_nan)})
+
+
 def validate_factors(x: DataFrame, label: DataFrame, config: ValidationConfig = ValidationConfig()) -> dict[str, DataFrame]:
     """daily (ICs), summary (one row a factor with its admission), quantiles and correlations.
 
-    The labelled rows and the daily values are read several times and kept (in memory, else on disk) until the caller
-    clears the cache. check_alignment says beforehand whether labels fit."""
-    x = without_nan(x)
-    long = labelled(x, label).persist()
-    daily = daily_ic(long, config.min_cross_section).persist()
-    coverage = long.groupBy("factor").agg(F.coalesce(safe_div(F.count_if(F.col("x").isNotNull() & F.col("y").isNotNull()).cast("double"), F.count("y").cast("double")), F.lit(0.0)).alias("coverage"))
-    stats = daily.groupBy("factor").agg(F.count("rank_ic").alias("n_dates"), F.avg("ic").alias("mean_ic"), F.stddev_samp("ic").alias("sd_ic"), F.avg("rank_ic").alias("mean_rank_ic"), F.stddev_samp("rank_ic").alias("sd_rank_ic"))
+    All four come from daily_statistics, a row for each date and factor, which is stored. check_alignment says beforehand
+    whether labels fit."""
+    names = factor_columns(x)
+    each = stored(daily_statistics(x, label, config.quantiles, config.min_cross_section), "validation")
+    daily = each.select("Date", "factor", "ic", "rank_ic")
+    quantiles = each.where("means is not null").select("Date", "factor", *[F.col("means")[b].alias(f"q{b + 1}") for b in range(config.quantiles)])
+    quantiles = quantiles.withColumn("spread", F.col(f"q{config.quantiles}") - F.col("q1"))
+    coverage = F.coalesce(safe_div(F.sum("paired").cast("double"), F.sum("labels").cast("double")), F.lit(0.0))
+    stats = each.groupBy("factor").agg(F.count("rank_ic").alias("n_dates"), F.avg("ic").alias("mean_ic"), F.stddev_samp("ic").alias("sd_ic"), F.avg("rank_ic").alias("mean_rank_ic"), F.stddev_samp("rank_ic").alias("sd_rank_ic"), coverage.alias("coverage"), F.avg(F.col("means")[config.quantiles - 1] - F.col("means")[0]).alias("mean_spread"))
     ratio = lambda m, s: F.when(F.col(s) > 0, safe_div(F.col(m), F.col(s)) * config.annualization**0.5)
-    quantiles = quantile_returns(long, config.quantiles, config.min_cross_section)
-    spread = quantiles.groupBy("factor").agg(F.avg("spread").alias("mean_spread"))
-    summary = stats.join(coverage, "factor").join(newey_west(daily, "rank_ic", config.newey_west_lags), "factor", "left").join(spread, "factor", "left")
+    summary = stats.join(newey_west(daily, "rank_ic", config.newey_west_lags), "factor", "left")
     summary = summary.select("factor", "n_dates", "mean_ic", "mean_rank_ic", ratio("mean_ic", "sd_ic").alias("icir"), ratio("mean_rank_ic", "sd_rank_ic").alias("rank_icir"), "nw_t", "coverage", "mean_spread", admission(config).alias("status"))
-    return {"daily": daily, "summary": summary, "quantiles": quantiles, "correlations": factor_correlations(x)}
+    pairs = each.select(F.col("factor").alias("factor_i"), F.posexplode("related").alias("at", "c"))
+    correlations = pairs.groupBy("factor_i", F.get(F.array(*map(F.lit, names)), F.col("at")).alias("factor_j")).agg(F.avg("c").alias("correlation"))
+    return {"daily": daily, "summary": summary, "quantiles": quantiles, "correlations": correlations}

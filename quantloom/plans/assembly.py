@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.expressions import KEYS, without_nan
 from ..operators.joins import asof_backward, duplicate_keys
 from ..sources import workbook
+from ..sources.scratch import stored
 from ..sources.tables import CONTRACT, contract_panel, keyed_mean, load_parquet, pivot_descriptors
 
 DAILY = ("market_cap", "pb", "earn_yld", "volume", "beta")
@@ -80,7 +81,7 @@ def workbook_panel(cells: DataFrame, epoch: str = workbook.EPOCHS[False]) -> Dat
 def load_workbook_panel(spark: SparkSession, path) -> DataFrame:
     """The panel of a market workbook; its quarterly dates are those of the periods, not of publication."""
     cells, epoch = workbook.read_workbook(spark, path)
-    return workbook_panel(cells.persist(), epoch)
+    return workbook_panel(stored(cells, "cells"), epoch)
 
 
 assert {"px_last", *DAILY, *QUARTERLY, *INDUSTRY} == set(CONTRACT)

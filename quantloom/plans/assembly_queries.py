@@ -10,6 +10,7 @@ from ..operators.factors import compute_raw_exposures
 from ..operators.joins import same_keys, unique_dimension
 from ..operators.transforms import neutralize, winsorize, zscore
 from ..sources import workbook
+from ..sources.scratch import stored
 from ..sources.tables import keyed_mean
 from . import assembly
 from .panel import monthly, panel, quarterly, table
@@ -118,7 +119,7 @@ def workbook_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sheets[0]
     for s in sheets[1:]:
         out = out.unionByName(s)
-    return out.where("value <> ''").persist()
+    return stored(out.where("value <> ''"), "cells")
 
 
 def _workbook(name: str, text: str, *parts: str):
@@ -177,8 +178,8 @@ _SECTOR = "SELECT l.*, gics_sector AS g, CASE WHEN market_cap > 0 THEN ln(market
           (SELECT *, x - AVG(x) OVER gd AS yd, CASE WHEN x IS NOT NULL THEN s - AVG(CASE WHEN x IS NOT NULL THEN s END) OVER gd END AS sd FROM ({_SECTOR}) a WINDOW gd AS (PARTITION BY Date, factor, g)) b
           JOIN (SELECT Date AS kd, factor AS kf, COUNT(DISTINCT CASE WHEN x IS NOT NULL THEN g END) AS k FROM ({_SECTOR}) c GROUP BY 1, 2) c ON kd = Date AND kf = factor WINDOW d AS (PARTITION BY Date, factor)) e""", "long", "panel")
 def _(spark, sf_dir):
-    p = panel(spark, sf_dir).persist()
-    x = neutralize(compute_raw_exposures(p, FACTORS), p)
+    p = stored(panel(spark, sf_dir), "panel")
+    x = neutralize(stored(compute_raw_exposures(p, FACTORS), "raw"), p)
     return rounded(x.unpivot(list(KEYS), NAMES, "factor", "x"))
 
 
@@ -231,10 +232,15 @@ def _(spark, sf_dir):
 ORACLE_SQL["factor_returns_intercept"] = sql("SELECT Date, " + ", ".join(f"CASE WHEN n >= 5 THEN round({v}, 6) END AS {n}" for n, v in [("const", "mr - beta1 * m1 - beta2 * m2 - beta3 * m3"), *[(x, f"beta{i + 1}") for i, x in enumerate(X3)]]) + f" FROM ({_solve3('SELECT Date, COUNT(*) AS n, AVG(r) AS mr, ' + _MEANS + ', ' + _sums('1', ['d1', 'd2', 'd3'], 'r') + f' FROM ({_CENTRED}) a GROUP BY Date')}) s", "wz", "panel")
 
 
+# weighted, with the capitalization as a column as well: its unit (here 1e6) is taken off before the sums are solved
+ORACLE_SQL["factor_returns_weighted"] = sql("SELECT Date, CASE WHEN n >= 4 THEN round(beta1, 6) END AS f1, CASE WHEN n >= 4 THEN round(beta2, 6) END AS f2, CASE WHEN n >= 4 THEN round(beta3 / 1e6, 12) END AS market_cap FROM ("
+    + _solve3("SELECT Date, COUNT(*) AS n, " + _sums("w", ["f1", "f2", "c"], "r") + " FROM (SELECT al.*, market_cap AS w, market_cap / 1e6 AS c FROM al JOIN (SELECT Date, Ticker, market_cap FROM monthly) m ON al.Date = m.Date AND al.Ticker = m.Ticker) a GROUP BY Date") + ") s", "al", "monthly")
+
+
 def risk_run(spark: SparkSession, sf_dir: str):
     """The whole risk model with all ten factors that a month has enough rows for."""
-    p = panel(spark, sf_dir).persist()
-    x = zscore(winsorize(compute_raw_exposures(p, FACTORS).persist()).persist())
+    p = stored(panel(spark, sf_dir), "panel")
+    x = zscore(winsorize(stored(compute_raw_exposures(p, FACTORS), "raw")))
     return run_risk(x, risk.simple_returns(p), RiskRunConfig(window=12, min_history=24, annualization=MONTHS))
 
 

@@ -13,6 +13,7 @@ from ..functions.expressions import KEYS
 from ..operators.factors import Factor, check_factors, compute_raw_exposures
 from ..operators.transforms import factor_columns, neutralize, orthogonalize, winsorize, zscore
 from ..sources.files import exists, joined, write_json, write_whole
+from ..sources.scratch import stored
 
 
 @dataclass(frozen=True)
@@ -96,8 +97,8 @@ def apply_transforms(raw: DataFrame, panel: DataFrame, config: PipelineConfig) -
 def get_exposures(panel: DataFrame, factors: Sequence[Factor], *, as_of) -> DataFrame:
     """Raw factors up to as_of, winsorized at 1 and 99 percent, standardized, sorted by key."""
     check_factors(factors, panel.columns)
-    raw = compute_raw_exposures(filter_as_of(panel, as_of), factors).persist()
-    return zscore(winsorize(raw).persist()).orderBy(*KEYS)
+    raw = stored(compute_raw_exposures(filter_as_of(panel, as_of), factors), "raw")
+    return zscore(winsorize(raw)).orderBy(*KEYS)
 
 
 def exposure_statistics(x: DataFrame) -> DataFrame:
@@ -148,7 +149,7 @@ def run_pipeline(panel: DataFrame, factors: Sequence[Factor], config: PipelineCo
     if missing := [c for c in needed if c not in panel.columns]:
         raise ValueError(f"panel is missing neutralization columns: {missing}")
     held = filter_as_of(panel, config.as_of)
-    x = apply_transforms(compute_raw_exposures(held, factors).persist(), held, config).persist()
+    x = stored(apply_transforms(stored(compute_raw_exposures(held, factors), "raw"), held, config), "exposures")
     validate_final_exposures(x, held, [f.name for f in factors], config.as_of)
     metadata = build_metadata(x, factors, config)
     ordered = x.orderBy(*KEYS)

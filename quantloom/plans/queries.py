@@ -11,6 +11,7 @@ from ..operators import portfolio, risk, validation
 from ..operators.factors import Liquidity, Momentum, Volatility, compute_raw_exposures, standard_factors
 from ..operators.joins import duplicate_keys
 from ..operators.transforms import neutralize, orthogonalize, winsorize, winsorize_pooled, zscore
+from ..sources.scratch import stored
 from ..sources.tables import describe_columns, pivot_descriptors
 from .panel import monthly, panel, quarterly, table
 from .pipeline import exposure_statistics, get_exposures
@@ -129,8 +130,8 @@ def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def standardized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Winsorized and standardized exposures; each step reads its input twice (statistics, then rows), so it is kept."""
-    return zscore(winsorize(raw(spark, sf_dir).persist()).persist())
+    """Winsorized and standardized exposures; each step reads the raw ones again, so they are stored."""
+    return zscore(winsorize(stored(raw(spark, sf_dir), "raw")))
 
 
 def longer(x: DataFrame) -> DataFrame:
@@ -258,7 +259,7 @@ def _(spark, sf_dir):
 
 def validated(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     # rounded, so that ties in ranks don't hang on the order in which sums were added up
-    x = rounded(standardized(spark, sf_dir), 9).persist()
+    x = stored(rounded(standardized(spark, sf_dir), 9), "standardized")
     return validation.validate_factors(x, validation.forward_return(panel(spark, sf_dir), 1), CONFIG)
 
 
@@ -317,7 +318,7 @@ def aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def model(spark: SparkSession, sf_dir: str, shrinkage: str = "ledoit-wolf"):
     """x, r, aligned, factor returns, residuals."""
-    x, r = x2(spark, sf_dir).cache(), returns(spark, sf_dir).cache()
+    x, r = stored(x2(spark, sf_dir), "x2"), stored(returns(spark, sf_dir), "returns")
     a = risk.aligned_panel(x, r, X2)
     f = risk.factor_returns(a, X2)
     return x, r, a, f, risk.residual_returns(a, f, X2)
@@ -341,7 +342,7 @@ def _(spark, sf_dir):
 @register("factor_returns_weighted")
 def _(spark, sf_dir):
     caps = monthly(spark, sf_dir).select(*KEYS, "market_cap")
-    return rounded(risk.factor_returns(aligned(spark, sf_dir).join(caps, list(KEYS)), [*X2, "market_cap"], weights="market_cap"), 9)
+    return rounded(risk.factor_returns(aligned(spark, sf_dir).join(caps, list(KEYS)), [*X2, "market_cap"], weights="market_cap"), market_cap=12)
 
 
 @register("factor_returns_intercept")

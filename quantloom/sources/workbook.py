@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.expressions import KEYS
 from ..operators.joins import duplicate_keys
+from .scratch import stored
 from .tables import excel_date, number_of
 
 CELLS = "sheet string, row int, col int, value string"
@@ -234,7 +235,7 @@ def diagnostics(cells: DataFrame, tickers: DataFrame) -> DataFrame:
 
 def panel_tables(cells: DataFrame, epoch: str = EPOCHS[False]) -> dict[str, DataFrame]:
     """prices, daily, quarterly and industries of a workbook's cells, checked."""
-    tickers = universe(cells).persist()
+    tickers = stored(universe(cells), "universe")
     daily, quarterly = descriptors(cells, tickers, epoch)
     out = {"prices": prices(cells, tickers, epoch), "daily": daily, "quarterly": quarterly, "industries": industries(cells, tickers)}
     return out
