@@ -27,8 +27,10 @@ from .common import ship, slices
 
 #: Stands for the suffix that ends words, as one character that no byte maps to.
 MARK = "￿"
-#: So many encoded stretches of text, and so many words, are remembered in each Python worker.
-REMEMBERED = 250_000
+#: Encoded stretches of text, and words, are remembered up to about so many bytes each in a Python worker; those of more
+#: characters than LONGEST (runs without white space, hardly ever met again) are not.
+REMEMBERED_BYTES = 64 << 20
+LONGEST = 256
 #: Latin letters and marks for which lower case is all that normalization does, and white space that all agree on.
 PLAIN = r"[\x09-\x0d\x20-\x7e¡-¬®-įĲ-ňŊ-ſ]*"
 
@@ -69,16 +71,29 @@ def byte_symbols() -> list[str]:
 
 
 class _Chunks(dict):
-    """Ids of stretches of text, encoded when first asked for."""
+    """Ids of stretches of text, encoded when first asked for; forget() once in a while bounds what is held."""
 
     def __init__(self, encode):
         super().__init__()
-        self.encode = encode
+        self.encode, self.held = encode, 0
 
     def __missing__(self, text: str) -> bytes:
-        ids = self[text] = self.encode(text)
+        ids = self.encode(text)
+        if len(text) <= LONGEST:
+            self[text] = ids
+            self.held += entry_bytes(text, ids)
         return ids
 
+    def forget(self) -> None:
+        if self.held > REMEMBERED_BYTES:
+            self.clear()
+            self.held = 0
+
+
+def entry_bytes(text: str, ids: bytes) -> int:
+    """About what a remembered entry takes, at the most."""
+    return 4 * len(text) + len(ids) + 240
+
 
 class WordBPE:
     def __init__(self, path: str):
@@ -233,8 +248,7 @@ class WordBPE:
     def chunk(self, text: str) -> bytes:
         """Ids of a normalized stretch without white space, as bytes."""
         found = self.words.findall(text)
-        if len(self.known_words) > REMEMBERED:
-            self.known_words.clear()
+        self.known_words.forget()
         return b"".join(map(self.known_words.__getitem__, found))
 
     def plain_word(self, text: str) -> bytes:
@@ -261,8 +275,7 @@ class WordBPE:
                 ids = self.in_full(text)
             else:
                 ids = b"".join(map(known.__getitem__, split))
-                if len(known) > REMEMBERED:
-                    known.clear()
+                known.forget()
             out.append(np.frombuffer(ids, self.kind))
         return out
 

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
-import os
-import shutil
 import tempfile
 import uuid
-from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.shipping import ship  # noqa: F401 (operators take it from here)
+
 #: ASCII white space that separates words: space, tab, \n, \v, \f, \r.
 SPACE = r"\x20\x09-\x0D"
 
@@ -69,20 +67,6 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return Scratch(df.sparkSession).written(df, what)
 
 
-def ship(spark: SparkSession) -> None:
-    """Make this package importable on every executor, once for each application."""
-    sc = spark.sparkContext
-    if getattr(sc, "_quantloom_shipped", False):
-        return
-    top = Path(__file__).resolve().parents[1]
-    d = tempfile.mkdtemp(prefix="quantloom-code-")  # the driver serves the archive from here while it runs
-    atexit.register(shutil.rmtree, d, ignore_errors=True)
-    stage = Path(d, "stage")
-    shutil.copytree(top, stage / top.name, ignore=shutil.ignore_patterns("__pycache__"))
-    sc.addPyFile(shutil.make_archive(os.path.join(d, f"{top.name}-{uuid.uuid4().hex[:8]}"), "zip", stage))
-    sc._quantloom_shipped = True
-
-
 def ascii_lower(column):
     """A-Z lowered, all else as it is."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -17,8 +17,6 @@ Null ids take no part: such rows come back with no component and are kept. Empty
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -167,12 +165,8 @@ def _verified(pairs: DataFrame, nodes: DataFrame, sources: DataFrame, scratch: S
     return _confirmed(both.select("a", "b", "xa", "xb"), percent)
 
 
-def near_duplicates(df: DataFrame, *, doc: str = "doc_id", text: str = "text", percent: int = PERCENT, k: int = K, size: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest id reachable by links, itself included), kept (whether that is its own).
-
-    One row for each row of df; other columns have no part. Rows with equal ids are judged each by its text; ids are
-    taken to be unique. An empty df gives no rows.
-    """
+def _judged(df: DataFrame, doc: str, text: str, percent: int, k: int, size: int) -> DataFrame:
+    """doc, n, d1, d2 (the digest of the set) and component of each row."""
     scratch = Scratch(df.sparkSession)
     own = scratch.written(signatures(df, doc, text, k, size), "signatures")
     known = own.where("doc is not null and n > 0")
@@ -199,12 +193,38 @@ def near_duplicates(df: DataFrame, *, doc: str = "doc_id", text: str = "text", p
     found = classes.join(labels, "node", "left").select("d1", "d2", F.coalesce("label", "node").alias("component"))
     out = own.select("doc", "n", "d1", "d2").join(found, ["d1", "d2"], "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc"))
-    component = F.when(F.col("doc").isNotNull(), component)
-    return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc"), F.lit(True)).alias("kept"))
+    return out.select("doc", "n", "d1", "d2", F.when(F.col("doc").isNotNull(), component).alias("component"))
+
+
+def near_duplicates(df: DataFrame, *, doc: str = "doc_id", text: str = "text", percent: int = PERCENT, k: int = K, size: int = SHINGLE) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest id reachable by links, itself included), kept (whether that is its own).
 
+    One row for each row of df; other columns have no part. Rows with equal ids are judged each by its text; ids are
+    taken to be unique. An empty df gives no rows.
+    """
+    out = _judged(df, doc, text, percent, k, size)
+    return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("component") == F.col("doc"), F.lit(True)).alias("kept"))
 
-def drop_near_duplicates(df: DataFrame, *, doc: str = "doc_id", text: str = "text", **more) -> DataFrame:
-    """df without the rows that a smaller id stands for; all its columns stay as they are."""
-    gone: Sequence[str] = ["__gone"]
-    found = near_duplicates(df, doc=doc, text=text, **more).where("not kept").select(F.col("doc_id").alias(gone[0])).distinct()
-    return df.join(found, df[doc].cast(T.LongType()) == found[gone[0]], "left_anti")
+
+def drop_near_duplicates(df: DataFrame, *, doc: str = "doc_id", text: str = "text", percent: int = PERCENT, k: int = K, size: int = SHINGLE) -> DataFrame:
+    """df without the rows that a smaller id stands for; all its columns stay as they are.
+
+    Rows go by their id and the digest of their set, so that of rows with one id and different texts each is judged by its
+    own. Rows of null ids, null texts and texts without words stay; so do repeated rows of a document that stays. Texts of
+    any length are taken whole; an empty df gives no rows.
+    """
+    import pyarrow as pa
+
+    gone = _judged(df, doc, text, percent, k, size).where("component <> doc").select(F.col("doc").alias("__doc"), F.col("d1").alias("__d1"), F.col("d2").alias("__d2")).distinct()
+    digests = T.StructType([*df.schema, T.StructField("__d1", T.LongType()), T.StructField("__d2", T.LongType())])
+
+    def run(batches):
+        for big in batches:
+            for batch in slices(big, text):
+                digest = [xxhash.xxh3_128_digest(x.tobytes() + y.tobytes()) for x, y in shingle_sets(batch.column(text), size)]
+                both = np.frombuffer(b"".join(digest), "<i8").reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], digests.names)
+
+    named = df.mapInArrow(run, digests)
+    same = (named[doc].cast(T.LongType()) == gone["__doc"]) & (named["__d1"] == gone["__d1"]) & (named["__d2"] == gone["__d2"])
+    return named.join(gone, same, "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])

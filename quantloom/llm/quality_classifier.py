@@ -4,8 +4,9 @@ A document's ratings add up to a grade 0 .. top. One vector of weights over hash
 shared by all grades, and ordered thresholds t_1 < t_2 < ... cut it:  P(grade >= k) = 1 / (1 + exp(t_k - s)).  The expected
 grade is the sum of these tail probabilities, and selection asks for a least tail probability.
 
-Fitting takes a bounded sample of the rated rows (FIT_ROWS, those of the smallest hashed ids), whose features come to
-the driver as numbers; scoring runs over all documents in tasks, a batch of whole texts at a time.
+Fitting takes a bounded sample of the rated rows (FIT_ROWS, those of the smallest hashed ids, with FIT_FEATURES features
+at the most), whose features come to the driver as numbers; scoring runs over all documents in tasks, a batch of whole
+texts at a time.
 """
 
 from __future__ import annotations
@@ -15,12 +16,12 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import Words, mix, ship, slices, text_buffer
+from .common import Scratch, Words, mix, ship, slices, text_buffer
 
 #: Hashed features: 2**BITS weights.
 BITS = 18
-#: The most rated rows that the fit sees, each with all its features.
-FIT_ROWS = 8_000
+#: The most rated rows that the fit sees, each with all its features, and the most features of all of them together.
+FIT_ROWS, FIT_FEATURES = 8_000, 16_000_000
 LASSO = 0.8
 #: Rows of the sample that a feature must be in to get a weight.
 FIT_LEAST = 5
@@ -180,10 +181,11 @@ def rated_sample(labels: DataFrame, *, doc: str = "doc_id", good: str = "quality
     return grades.orderBy(draw, "doc").limit(rows)
 
 
-def fit_documents(df: DataFrame, labels: DataFrame, *, doc: str = "doc_id", text: str = "text", good: str = "quality", bad: str = "toxic", rows: int = FIT_ROWS, bits: int = BITS) -> CumulativeLink:
+def fit_documents(df: DataFrame, labels: DataFrame, *, doc: str = "doc_id", text: str = "text", good: str = "quality", bad: str = "toxic", rows: int = FIT_ROWS, most: int = FIT_FEATURES, bits: int = BITS) -> CumulativeLink:
     """A model of the rated documents of df. The sample's ids (at most `rows`, 16 bytes each) are broadcast; its features
-    come to the driver, one row for each id, all numbers below 2**bits. A null text has no features but those of an empty
-    one; of several rows with one id one is taken, the same each time."""
+    come to the driver, one row for each id, all numbers below 2**bits: whole rows in the order of the hashed ids, as
+    long as they have no more than `most` features together. A null text has no features but those of an empty one; of
+    several rows with one id one is taken, the same each time."""
     import pyarrow as pa
 
     spark = df.sparkSession
@@ -199,7 +201,18 @@ def fit_documents(df: DataFrame, labels: DataFrame, *, doc: str = "doc_id", text
                 lists = [hashed[a:z].astype(np.int32) for a, z in zip(bounds, bounds[1:])]
                 yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("grade"), pa.array(lists, pa.list_(pa.int32()))], ["doc", "grade", "features"])
 
-    found = own.mapInArrow(run, "doc long, grade int, features array<int>").groupBy("doc").agg(F.min("grade").alias("grade"), F.min("features").alias("features")).toArrow()
+    scratch = Scratch(spark)
+    found = own.mapInArrow(run, "doc long, grade int, features array<int>").groupBy("doc").agg(F.min("grade").alias("grade"), F.min("features").alias("features"))
+    found = scratch.written(found, "features")
+    total, within = 0, []
+    for r in found.select("doc", F.size("features").alias("n")).orderBy(F.shiftrightunsigned(F.xxhash64("doc"), 1), "doc").collect():  # `rows` at the most
+        total += r["n"]
+        if total > most:
+            found = found.where(F.col("doc").isin(within))
+            break
+        within.append(r["doc"])
+    found = found.toArrow()
+    scratch.drop("features")
     order = np.argsort(np.asarray(found["doc"]), kind="stable")  # the same order whatever task was first
     lists = found["features"].combine_chunks().take(pa.array(order))
     grades = np.asarray(found["grade"])[order].astype(np.int64)
@@ -230,7 +243,10 @@ def grade_documents(df: DataFrame, model: CumulativeLink, *, doc: str = "doc_id"
 
 
 def keep_top(df: DataFrame, model: CumulativeLink, *, text: str = "text", least: float = LEAST) -> DataFrame:
-    """The rows of df whose top grade is likely enough, with all their columns as they are."""
+    """The rows of df whose top grade is likely enough, with all their columns as they are.
+
+    Each row is judged by its text alone, whatever its id: a null text like an empty one, repeated rows alike, texts of any
+    length whole. No column is added, so that none can clash. An empty df gives no rows."""
     spark, bits = df.sparkSession, int(len(model.weights)).bit_length() - 1
     ship(spark)
     sent = spark.sparkContext.broadcast(model)

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import SPACE
 
-#: Languages that have references of their own; a parameter.
+#: Languages that have references of their own where the caller names no others.
 LANGUAGES = ("de", "en", "es", "fr")
 #: The most frequent words of a language that have a bin each; a parameter.
 COMMON = 256
@@ -166,8 +166,8 @@ def word_divergence(words: Column, table: Column, share: Column, whole: Column)
 # ---- references and judgements ---------------------------------------------------------------------------------------
 
 
-def _language(lang: str, present: bool) -> Column:
-    return F.when(F.col(lang).isin(*LANGUAGES), F.col(lang)).otherwise(ANY) if present else F.lit(ANY)
+def _language(lang: str, present: bool, languages: Sequence[str]) -> Column:
+    return F.when(F.col(lang).isin(*languages), F.col(lang)).otherwise(ANY) if present and languages else F.lit(ANY)
 
 
 def _by_language(language: Column, values: dict[str, Column]) -> Column:
@@ -177,11 +177,11 @@ def _by_language(language: Column, values: dict[str, Column]) -> Column:
     return out
 
 
-def language_references(df: DataFrame, *, text: str = "text", lang: str = "lang", common: int = COMMON) -> dict[str, Reference]:
-    """A reference for each listed language that has documents, and one of all documents (ANY), from those of LEAST_WORDS
+def language_references(df: DataFrame, *, text: str = "text", lang: str = "lang", common: int = COMMON, languages: Sequence[str] = LANGUAGES) -> dict[str, Reference]:
+    """A reference for each of the languages that has documents, and one of all documents (ANY), from those of LEAST_WORDS
     words or more. At most `common` words of each, and a row of class sums, come to the driver."""
     body = F.coalesce(F.col(text), F.lit(""))
-    texts = df.select(body.alias("t"), _language(lang, lang in df.columns).alias("g")).select("g", "t", words_of(F.col("t")).alias("w"))
+    texts = df.select(body.alias("t"), _language(lang, lang in df.columns, languages).alias("g")).select("g", "t", words_of(F.col("t")).alias("w"))
     long = F.size("w") >= LEAST_WORDS
     counts = texts.select("g", long.alias("long"), "t", F.regexp_replace("t", f"[{SPACE}]+", "").alias("solid"))
     counts = counts.select("g", F.when(F.col("long"), shares(class_counts(F.col("solid"), F.char_length("t") - F.char_length("solid")))).alias("c"))
@@ -190,7 +190,7 @@ def language_references(df: DataFrame, *, text: str = "text", lang: str = "lang"
     words = texts.select("g", (1.0 / F.greatest(F.size("w"), F.lit(1))).alias("s"), F.when(long, F.col("w")).alias("w")).select("g", "s", F.explode_outer("w").alias("word")).where("word is not null")
     top = _common_words(words, common)
     out = {}
-    for g in (*LANGUAGES, ANY):
+    for g in (*languages, ANY):
         own = [r for k, r in sums.items() if r["n"] and g in (k, ANY)]
         if own:
             n = sum(r["n"] for r in own)
@@ -232,22 +232,23 @@ def _common_words(words: DataFrame, common: int) -> dict[str, dict[str, float]]:
 RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", "kept")
 
 
-def judge_quality(df: DataFrame, references: dict[str, Reference] | None = None, *, text: str = "text", lang: str = "lang", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+def judge_quality(df: DataFrame, references: dict[str, Reference] | None = None, *, text: str = "text", lang: str = "lang", keep: Sequence[str] = ("doc_id",), languages: Sequence[str] = LANGUAGES) -> DataFrame:
     """keep columns and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), base_failed, class_distance,
     word_distance (double, to six digits; null where not judged) and kept.
 
     A null text has no words and fails the base rules. A null or unlisted language, and one without a reference, is
     compared with that of all documents. Repeated rows are judged alike; texts of any length are taken whole. Columns not
     in keep are left out; a keep column named like a result gives way to it. Without references those of df itself are
-    worked out first.
+    worked out first, for each of the languages: name those whose documents are many enough to tell of a language; all
+    others are compared with the mixture of all.
     """
-    references = language_references(df, text=text, lang=lang) if references is None else references
+    references = language_references(df, text=text, lang=lang, languages=languages) if references is None else references
     kept = [c for c in keep if c not in RESULTS]
-    base = df.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(kept)], F.coalesce(F.col(text), F.lit("")).alias("__t"), _language(lang, lang in df.columns).alias("__language"))
+    base = df.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(kept)], F.coalesce(F.col(text), F.lit("")).alias("__t"), _language(lang, lang in df.columns, languages).alias("__language"))
     own = [f"__k{i}" for i in range(len(kept))]
     base = base.select(*own, "__t", "__language", words_of(F.col("__t")).alias("__w"), F.regexp_replace("__t", f"[{SPACE}]+", "").alias("__solid"))
     base = base.select(*own, "__t", "__language", "__w", "__solid", repeated_words(F.col("__w")).alias("n_repeat_words"))
-    chosen = {k: references.get(k) or references.get(ANY) or Reference() for k in (*LANGUAGES, ANY)}
+    chosen = {k: references.get(k) or references.get(ANY) or Reference() for k in (*languages, ANY)}
     language = F.col("__language")
     hashed = _hashes(df, sorted({w for r in chosen.values() for w in r.words}))
     held = {k: bins(r.words, hashed) for k, r in chosen.items()}
@@ -279,10 +280,14 @@ def _hashes(df: DataFrame, words: list[str]) -> dict[str, int]:
     return dict(zip(words, df.sparkSession.range(1).select(held.alias("h")).first()["h"], strict=True))
 
 
-def keep_good(df: DataFrame, references: dict[str, Reference] | None = None, *, text: str = "text", lang: str = "lang") -> DataFrame:
-    """The rows of df that are kept, with all their columns as they are."""
+def keep_good(df: DataFrame, references: dict[str, Reference] | None = None, *, text: str = "text", lang: str = "lang", languages: Sequence[str] = LANGUAGES) -> DataFrame:
+    """The rows of df that are kept, with all their columns as they are.
+
+    Judged as by judge_quality: a null or empty text goes, repeated rows are judged alike whatever their ids, null ids
+    make no difference, texts of any length are taken whole, and no column of df clashes with a result. An empty df
+    gives no rows."""
     whole = df.select(F.struct(*df.columns).alias("__row"), F.col(text).alias("__text"), (F.col(lang) if lang in df.columns else F.lit(None).cast("string")).alias("__lang"))
-    judged = judge_quality(whole, references, text="__text", lang="__lang", keep=("__row",))
+    judged = judge_quality(whole, references, text="__text", lang="__lang", keep=("__row",), languages=languages)
     # a column that isn't deterministic, and is asked for (it is never null), keeps the filter above this projection; Spark
     # would otherwise put copies of all that kept is made of in its place, each of which is worked out anew
     judged = judged.withColumn("__n", F.monotonically_increasing_id())

@@ -27,8 +27,9 @@ MAGIC = b"QLTOKZ01"
 END_ID = 2
 #: Serialized ids in a block, about.
 BLOCK_BYTES = 1 << 20
-#: Documents on which the dictionary is trained (the only sample here; it has no part in what is read back).
-SAMPLE_DOCUMENTS = 1_000
+#: Documents on which the dictionary is trained, and the bytes of ids that each gives for that (the only sample here; it
+#: has no part in what is read back).
+SAMPLE_DOCUMENTS, SAMPLE_BYTES = 1_000, 16 << 10
 DICTIONARY_BYTES = 32 << 10
 LEVEL = 1
 
@@ -117,8 +118,14 @@ def write_tokens(df: DataFrame, vocabulary: str, path: str | None = None, *, doc
     order = F.pmod(F.xxhash64("doc"), F.lit(1 << 30))
     share = 4 * SAMPLE_DOCUMENTS / max(1, base.count())  # so that a task sends its part of the sample, not as many as asked for
     sample = base.where(order <= int(share * (1 << 30))).orderBy(order, "doc").limit(SAMPLE_DOCUMENTS)
-    encoder = library_encoder(vocabulary)
-    dictionary = train_dictionary([x.tobytes() for x in encoder.encode(r.text for r in sample.select("text").collect())])
+
+    def serialized(batches):
+        own = library_encoder(vocabulary)
+        for big in batches:
+            for batch in slices(big):
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()[:SAMPLE_BYTES] for x in own.encode(batch.column("text").to_pylist())], pa.binary())], ["ids"])
+
+    dictionary = train_dictionary([bytes(r["ids"]) for r in sample.select("text").mapInArrow(serialized, "ids binary").collect()])
     spark.createDataFrame([(xxhash.xxh64_hexdigest(dictionary), bytearray(dictionary))], "hash string, dictionary binary").coalesce(1).write.parquet(f"{path}/dictionary")
     n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = base.repartitionByRange(n, "doc").sortWithinPartitions("doc", "text")

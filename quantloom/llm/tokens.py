@@ -7,10 +7,7 @@ from collections.abc import Iterable
 
 import numpy as np
 
-from .bpe import Stretches, byte_symbols
-
-#: So many stretches of text are remembered in each Python worker, and as many older ones.
-REMEMBERED = 200_000
+from .bpe import LONGEST, REMEMBERED_BYTES, Stretches, byte_symbols, entry_bytes
 
 
 class LibraryEncoder:
@@ -45,6 +42,7 @@ class LibraryEncoder:
         self.code = str.maketrans({chr(b): c for b, c in enumerate(byte_symbols())})
         self.chunks: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.held = 0  # bytes of the latest stretches; as many older ones are remembered
         if self.by_word:
             self.words.pre_tokenizer = WhitespaceSplit()
             self.split = regex.compile(next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"))
@@ -77,11 +75,16 @@ class LibraryEncoder:
         new = set().union(*(s for s in splits if s)).difference(self.chunks)
         if new:
             found = self._learn([*new])
-            if len(self.chunks) + len(found) > REMEMBERED:
+            if self.held > REMEMBERED_BYTES:
                 used = {c: self.chunks[c] for c in set().union(*(s for s in splits if s)) if c in self.chunks}
-                self.older, self.chunks = self.chunks, used
-            self.chunks.update(found)
-        ids_of, out = self.chunks.__getitem__, []
+                self.older, self.chunks, self.held = self.chunks, used, sum(entry_bytes(*x) for x in used.items())
+            short = {c: ids for c, ids in found.items() if len(c) <= LONGEST}
+            self.held += sum(entry_bytes(*x) for x in short.items())
+            self.chunks.update(short)
+        else:
+            found = {}
+        known, out = self.chunks, []
+        ids_of = lambda c: known[c] if c in known else found[c]
         for text, s in zip(texts, splits, strict=True):
             out.append(np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind) if s is None else np.frombuffer(b"".join(map(ids_of, s)), self.kind))
         return out

@@ -24,10 +24,15 @@ from .common import ascii_lower, ship
 BROADCAST_BYTES = 64 << 20
 #: (host, path, verdict), as the contract of the query has them.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
+#: Rules of a shard, about.
+SHARD_RULES = 500_000
 #: The verdict where no rule fits: the list names what is judged, all else is let through.
 DEFAULT = "allow"
 
 
+_LOWERED = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 class DigestArray:
     """Strings under sorted 64-bit digests, in one mapped block of bytes: count, digests, offsets, values, strings."""
 
@@ -116,11 +121,11 @@ def _judge_pairs(array: DigestArray, rules, lengths, pairs: Sequence[tuple[str,
 def judge_urls(df: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, *, url: str = "url", keep: Sequence[str] = ("page_id",), default: str = DEFAULT) -> DataFrame:
     """keep columns, host, path, rule and verdict of each row.
 
-    rules: (host, path, verdict); a rule fits its host and all subdomains where the path starts with the rule's, and
-    the longest wins. A null url, or one without ://, has an empty host and path, which only rules with both empty fit.
+    rules: (host, path, verdict), of hosts A-Z lowered; a rule fits its host and all subdomains where the path starts with
+    the rule's, and the longest wins: of equally long ones that of the longer host, of equal ones the first. A null url, or one without ://, has an empty host and path, which only rules with both empty fit.
     Repeated rows are judged alike; columns that aren't in keep are left out, so that clashing names do no harm.
     """
-    rules = [(h.lower(), p, v) for h, p, v in rules]
+    rules = [(h.translate(_LOWERED), p, v) for h, p, v in rules]
     block = DigestArray.pack((f"{h}\0{p}", i) for i, (h, p, _) in enumerate(rules))
     if len(block) > BROADCAST_BYTES:
         raise ValueError("the list is larger than what is broadcast: use judge_urls_sharded")
@@ -153,11 +158,14 @@ def judge_urls_sharded(df: DataFrame, rules: DataFrame, *, url: str = "url", kee
 
     Distinct probe keys and rule keys meet in the shard of their digest, where the shard's sorted array answers; rows
     then look up their keys' answers. Distinct keys come from partial aggregation, so a key of many rows is one probe.
+    Shards are so many that each has about SHARD_RULES rules. Of rules with equal host and path, which have no order in
+    a table, that of the smallest verdict counts.
     """
     spark: SparkSession = df.sparkSession
     ship(spark)
-    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    own = rules.select(F.lower("host").alias("h"), F.col("path").alias("p"), F.col("verdict").alias("v")).where("h is not null and p is not null")
+    own = rules.select(ascii_lower(F.col("host")).alias("h"), F.col("path").alias("p"), F.col("verdict").alias("v")).where("h is not null and p is not null")
+    own = own.groupBy("h", "p").agg(F.min("v").alias("v"))
+    n = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-own.count() // SHARD_RULES))
     lengths = [r[0] for r in own.select(F.length("p")).distinct().limit(4097).collect()]
     if len(lengths) > 4096:
         raise ValueError("rules have more than 4096 lengths of path")
@@ -169,7 +177,7 @@ def judge_urls_sharded(df: DataFrame, rules: DataFrame, *, url: str = "url", kee
     pairs = base.select("host", "path").distinct().withColumn("key", F.explode(keys))
     shard = F.pmod(F.xxhash64("key"), F.lit(n)).alias("shard")
     probes = pairs.select("key").distinct().select(shard, "key")
-    listed = own.select(F.concat("h", F.lit("\0"), "p").alias("key"), F.concat("h", "p").alias("rule"), "v", F.length(F.concat("h", "p")).alias("size"))
+    listed = own.select(F.concat("h", F.lit("\0"), "p").alias("key"), F.concat("h", "p").alias("rule"), "v", F.struct(F.length(F.concat("h", "p")).alias("all"), F.length("h").alias("host")).alias("size"))
     listed = listed.select(shard, "key", "rule", "v", "size")
 
     def answer(left, right):
@@ -179,9 +187,9 @@ def judge_urls_sharded(df: DataFrame, rules: DataFrame, *, url: str = "url", kee
         array = DigestArray.mapped(DigestArray.pack((r["key"], i) for i, r in enumerate(known)))
         wanted = left.column("key").to_pylist()
         got = [(k, known[v]) for k, v in zip(wanted, array.probe(wanted).tolist(), strict=True) if v >= 0]
-        return pa.table({"key": pa.array([k for k, _ in got], pa.string()), "rule": pa.array([r["rule"] for _, r in got], pa.string()), "verdict": pa.array([r["v"] for _, r in got], pa.string()), "size": pa.array([r["size"] for _, r in got], pa.int32())})
+        return pa.table({"key": pa.array([k for k, _ in got], pa.string()), "rule": pa.array([r["rule"] for _, r in got], pa.string()), "verdict": pa.array([r["v"] for _, r in got], pa.string()), "size": pa.array([r["size"] for _, r in got], pa.struct([("all", pa.int32()), ("host", pa.int32())]))})
 
-    found = probes.groupBy("shard").cogroup(listed.groupBy("shard")).applyInArrow(answer, "key string, rule string, verdict string, size int")
+    found = probes.groupBy("shard").cogroup(listed.groupBy("shard")).applyInArrow(answer, "key string, rule string, verdict string, size struct<all: int, host: int>")
     best = pairs.join(found, "key").groupBy("host", "path").agg(F.max_by(F.struct("rule", "verdict"), F.col("size")).alias("best"))
     out = base.join(best, ["host", "path"], "left")
     return out.select(*kept, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))

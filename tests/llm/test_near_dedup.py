@@ -101,3 +101,13 @@ def test_query(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{path}/documents.parquet").collect()]
     want = brute(rows)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in queries.op10_bottom_k(spark, path).collect()} == want
+
+
+def test_rows_of_one_id_are_dropped_by_their_own_text(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    rows = [(1, a, 7), (2, a, 7), (2, b, 7), (2, a, 8), (None, a, 7), (3, None, 7), (4, None, 7), (5, b, 9), (6, "", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kept int")
+    left = near_dedup.drop_near_duplicates(df)
+    assert left.schema == df.schema
+    assert sorted(map(str, left.collect())) == sorted(map(str, spark.createDataFrame([rows[i] for i in (0, 2, 4, 5, 6, 8)], df.schema).collect()))
+    assert near_dedup.drop_near_duplicates(df.limit(0)).collect() == []

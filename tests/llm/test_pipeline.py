@@ -83,3 +83,25 @@ def test_empty_documents(spark, corpus, tmp_path):
     spark.read.parquet(f"{corpus}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{corpus}/labels.parquet").limit(0).write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_null_and_repeated_ids_and_clashing_columns(spark, corpus, tmp_path):
+    """Every row is judged by its own text; further columns go through all stages but the last as they are."""
+    docs = spark.read.parquet(f"{corpus}/documents.parquet")
+    good = [r for r in docs.collect() if len(r.text or "") > 700 and "badword" not in r.text]
+    rows = [(*r, "k", 1, "v") for r in docs.collect()]
+    rows += [(None, good[0].text, "en", "s", 1, "k", 2, "v"), (None, good[1].text, None, None, None, None, None, None), (good[2].doc_id, good[3].text + " tail", "en", "s", 1, "k", 3, "v"), (*good[4], "k", 4, "v"), (*good[4], "k", 5, "v")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept string, n_words int, component_id string"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{corpus}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    all_docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    now = all_docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        before, now = now, stage(spark, now, str(tmp_path))
+        assert now.columns == all_docs.columns
+        ids = lambda df: collections.Counter((r.doc_id, r.n_words, r.kept) for r in df.collect())
+        assert not ids(now) - ids(before)
+    left = now.collect()
+    assert {4, 5} <= {r.n_words for r in left} and sum(r.doc_id is None for r in left) == 2
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {p.doc_id for p in pieces} == {r.doc_id for r in left}

@@ -93,3 +93,38 @@ def test_assign_shards(spark, docs):
     assert len(rows) == df.count() and all(r.shard == table[r.slot] for r in rows)
     assert sharding.assign_shards(df.limit(0), ["doc_id"], ["a"], 101).collect() == []
     assert {"op9_shard_lookup", "op2_url_rules"} <= queries.QUERIES.keys()
+
+
+def test_ties_and_other_capitals(spark):
+    rules = [("ÄB.de", "", "block"), ("b.co", "/xy", "block"), ("a.b.co", "/", "allow"), ("q.io", "/", "allow"), ("Q.io", "/", "block")]
+    urls = ["http://ÄB.de/", "http://äb.de/", "http://a.b.co/xy", "http://q.io/"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    want = ["block", "allow", "allow", "allow"]
+    assert [r.verdict for r in url_filter.judge_urls(df, rules).orderBy("page_id").collect()] == want
+    listed = spark.createDataFrame(rules, "host string, path string, verdict string")
+    assert [r.verdict for r in url_filter.judge_urls_sharded(df, listed, shards=2).orderBy("page_id").collect()] == want
+
+
+def test_query_places_by_brute_force(spark, folder, docs):
+    """The slot is the key's hash, the shard the one that a turn by turn filling of all 65,537 slots gives."""
+    import hashlib
+
+    import xxhash
+
+    size, names = 65_537, queries.SHARDS
+    at, step = zip(*(((int.from_bytes(d[:8], "big") % size), int.from_bytes(d[8:16], "big") % (size - 1) + 1) for d in (hashlib.sha256(x.encode()).digest() for x in names)), strict=True)
+    owner, turn = {}, [0] * len(names)
+    while len(owner) < size:
+        for i in range(len(names)):
+            if len(owner) == size:
+                break
+            while (at[i] + turn[i] * step[i]) % size in owner:
+                turn[i] += 1
+            owner[(at[i] + turn[i] * step[i]) % size] = i
+    signed = lambda v: v - (1 << 64) if v >= 1 << 63 else v
+    got = queries.op9_shard_lookup(spark, folder).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in got) == sorted((r.doc_id is None, r.doc_id or 0) for r in docs.collect())
+    for r in got:
+        h = 42 if r.doc_id is None else signed(xxhash.xxh64_intdigest(int(r.doc_id).to_bytes(8, "little", signed=True), 42))
+        assert r.slot == h % size and r.shard == owner[r.slot]
+    assert {r.doc_id: r.n_bytes for r in got} == {r.doc_id: len((r.text or "").encode()) for r in docs.collect()}
