@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from ..functions.expressions import KEYS, clip, safe_div, without_nan
 from ..sources.scratch import join_measured, stored
 from .joins import duplicate_keys
+from .tails import exact_quantiles
 
 
 def factor_columns(x: DataFrame, unique: bool = False) -> list[str]:
@@ -59,15 +60,15 @@ def winsorize(x: DataFrame, *, lower_quantile: float = 0.01, upper_quantile: flo
 
 
 def winsorize_pooled(df: DataFrame, quantile: float) -> DataFrame:
-    """All rows pooled: each double column clipped to its [q, 1 - q] quantiles. One row of bounds comes to the driver."""
+    """All rows pooled: each double column clipped to its [q, 1 - q] quantiles, found by selection: no task holds the values."""
     if not 0 <= _number(quantile, "quantile") < 0.5:
         raise ValueError("quantile must satisfy 0 <= quantile < 0.5")
     names = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
     if not names:
         return df
     df = without_nan(df)
-    bounds = df.agg(*[F.percentile(c, F.array(F.lit(float(quantile)), F.lit(1.0 - quantile))).alias(c) for c in names]).first()
-    return df.withColumns({c: clip(F.col(c), F.lit(bounds[c][0]), F.lit(bounds[c][1])) for c in names if bounds[c]})
+    bounds = exact_quantiles(df, names, [float(quantile), 1.0 - quantile])
+    return df.withColumns({c: clip(F.col(c), F.lit(low), F.lit(high)) for c, (low, high) in bounds.items() if low is not None})
 
 
 def zscore(x: DataFrame, *, ddof: int = 0, least: int = 1) -> DataFrame:

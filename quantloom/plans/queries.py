@@ -86,6 +86,13 @@ PARTS = {
     "xt": ("x2", f"SELECT * FROM x2 WHERE Date = (SELECT MAX(Date) FROM x2 WHERE Date <= DATE '{AS_OF}')"),
     "w": ("xt", "SELECT Ticker, 1e0 / COUNT(*) OVER () AS weight FROM xt"),
     "model": ("x2 f d", "SELECT Date, x.Ticker, sqrt((f1 * f1 * c11 + 2 * f1 * f2 * c12 + f2 * f2 * c22 + COALESCE(specific_var, 0)) * 12) AS vol FROM x2 x CROSS JOIN f LEFT JOIN d ON x.Ticker = d.Ticker"),
+    "days": ("eps", "SELECT Date, row_number() OVER (ORDER BY Date) - 1 AS i FROM (SELECT DISTINCT Date FROM eps) d"),
+    "grid": ("days eps", "SELECT d.i, t.Ticker, COALESCE(eps, 0) AS v FROM days d CROSS JOIN (SELECT DISTINCT Ticker FROM eps) t LEFT JOIN eps e ON e.Date = d.Date AND e.Ticker = t.Ticker"),
+    "betas": ("ret", """SELECT r.Date, r.Ticker, r, CASE WHEN COUNT(CASE WHEN r IS NOT NULL AND m IS NOT NULL THEN 1 END) OVER w = 24 THEN covar_pop(r, m) OVER w / NULLIF(var_pop(m) OVER w, 0) END AS market
+        FROM (SELECT Date, Ticker, ret.r, CASE WHEN ret.r IS NOT NULL THEN k.m END AS m FROM ret LEFT JOIN (SELECT Date, AVG(r) / 10 AS m FROM ret WHERE r IS NOT NULL GROUP BY Date) k USING (Date)) r WINDOW w AS (PARTITION BY r.Ticker ORDER BY r.Date ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING)"""),
+    "premia": ("betas", "SELECT Date, CASE WHEN COUNT(*) >= 3 THEN regr_intercept(r, market) END AS const, CASE WHEN COUNT(*) >= 3 THEN regr_slope(r, market) END AS market FROM betas WHERE r IS NOT NULL AND market IS NOT NULL GROUP BY Date"),
+    "blocks": ("daily", """SELECT factor, block, COUNT(*) AS n, SUM(rank_ic) AS s FROM daily JOIN (SELECT Date, (row_number() OVER (ORDER BY Date) - 1) // 6 AS block FROM (SELECT DISTINCT Date FROM daily WHERE rank_ic IS NOT NULL) c) b USING (Date)
+        WHERE rank_ic IS NOT NULL GROUP BY factor, block"""),
     "rv": ("ret", "SELECT Date, Ticker, CASE WHEN COUNT(r) OVER w >= 6 THEN stddev_samp(r) OVER w * sqrt(12e0) END AS realized_vol FROM ret WINDOW w AS (PARTITION BY Ticker ORDER BY Date ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)"),
 }
 
