@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.expressions import KEYS
@@ -10,8 +12,9 @@ from ..operators.factors import compute_raw_exposures
 from ..operators.joins import same_keys, unique_dimension
 from ..operators.transforms import neutralize, winsorize, zscore
 from ..sources import workbook
-from ..sources.scratch import stored
+from ..sources.scratch import shared_folder, stored
 from ..sources.tables import keyed_mean
+from ..sources.workbook_sink import write_cells
 from . import assembly
 from .panel import monthly, panel, quarterly, table
 from .queries import AS_OF, FACTORS, MONTHS, NAMES, ORACLE_SQL, X2, X3, aligned, estimated, r6, register, rounded, sql, x2
@@ -277,3 +280,10 @@ def _(spark, sf_dir):
     x, weights = _unequal(spark, sf_dir)
     x = x.where("f1 > -0.5")
     return risk.portfolio_exposure(portfolio.renormalized(weights, x), x, X2).select("factor", (F.round("exposure", 6) + 0.0).alias("exposure"))
+
+
+@register("workbook_file", PANEL + "panel", "panel")
+def _(spark, sf_dir):
+    """The panel's tables written as a workbook file in the shared folder, and the panel read from that file."""
+    path = write_cells(workbook_cells(spark, sf_dir), f"{shared_folder(spark)}/quantloom-books/{uuid.uuid4().hex}.xlsx")
+    return rounded(assembly.load_workbook_panel(spark, path), **DIGITS)

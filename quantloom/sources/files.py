@@ -75,3 +75,31 @@ def write_whole(df: DataFrame, path, *, kind: str = "parquet", overwrite: bool =
     df.write.options(**options).format(kind).save(part)
     _take_place(spark, part, path, overwrite)
     return str(path)
+
+
+def absolute(path) -> str:
+    """The path with ~ expanded; one without a scheme is of this machine's file system, as an absolute path."""
+    from pathlib import Path
+
+    return str(path) if "://" in str(path) or str(path).startswith("file:") else str(Path(path).expanduser().absolute())
+
+
+def is_folder(spark: SparkSession, path) -> bool:
+    p, fs = _at(spark, path)
+    return fs.exists(p) and fs.getFileStatus(p).isDirectory()
+
+
+def listed(spark: SparkSession, folder, pattern: str) -> list[str]:
+    """The files (or folders) right in a folder whose names fit the pattern, in order of names."""
+    p, fs = _at(spark, joined(folder, pattern))
+    found = fs.globStatus(p)
+    return sorted(str(s.getPath().toString()) for s in found) if found is not None else []
+
+
+def put_file(spark: SparkSession, local, path, *, overwrite: bool = False) -> str:
+    """A file of this machine's to any path, whole or not at all."""
+    part = _beside(path, "part")
+    p, fs = _at(spark, part)
+    fs.copyFromLocalFile(False, True, _at(spark, f"file://{local}")[0], p)
+    _take_place(spark, part, path, overwrite)
+    return str(path)

@@ -5,14 +5,13 @@ from __future__ import annotations
 import logging
 import re
 from collections.abc import Mapping, Sequence
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.expressions import KEYS, without_nan
 from ..operators.joins import duplicate_keys
 from ..operators.transforms import winsorize_pooled
-from .files import exists
+from .files import absolute, exists, is_folder, joined, listed
 
 log = logging.getLogger(__name__)
 
@@ -20,20 +19,19 @@ log = logging.getLogger(__name__)
 CONTRACT = {n: "double" for n in ("px_last", "market_cap", "pb", "earn_yld", "beta", "volume", "growth_sales", "growth_eps", "leverage")} | {n: "string" for n in ("gics_sector", "gics_industry_group", "gics_sub_industry")}
 
 
-def csv_path(path) -> Path:
-    """The path with ~ expanded; an error if it isn't a .csv file. Paths of other file systems (scheme://) are left to Spark."""
-    p = Path(path).expanduser()
-    if p.is_dir() or p.suffix.lower() != ".csv":
+def csv_path(spark: SparkSession, path) -> str:
+    """The path, on any file system, with ~ expanded; an error if it isn't a .csv file (or what Spark wrote under such a name)."""
+    p = absolute(path)
+    if not p.lower().endswith(".csv") or (is_folder(spark, p) and not exists(spark, joined(p, "_SUCCESS"))):
         raise ValueError(f"a CSV source is a file that ends in .csv: {p}")
-    if not p.is_file():
+    if not exists(spark, p):
         raise FileNotFoundError(f"there is no CSV file at {p}")
     return p
 
 
 def load_raw_csv(spark: SparkSession, path, *, encoding: str = "utf-8", infer: bool = True, **options) -> DataFrame:
     """All columns, typed by a scan of their own; infer=False: as text, read once."""
-    source = str(path) if "://" in str(path) else str(csv_path(path))
-    return without_nan(spark.read.options(header=True, inferSchema=infer, encoding=encoding, **options).csv(source))
+    return without_nan(spark.read.options(header=True, inferSchema=infer, encoding=encoding, **options).csv(csv_path(spark, path)))
 
 
 def inspect_csv(spark: SparkSession, path, *, nrows: int = 10, encoding: str = "utf-8", **options) -> DataFrame:
@@ -96,14 +94,14 @@ def csv_to_parquet(spark: SparkSession, csv, parquet, *, parse_dates: Sequence[s
 
 
 def convert_csv_dir(spark: SparkSession, csv_dir, parquet_dir=None, *, pattern: str = "*.csv", **options) -> list[str]:
-    """Each file on its own, in order of names; one that fails is logged and skipped."""
-    source = Path(csv_dir).expanduser()
-    if not source.is_dir():
+    """Each file of a folder, on any file system, on its own, in order of names; one that fails is logged and skipped."""
+    source = absolute(csv_dir)
+    if not is_folder(spark, source):
         raise FileNotFoundError(f"not a directory: {source}")
-    target, done = Path(parquet_dir or source), []
-    for p in sorted(source.glob(pattern)):
+    target, done = absolute(parquet_dir or source), []
+    for p in listed(spark, source, pattern):
         try:
-            done.append(csv_to_parquet(spark, p, target / f"{p.stem}.parquet", **options))
+            done.append(csv_to_parquet(spark, p, joined(target, f"{p.rsplit('/', 1)[1].rpartition('.')[0]}.parquet"), **options))
         except Exception as e:
             log.warning("skipped %s: %s", p, e)
     return done

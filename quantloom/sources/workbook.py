@@ -9,12 +9,13 @@ from __future__ import annotations
 
 import zipfile
 from collections.abc import Mapping, Sequence
-from pathlib import Path
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.expressions import KEYS
 from ..operators.joins import duplicate_keys
+from .files import absolute, exists, is_folder
 from .scratch import stored
 from .tables import excel_date, number_of
 
@@ -28,12 +29,12 @@ INDUSTRIES = {"gics_sector": "gics_sector", "gics_industry_grp": "gics_industry_
 EPOCHS = {False: "1899-12-30", True: "1904-01-01"}
 
 
-def workbook_path(path) -> Path:
-    """The absolute path with ~ expanded; an error if it isn't an .xlsx file."""
-    p = Path(path).expanduser().absolute()
-    if p.is_dir() or p.suffix.lower() != ".xlsx":
+def workbook_path(path) -> str:
+    """The path, on any file system, with ~ expanded; an error if it isn't an .xlsx file."""
+    spark, p = SparkSession.active(), absolute(path)
+    if not p.lower().endswith(".xlsx") or is_folder(spark, p):
         raise ValueError(f"a workbook is a file that ends in .xlsx: {p}")
-    if not p.is_file():
+    if not exists(spark, p):
         raise FileNotFoundError(f"there is no workbook at {p}")
     return p
 
@@ -42,17 +43,38 @@ _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 
 
-def _contents(book: zipfile.ZipFile) -> tuple[dict[str, str], bool]:
+def _contents(workbook: bytes, relations: bytes) -> tuple[dict[str, str], bool]:
     """Each sheet's part of the file, in order, and whether days count from 1904."""
     from xml.etree import ElementTree
 
-    root = ElementTree.fromstring(book.read("xl/workbook.xml"))
-    links = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))}
+    root = ElementTree.fromstring(workbook)
+    links = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(relations)}
     where = lambda t: t.lstrip("/") if t.startswith("/") else f"xl/{t}"
     settings = root.find(f"{_MAIN}workbookPr")
     return {s.get("name"): where(links[s.get(_LINK)]) for s in root.iter(f"{_MAIN}sheet")}, settings is not None and settings.get("date1904") in ("1", "true")
 
 
+def _file(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").load(path).select("content")
+
+
+def _outline(spark: SparkSession, path: str) -> tuple[dict[str, str], bool]:
+    """_contents of a file on any file system: a task opens it and sends back its two small parts."""
+
+    def parts(batches):
+        import io
+
+        import pandas as pd
+
+        for pdf in batches:
+            for content in pdf["content"]:
+                with zipfile.ZipFile(io.BytesIO(content)) as book:
+                    yield pd.DataFrame([(book.read("xl/workbook.xml"), book.read("xl/_rels/workbook.xml.rels"))], columns=["a", "b"])
+
+    row = _file(spark, path).mapInPandas(parts, "a binary, b binary").first()
+    return _contents(bytes(row["a"]), bytes(row["b"]))
+
+
 def _cell_reader():
     """A function for tasks, which have no need of this package: (row, col, value) of a sheet's cells that hold something."""
     main = _MAIN
@@ -93,15 +115,13 @@ def _cell_reader():
 def read_workbook(spark: SparkSession, path, sheets: Sequence[str] = SHEETS) -> tuple[DataFrame, str]:
     """The cells of a workbook's sheets, and the day from which its serial dates count.
 
-    ValueError where a sheet is missing. Sheets are parsed in tasks, which get the file through Spark, a sheet's rows at a time."""
+    The file may be on any file system of Spark's. ValueError where a sheet is missing. Each sheet is parsed in a task of its
+    own, some rows at a time."""
     p = workbook_path(path)
-    with zipfile.ZipFile(p) as book:
-        parts, late = _contents(book)
+    parts, late = _outline(spark, p)
     if missing := [s for s in sheets if s not in parts]:
         raise ValueError(f"sheets are missing: {missing}")
-    wanted = F.broadcast(spark.createDataFrame([(s, parts[s]) for s in sheets], "sheet string, part string"))
     read = _cell_reader()
-    files = spark.read.format("binaryFile").load(p.as_uri()).select("content").join(wanted, how="cross").repartition(len(sheets), "sheet")
 
     def parse(batches):
         import io
@@ -116,7 +136,9 @@ def read_workbook(spark: SparkSession, path, sheets: Sequence[str] = SHEETS) ->
                     while block := list(islice(cells, 50_000)):
                         yield pd.DataFrame([(sheet, *c) for c in block], columns=["sheet", "row", "col", "value"])
 
-    return files.mapInPandas(parse, CELLS), EPOCHS[late]
+    # a task for each sheet, which reads the file by itself: nothing of it goes through a shuffle
+    files = [_file(spark, p).select("content", F.lit(s).alias("sheet"), F.lit(parts[s]).alias("part")) for s in sheets]
+    return reduce(DataFrame.unionAll, files).mapInPandas(parse, CELLS), EPOCHS[late]
 
 
 def key_values(cells: DataFrame, sheet: str) -> dict[str, str | None]:
@@ -127,9 +149,7 @@ def key_values(cells: DataFrame, sheet: str) -> dict[str, str | None]:
 
 def inspect_workbook(spark: SparkSession, path) -> dict:
     """sheet_names, sheet_dimensions (rows, columns), config and meta."""
-    p = workbook_path(path)
-    with zipfile.ZipFile(p) as book:
-        names = list(_contents(book)[0])
+    names = list(_outline(spark, workbook_path(path))[0])
     cells = read_workbook(spark, path)[0]
     sizes = {r["sheet"]: (r["rows"], r["columns"]) for r in cells.groupBy("sheet").agg(F.max("row").alias("rows"), F.max("col").alias("columns")).collect()}
     return {"sheet_names": names, "sheet_dimensions": {s: sizes.get(s, (0, 0)) for s in SHEETS}, "config": key_values(cells, "Config"), "meta": key_values(cells, "Meta")}

@@ -164,3 +164,37 @@ def test_field_sources(spark, tmp_path):
     r = assembly.load_field_panel(spark, sources).collect()
     assert len(r) == 1 and (r[0].px_last, r[0].volume, r[0].earn_yld, r[0].growth_eps, r[0].leverage, r[0].gics_industry_group) == (5.0, 12.0, None, 0.5, None, "b")
     assert {x.Ticker: x.tr for x in assembly.load_total_returns(spark, sources).collect()} == {"yew": 101.0, "oak": 99.0}
+
+
+def test_written_cells_read_back(spark, tmp_path):
+    """What the sink writes, the source reads: with a scheme in the path, and by name alone."""
+    from quantloom.sources import workbook_sink
+
+    content = sheets()
+    content["Config"][0][1] = "a <b> & \"c\"\x01"
+    cells = cells_of(spark, content)
+    path = workbook_sink.write_cells(cells.repartition(5), f"file://{tmp_path}/deep/w.xlsx")
+    back, epoch = wb.read_workbook(spark, path)
+    fixed = lambda df: sorted((r["sheet"], r["row"], r["col"], r["value"].replace("\x01", "�")) for r in df.collect())
+    assert fixed(back) == fixed(cells) and epoch == wb.EPOCHS[False]
+    want = sorted(map(str, assembly.workbook_panel(cells).collect()))
+    assert sorted(map(str, assembly.load_workbook_panel(spark, f"{tmp_path}/deep/w.xlsx").collect())) == want
+    for call, error in ((lambda: workbook_sink.write_cells(cells, path), FileExistsError), (lambda: workbook_sink.write_cells(cells, f"{tmp_path}/w.txt"), ValueError), (lambda: workbook_sink.write_cells(cells.withColumn("row", F.lit(2_000_000)), f"{tmp_path}/far.xlsx"), ValueError)):
+        with pytest.raises(error):
+            call()
+
+
+def test_allocation_report(spark, tmp_path):
+    from quantloom.sources import workbook_sink
+
+    weights = spark.createDataFrame([("oak", 0.625), ("yew", 0.375), ("#ash", None)], "Ticker string, weight double")
+    path = workbook_sink.allocation_report(weights, tmp_path / "report.xlsx")
+    got = {(r["row"], r["col"]): r["value"] for r in wb.read_workbook(spark, path, ["Portfolio Allocation"])[0].collect()}
+    assert got == {(1, 1): "Ticker", (1, 2): "Optimal_Weight", (2, 1): "oak", (2, 2): "0.625", (3, 1): "yew", (3, 2): "0.375", (4, 1): "#ash"}
+    with zipfile.ZipFile(tmp_path / "report.xlsx") as z:
+        sheet, styles = z.read("xl/worksheets/sheet1.xml").decode(), z.read("xl/styles.xml").decode()
+    assert '<c r="B2" s="2"><v>0.625</v></c>' in sheet and '<col min="1" max="1" width="20" customWidth="1"/>' in sheet and styles.count("numFmtId") == 3 and 'numFmtId="10"' in styles
+    dated = spark.createDataFrame([(dt.date(2021, 5, 3), 2, True, None), (None, None, None, float("nan"))], "d date, n int, b boolean, x double")
+    workbook_sink.write_tables(spark, tmp_path / "report.xlsx", {"a": dated, "b": dated.limit(0)}, overwrite=True)
+    got = {(r["sheet"], r["row"], r["col"]): r["value"] for r in wb.read_workbook(spark, tmp_path / "report.xlsx", ["a", "b"])[0].collect()}
+    assert got == {("a", 1, 1): "d", ("a", 1, 2): "n", ("a", 1, 3): "b", ("a", 1, 4): "x", ("a", 2, 1): str(serial(2021, 5, 3)), ("a", 2, 2): "2", ("a", 2, 3): "1", ("b", 1, 1): "d", ("b", 1, 2): "n", ("b", 1, 3): "b", ("b", 1, 4): "x"}
