@@ -282,8 +282,8 @@ def _(spark, sf_dir):
     return risk.portfolio_exposure(portfolio.renormalized(weights, x), x, X2).select("factor", (F.round("exposure", 6) + 0.0).alias("exposure"))
 
 
-@register("workbook_file", PANEL + "panel", "panel")
+@register("workbook_file", PANEL.replace("round(px_last, 6)", "round(px_last, 9)") + "panel", "panel")
 def _(spark, sf_dir):
     """The panel's tables written as a workbook file in the shared folder, and the panel read from that file."""
     path = write_cells(workbook_cells(spark, sf_dir), f"{shared_folder(spark)}/quantloom-books/{uuid.uuid4().hex}.xlsx")
-    return rounded(assembly.load_workbook_panel(spark, path), **DIGITS)
+    return rounded(assembly.load_workbook_panel(spark, path), px_last=9, **DIGITS)

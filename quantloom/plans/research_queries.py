@@ -7,9 +7,10 @@ from statistics import NormalDist
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.expressions import KEYS
-from ..operators import decay, premia, resampling, risk, statistical, tails
+from ..operators import decay, multiplicity, pairs, premia, resampling, risk, statistical, tails
 from ..operators.walkforward import WalkForwardConfig, rolling_covariance, walk_forward_report, walk_forward_returns, walk_forward_weights
 from ..sources.scratch import stored
+from .panel import panel
 from .queries import MONTHS, X2, aligned, market, model, register, returns, rounded, validated
 
 #: Two years of months for each window, held for a quarter.
@@ -155,3 +156,31 @@ _MOMENTS = "SELECT COUNT(r) AS n, AVG(r) AS m, stddev_samp(r) AS s, AVG(d * d) A
 def _(spark, sf_dir):
     return rounded(tails.tail_risk(returns(spark, sf_dir), ["r"], TAIL))
 
+
+
+# ---- how many were tried --------------------------------------------------------------------------------------------
+
+_EACH = "SELECT factor, COUNT(*) AS n, AVG(v) / stddev_samp(v) AS sharpe, AVG(d * d * d) / pow(AVG(d * d), 1.5) AS skewness, AVG(d * d * d * d) / pow(AVG(d * d), 2) AS kurtosis FROM (SELECT factor, spread AS v, spread - AVG(spread) OVER (PARTITION BY factor) AS d FROM spreads) c GROUP BY factor"
+_SQUARES = "SELECT COALESCE(2 * SUM(c * c), 0) AS squares FROM (SELECT corr(x.spread, y.spread) AS c FROM spreads x JOIN spreads y ON x.Date = y.Date AND x.factor < y.factor GROUP BY x.factor, y.factor) p"
+
+
+@register(
+    "deflated_sharpe",
+    f"""SELECT factor, n, round(sharpe, 6) AS sharpe, round(skewness, 6) AS skewness, round(kurtosis, 6) AS kurtosis, round(trials, 5) AS trials, round(bar, 6) AS bar, round({multiplicity.DEFLATED}, 6) AS deflated FROM
+    (SELECT e.*, trials, {multiplicity.expected_largest("trials", "spread")} AS bar FROM (SELECT * FROM ({_EACH}) s, (SELECT k * k / (k + squares) AS trials, spread FROM (SELECT COUNT(*) AS k, var_samp(sharpe) AS spread FROM ({_EACH}) t) u, ({_SQUARES}) q) f) e) g""",
+    "spreads",
+)
+def _(spark, sf_dir):
+    spreads = stored(validated(spark, sf_dir)["quantiles"].select("Date", "factor", "spread"), "spreads")
+    return rounded(multiplicity.deflated_sharpe(spreads, value="spread", by="factor"), trials=5)
+
+
+@register("false_discoveries", f"""SELECT factor, round(nw_t, 6) AS nw_t, round(p, 6) AS p, round(least(MIN(q) OVER (ORDER BY p DESC, factor DESC ROWS UNBOUNDED PRECEDING), 1), 6) AS adjusted, least(MIN(q) OVER (ORDER BY p DESC, factor DESC ROWS UNBOUNDED PRECEDING), 1) <= 0.05 AS discovery
+    FROM (SELECT *, p * COUNT(*) OVER () / row_number() OVER (ORDER BY p, factor) AS q FROM (SELECT factor, nw_t, 2 * (1 - {multiplicity.normal_cdf("abs(nw_t)")}) AS p FROM nw WHERE nw_t IS NOT NULL) a) b""", "nw")
+def _(spark, sf_dir):
+    return rounded(multiplicity.false_discoveries(stored(validated(spark, sf_dir)["summary"].select("factor", "nw_t"), "tests")))
+
+
+@register("cointegrated_pairs")
+def _(spark, sf_dir):
+    return rounded(pairs.cointegrated_pairs(pairs.log_prices(panel(spark, sf_dir))), 5)
