@@ -137,7 +137,9 @@ def pack_documents(df: DataFrame, vocabulary: str, *, doc: str = "doc_id", text:
 
     A null text is empty: its one id is the end id. Rows of equal or null document ids are documents of their own (null
     first, equal ones by text). Sequences keep the order of documents within a range of ids, and their numbers rise with
-    it; the last sequence of each range may be short. An empty df gives no rows; other columns have no part in it.
+    it; the last sequence of each range may be short. Cuts are the best of each run of RUN ids (hundreds of sequences), whose
+    last few are cut anew with the next run: nearly, but not always, the best of a range as a whole. An empty df gives no
+    rows; other columns have no part in it.
     """
     import pyarrow as pa
 

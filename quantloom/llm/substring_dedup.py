@@ -16,10 +16,14 @@ its key, and a run of windows of one document with one key travels as one stretc
 
 A key that more than HOT_TEXTS different texts have (around a passage in a large share of all documents) would make one
 group large. Its windows are dealt one by one, by a 128-bit digest of all their words, so that only those which recur
-travel. A document holds them as chains of windows, cut where a window's digest says so, which many documents have in
-common: windows are looked up once for each different chain. Which keys these are is told to the tasks by a bitmap of fixed size (MARK_BITS bits), whatever their number: a
-key that shares its bit is dealt in the same way, with the same results. Bitmaps also say which documents a join is
-about, so that the others' texts stay where they are; a document that shares its bit goes along and changes nothing.
+travel; these windows are found by their digests, not by the index, and two of different words would be taken for one
+with a chance of 2 ** -128 for each pair. A document holds them as chains of windows, cut where a window's digest says
+so, which many documents have in common: windows are looked up once for each different chain. Which keys these are is
+told to the tasks by a bitmap of fixed size (MARK_BITS bits), whatever their number: a key that shares its bit is dealt
+in the same way, with the same results, but more of them as the map fills. Bitmaps also say which documents a join is about, so that the others' texts stay
+where they are; a document that shares its bit goes along and changes nothing.
+
+Rows of one id are one document: their texts meet in one task, so that an id must not be that of a large share of rows.
 """
 
 from __future__ import annotations
@@ -40,7 +44,8 @@ SHARD_WORDS = 1 << 18
 PIECE = 64
 #: Different texts of one key from which on its windows are dealt one by one.
 HOT_TEXTS = 300
-#: Bits of the maps of keys and documents that are broadcast (4 MB each).
+#: Bits of the maps of keys and documents that are broadcast (4 MB each). Results don't hang on it, but costs do: with more
+#: concerned documents than a fraction of this, raise it (a power of two; at 1 << 30 a map has 128 MB).
 MARK_BITS = 1 << 25
 
 RUNS = "key long, c1 long, c2 long, doc long, whole long, first int, n int"
