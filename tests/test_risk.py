@@ -168,3 +168,28 @@ def test_busy_dates(spark):
     p = to_pandas(rows, ("a", "b")).dropna()
     n = p.groupby("Date").a.transform("size")
     assert {(r.Date, r.Ticker) for r in portfolio.busy_dates(to_spark(spark, rows, ("a", "b")), 5).collect()} == set(zip(p.Date[n >= 5], p.Ticker[n >= 5], strict=True))
+
+
+def test_columns_of_very_different_units(spark):
+    """Weighted regressions with the weight itself as a column a thousand million times the others; and dependent columns,
+    for which the solution of least norm is meant."""
+    rng = np.random.default_rng(12)
+    rows, want = [], {}
+    for d in range(6):
+        n = 40
+        x = rng.normal(size=(n, 3))
+        x[:, 2] = x[:, 0] - 2 * x[:, 1] if d % 2 else x[:, 2]
+        caps = np.exp(rng.normal(size=n)) * 1e9
+        caps[0] = -5.0  # counts as no weight
+        r = x[:, 0] * 0.3 - x[:, 1] + caps * 2e-10 + rng.normal(scale=0.01, size=n)
+        a, w = np.column_stack([x, caps]), np.sqrt(np.clip(caps, 0, None))
+        scale = np.linalg.norm(a * w[:, None], axis=0)  # in the units given, lstsq itself would lose nine digits
+        want[day(d)] = np.linalg.lstsq(a * w[:, None] / scale, r * w, rcond=1e-9)[0] / scale
+        if d % 2:  # the null space of the unscaled columns taken off
+            null = np.array([1.0, -2.0, -1.0, 0.0]) / np.sqrt(6)
+            want[day(d)] -= null * (null @ want[day(d)])
+        rows += [(day(d), f"s{i}", *map(float, x[i]), float(caps[i]), float(r[i])) for i in range(n)]
+    df = spark.createDataFrame(rows, "Date date, Ticker string, a double, b double, c double, market_cap double, r double")
+    names = ["a", "b", "c", "market_cap"]
+    for f in risk.factor_returns(df, names, weights="market_cap").collect():
+        assert [f[n] for n in names[:3]] == pytest.approx(want[f.Date][:3].tolist(), rel=1e-6, abs=1e-8) and f.market_cap == pytest.approx(want[f.Date][3], rel=1e-6)

@@ -113,3 +113,45 @@ def test_orthogonalize_by_a_plain_loop(spark):
                 own[names[j]] = pd.Series(y - design @ np.linalg.pinv(design) @ y, index=y.index).reindex(own.index)
         want.loc[g.index, list(names)] = own
     same(orthogonalize(to_spark(spark, rows, names)), want, names, 1e-8)
+
+
+def test_panel_is_not_shuffled_by_date(spark, tmp_path):
+    """Statistics of few groups are sent to the rows: no exchange stands above the scan of the panel in what a step returns."""
+    rows = made(19, days=12, names=9, columns=("a", "cap"), holes=0.0)
+    to_spark(spark, rows, ("a", "cap")).selectExpr("*", "case when Ticker < 'q' then 'x' else 'y' end gics_sector", "abs(cap) + 1 market_cap").write.parquet(str(tmp_path / "p"))
+    p = spark.read.parquet(str(tmp_path / "p"))
+    x = p.select("Date", "Ticker", "a")
+    for out, joins in ((winsorize(x), 1), (zscore(x), 1), (zscore(winsorize(x)), 2)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("BroadcastHashJoin") == joins and "Exchange hashpartitioning" not in plan and plan.count("Scan parquet") == joins + 1
+    plan = neutralize(x, p)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") == 4  # both inputs once, and two tables of statistics
+
+
+def test_many_groups_are_joined_by_a_shuffle(spark, monkeypatch):
+    from quantloom.sources import scratch
+
+    monkeypatch.setattr(scratch, "BROADCAST_NUMBERS", 10)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = made(19, days=12, names=9, columns=("a",))
+        x = to_spark(spark, rows, ("a",))
+        out = zscore(x)
+        assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+        p = to_pandas(rows, ("a",))
+        by = p.groupby("Date").a
+        p["a"] = (p.a - by.transform("mean")) / by.transform(lambda s: s.std(ddof=0) if s.nunique() > 1 else np.nan)
+        same(out, p, ("a",))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_stored_tables_go(spark):
+    from quantloom.sources import scratch
+
+    t = scratch.stored(spark.range(5), "five")
+    assert t.count() == 5
+    scratch.drop_stored(spark)
+    with pytest.raises(Exception):  # noqa: B017  its files are gone
+        t.count()
+    assert scratch.stored(spark.range(3), "three").count() == 3
