@@ -10,6 +10,8 @@ Spans of different content are told to be equal with a chance of about 2 ** -60
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -129,10 +131,17 @@ def compare_pairs(texts: list[str]) -> tuple[list[str], list[str], list[str], np
     return fingerprints, edited, edited_prints, near_edited, near_next
 
 
+KEY = "struct<last: boolean, at: bigint, h: bigint>"
+
+
+def _listed(heads: list) -> Column:
+    """The heads as one text that Spark folds into a constant: an expression for each number would take long to plan."""
+    return F.from_json(F.lit(json.dumps([h.asDict() for h in heads])), f"array<{KEY}>")
+
+
 def _bucket(key: Column, heads: list) -> Column:
     """The number of the last of the ascending heads that is at or below key, by binary search within the expression."""
-    steps = max(1, len(heads).bit_length())
-    bounds = F.array(*[F.struct(F.lit(h["last"]).alias("last"), F.lit(h["at"]).cast("long").alias("at"), F.lit(h["h"]).cast("long").alias("h")) for h in heads])
+    bounds, steps = _listed(heads), max(1, len(heads).bit_length())
     weights = F.array(*[F.lit(1 << s) for s in reversed(range(steps))])
 
     def step(found: Column, w: Column) -> Column:
@@ -162,14 +171,14 @@ def fingerprint_neighbours(df: DataFrame, *, doc: str = "doc_id", text: str = "t
     spark = df.sparkSession
     ship(spark)
     base = df.select(F.col(doc).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    base = base.select("doc", "text", F.struct(F.col("doc").isNull().alias("last"), F.coalesce(F.bitwise_not("doc"), F.lit(0)).alias("at"), F.xxhash64("text").alias("h")).alias("key"))
+    base = base.select("doc", "text", F.struct(F.col("doc").isNull().alias("last"), F.coalesce(F.bitwise_not("doc"), F.lit(0)).alias("at"), F.xxhash64("text").alias("h")).cast(KEY).alias("key"))
     n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranges = base.select("key").repartitionByRange(n, "key").groupBy(F.spark_partition_id().alias("part")).agg(F.min("key").alias("head"))
     heads = sorted(r["head"] for r in ranges.collect())  # one for each range, whose number is that of the shuffle's partitions
     if not heads:
         return spark.createDataFrame([], OUT)
     placed = base.withColumn("bucket", _bucket(F.col("key"), heads))
-    head_of = F.element_at(F.array(*[F.struct(F.lit(h["last"]).alias("last"), F.lit(h["at"]).cast("long").alias("at"), F.lit(h["h"]).cast("long").alias("h")) for h in heads]), F.col("bucket") + 1)
+    head_of = F.element_at(_listed(heads), F.col("bucket") + 1)
     guests = placed.where(F.col("key") == head_of).groupBy("bucket").agg(F.min("text").alias("text"))
     guests = guests.select(F.lit(None).cast("long").alias("doc"), "text", F.lit(None).cast(placed.schema["key"].dataType).alias("key"), F.pmod(F.col("bucket") - 1, F.lit(len(heads))).alias("bucket"), F.lit(True).alias("guest"))
     both = placed.withColumn("guest", F.lit(False)).unionByName(guests)
