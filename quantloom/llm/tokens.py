@@ -78,15 +78,14 @@ class LibraryEncoder:
             if self.held > REMEMBERED_BYTES:
                 used = {c: self.chunks[c] for c in set().union(*(s for s in splits if s)) if c in self.chunks}
                 self.older, self.chunks, self.held = self.chunks, used, sum(entry_bytes(*x) for x in used.items())
-            short = {c: ids for c, ids in found.items() if len(c) <= LONGEST}
-            self.held += sum(entry_bytes(*x) for x in short.items())
-            self.chunks.update(short)
-        else:
-            found = {}
-        known, out = self.chunks, []
-        ids_of = lambda c: known[c] if c in known else found[c]
+            self.chunks.update(found)
+        ids_of, out = self.chunks.__getitem__, []
         for text, s in zip(texts, splits, strict=True):
             out.append(np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind) if s is None else np.frombuffer(b"".join(map(ids_of, s)), self.kind))
+        if new:  # long stretches are there for this call alone
+            for c in [c for c in found if len(c) > LONGEST]:
+                del self.chunks[c], found[c]
+            self.held += sum(map(entry_bytes, found, found.values()))
         return out
 
 
