@@ -108,23 +108,23 @@ def distinct_texts(df: DataFrame, *, doc: str = "doc_id", text: str = "text", mo
     return dealt.groupBy("d1", "d2", "part", "text").agg(F.collect_list(F.struct("doc")).alias("docs")).select("d1", "d2", "text", F.col("docs.doc").alias("docs"))
 
 
-def boundary_index(df: DataFrame, **more) -> DataFrame:
-    """The entries of distinct_texts with n_tokens and ends, the Elias-Fano list of token ends."""
+def _with_lists(batches):
+    """Batches of entries with n_tokens and ends, each text's list worked out once."""
     import pyarrow as pa
 
-    entries = distinct_texts(df, **more)
-    ship(df.sparkSession)
-    schema = T.StructType([*entries.schema, T.StructField("n_tokens", T.LongType()), T.StructField("ends", T.BinaryType())])
+    for big in batches:
+        for batch in slices(big):
+            texts = batch.column("text").to_pylist()
+            ends = [token_ends(t) for t in texts]
+            lists = [encode_list(e, len(t)) for t, e in zip(texts, ends, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([len(e) for e in ends], pa.int64()), pa.array(lists, pa.binary())], [*batch.schema.names, "n_tokens", "ends"])
 
-    def run(batches):
-        for big in batches:
-            for batch in slices(big):
-                texts = batch.column("text").to_pylist()
-                ends = [token_ends(t) for t in texts]
-                lists = [encode_list(e, len(t)) for t, e in zip(texts, ends, strict=True)]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([len(e) for e in ends], pa.int64()), pa.array(lists, pa.binary())], schema.names)
 
-    return entries.mapInArrow(run, schema)
+def boundary_index(df: DataFrame, **more) -> DataFrame:
+    """The entries of distinct_texts with n_tokens and ends, the Elias-Fano list of token ends."""
+    entries = distinct_texts(df, **more)
+    ship(df.sparkSession)
+    return entries.mapInArrow(_with_lists, T.StructType([*entries.schema, T.StructField("n_tokens", T.LongType()), T.StructField("ends", T.BinaryType())]))
 
 
 # ---- cuts ---------------------------------------------------------------------------------------------------------
@@ -151,7 +151,8 @@ def fill_in_middle(df: DataFrame, *, doc: str = "doc_id", text: str = "text", se
     """
     import pyarrow as pa
 
-    index = boundary_index(df, doc=doc, text=text, most=most).select("text", "docs", "n_tokens", "ends")
+    entries = distinct_texts(df, doc=doc, text=text, most=most).select("text", "docs")
+    ship(df.sparkSession)
 
     def run(batches):
         rows, size = [], 0
@@ -159,7 +160,7 @@ def fill_in_middle(df: DataFrame, *, doc: str = "doc_id", text: str = "text", se
         def out():
             return pa.RecordBatch.from_arrays([pa.array(c, f) for c, f in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True)], OUT.names)
 
-        for batch in batches:
+        for batch in _with_lists(batches):  # the index's lists, in the same pass
             for t, docs, n, raw in zip(batch.column("text"), batch.column("docs"), batch.column("n_tokens").to_pylist(), batch.column("ends"), strict=True):
                 t, docs = t.as_py(), docs.as_py()
                 marked = not t or any(m in t for m in MARKS)
@@ -184,7 +185,7 @@ def fill_in_middle(df: DataFrame, *, doc: str = "doc_id", text: str = "text", se
         if rows:
             yield out()
 
-    return index.mapInArrow(run, OUT)
+    return entries.mapInArrow(run, OUT)
 
 
 def restored(output: Column, form: Column) -> Column:
