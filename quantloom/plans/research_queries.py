@@ -7,7 +7,7 @@ from statistics import NormalDist
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.expressions import KEYS
-from ..operators import decay, multiplicity, pairs, premia, resampling, risk, statistical, tails
+from ..operators import decay, multiplicity, pairs, performance, premia, resampling, risk, statistical, tails
 from ..operators.walkforward import WalkForwardConfig, rolling_covariance, walk_forward_report, walk_forward_returns, walk_forward_weights
 from ..sources.scratch import stored
 from .panel import panel
@@ -157,6 +157,18 @@ def _(spark, sf_dir):
     return rounded(tails.tail_risk(returns(spark, sf_dir), ["r"], TAIL))
 
 
+_RUNNING = "SELECT *, MAX(wealth) OVER (PARTITION BY Ticker ORDER BY Date ROWS UNBOUNDED PRECEDING) AS peak FROM (SELECT Ticker, Date, r / 10 AS r, b, exp(SUM(ln(1 + r / 10)) OVER (PARTITION BY Ticker ORDER BY Date ROWS UNBOUNDED PRECEDING)) AS wealth FROM ret JOIN (SELECT Date, AVG(r) / 10 AS b FROM ret WHERE r IS NOT NULL GROUP BY Date) m USING (Date) WHERE r IS NOT NULL) w"
+
+
+@register("performance_ratios", f"""SELECT Ticker, n, round(g, 6) AS annual_return, round(d, 6) AS downside, round(m * 12 / NULLIF(d, 0), 6) AS sortino, round(dd, 6) AS max_drawdown, round(g / NULLIF(-dd, 0), 6) AS calmar,
+    round(te, 6) AS tracking_error, round(a * 12 / NULLIF(te, 0), 6) AS information_ratio, round(k, 6) AS kelly, round(greatest(k, 0) / 2, 6) AS held_kelly
+    FROM (SELECT Ticker, COUNT(*) AS n, exp(SUM(ln(1 + r)) * 12 / COUNT(*)) - 1 AS g, AVG(r) AS m, sqrt(AVG(least(r, 0) * least(r, 0)) * 12) AS d, MIN(wealth / peak - 1) AS dd, AVG(r - b) AS a, stddev_samp(r - b) * sqrt(12e0) AS te,
+          CASE WHEN COUNT(*) > 1 THEN AVG(r) / NULLIF(var_samp(r), 0) END AS k FROM ({_RUNNING}) x GROUP BY Ticker) s""", "ret")
+def _(spark, sf_dir):
+    r = stored(returns(spark, sf_dir).select(*KEYS, (F.col("r") / 10).alias("r")), "returns")
+    return rounded(performance.performance_ratios(r, market(spark, sf_dir).withColumnRenamed("ret", "r"), periods=MONTHS))
+
+
 
 # ---- how many were tried --------------------------------------------------------------------------------------------
 
