@@ -169,7 +169,6 @@ def _(spark, sf_dir):
     return rounded(performance.performance_ratios(r, market(spark, sf_dir).withColumnRenamed("ret", "r"), periods=MONTHS))
 
 
-
 # ---- how many were tried --------------------------------------------------------------------------------------------
 
 _EACH = "SELECT factor, COUNT(*) AS n, AVG(v) / stddev_samp(v) AS sharpe, AVG(d * d * d) / pow(AVG(d * d), 1.5) AS skewness, AVG(d * d * d * d) / pow(AVG(d * d), 2) AS kurtosis FROM (SELECT factor, spread AS v, spread - AVG(spread) OVER (PARTITION BY factor) AS d FROM spreads) c GROUP BY factor"
