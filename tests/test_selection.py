@@ -108,3 +108,12 @@ def test_pairs_grow_with_instruments_not_with_their_square(spark):
     n = pairs.candidate_pairs(spark.createDataFrame(rows, "Date date, Ticker string, group string, y double"), sketches=4, neighbours=2).count()
     assert 120 < n <= 120 * 8
     assert pairs.cointegrated_pairs(spark.createDataFrame([], "Date date, Ticker string, group string, y double")).collect() == []
+
+
+def test_pairs_are_tested_without_a_group_each(spark, market):
+    """Two rows a pair meet in a join; a pair is no group of its rows, nor is it joined by its dates."""
+    plan = pairs.cointegrated_pairs(pairs.log_prices(market[0]))._jdf.queryExecution().toString()
+    assert "MapInPandas" in plan and "FlatMapGroupsInPandas" not in plan
+    kept = market[0].where("Ticker <> 'pb' or Date not in (date'2019-03-10', date'2019-03-20')")
+    got = {(r.a, r.b): r.n for r in pairs.cointegrated_pairs(pairs.log_prices(kept)).collect()}
+    assert got["pa", "pb"] == 158
