@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.expressions import KEYS, by_ticker, full_window, null_nan, safe_div
 from ..functions.shipping import ship
+from ..sources.scratch import BROADCAST_NUMBERS
 
 
 def simple_returns(prices: DataFrame, price: str = "px_last") -> DataFrame:
@@ -155,16 +156,79 @@ def latest_cross_section(x: DataFrame, as_of) -> DataFrame:
     return x.where(F.col("Date") == F.lit(day))
 
 
-def asset_covariance(x_t: DataFrame, f: np.ndarray, d: DataFrame, factors: Sequence[str], *, most: int) -> DataFrame:
+#: Rows of an asset covariance that a task makes.
+PAIRS_A_TASK = 4_000_000
+
+
+def asset_covariance(x_t: DataFrame, f: np.ndarray, d: DataFrame, factors: Sequence[str], *, most: int | None = None) -> DataFrame:
     """t1, t2, cov of every pair of one cross-section: only where the whole matrix is asked for. It has a row for each pair,
-    so the caller says for how many assets that is meant (`most`); ValueError where there are more."""
-    if (n := x_t.count()) > most:
+    made by as many tasks as they need, each with some assets against all. A caller may say for how many assets that is
+    meant (`most`); ValueError where there are more."""
+    n = x_t.count()
+    if most is not None and n > most:
         raise ValueError(f"a covariance of {n} assets has {n * n} rows; at most {most} assets were asked for")
     own = x_t.select("Ticker", *factors).join(d, "Ticker", "left")
-    a = own.select(F.col("Ticker").alias("t1"), *[F.col(c).alias(f"a{i}") for i, c in enumerate(factors)], F.coalesce("specific_var", F.lit(0.0)).alias("v"))
+    k = len(factors)
+    loaded = [sum((F.col(factors[i]) * float(f[i, j]) for i in range(k)), F.lit(0.0)).alias(f"a{j}") for j in range(k)]
+    a = own.select(F.col("Ticker").alias("t1"), *loaded, F.coalesce("specific_var", F.lit(0.0)).alias("v")).repartition(max(1, min(n, -(-n * n // PAIRS_A_TASK))))
     b = own.select(F.col("Ticker").alias("t2"), *[F.col(c).alias(f"b{i}") for i, c in enumerate(factors)])
-    value = quadratic([F.col(f"a{i}") for i in range(len(factors))], f, [F.col(f"b{i}") for i in range(len(factors))]) + F.when(F.col("t1") == F.col("t2"), F.col("v")).otherwise(0.0)
-    return a.crossJoin(b).select("t1", "t2", value.alias("cov"))
+    value = sum((F.col(f"a{i}") * F.col(f"b{i}") for i in range(k)), F.lit(0.0)) + F.when(F.col("t1") == F.col("t2"), F.col("v")).otherwise(0.0)
+    return a.crossJoin(F.broadcast(b) if n * (k + 1) <= BROADCAST_NUMBERS else b).select("t1", "t2", value.alias("cov"))
+
+
+#: Points at which eigenvalues are counted in one look at the assets, and how many looks at the most.
+_POINTS, _LOOKS = 64, 16
+
+
+def smallest_asset_eigenvalue(held: DataFrame, f: np.ndarray, factors: Sequence[str]) -> float:
+    """Of E f E' + D, whose rows are assets with the factors as columns and specific_var (their D); all complete.
+
+    The matrix is never made. How many of its eigenvalues lie below a point follows, by Sylvester's law of inertia, from a
+    K x K sum over assets, E'(D - point)^-1 E; each look works such sums out for many points and keeps the gap between two
+    of them in which the count leaves 0."""
+    values, vectors = np.linalg.eigh((f + f.T) / 2)
+    kept = np.abs(values) > 1e-15 * max(np.abs(values).max(), 1e-300)
+    values, turn = values[kept], vectors[:, kept]
+    k = len(values)
+    upper = np.triu_indices(k)
+    v = F.col("specific_var")
+    square = sum((F.col(c) * F.col(c) for c in factors), F.lit(0.0))
+    columns = [F.col(c) for c in factors]
+    facts = held.agg(F.min(v).alias("d"), F.min(v + quadratic(columns, f, columns)).alias("diagonal"), F.sum(square).alias("square")).first()
+    # no eigenvalue is below the smallest variance (but for negative ones of f), one is at or below the smallest diagonal cell
+    low, high = facts["d"] + min(0.0, values.min(initial=0.0)) * facts["square"], facts["diagonal"]
+    if k == 0 or not high > low:
+        return float(low)
+
+    def sums_at(points: np.ndarray):
+        def sums(batches):
+            import pandas as pd
+
+            below, total = np.zeros(len(points)), np.zeros((len(points), len(upper[0])))
+            for pdf in batches:
+                gap = pdf["specific_var"].to_numpy(float)[:, None] - points
+                gap[gap == 0] = 1e-300 ** 0.5
+                e = pdf[list(factors)].to_numpy(float) @ turn
+                below += (gap < 0).sum(axis=0)
+                total += (1 / gap).T @ (e[:, upper[0]] * e[:, upper[1]])
+            yield pd.DataFrame({"below": [below], "total": [total.ravel()]})
+
+        return sums
+
+    for _ in range(_LOOKS):
+        points = np.linspace(low, high, _POINTS + 2)[1:-1]
+        if not high - low > 1e-12 * max(abs(low), abs(high)) or not (points[0] > low and points[-1] < high):
+            break
+        rows = held.select("specific_var", *factors).mapInPandas(sums_at(points), "below array<double>, total array<double>").collect()  # a row a task
+        below = np.sum([r["below"] for r in rows], axis=0)
+        total = np.sum([r["total"] for r in rows], axis=0).reshape(len(points), -1)
+        inner = np.zeros((len(points), k, k))
+        inner[:, upper[0], upper[1]] = inner[:, upper[1], upper[0]] = -total
+        inner[:, np.arange(k), np.arange(k)] -= 1 / values
+        count = below + (np.linalg.eigvalsh(inner) < 0).sum(axis=1) - (values > 0).sum()
+        first = int(np.argmax(count >= 1)) if (count >= 1).any() else len(points)
+        low, high = (points[first - 1] if first else low), (points[first] if first < len(points) else high)
+    return float(low)
 
 
 def asset_volatility(x: DataFrame, f: np.ndarray, d: DataFrame, factors: Sequence[str], annualization: int = 252) -> DataFrame:

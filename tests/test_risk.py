@@ -193,3 +193,26 @@ def test_columns_of_very_different_units(spark):
     names = ["a", "b", "c", "market_cap"]
     for f in risk.factor_returns(df, names, weights="market_cap").collect():
         assert [f[n] for n in names[:3]] == pytest.approx(want[f.Date][:3].tolist(), rel=1e-6, abs=1e-8) and f.market_cap == pytest.approx(want[f.Date][3], rel=1e-6)
+
+
+def test_many_assets_as_one_matrix(spark):
+    """More assets than one matrix on the driver was once meant for: every pair, and the smallest eigenvalue without the matrix."""
+    rng = np.random.default_rng(31)
+    n = 2_100
+    e, d = rng.normal(size=(n, 2)), rng.uniform(0.01, 0.5, n)
+    f = np.array([[0.04, 0.01], [0.01, 0.02]])
+    x = spark.createDataFrame([(day(0), f"m{i:04d}", *map(float, e[i])) for i in range(n)], "Date date, Ticker string, a double, b double")
+    own = spark.createDataFrame([(f"m{i:04d}", float(d[i])) for i in range(n)], "Ticker string, specific_var double")
+    got = risk.asset_covariance(x, f, own, ["a", "b"])
+    assert got.count() == n * n and got.rdd.getNumPartitions() > 1
+    want = e @ f @ e.T + np.diag(d)
+    for r in got.where("t1 in ('m0003', 'm2099') and t2 in ('m0003', 'm1500')").collect():
+        assert r["cov"] == pytest.approx(want[int(r.t1[1:]), int(r.t2[1:])])
+
+
+@pytest.mark.parametrize("n, f, equal", [(60, [[0.04, 0.01], [0.01, 0.02]], False), (60, [[0.04, 0.02], [0.02, 0.01]], False), (2, [[0.04, 0.01], [0.01, 0.02]], False), (40, [[0.04, 0.0], [0.0, -0.3]], False), (50, [[0.04, 0.01], [0.01, 0.02]], True), (30, [[0.0, 0.0], [0.0, 0.0]], False)])
+def test_smallest_eigenvalue_without_the_matrix(spark, n, f, equal):
+    rng = np.random.default_rng(n)
+    f, e, d = np.array(f), rng.normal(size=(n, 2)), np.full(n, 0.3) if equal else rng.uniform(0.01, 0.5, n)
+    held = spark.createDataFrame([(float(d[i]), *map(float, e[i])) for i in range(n)], "specific_var double, a double, b double")
+    assert risk.smallest_asset_eigenvalue(held, f, ["a", "b"]) == pytest.approx(np.linalg.eigvalsh(e @ f @ e.T + np.diag(d))[0], rel=1e-9)
