@@ -12,7 +12,7 @@ from ..operators.factors import compute_raw_exposures
 from ..operators.joins import same_keys, unique_dimension
 from ..operators.transforms import neutralize, winsorize, zscore
 from ..sources import workbook
-from ..sources.scratch import shared_folder, stored
+from ..sources.scratch import join_measured, shared_folder, stored
 from ..sources.tables import keyed_mean
 from ..sources.workbook_sink import write_cells
 from . import assembly
@@ -96,12 +96,16 @@ def _(spark, sf_dir):
 
 def workbook_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The panel's tables as a market workbook lays them out, a block of columns for each ticker, missing values as error texts."""
-    parts = panel_parts(spark, sf_dir)
-    order = parts["industries"].select("Ticker", (F.row_number().over(Window.orderBy("Ticker")) - 1).alias("position"))  # one row a ticker
+    m, q = stored(monthly(spark, sf_dir), "monthly"), stored(quarterly(spark, sf_dir), "quarterly")
+    industries = m.groupBy("Ticker").agg(*[F.min(c).alias(c) for c in assembly.INDUSTRY])
+    named = stored(industries.withColumn("position", F.row_number().over(Window.orderBy("Ticker")) - 1), "industries")  # one row a ticker
+    order = named.select("Ticker", "position")
     serial = F.datediff("Date", F.lit(workbook.EPOCHS[False]).cast("date")).cast("string")
 
-    def grid(df: DataFrame, sheet: str, width: int, first: int, fields) -> DataFrame:
-        rows = df.withColumn("row", F.row_number().over(Window.partitionBy("Ticker").orderBy("Date")) + 1).join(order, "Ticker")
+    def placed(df: DataFrame) -> DataFrame:
+        return stored(join_measured(df.withColumn("row", F.row_number().over(Window.partitionBy("Ticker").orderBy("Date")) + 1), order, ["Ticker"], "inner"), "placed")
+
+    def grid(rows: DataFrame, sheet: str, width: int, first: int, fields) -> DataFrame:
         values = F.array(serial, *[F.coalesce(F.col(c).cast("string"), F.lit("#N/A N/A")) for c in fields])
         return rows.select(F.lit(sheet).alias("sheet"), "row", "position", F.posexplode(values).alias("at", "value")).select("sheet", "row", (F.col("position") * width + F.col("at") + first + 1).alias("col"), "value")
 
@@ -109,15 +113,15 @@ def workbook_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
         title = F.array(*[F.col("Ticker") if t is None else F.lit(t) for t in titles])
         return order.select(F.lit(sheet).alias("sheet"), F.lit(1).alias("row"), "position", F.posexplode(title).alias("at", "value")).select("sheet", "row", (F.col("position") * len(titles) + F.col("at") + 1).alias("col"), "value")
 
-    named = order.join(parts["industries"], "Ticker")
+    days, quarters = placed(m), placed(q)
     small = [("Config", 1, 1, "source"), ("Config", 1, 2, "made"), ("Universe", 1, 1, "ticker"), ("Meta", 1, 1, "n_securities"), *[("Industries", 1, i + 1, t) for i, t in enumerate(("ticker", *workbook.INDUSTRIES))]]
     titles = (None, *workbook.DAILY, None, *workbook.GROWTH, None, *workbook.LEVERAGE)
     n = len(titles)
     sheets = [
         spark.createDataFrame(small, workbook.CELLS), order.agg(F.lit("Meta").alias("sheet"), F.lit(1).alias("row"), F.lit(2).alias("col"), F.count("*").cast("string").alias("value")),
         order.selectExpr("'Universe' sheet", "position + 2 row", "1 col", "Ticker value"), named.select(F.lit("Industries").alias("sheet"), (F.col("position") + 2).alias("row"), F.posexplode(F.array("Ticker", *assembly.INDUSTRY)).alias("at", "value")).selectExpr("sheet", "row", "at + 1 col", "value"),
-        heads("Prices", ("", None)), grid(parts["prices"], "Prices", 2, 0, ["px_last"]), heads("Descriptors_TS", titles), grid(parts["daily"], "Descriptors_TS", n, 0, workbook.DAILY.values()),
-        grid(parts["quarterly"], "Descriptors_TS", n, 6, workbook.GROWTH.values()), grid(parts["quarterly"], "Descriptors_TS", n, 9, workbook.LEVERAGE.values()),
+        heads("Prices", ("", None)), grid(days, "Prices", 2, 0, ["px_last"]), heads("Descriptors_TS", titles), grid(days, "Descriptors_TS", n, 0, workbook.DAILY.values()),
+        grid(quarters, "Descriptors_TS", n, 6, workbook.GROWTH.values()), grid(quarters, "Descriptors_TS", n, 9, workbook.LEVERAGE.values()),
     ]
     out = sheets[0]
     for s in sheets[1:]:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from ..functions.expressions import KEYS
 from ..operators.joins import duplicate_keys
 from .files import absolute, exists, is_folder
-from .scratch import stored
+from .scratch import join_measured, stored
 from .tables import excel_date, number_of
 
 CELLS = "sheet string, row int, col int, value string"
@@ -175,7 +175,7 @@ def universe(cells: DataFrame) -> DataFrame:
 
 
 def _blocks(cells: DataFrame, tickers: DataFrame, sheet: str, header: Sequence[str | None]) -> DataFrame:
-    """row, Ticker, at (column of its block, from 0) and value below the header. header: what each column of a block must
+    """row, position, at (column of its block, from 0) and value below the header. header: what each column of a block must
     be called (None: the ticker, "": anything); ValueError where it isn't, or the sheet has another width."""
     width = len(header)
     own = cells.where(F.col("sheet") == sheet).select("row", F.floor((F.col("col") - 1) / width).cast("int").alias("position"), ((F.col("col") - 1) % width).alias("at"), "col", "value")
@@ -187,24 +187,31 @@ def _blocks(cells: DataFrame, tickers: DataFrame, sheet: str, header: Sequence[s
     wrong = wanted.join(own.where("row = 1").select("position", "at", "value"), ["position", "at"], "left").where("not (value <=> title)").orderBy("position", "at").first()
     if wrong is not None:
         raise ValueError(f"{sheet}, block {wrong['position']}, column {wrong['at']}: {wrong['title']!r} was expected, not {wrong['value']!r}")
-    return own.where("row > 1").join(F.broadcast(tickers) if n <= 10_000 else tickers, "position").select("row", "Ticker", "at", "value")
-
-
-def _dated(blocks: DataFrame, date_at: int, fields: Mapping[int, str], epoch: str, sheet: str) -> DataFrame:
-    """Date, Ticker and the fields as numbers, of the rows with a date; ValueError for what is no date, and for repeated keys."""
-    held = blocks.where(F.col("at").isin(date_at, *fields)).groupBy("row", "Ticker").agg(F.max(F.when(F.col("at") == date_at, F.col("value"))).alias("d"), *[F.max(F.when(F.col("at") == k, number_of(F.col("value")))).alias(n) for k, n in fields.items()])
-    out = held.select(excel_date(F.col("d"), epoch).alias("Date"), "Ticker", "d", *fields.values())
-    if not out.where("Date is null and d is not null and not startswith(d, '#')").isEmpty():
-        raise ValueError(f"{sheet} holds a date that isn't one")
-    out = out.where("Date is not null").drop("d")
-    if not duplicate_keys(out).isEmpty():
-        raise ValueError(f"{sheet} holds a (Date, Ticker) twice")
+    return own.where("row > 1").select("row", "position", "at", "value")
+
+
+def _dated(blocks: DataFrame, tickers: DataFrame, parts: Mapping[int, Mapping[int, str]], epoch: str, sheet: str) -> list[DataFrame]:
+    """For each part, by the column of its date, a table of Date, Ticker and its fields as numbers, of the rows with a date;
+    ValueError for what is no date, and for repeated keys. Cells are gathered to rows once for all parts, and the tickers
+    join these rows, which are checked and read from where they are stored."""
+    fields = {k: n for own in parts.values() for k, n in own.items()}
+    held = blocks.groupBy("position", "row").agg(*[F.max(F.when(F.col("at") == k, F.col("value"))).alias(f"d{k}") for k in parts], *[F.max(F.when(F.col("at") == k, number_of(F.col("value")))).alias(n) for k, n in fields.items()])
+    held = join_measured(held, tickers, ["position"], "inner").select("Ticker", *[x for k in parts for x in (excel_date(F.col(f"d{k}"), epoch).alias(f"date{k}"), f"d{k}")], *fields.values())
+    held = stored(held, "sheet-rows")
+    out = []
+    for k, own in parts.items():
+        if not held.where(f"date{k} is null and d{k} is not null and not startswith(d{k}, '#')").isEmpty():
+            raise ValueError(f"{sheet} holds a date that isn't one")
+        dated = held.select(F.col(f"date{k}").alias("Date"), "Ticker", *own.values()).where("Date is not null")
+        if not duplicate_keys(dated).isEmpty():
+            raise ValueError(f"{sheet} holds a (Date, Ticker) twice")
+        out.append(dated)
     return out
 
 
 def prices(cells: DataFrame, tickers: DataFrame, epoch: str = EPOCHS[False]) -> DataFrame:
     """Date, Ticker, px_last from blocks of two columns, date and price, headed by the ticker; errors are missing prices."""
-    return _dated(_blocks(cells, tickers, "Prices", ("", None)), 0, {1: "px_last"}, epoch, "Prices")
+    return _dated(_blocks(cells, tickers, "Prices", ("", None)), tickers, {0: {1: "px_last"}}, epoch, "Prices")[0]
 
 
 _DESCRIPTORS = (None, *DAILY, None, *GROWTH, None, *LEVERAGE)
@@ -216,8 +223,9 @@ def descriptors(cells: DataFrame, tickers: DataFrame, epoch: str = EPOCHS[False]
     blocks = _blocks(cells, tickers, "Descriptors_TS", _DESCRIPTORS)
     at = lambda first, names: {first + i: n for i, n in enumerate(names)}
     growth, leverage = len(DAILY) + 1, len(DAILY) + len(GROWTH) + 2
-    parts = [_dated(blocks, first, at(first + 1, fields.values()), epoch, "Descriptors_TS") for first, fields in ((0, DAILY), (growth, GROWTH), (leverage, LEVERAGE))]
-    return parts[0], quarterly_descriptors(*parts[1:])
+    parts = {first: at(first + 1, fields.values()) for first, fields in ((0, DAILY), (growth, GROWTH), (leverage, LEVERAGE))}
+    daily, *quarters = _dated(blocks, tickers, parts, epoch, "Descriptors_TS")
+    return daily, quarterly_descriptors(*quarters)
 
 
 def quarterly_descriptors(growth: DataFrame, leverage: DataFrame) -> DataFrame:
