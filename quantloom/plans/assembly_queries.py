@@ -14,7 +14,7 @@ from ..operators.transforms import neutralize, winsorize, zscore
 from ..sources import workbook
 from ..sources.scratch import join_measured, shared_folder, stored
 from ..sources.tables import keyed_mean
-from ..sources.workbook_sink import write_cells
+from ..sources.workbook_sink import MOST_COLUMNS, write_volumes
 from . import assembly
 from .panel import monthly, panel, quarterly, table
 from .queries import AS_OF, FACTORS, MONTHS, NAMES, ORACLE_SQL, X2, X3, aligned, estimated, r6, register, rounded, sql, x2
@@ -288,6 +288,9 @@ def _(spark, sf_dir):
 
 @register("workbook_file", PANEL.replace("round(px_last, 6)", "round(px_last, 9)") + "panel", "panel")
 def _(spark, sf_dir):
-    """The panel's tables written as a workbook file in the shared folder, and the panel read from that file."""
-    path = write_cells(workbook_cells(spark, sf_dir), f"{shared_folder(spark)}/quantloom-books/{uuid.uuid4().hex}.xlsx")
-    return rounded(assembly.load_workbook_panel(spark, path), px_last=9, **DIGITS)
+    """The panel's tables written as workbook files in the shared folder, a volume for as many tickers as the format has
+    columns for, and the panel read from those files."""
+    volumes = workbook.split_volumes(workbook_cells(spark, sf_dir), MOST_COLUMNS // workbook.WIDTH)
+    paths = write_volumes(volumes, f"{shared_folder(spark)}/quantloom-books/{uuid.uuid4().hex}")
+    cells = workbook.join_volumes(stored(workbook.read_volumes(spark, paths), "volumes"))
+    return rounded(assembly.workbook_panel(stored(cells, "cells")), px_last=9, **DIGITS)

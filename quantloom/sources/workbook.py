@@ -11,9 +11,10 @@ import zipfile
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.expressions import KEYS
+from ..functions.shipping import ship
 from ..operators.joins import duplicate_keys
 from .files import absolute, exists, is_folder
 from .scratch import join_measured, stored
@@ -141,6 +142,74 @@ def read_workbook(spark: SparkSession, path, sheets: Sequence[str] = SHEETS) ->
     return reduce(DataFrame.unionAll, files).mapInPandas(parse, CELLS), EPOCHS[late]
 
 
+def read_volumes(spark: SparkSession, paths: Sequence[str], sheets: Sequence[str] = SHEETS) -> DataFrame:
+    """volume and cells of workbooks whose names end in their numbers, as write_volumes names them; days count from 1899."""
+    ship(spark)
+    read = _cell_reader()
+
+    def parse(batches):
+        import io
+        from itertools import islice
+
+        import pandas as pd
+
+        for pdf in batches:
+            for content, sheet, volume in pdf.itertuples(index=False):
+                with zipfile.ZipFile(io.BytesIO(content)) as book:
+                    parts, late = _contents(book.read("xl/workbook.xml"), book.read("xl/_rels/workbook.xml.rels"))
+                    if sheet not in parts or late:
+                        raise ValueError(f"volume {volume} lacks {sheet}, or counts days from 1904")
+                    cells = read(book, parts[sheet])
+                    while block := list(islice(cells, 50_000)):
+                        yield pd.DataFrame([(volume, sheet, *c) for c in block], columns=["volume", "sheet", "row", "col", "value"])
+
+    number = F.regexp_extract("path", r"(\d+)\.xlsx$", 1).cast("int")
+    files = [spark.read.format("binaryFile").load(list(paths)).select("content", F.lit(s).alias("sheet"), number.alias("volume")) for s in sheets]
+    return reduce(DataFrame.unionAll, files).mapInPandas(parse, f"volume int, {CELLS}")
+
+
+def _width() -> Column:
+    return F.when(F.col("sheet") == "Prices", 2).when(F.col("sheet") == "Descriptors_TS", len(_DESCRIPTORS))
+
+
+def _moved(cells: DataFrame, by) -> DataFrame:
+    """Cells of securities moved by a number of securities: along columns in sheets of blocks, else along rows."""
+    return cells.withColumns({"row": (F.col("row") + F.when(_width().isNull(), by).otherwise(0)).cast("int"), "col": (F.col("col") + F.coalesce(_width() * by, F.lit(0))).cast("int")}).select("volume", "sheet", "row", "col", "value")
+
+
+_LISTED = "sheet in ('Prices', 'Descriptors_TS') or sheet in ('Universe', 'Industries') and row > 1"
+
+
+def _stated(cells: DataFrame, number) -> DataFrame:
+    """Cells with another n_securities in Meta."""
+    at = cells.where("sheet = 'Meta' and col = 1 and value = 'n_securities'").agg(F.max("row")).first()[0]
+    return cells if at is None else cells.withColumn("value", F.when((F.col("sheet") == "Meta") & (F.col("row") == at) & (F.col("col") == 2), number.cast("string")).otherwise(F.col("value")))
+
+
+def split_volumes(cells: DataFrame, per: int) -> DataFrame:
+    """volume and cells: a workbook of any number of securities as workbooks of `per` at the most, in order."""
+    n = cells.where("sheet = 'Universe' and col = 1 and row > 1").count()
+    place = F.when(_width().isNotNull(), F.floor((F.col("col") - 1) / _width())).otherwise(F.col("row") - 2)
+    own = cells.where(_LISTED).withColumn("volume", F.floor(place / per).cast("int"))
+    volumes = F.broadcast(cells.sparkSession.range(max(1, -(-n // per))).select(F.col("id").cast("int").alias("volume")))
+    common = cells.where(f"not ({_LISTED})").crossJoin(volumes)
+    common = _stated(common, F.least(F.lit(per), F.lit(n) - F.col("volume") * per)).select("volume", "sheet", "row", "col", "value")
+    return _moved(own, -F.col("volume") * per).unionByName(common)
+
+
+def join_volumes(cells: DataFrame) -> DataFrame:
+    """split_volumes' other way round: volumes as the cells of one workbook."""
+    sizes = {r["volume"]: r["n"] for r in cells.where("sheet = 'Universe' and col = 1").groupBy("volume").agg(F.count_if(F.col("row") > 1).alias("n")).collect()}  # a row a volume
+    before, total = [], 0
+    for volume in sorted(sizes):
+        before.append((volume, total))
+        total += sizes[volume]
+    offsets = F.broadcast(cells.sparkSession.createDataFrame(before, "volume int, before int"))
+    own = _moved(cells.where(_LISTED).join(offsets, "volume"), F.col("before"))
+    common = _stated(cells.where(f"not ({_LISTED})").where(F.col("volume") == before[0][0]), F.lit(total)).select("volume", "sheet", "row", "col", "value")
+    return own.unionByName(common).drop("volume")
+
+
 def key_values(cells: DataFrame, sheet: str) -> dict[str, str | None]:
     """A small sheet's first two columns; of a key's rows the last counts."""
     rows = cells.where((F.col("sheet") == sheet) & (F.col("col") <= 2)).groupBy("row").pivot("col", [1, 2]).agg(F.first("value")).where("`1` is not null").orderBy("row").collect()
@@ -215,6 +284,8 @@ def prices(cells: DataFrame, tickers: DataFrame, epoch: str = EPOCHS[False]) ->
 
 
 _DESCRIPTORS = (None, *DAILY, None, *GROWTH, None, *LEVERAGE)
+#: Columns of a security in the widest sheet.
+WIDTH = len(_DESCRIPTORS)
 
 
 def descriptors(cells: DataFrame, tickers: DataFrame, epoch: str = EPOCHS[False]) -> tuple[DataFrame, DataFrame]:
