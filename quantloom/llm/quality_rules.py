@@ -15,6 +15,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from math import log2
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -40,6 +41,8 @@ LEAST_WORDS = 100
 BASE_WORDS = 50
 BASE_REPEATED_PERCENT = 50
 SYMBOLS = "#*$%&|<>"
+#: The bits of a number in which a place within a document is held.
+PLACE = (1 << 31) - 1
 #: The reference for languages that aren't listed: of all documents.
 ANY = "*"
 
@@ -61,22 +64,43 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def repeated_words(words: Column) -> Column:
-    """Words in three-word windows that are found twice or more, each word once. Windows are told apart by 64-bit hashes."""
-    window = lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
-    windows = F.when(F.size(words) >= 3, F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - 3, F.lit(0))), window)).otherwise(F.array().cast("array<bigint>"))
+def hashes_of(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
 
-    def covered(w: Column) -> Column:
-        placed = F.sort_array(F.transform(w, lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
+
+def windows_of(hashes: Column) -> Column:
+    """64-bit hashes of all three-word windows, from the hashes of words."""
+    window = lambda h: F.transform(F.slice(h, 1, F.greatest(F.size(h) - 2, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(h, i + 1), F.get(h, i + 2)))
+    return let(hashes, window)
+
+
+def placed_windows(windows: Column) -> Column:
+    """The upper bits of each window's hash and, below these, where it starts, sorted; null where no two are the same.
+
+    As plain numbers they sort fast, at the top of a select at least: within a lambda Spark would sort objects."""
+    placed = F.transform(windows, lambda g, i: g.bitwiseAND(~PLACE).bitwiseOR(i.cast("long")))
+    return F.when(F.size(F.array_distinct(windows)) < F.size(windows), F.sort_array(placed))
+
+
+def repeated_words(windows: Column, placed: Column) -> Column:
+    """Words in three-word windows that are found twice or more, each word once, from windows_of and placed_windows, both
+    columns. Windows are told apart by 64-bit hashes: neighbours with the same upper bits are looked at again."""
+    like_next = lambda p, k: F.shiftright(F.get(p, k).bitwiseXOR(F.get(p, k + 1)), PLACE.bit_length()) == 0
+    left = let(placed, lambda p: F.filter(F.sequence(F.lit(0), F.size(p) - 2), lambda k: like_next(p, k)))
+    start_of = lambda k: F.get(placed, k).bitwiseAND(PLACE).cast("int")
+
+    def covered(k: Column) -> Column:
+        starts = F.transform(F.array_distinct(F.concat(k, F.transform(k, lambda x: x + 1))), start_of)
+        alike = F.sort_array(F.transform(starts, lambda i: F.struct(F.get(windows, i).alias("g"), i.alias("i"))))
 
         def twice(s: Column) -> Column:
             return F.filter(s, lambda x, k: F.coalesce(x["g"] == F.get(s, k - 1)["g"], F.lit(False)) | F.coalesce(x["g"] == F.get(s, k + 1)["g"], F.lit(False)))
 
-        places = F.sort_array(F.transform(let(placed, twice), lambda x: x["i"]))
+        places = F.sort_array(F.transform(let(alike, twice), lambda x: x["i"]))
         start = F.struct(F.lit(-3).alias("at"), F.lit(0).cast("long").alias("n"))
         return F.aggregate(places, start, lambda a, i: F.struct(i.alias("at"), (a["n"] + F.least(F.lit(3), i - a["at"])).alias("n")), lambda a: a["n"])
 
-    return let(windows, lambda w: F.when(F.size(F.array_distinct(w)) == F.size(w), F.lit(0).cast("long")).otherwise(covered(w)))
+    return F.when(placed.isNull(), F.lit(0).cast("long")).otherwise(let(left, covered))
 
 
 def repeated_lines(text: Column) -> Column:
@@ -90,10 +114,20 @@ def _only(text: Column, kept: str) -> Column:
     return F.char_length(F.regexp_replace(text, f"[^{kept}]+", ""))
 
 
-def class_counts(solid: Column, white: Column) -> Column:
-    """Characters of each class in a text without its white space, others, and white space."""
-    own = F.array(*[_only(solid, c).cast("double") for c in CLASSES])
-    return let(own, lambda a: F.concat(a, F.array((F.char_length(solid) - F.aggregate(a, F.lit(0.0), lambda x, y: x + y)).cast("double"), white.cast("double"))))
+def rest_of(text: Column) -> Column:
+    """A text without its characters of the first class, which most are of: what is left is short to go through again."""
+    return F.regexp_replace(text, f"{CLASSES[0]}+", "")
+
+
+def solid_of(text: Column) -> Column:
+    return F.regexp_replace(text, f"[{SPACE}]+", "")
+
+
+def class_counts(text: Column, rest: Column, solid: Column) -> Column:
+    """Characters of each class in a text, others, and white space; rest: rest_of(text), solid: solid_of(rest)."""
+    own = F.array((F.char_length(text) - F.char_length(rest)).cast("double"), *[_only(solid, c).cast("double") for c in CLASSES[1:]])
+    white = F.char_length(rest) - F.char_length(solid)
+    return let(own, lambda a: F.concat(a, F.array((F.char_length(text) - white - F.aggregate(a, F.lit(0.0), lambda x, y: x + y)).cast("double"), white.cast("double"))))
 
 
 def shares(counts: Column) -> Column:
@@ -142,25 +176,40 @@ def bins(reference: dict[str, float], hashes: dict[str, int]) -> tuple[list[int]
         size *= 2
 
 
-def word_divergence(words: Column, table: Column, share: Column, whole: Column) -> Column:
-    """The divergence of a document's words from the shares of common words (whole: their sum), all others being one bin.
+def marks(reference: dict[str, float], hashes: dict[str, int]) -> list[bool]:
+    """Whether a common word may have a hash with these lower bits: it is so for few other words."""
+    size = 16
+    while size < 16 * len(reference):
+        size *= 2
+    held = {hashes[w] & (size - 1) for w in reference}
+    return [i in held for i in range(size)]
+
+
+def marked(hashes: Column, mark: Column) -> Column:
+    """The hashes that may be a common word's."""
+    return let(mark, lambda m: let(F.size(m).cast("long") - 1, lambda last: F.filter(hashes, lambda h: F.get(m, h.bitwiseAND(last)))))
+
+
+def word_divergence(n: Column, found: Column, own: Column, table: Column, share: Column, weighed: Column, whole: Column) -> Column:
+    """The divergence of a document's n words from the shares of common words (whole: their sum), all others being one bin.
 
-    The hashes of its common words are sorted and counted in one go; common words that it doesn't have add half their share."""
-    n, last = F.size(words).cast("double"), F.size(table).cast("long") - 1
-    first = lambda h: h.bitwiseAND(last).cast("int")
-    other = lambda h: F.shiftright(h, 32).bitwiseAND(last).cast("int")
-    share_of = lambda h: F.when(F.get(table, first(h)) == h, F.get(share, first(h))).otherwise(F.get(share, other(h)))
+    found: the sorted hashes of its words that are marked, own: each of them once, both columns. The table tells which are
+    common; weighed: shares times their logarithms to base 2. A common word of shares p and q adds
+    (p log p + q log q - (p + q) log (p + q) + p + q) / 2, one that the document doesn't have half its share."""
+    ends = F.filter(F.sequence(F.lit(0), F.greatest(F.size(found) - 1, F.lit(0))), lambda i: ~F.get(found, i).eqNullSafe(F.get(found, i + 1)))
+    parts = let(ends, lambda k: F.transform(k, lambda e, i: (e - F.coalesce(F.get(k, i - 1), F.lit(-1))) / n))
+    first = lambda h, last: h.bitwiseAND(last)
+    other = lambda h, last: F.shiftright(h, 32).bitwiseAND(last)
+    at = lambda h, last: F.when(F.get(table, first(h, last)) == h, first(h, last)).when(F.get(table, other(h, last)) == h, other(h, last))
+    placed = let(F.size(table).cast("long") - 1, lambda last: F.zip_with(own, parts, lambda h, p: F.struct(p.alias("p"), at(h, last).alias("at"))))
+    sums = lambda x: F.struct(x["p"].alias("p"), (x["p"] + F.get(share, x["at"])).alias("s"), F.get(weighed, x["at"]).alias("w"))
 
-    def walk(hashes: Column) -> Column:
-        state = lambda at, q, run, total, seen: F.struct(at.alias("at"), q.alias("q"), run.alias("run"), total.alias("total"), seen.alias("seen"))
-        start = state(F.lit(0).cast("long"), F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(0.0))
-        closed = lambda a: F.when(a["run"] == 0.0, F.lit(0.0)).otherwise(_term(a["run"] / n, a["q"]))
-        step = lambda a, h: F.when(a["at"] == h, state(a["at"], a["q"], a["run"] + 1.0, a["total"], a["seen"])).otherwise(state(h, share_of(h), F.lit(1.0), a["total"] + closed(a), a["seen"] + a["q"]))
-        others = _term((n - F.size(hashes)) / n, F.greatest(1.0 - whole, F.lit(0.0)))
-        return F.aggregate(hashes, start, step, lambda a: a["total"] + closed(a) + (whole - a["seen"] - a["q"]) / 2) + others
+    def summed(r: Column) -> Column:
+        total = F.aggregate(r, F.lit(0.0), lambda a, x: a + (x["p"] * F.log2(x["p"]) + x["w"] - x["s"] * F.log2(x["s"])))
+        part = F.aggregate(r, F.lit(0.0), lambda a, x: a + x["p"])
+        return (total + part + whole) / 2 + _term(F.greatest(1.0 - part, F.lit(0.0)), F.greatest(1.0 - whole, F.lit(0.0)))
 
-    known = lambda h: (F.get(table, first(h)) == h) | (F.get(table, other(h)) == h)
-    return let(F.sort_array(F.filter(F.transform(words, lambda w: F.xxhash64(w)), known)), walk)
+    return let(F.transform(F.filter(placed, lambda x: x["at"].isNotNull()), sums), summed)
 
 
 # ---- references and judgements ---------------------------------------------------------------------------------------
@@ -181,12 +230,14 @@ def language_references(df: DataFrame, *, text: str = "text", lang: str = "lang"
     """A reference for each of the languages that has documents, and one of all documents (ANY), from those of LEAST_WORDS
     words or more. At most `common` words of each, and a row of class sums, come to the driver."""
     body = F.coalesce(F.col(text), F.lit(""))
-    texts = df.select(body.alias("t"), _language(lang, lang in df.columns, languages).alias("g")).select("g", "t", words_of(F.col("t")).alias("w"))
-    long = F.size("w") >= LEAST_WORDS
-    counts = texts.select("g", long.alias("long"), "t", F.regexp_replace("t", f"[{SPACE}]+", "").alias("solid"))
-    counts = counts.select("g", F.when(F.col("long"), shares(class_counts(F.col("solid"), F.char_length("t") - F.char_length("solid")))).alias("c"))
+    texts = df.select(body.alias("t"), _language(lang, lang in df.columns, languages).alias("g"))
+    # as many words are told from the beginning of a text, without splitting it
+    long = F.col("t").rlike(f"^[{SPACE}]*+(?:[^{SPACE}]++[{SPACE}]++){{{LEAST_WORDS - 1}}}[^{SPACE}]")
+    counts = texts.where(long).select("g", "t", rest_of(F.col("t")).alias("rest")).select("g", "t", "rest", solid_of(F.col("rest")).alias("solid"))
+    counts = counts.select("g", shares(class_counts(F.col("t"), F.col("rest"), F.col("solid"))).alias("c"))
     sums = {r["g"]: r for r in counts.groupBy("g").agg(F.count("c").alias("n"), *[F.sum(F.get("c", F.lit(i))).alias(f"c{i}") for i in range(len(CLASSES) + 2)]).collect()}
     # the outer form of explode: for the other one Spark would split each text again, to leave out those without words
+    texts, long = texts.select("g", words_of(F.col("t")).alias("w")), F.size("w") >= LEAST_WORDS
     words = texts.select("g", (1.0 / F.greatest(F.size("w"), F.lit(1))).alias("s"), F.when(long, F.col("w")).alias("w")).select("g", "s", F.explode_outer("w").alias("word")).where("word is not null")
     top = _common_words(words, common)
     out = {}
@@ -246,8 +297,7 @@ def judge_quality(df: DataFrame, references: dict[str, Reference] | None = None,
     kept = [c for c in keep if c not in RESULTS]
     base = df.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(kept)], F.coalesce(F.col(text), F.lit("")).alias("__t"), _language(lang, lang in df.columns, languages).alias("__language"))
     own = [f"__k{i}" for i in range(len(kept))]
-    base = base.select(*own, "__t", "__language", words_of(F.col("__t")).alias("__w"), F.regexp_replace("__t", f"[{SPACE}]+", "").alias("__solid"))
-    base = base.select(*own, "__t", "__language", "__w", "__solid", repeated_words(F.col("__w")).alias("n_repeat_words"))
+    base = base.select(*own, "__t", "__language", hashes_of(words_of(F.col("__t"))).alias("__h"), rest_of(F.col("__t")).alias("__rest"))
     chosen = {k: references.get(k) or references.get(ANY) or Reference() for k in (*languages, ANY)}
     language = F.col("__language")
     hashed = _hashes(df, sorted({w for r in chosen.values() for w in r.words}))
@@ -257,14 +307,21 @@ def judge_quality(df: DataFrame, references: dict[str, Reference] | None = None,
     classes = _by_language(language, {k: array(r.classes, "double") for k, r in chosen.items()})
     table = _by_language(language, {k: array(h if chosen[k].words else None, "bigint") for k, (h, _) in held.items()})
     share = _by_language(language, {k: array(s if chosen[k].words else None, "double") for k, (_, s) in held.items()})
-    n = F.size("__w").cast("long")
-    chars, white = F.char_length("__solid"), F.char_length("__t") - F.char_length("__solid")
+    weighed = _by_language(language, {k: array([q * log2(q) if q > 0 else 0.0 for q in s] if chosen[k].words else None, "double") for k, (_, s) in held.items()})
+    mark = _by_language(language, {k: array([int(b) for b in marks(r.words, hashed)] if r.words else None, "boolean") for k, r in chosen.items()})
+    n = F.size("__h").cast("long")
+    # what Spark runs compiled at the top of a select it would run step by step within a lambda: hence columns of their own
+    base = base.select(*own, "__t", "__language", "__h", "__rest", solid_of(F.col("__rest")).alias("__solid"), windows_of(F.col("__h")).alias("__windows"), F.when(n >= LEAST_WORDS, F.sort_array(marked(F.col("__h"), mark))).alias("__found"))
+    base = base.select(*own, "__t", "__language", n.alias("n_words"), "__rest", "__solid", "__windows", placed_windows(F.col("__windows")).alias("__placed"), "__found", F.array_distinct("__found").alias("__own"))
+    n = F.col("n_words")
+    chars = F.char_length("__t") - F.char_length("__rest") + F.char_length("__solid")
     off = lambda d, less: let(d - less, lambda x: F.when(x.isNotNull(), F.round(F.sqrt(F.greatest(x, F.lit(0.0))), 6)))
     whole = _by_language(language, {k: F.lit(float(sum(r.words.values()))) for k, r in chosen.items()})
-    by_words = let(table, lambda t: let(share, lambda s: F.when(t.isNotNull(), word_divergence(F.col("__w"), t, s, whole))))
+    divergent = lambda t, s, w, q: word_divergence(n.cast("double"), F.col("__found"), F.col("__own"), t, s, w, q)
+    by_words = let(table, lambda t: let(share, lambda s: let(weighed, lambda w: let(whole, lambda q: F.when(t.isNotNull(), divergent(t, s, w, q))))))
     base = base.select(
-        *own, n.alias("n_words"), chars.cast("long").alias("word_chars"), _only(F.col("__solid"), SYMBOLS).cast("long").alias("n_symbols"), repeated_lines(F.col("__t")).alias("n_dup_lines"), "n_repeat_words",
-        F.when(F.char_length("__t") >= LEAST_CHARACTERS, off(divergence(shares(class_counts(F.col("__solid"), white)), classes), F.lit(0.0))).alias("class_distance"),
+        *own, n, chars.cast("long").alias("word_chars"), _only(F.col("__solid"), SYMBOLS).cast("long").alias("n_symbols"), repeated_lines(F.col("__t")).alias("n_dup_lines"), repeated_words(F.col("__windows"), F.col("__placed")).alias("n_repeat_words"),
+        F.when(F.char_length("__t") >= LEAST_CHARACTERS, off(divergence(shares(class_counts(F.col("__t"), F.col("__rest"), F.col("__solid"))), classes), F.lit(0.0))).alias("class_distance"),
         F.when(n >= LEAST_WORDS, off(by_words, WORD_NOISE / n)).alias("word_distance"),
     )
     failed = (F.col("n_words") < BASE_WORDS) | (100 * F.col("n_repeat_words") > BASE_REPEATED_PERCENT * F.col("n_words"))

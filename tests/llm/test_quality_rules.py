@@ -6,6 +6,7 @@ import statistics
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from quantloom.llm import quality_rules as rules
 from quantloom.llm import queries
@@ -155,3 +156,37 @@ def test_no_python_in_the_plan(small):
     with contextlib.redirect_stdout(out := io.StringIO()):
         rules.judge_quality(small).explain("extended")
     assert "Python" not in out.getvalue() and "Arrow" not in out.getvalue()
+
+
+def test_windows_alike_in_upper_bits(spark):
+    """Windows whose places sort beside each other are told apart by all their bits; the same ones are found among them."""
+    cases = [([5, 6, 7], 0), ([5, 6, 5], 5), ([1 << 40, 1 << 40 | 3, -9, 1 << 40], 6), ([-1, -2, -1, -2, -3], 6), ([], 0), ([8], 0), ([-(1 << 63), (1 << 63) - 1, -(1 << 63), 4, 4], 7)]
+    df = spark.createDataFrame([(i, w, n) for i, (w, n) in enumerate(cases)], "i int, w array<bigint>, n long")
+    df = df.select("i", "n", "w").withColumn("p", rules.placed_windows(df["w"])).withColumn("got", rules.repeated_words(F.col("w"), F.col("p")))
+    for r in df.collect():
+        starts = {i for i, g in enumerate(r.w) if r.w.count(g) > 1}
+        assert r.got == r.n == len({i + k for i in starts for k in range(3)})
+
+
+def test_references_from_a_hundred_words_on(spark):
+    """99 words are too few, whatever white space is around them; 100 are enough."""
+    few, enough = "ab " * 99, "\n cd, " * 99 + "\x0befg"
+    for texts in ([few, "  " + few, "\t" + few + "\n", "ab\xa0cd " * 99, None, ""], [few, enough, " " + enough + " ", enough + enough]):
+        df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+        want, got = plain_references(df.collect()), rules.language_references(df)
+        assert set(want) == set(got) and bool(got) == (enough in texts)
+        for lang, (c, w) in want.items():
+            assert got[lang].classes == pytest.approx(c) and got[lang].words == pytest.approx(w)
+
+
+def test_whole_texts_are_gone_through_once(small):
+    """Characters are removed from whole texts once; all other counts are of the short rest. Numbers are sorted at the top
+    of a select, where Spark sorts them as numbers, and hashed once a word."""
+    import contextlib
+    import io
+
+    with contextlib.redirect_stdout(out := io.StringIO()):
+        rules.judge_quality(small).explain()
+    initial = out.getvalue().split("Initial Plan")[-1]
+    assert initial.count("regexp_replace(__t") == 1 and initial.count("regexp_replace(__rest") == 1
+    assert "sort_array(transform(__windows" in initial and initial.count("lambdafunction(xxhash64(lambda x") <= 2
