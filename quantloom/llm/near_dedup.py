@@ -188,7 +188,7 @@ def _judged(df: DataFrame, doc: str, text: str, percent: int, k: int, size: int)
     rest = short.alias("p").join(short.alias("q"), F.expr("p.value = q.value and p.label < q.label")).select(F.expr("greatest(p.node, q.node)").alias("a"), F.expr("least(p.node, q.node)").alias("b"))
     rest = rest.union(_by_prefix(named.where("long").select("node", "label").distinct(), sources, scratch, percent, size)).distinct()
     more = _verified(rest.join(first, ["a", "b"], "left_anti"), chosen, sources, scratch, percent, k, size)
-    labels = scratch.written(components(links.union(more)), "components")
+    labels = scratch.written(components(labels.toDF("a", "b").union(more)), "components")
     scratch.drop("classes", "lists", "first", "links", "labels", "open", "members", "pairs", "sets")
     found = classes.join(labels, "node", "left").select("d1", "d2", F.coalesce("label", "node").alias("component"))
     out = own.select("doc", "n", "d1", "d2").join(found, ["d1", "d2"], "left")

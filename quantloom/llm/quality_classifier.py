@@ -127,9 +127,11 @@ def fit(rows: np.ndarray, hashed: np.ndarray, grades: np.ndarray, n_grades: int,
     if not n:
         return CumulativeLink(np.zeros(1 << bits, np.float32), np.zeros(top))
     seen = np.bincount(hashed, minlength=1 << bits)
-    common = seen[hashed] >= min(FIT_LEAST, n)
-    rows, hashed = rows[common], hashed[common]
-    used, place = np.unique(hashed, return_inverse=True)
+    used = np.flatnonzero(seen >= min(FIT_LEAST, n))
+    place = np.full(1 << bits, -1)
+    place[used] = np.arange(len(used))
+    place = place[hashed]
+    rows, place = rows[place >= 0], place[place >= 0]
     # thresholds as a first one and logarithms of the gaps, so that they stay in order
     share = np.clip([np.mean(grades >= k) for k in range(1, n_grades)], 0.5 / n, 1 - 0.5 / n)
     first = np.sort(np.log((1 - share) / share))

@@ -17,6 +17,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from math import log2
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import SPACE
@@ -256,15 +257,18 @@ def _common_words(words: DataFrame, common: int) -> dict[str, dict[str, float]]:
     to the driver), then only words in the fullest buckets are counted. No word of another bucket can be among the common
     ones if the last of these has more than the whole of any such bucket; else more buckets are taken."""
     bucket = F.xxhash64("word").bitwiseAND(BUCKETS - 1).cast("int")
-    held: defaultdict[str, list[float]] = defaultdict(lambda: [0.0] * BUCKETS)
-    for r in words.groupBy("g", bucket.alias("b")).agg(F.sum("s").alias("s")).collect():
-        for g in {r["g"], ANY}:
-            held[g][r["b"]] += r["s"]
+    held: defaultdict[str, np.ndarray] = defaultdict(lambda: np.zeros(BUCKETS))
+    sums = words.groupBy("g", bucket.alias("b")).agg(F.sum("s").alias("s")).toArrow()  # numbers in arrays: as rows they would take many times the memory
+    names = sums["g"].combine_chunks().dictionary_encode()
+    number, place, weight = np.asarray(names.indices), np.asarray(sums["b"]), np.asarray(sums["s"])
+    for i, g in enumerate(names.dictionary.to_pylist()):
+        for h in {g, ANY}:
+            held[h] += np.bincount(place[number == i], weight[number == i], BUCKETS)
     wanted = 8 * common
     while True:
-        order = {g: sorted(range(BUCKETS), key=lambda i: -v[i]) for g, v in held.items()}  # noqa: B023
-        rest = {g: held[g][o[wanted]] if wanted < BUCKETS else 0.0 for g, o in order.items()}
-        chosen = sorted({(g, b) for g in held for o in (order[g], order[ANY]) for b in o[:wanted]})
+        order = {g: np.argsort(-v, kind="stable") for g, v in held.items()}
+        rest = {g: float(held[g][o[wanted]]) if wanted < BUCKETS else 0.0 for g, o in order.items()}
+        chosen = sorted({(g, b) for g in held for o in (order[g], order[ANY]) for b in o[:wanted].tolist()})
         if not chosen:
             return {}
         some = F.broadcast(words.sparkSession.createDataFrame(chosen, "g string, b int"))

@@ -111,3 +111,20 @@ def test_rows_of_one_id_are_dropped_by_their_own_text(spark):
     assert left.schema == df.schema
     assert sorted(map(str, left.collect())) == sorted(map(str, spark.createDataFrame([rows[i] for i in (0, 2, 4, 5, 6, 8)], df.schema).collect()))
     assert near_dedup.drop_near_duplicates(df.limit(0)).collect() == []
+
+
+def test_stars_take_no_turn(spark, monkeypatch):
+    """Links between known labels are added to these; stars are told as such without another turn of joins."""
+    from quantloom.llm import graph
+
+    written, put = [], graph.Scratch.written
+    monkeypatch.setattr(graph.Scratch, "written", lambda self, df, what: (written.append(what), put(self, df, what))[1])
+    found = components(spark.createDataFrame([(2, 1), (3, 1), (7, 5), (1, 1)], "a long, b long"))
+    assert sorted(map(tuple, found.collect())) == [(1, 1), (2, 1), (3, 1), (5, 5), (7, 5)] and written == ["edges0"]
+    joined = components(found.toDF("a", "b").union(spark.createDataFrame([(7, 3)], "a long, b long")))
+    assert sorted(map(tuple, joined.collect())) == [(x, 1) for x in (1, 2, 3, 5, 7)]
+    written.clear()
+    texts = [" ".join(f"w{i}" for i in range(60)), " ".join(f"w{i}" for i in range(59)), "another text of a few words"]
+    got = near_dedup.near_duplicates(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string"))
+    assert sorted((r.doc_id, r.component_id) for r in got.collect()) == [(0, 0), (1, 0), (2, 2)]
+    assert [w for w in written if w.startswith("edges")] == ["edges0", "edges0"]

@@ -190,3 +190,24 @@ def test_whole_texts_are_gone_through_once(small):
     initial = out.getvalue().split("Initial Plan")[-1]
     assert initial.count("regexp_replace(__t") == 1 and initial.count("regexp_replace(__rest") == 1
     assert "sort_array(transform(__windows" in initial and initial.count("lambdafunction(xxhash64(lambda x") <= 2
+
+
+def test_sums_of_buckets_come_as_arrays(spark):
+    """The driver holds the buckets' sums as numbers in arrays, not as rows."""
+    import tracemalloc
+
+    words = spark.range(120_000).selectExpr("if(id % 2 = 0, 'de', 'en') g", "if(id < 20, 100.0D * (id + 1), 1.0D) s", "concat('w', id % 90001) word")
+    rules._common_words(words.limit(10), 4)
+    tracemalloc.start()
+    try:
+        got, most = rules._common_words(words, 4), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    sums = Counter()
+    for i in range(120_000):
+        for g in ("en" if i % 2 else "de", rules.ANY):
+            sums[g, f"w{i % 90001}"] += 100.0 * (i + 1) if i < 20 else 1.0
+    for g in ("de", "en", rules.ANY):
+        want = sorted((-v, w) for (h, w), v in sums.items() if h == g)[:4]
+        assert sorted((-v, w) for w, v in got[g].items()) == want
+    assert most < 8e6
