@@ -16,6 +16,7 @@ through the vocabulary file's own normalizer and splitter before the same encode
 from __future__ import annotations
 
 import json
+import os
 import re
 from collections.abc import Iterable, Sequence
 from functools import lru_cache
@@ -32,7 +33,7 @@ MARK = "
 REMEMBERED_BYTES = 64 << 20
 LONGEST = 256
 #: Latin letters and marks for which lower case is all that normalization does, and white space that all agree on.
-PLAIN = r"[\x09-\x0d\x20-\x7e¡-¬®-įĲ-ňŊ-ſ]*"
+PLAIN = r"\x09-\x0d\x20-\x7e¡-¬®-įĲ-ňŊ-ſ"
 
 
 #: A stop or comma behind another sign, with which it forms one run.
@@ -47,15 +48,14 @@ class Stretches:
     """
 
     def __init__(self, special: Sequence[str]):
-        import regex
-
-        self.plain = regex.compile(PLAIN).fullmatch
+        self.other = re.compile(f"[^{PLAIN}]").search
         self.run = re.compile(RUN).search
+        self.begin = os.path.commonprefix([*special])  # a plain search for it, which goes faster, comes first
         self.special = re.compile("|".join(map(re.escape, special)) if special else r"(?!)").search
 
     def __call__(self, text: str) -> list[str] | None:
         """None where the text needs full normalization."""
-        if not self.plain(text) or self.special(text):
+        if self.other(text) or self.begin in text and self.special(text):
             return None
         text = text.lower()
         if not self.run(text):
@@ -95,6 +95,11 @@ def entry_bytes(text: str, ids: bytes) -> int:
     return 4 * len(text) + len(ids) + 240
 
 
+def entries_bytes(entries: dict[str, bytes]) -> int:
+    """The same for all of them together."""
+    return 4 * sum(map(len, entries)) + sum(map(len, entries.values())) + 240 * len(entries)
+
+
 class WordBPE:
     def __init__(self, path: str):
         import ahocorasick

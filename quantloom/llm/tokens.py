@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterable
+from itertools import chain, filterfalse
 
 import numpy as np
 
-from .bpe import LONGEST, REMEMBERED_BYTES, Stretches, byte_symbols, entry_bytes
+from .bpe import LONGEST, REMEMBERED_BYTES, Stretches, byte_symbols, entries_bytes
 
 
 class LibraryEncoder:
@@ -54,7 +55,9 @@ class LibraryEncoder:
         found = {c: ids for c in new if (ids := self.older.get(c)) is not None} if self.older else {}
         unseen = [c for c in new if c not in found] if found else new
         parts = [(c,) if c.isalpha() else self.split.findall(c) for c in unseen]
-        flat = [w if w.isascii() else w.encode().decode("latin-1").translate(self.code) for ws in parts for w in ws]
+        flat = [*chain.from_iterable(parts)]
+        if not all(map(str.isascii, flat)):
+            flat = [w if w.isascii() else w.encode().decode("latin-1").translate(self.code) for w in flat]
         lists = [e.ids for e in self.words.encode_batch_fast([" ".join(flat[i : i + 256]) for i in range(0, len(flat), 256)], add_special_tokens=False)]
         ids = np.concatenate([np.array(x, self.kind) for x in lists]) if lists else np.empty(0, self.kind)
         ends = np.flatnonzero(self.ends[ids]) + 1
@@ -62,9 +65,9 @@ class LibraryEncoder:
             raise ValueError("the vocabulary doesn't end each word by its suffix")
         bounds = np.concatenate(([0], ends)) * self.kind.itemsize
         cuts = np.zeros(len(parts) + 1, np.int64)
-        np.cumsum([len(ws) for ws in parts], out=cuts[1:])
+        np.cumsum([*map(len, parts)], out=cuts[1:])
         bounds, raw = bounds[cuts].tolist(), ids.tobytes()
-        found.update((c, raw[a:z]) for c, a, z in zip(unseen, bounds, bounds[1:]))
+        found.update(zip(unseen, map(raw.__getitem__, map(slice, bounds, bounds[1:]))))
         return found
 
     def encode(self, texts: Iterable[str | None]) -> list[np.ndarray]:
@@ -72,12 +75,12 @@ class LibraryEncoder:
         if not self.by_word:
             return [np.array(e.ids, self.kind) for e in self.library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
         splits = [self.stretches(t) if t else () for t in texts]
-        new = set().union(*(s for s in splits if s)).difference(self.chunks)
+        new = {*filterfalse(self.chunks.__contains__, chain.from_iterable(filter(None, splits)))}  # most are known: only the others are gathered
         if new:
             found = self._learn([*new])
             if self.held > REMEMBERED_BYTES:
                 used = {c: self.chunks[c] for c in set().union(*(s for s in splits if s)) if c in self.chunks}
-                self.older, self.chunks, self.held = self.chunks, used, sum(entry_bytes(*x) for x in used.items())
+                self.older, self.chunks, self.held = self.chunks, used, entries_bytes(used)
             self.chunks.update(found)
         ids_of, out = self.chunks.__getitem__, []
         for text, s in zip(texts, splits, strict=True):
@@ -85,7 +88,7 @@ class LibraryEncoder:
         if new:  # long stretches are there for this call alone
             for c in [c for c in found if len(c) > LONGEST]:
                 del self.chunks[c], found[c]
-            self.held += sum(map(entry_bytes, found, found.values()))
+            self.held += entries_bytes(found)
         return out
 
 

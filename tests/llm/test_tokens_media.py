@@ -170,3 +170,15 @@ def test_packer_over_many_runs(monkeypatch):
 @pytest.mark.parametrize("name", ["op1_bpe_roundtrip", "op4_token_store", "op5_mpeg_audio", "op7_packing", "op9_shard_lookup"])
 def test_empty_tables(spark, nothing, name):
     assert queries.QUERIES[name](spark, nothing).collect() == []
+
+
+def test_what_is_remembered_is_counted_at_once(library):
+    """Remembered stretches are counted together; known ones are left alone; signs that need more than lower case are told."""
+    texts = ["Some words, and some more words. 12,5 naïve", "some words, x" + "y" * 300, "", "more words <| and <|endoftext|> here", "more <|words"]
+    lib = LibraryEncoder(queries.vocabulary())
+    for _ in range(2):
+        assert [x.tolist() for x in lib.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+        assert lib.held == bpe.entries_bytes(lib.chunks) == sum(bpe.entry_bytes(*x) for x in lib.chunks.items()) > 0
+    plain = {chr(c) for c in (*range(9, 14), *range(0x20, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x130), *range(0x132, 0x149), *range(0x14A, 0x180))}
+    for c in map(chr, (*range(0x250), 0x3A3, 0x2028, 0x1F600)):
+        assert (lib.stretches(f"a{c}b") is not None) == (c in plain)
