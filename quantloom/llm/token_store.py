@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .common import shared_dir, ship, slices
-from .tokens import library_encoder
+from .tokens import SLICE, library_encoder
 
 MAGIC = b"QLTOKZ01"
 #: The end of each document.
@@ -122,7 +122,7 @@ def write_tokens(df: DataFrame, vocabulary: str, path: str | None = None, *, doc
     def serialized(batches):
         own = library_encoder(vocabulary)
         for big in batches:
-            for batch in slices(big):
+            for batch in slices(big, "text", most=SLICE):
                 yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()[:SAMPLE_BYTES] for x in own.encode(batch.column("text").to_pylist())], pa.binary())], ["ids"])
 
     dictionary = train_dictionary([bytes(r["ids"]) for r in sample.select("text").mapInArrow(serialized, "ids binary").collect()])
@@ -143,10 +143,9 @@ def write_tokens(df: DataFrame, vocabulary: str, path: str | None = None, *, doc
             return total, pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([count], pa.int32()), pa.array([len(held)], pa.int64()), pa.array([total], pa.int64()), pa.array([data], pa.binary())], BLOCKS.names)
 
         for big in batches:
-            for batch in slices(big):
+            for batch in slices(big, "text", most=SLICE):
                 names = batch.column("doc").to_pylist()
-                for name, ids in zip(names, own.encode(batch.column("text").to_pylist()), strict=True):
-                    ids = np.append(ids, ids.dtype.type(end_id))
+                for name, ids in zip(names, own.ended(batch.column("text"), end_id), strict=True):
                     held.append((name, ids))
                     size += ids.nbytes
                     if size >= BLOCK_BYTES:

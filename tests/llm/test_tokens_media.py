@@ -6,10 +6,11 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("tokenizers")
-from quantloom.llm import audio, bpe, packing, queries, token_store
+from quantloom.llm import audio, bpe, packing, queries, token_store, tokens
 from quantloom.llm.tokens import LibraryEncoder
 
 
@@ -182,3 +183,33 @@ def test_what_is_remembered_is_counted_at_once(library):
     plain = {chr(c) for c in (*range(9, 14), *range(0x20, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x130), *range(0x132, 0x149), *range(0x14A, 0x180))}
     for c in map(chr, (*range(0x250), 0x3A3, 0x2028, 0x1F600)):
         assert (lib.stretches(f"a{c}b") is not None) == (c in plain)
+
+
+def test_stretches_are_told_by_vectors_and_as_the_library_splits(library, monkeypatch):
+    """Odd signs, contractions, digits, signs beyond ASCII, nulls and slices; the different stretches of a batch are looked up
+    once, not each time they stand in it."""
+    rng, lib = random.Random(5), LibraryEncoder(queries.vocabulary())
+    parts = ["'s", "'LL", "'", "it", "Über", "ÿŸ", "12", "!", ",.", "«", "²", "ª", "×", "÷", "Ñ", " ", "\n", "\t ", "<|", "endoftext|>", "é", "\u0130", "z" * 300, "中"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(2_000)]
+    column = pa.chunked_array([pa.array(["cut off", None, *texts])]).combine_chunks().slice(1)
+    want = [[], *(e.ids for e in library.encode_batch(texts, add_special_tokens=False))]
+    for _ in range(2):
+        ids, bounds = lib.lists(column)
+        assert [x.tolist() for x in np.split(ids, bounds[1:-1])] == want
+        assert [x.tolist() for x in lib.ended(column, 2)] == [[*x, 2] for x in want]
+    assert lib.lists(column.slice(0, 0))[1].tolist() == [0]
+    assert [x.tolist() for x in lib.encode(["", None, " \n"])] == [[], [], []]
+    asked = []
+    monkeypatch.setattr(lib, "_ids_of", lambda found, own=lib._ids_of: asked.append(len(found)) or own(found))
+    lib.encode(["it was, it is: it's 11"] * 1_000)
+    assert asked == [7]  # it, was, a comma, is, a colon, 's, 1
+
+
+def test_few_are_remembered(library, monkeypatch):
+    """More different stretches than may be held, in one batch and in many."""
+    monkeypatch.setattr(tokens, "REMEMBERED_BYTES", 5_000)
+    rng, lib = random.Random(6), LibraryEncoder(queries.vocabulary())
+    for n in (200, 5, 1, 30, 5, 400, 5):
+        texts = [" ".join(rng.choice("aeiou") * rng.randint(1, 3) + rng.choice("bcdfg") for _ in range(20)) for _ in range(n)]
+        assert [x.tolist() for x in lib.encode(texts)] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+        assert lib.held == bpe.entries_bytes(lib.chunks) <= 10_000 and bpe.entries_bytes(lib.older) <= 10_000
