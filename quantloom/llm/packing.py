@@ -12,12 +12,13 @@ from __future__ import annotations
 import zlib
 from collections import deque
 from collections.abc import Sequence
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import ship, slices
-from .tokens import library_encoder
+from .tokens import SLICE, library_encoder
 
 SIZE = 2048
 END_ID = 1
@@ -120,8 +121,10 @@ class Packer:
         self.docs, self.held = rest, len(ids) - done
 
 
+@lru_cache(maxsize=4)
 def sentence_ends(vocabulary: str) -> np.ndarray:
-    """For each id, whether it ends a sentence: signs only, the last of which is a stop, a question or exclamation mark."""
+    """For each id, whether it ends a sentence: signs only, the last of which is a stop, a question or exclamation mark. Worked
+    out once in a Python worker, not for each task."""
     import regex
 
     library = library_encoder(vocabulary).library
@@ -129,6 +132,7 @@ def sentence_ends(vocabulary: str) -> np.ndarray:
     shape = regex.compile(r"[^\p{L}\p{N}]*[.!?]+(</w>)?")
     for s, i in library.get_vocab(with_added_tokens=False).items():
         out[i] = bool(shape.fullmatch(s))
+    out.flags.writeable = False
     return out
 
 
@@ -161,10 +165,10 @@ def pack_documents(df: DataFrame, vocabulary: str, *, doc: str = "doc_id", text:
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], SCHEMA.names)
 
         for big in batches:
-            for batch in slices(big):
+            for batch in slices(big, "text", most=SLICE):
                 pieces = []
-                for name, ids in zip(batch.column("doc").to_pylist(), own.encode(batch.column("text").to_pylist()), strict=True):
-                    pieces.extend(packer.add(name, np.append(ids, ids.dtype.type(end_id))))
+                for name, ids in zip(batch.column("doc").to_pylist(), own.ended(batch.column("text"), end_id), strict=True):
+                    pieces.extend(packer.add(name, ids))
                 if pieces:
                     yield rows([(p[0], p[1], p[2], p[3], p[4], p[5], p[6]) for p in pieces])
         if pieces := list(packer.finish()):

@@ -213,3 +213,16 @@ def test_few_are_remembered(library, monkeypatch):
         texts = [" ".join(rng.choice("aeiou") * rng.randint(1, 3) + rng.choice("bcdfg") for _ in range(20)) for _ in range(n)]
         assert [x.tolist() for x in lib.encode(texts)] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
         assert lib.held == bpe.entries_bytes(lib.chunks) <= 10_000 and bpe.entries_bytes(lib.older) <= 10_000
+
+
+def test_packing_prepares_once_and_encodes_batches(spark, docs, folder, monkeypatch):
+    """Sentence ends of a vocabulary are worked out once in a worker; windows are those of the library's own id lists."""
+    ends = packing.sentence_ends(queries.vocabulary())
+    assert ends is packing.sentence_ends(queries.vocabulary()) and ends.any() and not ends.flags.writeable
+    texts = texts_of(docs)
+    got = sorted(map(tuple, packing.pack_documents(docs, queries.vocabulary(), parts=1).collect()), key=lambda r: (r[5], r[6]))
+    lib, packer, want = LibraryEncoder(queries.vocabulary()).library, packing.Packer(ends), []
+    for k in sorted(texts, key=lambda x: (x is not None, x)):
+        want += packer.add(k, np.array([*lib.encode(texts[k], add_special_tokens=False).ids, 1], np.uint16))
+    want += packer.finish()
+    assert got == [tuple(r) for r in want]
