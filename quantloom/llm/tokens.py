@@ -12,8 +12,8 @@ import numpy as np
 from .bpe import LONGEST, REMEMBERED_BYTES, Stretches, byte_symbols, entries_bytes
 from .common import text_buffer
 
-#: Bytes of text that are encoded at once: the more, the fewer different stretches there are in each byte.
-SLICE = 8 << 20
+#: Groups of words that the library encodes at once: what it returns takes far more memory than their ids.
+GROUPS = 64
 
 # Kinds of bytes of a lower-case text. OTHER: of characters beyond ASCII that may be no letters.
 _SPACE, _LETTER, _DIGIT, _SIGN, _APOSTROPHE, _OTHER = range(6)
@@ -118,8 +118,8 @@ class LibraryEncoder:
         sizes, names = np.array([1] * len(flat) + [*map(len, parts)], np.int64), flat + several
         flat = flat + [w.encode() for w in chain.from_iterable(parts)]
         groups = [self.symbols[np.frombuffer(b" ".join(flat[i : i + 256]), np.uint8)].tobytes().decode("utf-16-le") for i in range(0, len(flat), 256)]
-        lists = [e.ids for e in self.words.encode_batch_fast(groups, add_special_tokens=False)]
-        ids = np.concatenate([np.array(x, self.kind) for x in lists]) if lists else np.empty(0, self.kind)
+        lists = [np.array(e.ids, self.kind) for i in range(0, len(groups), GROUPS) for e in self.words.encode_batch_fast(groups[i : i + GROUPS], add_special_tokens=False)]
+        ids = np.concatenate(lists) if lists else np.empty(0, self.kind)
         ends = np.flatnonzero(self.ends[ids]) + 1
         if len(ends) != len(flat):
             raise ValueError("the vocabulary doesn't end each word by its suffix")
