@@ -11,6 +11,7 @@ texts at a time.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -178,8 +179,9 @@ def rated_sample(labels: DataFrame, *, doc: str = "doc_id", good: str = "quality
     grades = labels.select(F.col(doc).cast("long").alias("doc"), _ratings_grade(labels, good, bad).alias("grade")).where("doc is not null and grade between 0 and 2").groupBy("doc").agg(F.min("grade").alias("grade"))
     n = grades.count()
     draw = F.shiftrightunsigned(F.xxhash64("doc"), 1)
-    if n > rows:  # first by a threshold in each task, so that few more than `rows` meet
-        grades = grades.where(draw <= F.lit(int(min(1.0, (rows + 6 * rows**0.5) / n) * (2**63 - 1))))
+    about = math.ceil(rows + 6 * rows**0.5)
+    if n > about:  # first by a threshold in each task, so that few more than `rows` meet
+        grades = grades.where(draw <= F.lit((2**63 - 1) * about // n))
     return grades.orderBy(draw, "doc").limit(rows)
 
 

@@ -87,6 +87,13 @@ def test_sample_is_bounded_and_repeats_count_once(spark):
     assert len(every) == 5000 and every[3] == 0 and every[4] == 2
 
 
+@pytest.mark.parametrize("n", [500, 501, 600, 634, 635, 636, 700])
+def test_sample_of_hardly_more_rows_than_it_takes(spark, n):
+    labels = spark.range(n).selectExpr("id doc_id", "1 quality", "0 toxic")
+    by_hash = [r.id for r in spark.range(n).orderBy(qc.F.shiftrightunsigned(qc.F.xxhash64("id"), 1), "id").limit(500).collect()]
+    assert [r.doc for r in qc.rated_sample(labels, rows=500).collect()] == by_hash
+
+
 def test_odd_rows_and_tables(spark, docs, rated):
     model = qc.fit_documents(rated, rated)
     got = qc.grade_documents(docs, model)
