@@ -216,3 +216,20 @@ def test_smallest_eigenvalue_without_the_matrix(spark, n, f, equal):
     f, e, d = np.array(f), rng.normal(size=(n, 2)), np.full(n, 0.3) if equal else rng.uniform(0.01, 0.5, n)
     held = spark.createDataFrame([(float(d[i]), *map(float, e[i])) for i in range(n)], "specific_var double, a double, b double")
     assert risk.smallest_asset_eigenvalue(held, f, ["a", "b"]) == pytest.approx(np.linalg.eigvalsh(e @ f @ e.T + np.diag(d))[0], rel=1e-9)
+
+
+def test_a_file_of_the_asset_covariance_has_few_tickers(spark, tmp_path, monkeypatch):
+    """Tiles: no task writes all columns of the matrix, so that names stay in a file's dictionary however many there are."""
+    monkeypatch.setattr(risk, "BLOCK", 50)
+    monkeypatch.setattr(risk, "PAIRS_A_TASK", 2_000)
+    rng = np.random.default_rng(37)
+    e, d = np.repeat(rng.normal(size=(40, 2)), 5, axis=0), rng.uniform(0.01, 0.5, 200)
+    f = np.array([[0.04, 0.01], [0.01, 0.02]])
+    x = spark.createDataFrame([(day(0), f"m{i:04d}", *map(float, e[i])) for i in range(200)], "Date date, Ticker string, a double, b double")
+    own = spark.createDataFrame([(f"m{i:04d}", float(d[i])) for i in range(1, 200)], "Ticker string, specific_var double")
+    d[0] = 0.0  # the one without a variance
+    risk.asset_covariance(x, f, own, ["a", "b"]).write.parquet(f"{tmp_path}/cov")
+    got = spark.read.parquet(f"{tmp_path}/cov").selectExpr("*", "input_file_name() file").toPandas()
+    assert len(got) == 200 * 200 and got.groupby("file").t2.nunique().max() < 150 and got.file.nunique() > 10
+    want = e @ f @ e.T + np.diag(d)
+    assert got.pivot(index="t1", columns="t2", values="cov").to_numpy() == pytest.approx(want)
